@@ -1 +1,272 @@
-"""placeholder"""
+"""Model-backed queries (E2, F1-F18, H1/H4/H5 with the detector).
+
+Models are trained once per (application, scale dir) and reused by every
+query of the process. Training data: the 80/20 stratified split, SMOTE on the
+training part (detector), labelled failures with a stratified 80/20
+validation split (diagnoser). Model outputs are not SQL-reproducible, so
+these queries carry no oracle (rows-only check) except ``class_weights``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from faultline.operators import features as fe
+from faultline.operators import guard as gd
+from faultline.operators import metrics as mt
+from faultline.operators import models as md
+from faultline.operators import sampling as sm
+from faultline.operators import scenario as sc
+from faultline.operators import stats as st
+from faultline.operators.smote import smote
+from faultline.plans.fixture import with_fixture
+from faultline.plans.registry import FAILURE_CODE_SQL, query
+from faultline.schema import LABEL, MODEL_FEATURES
+from faultline.session import cut_lineage
+from faultline.sources.telemetry import telemetry
+
+DETECTOR_PARAMS = {"numTrees": 100, "maxDepth": 10}
+
+
+@dataclass
+class Bundle:
+    table: DataFrame
+    train: DataFrame
+    test: DataFrame
+    balanced: DataFrame
+    detector: md.Detector
+    failures: DataFrame
+    diagnoser: md.Diagnoser
+    guard: gd.GuardModel
+
+
+_CACHE: dict = {}
+
+
+def trained(spark, sf) -> Bundle:
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _CACHE:
+        return _CACHE[key]
+    t = fe.encode_type(telemetry(spark, sf))
+    split = cut_lineage(sm.stratified_split(t))
+    train = split.filter(~F.col("is_test")).drop("is_test")
+    test = split.filter(F.col("is_test")).drop("is_test")
+    balanced = cut_lineage(smote(train, MODEL_FEATURES))
+    det = md.fit_detector(balanced, algo="rf", params=DETECTOR_PARAMS)
+    fails = cut_lineage(sm.stratified_split(md.diagnoser_frame(t), label="failure_type"))
+    diag = md.fit_diagnoser(fails.filter(~F.col("is_test")))
+    guard = gd.fit_guard(t)
+    b = Bundle(t, train, test, balanced, det, fails, diag, guard)
+    _CACHE[key] = b
+    return b
+
+
+def _r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+@query("smote_balanced")
+def q_smote_balanced(spark, sf):
+    """Training split balanced with SMOTE: rows per class and origin."""
+    b = trained(spark, sf)
+    return b.balanced.groupBy(LABEL, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("smote_rows")
+def q_smote_rows(spark, sf):
+    b = trained(spark, sf)
+    return b.balanced.select("unit_id", LABEL, "is_synthetic", *[_r6(f) for f in MODEL_FEATURES])
+
+
+@query("class_weights", with_fixture(
+    "SELECT failure_type, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS class_weight FROM "
+    f"(SELECT {FAILURE_CODE_SQL} AS failure_type, count(*) AS n FROM telemetry WHERE machine_failure = 1 "
+    "AND twf + hdf + pwf + osf + rnf > 0 GROUP BY 1) z"))
+def q_class_weights(spark, sf):
+    w = md.class_weights(md.diagnoser_frame(telemetry(spark, sf)))
+    return w.select("failure_type", "n", _r6("class_weight"))
+
+
+def _detector_test(spark, sf):
+    b = trained(spark, sf)
+    return b.detector.transform(b.test)
+
+
+@query("detector_test_scores")
+def q_detector_test_scores(spark, sf):
+    s = _detector_test(spark, sf)
+    return s.select("unit_id", LABEL, _r6("detector_prob"), "detector_pred", "detector_default")
+
+
+@query("detector_confusion")
+def q_detector_confusion(spark, sf):
+    return mt.confusion_long(_detector_test(spark, sf), LABEL, "detector_pred", classes=[0, 1])
+
+
+@query("detector_report")
+def q_detector_report(spark, sf):
+    return mt.class_report(_detector_test(spark, sf), LABEL, "detector_pred", classes=[0, 1])
+
+
+@query("detector_scores")
+def q_detector_scores(spark, sf):
+    return mt.summary_scores(_detector_test(spark, sf), LABEL, "detector_pred", classes=[0, 1])
+
+
+@query("detector_missed_profile")
+def q_detector_missed_profile(spark, sf):
+    s = _detector_test(spark, sf)
+    return st.missed_profile(s, pred="detector_pred")
+
+
+@query("detector_importance_top")
+def q_detector_importance_top(spark, sf):
+    b = trained(spark, sf)
+    return md.top_k(b.detector.importances(spark), 10)
+
+
+@query("physics_in_top5")
+def q_physics_in_top5(spark, sf):
+    b = trained(spark, sf)
+    return md.physics_in_top(b.detector.importances(spark), 5)
+
+
+@query("detector_search")
+def q_detector_search(spark, sf):
+    """Randomised search: 4 draws of the forest grid, 3 folds, recall of the failure class."""
+    b = trained(spark, sf)
+    det = md.fit_detector(b.balanced, algo="rf", search=True, n_draws=4, folds=3)
+    rows = [(k, float(v)) for k, v in sorted(det.best_params.items())]
+    return spark.createDataFrame(rows, "param STRING, value DOUBLE")
+
+
+def _diag_all(spark, sf):
+    b = trained(spark, sf)
+    return b.diagnoser.transform(b.failures)
+
+
+@query("diagnoser_validation")
+def q_diagnoser_validation(spark, sf):
+    s = _diag_all(spark, sf).filter(F.col("is_test"))
+    return s.select("unit_id", "failure_type", "diagnosis")
+
+
+@query("diagnoser_report")
+def q_diagnoser_report(spark, sf):
+    """Per-type report over all labelled failures (the original evaluation includes training rows)."""
+    return mt.class_report(_diag_all(spark, sf), "failure_type", "diagnosis")
+
+
+@query("diagnoser_confusion")
+def q_diagnoser_confusion(spark, sf):
+    return mt.confusion_long(_diag_all(spark, sf), "failure_type", "diagnosis")
+
+
+@query("diagnoser_scores")
+def q_diagnoser_scores(spark, sf):
+    return mt.summary_scores(_diag_all(spark, sf), "failure_type", "diagnosis")
+
+
+@query("diagnoser_importance")
+def q_diagnoser_importance(spark, sf):
+    b = trained(spark, sf)
+    return md.top_k(b.diagnoser.importances(spark), 20)
+
+
+@query("diagnoser_permutation_importance")
+def q_diagnoser_permutation_importance(spark, sf):
+    """Accuracy drop per permuted feature, 10 repeats, over all labelled failures."""
+    b = trained(spark, sf)
+
+    def scorer(df):
+        return b.diagnoser.transform(df, out="_pred")
+
+    return md.permutation_importance(b.failures.drop("is_test"), scorer, MODEL_FEATURES, "failure_type", 10)
+
+
+@query("cascade_scoring")
+def q_cascade_scoring(spark, sf):
+    """Batch scoring of the test split: detector -> diagnoser -> rule overrides -> guard -> z-scores."""
+    b = trained(spark, sf)
+    s = md.cascade(b.test, b.detector, b.diagnoser)
+    s = b.guard.transform(s)
+    z = st.zscores_against(s, b.test, MODEL_FEATURES, nd=3, keep=[c for c in s.columns])
+    flagged = F.col("final_pred") == 1
+    return z.select("unit_id", LABEL, _r6("detector_prob"), "detector_pred", "diagnosis", "heat_rule",
+                    "overstrain_rule", "final_pred", "final_type", _r6("display_prob"), "anomaly",
+                    *[F.when(flagged, F.col(f"z_{f}")).alias(f"z_{f}") for f in MODEL_FEATURES])
+
+
+@query("cascade_type_counts")
+def q_cascade_type_counts(spark, sf):
+    b = trained(spark, sf)
+    s = md.cascade(b.test, b.detector, b.diagnoser)
+    return fe.describe_type(s.groupBy(F.col("final_type").alias("failure_type"))
+                            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("pwf_decision_rules")
+def q_pwf_decision_rules(spark, sf):
+    """Depth-2 rules separating PWF from other labelled rows (NoLabel dropped)."""
+    t = fe.with_failure_name(telemetry(spark, sf))
+    df = fe.encode_type(t).filter(F.col("failure_type") != "NoLabel")
+    rules, _ = md.pwf_rules(df, ["power_w", "temp_diff_k", "strain_load", "rpm", "torque_nm",
+                                 "tool_wear_min", "type_encoded"], folds=2)
+    return spark.createDataFrame(rules, "leaf INT, rule STRING, prediction DOUBLE")
+
+
+@query("pwf_rules_cv_f1")
+def q_pwf_rules_cv_f1(spark, sf):
+    t = fe.with_failure_name(telemetry(spark, sf))
+    df = fe.encode_type(t).filter(F.col("failure_type") != "NoLabel")
+    _, f1 = md.pwf_rules(df, ["power_w", "temp_diff_k", "strain_load", "rpm", "torque_nm",
+                              "tool_wear_min", "type_encoded"], folds=5)
+    return spark.createDataFrame([(5, float(f1))], "folds INT, f1_mean DOUBLE")
+
+
+def _overstrain_scored(spark, sf):
+    b = trained(spark, sf)
+    return b.detector.transform(fe.overstrain_like(b.test))
+
+
+@query("overstrain_detection")
+def q_overstrain_detection(spark, sf):
+    """Overstrain-like test rows: size, actual failures, detected, detection rate."""
+    s = _overstrain_scored(spark, sf)
+    return s.agg(F.count(F.lit(1)).alias("n_subset"), F.sum(LABEL).cast("bigint").alias("n_actual"),
+                  F.sum("detector_pred").cast("bigint").alias("n_detected")) \
+        .withColumn("detection_pct", F.round(F.lit(100.0) * F.try_divide(F.col("n_detected").cast("double"),
+                                                                         F.col("n_subset")), 6))
+
+
+@query("overstrain_detection_rows")
+def q_overstrain_detection_rows(spark, sf):
+    s = _overstrain_scored(spark, sf)
+    return s.select("unit_id", "tool_wear_min", "torque_nm", "strain_load", "power_w",
+                    F.col(LABEL).alias("actual_failure"), _r6("detector_prob"),
+                    (F.col("detector_pred") == 1).alias("detected"))
+
+
+@query("stress_grid_detector")
+def q_stress_grid_detector(spark, sf):
+    """Test-population mean row x stress cases, scored with the 0.25 threshold."""
+    b = trained(spark, sf)
+    base = b.test.agg(*[F.avg(f).alias(f) for f in MODEL_FEATURES])
+    grid = sc.stress_grid(base)
+    s = b.detector.transform(grid)
+    return s.select("case_id", "tool_wear_min", "torque_nm", "strain_load", _r6("detector_prob"),
+                    F.when(F.col("detector_pred") == 1, "DETECTED").otherwise("MISSED").alias("status"))
+
+
+@query("drift_risk_summary")
+def q_drift_risk_summary(spark, sf):
+    """Every machine x preset: start / peak / final failure risk and first failing step."""
+    b = trained(spark, sf)
+    # non-drifting inputs (air/process temperature, type) ride along as keys of the projection
+    start = sc.latest_state(b.table, cols=MODEL_FEATURES)
+    s = b.detector.transform(sc.project(start, sc.PRESETS))
+    s = b.guard.transform(s).withColumn("alert", F.col("detector_pred") == 1)
+    return sc.run_summary(s, "alert", risk="detector_prob")

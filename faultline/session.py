@@ -32,6 +32,7 @@ def get_spark(master: str | None = None, app: str = "faultline",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.ansi.enabled", "true")
         .getOrCreate()
     )

@@ -1 +1,55 @@
-"""placeholder"""
+"""Streaming queries (S1, S2): the stream is the telemetry table landed as time-ordered files.
+
+Both return the sink contents as a batch DataFrame, so they are checked like
+any other query: S1 must equal the batch guard + rules; S2 equals a batch
+GROUP BY over the windows the final watermark has closed.
+"""
+
+from __future__ import annotations
+
+from faultline.operators import guard as gd
+from faultline.plans.fixture import with_fixture
+from faultline.plans.q_guard import SCORED_CTES
+from faultline.plans.registry import query
+from faultline.sources.telemetry import telemetry
+from faultline.streaming import telemetry_stream as ts
+
+_RULE_SQL = ("COALESCE(temp_diff_k < 7, FALSE) OR COALESCE((tool_wear_min > 200 AND torque_nm > 45) OR "
+             "(tool_wear_min > 180 AND strain_load > 11000), FALSE)")
+_ALERTS = ("alerts", f"SELECT *, ({_RULE_SQL}) AS rule_alert, anomaly OR ({_RULE_SQL}) AS alert FROM verdicts")
+
+
+def _staged(spark, sf):
+    t = telemetry(spark, sf)
+    path = ts.stage_files(t, ts.scratch(spark, "telemetry"), n_files=8)
+    return t, path
+
+
+@query("stream_scoring", with_fixture(
+    "SELECT unit_id, l1_stats, l2_physics, anomaly, rule_alert, alert FROM alerts", *SCORED_CTES, _ALERTS))
+def q_stream_scoring(spark, sf):
+    """Score a telemetry stream with the guard fitted on the batch table (micro-batches of 1 file)."""
+    t, path = _staged(spark, sf)
+    model = gd.fit_guard(t)
+    stream = ts.read(spark, path, t.schema)
+    out = ts.scratch(spark, "scored")
+    ts.drain(ts.score(stream, model).select("unit_id", "l1_stats", "l2_physics", "anomaly", "rule_alert",
+                                           "alert"), out)
+    return spark.read.parquet(out)
+
+
+@query("stream_alert_windows", with_fixture("""
+SELECT machine_id, window_start, window_end, count(*) AS n, CAST(sum(CAST(alert AS INT)) AS BIGINT) AS n_alerts,
+  round(sum(CAST(alert AS INT)) / count(*), 6) AS alert_rate
+FROM (SELECT *, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end
+      FROM alerts) a
+WHERE window_end <= (SELECT max(ts) FROM telemetry) - INTERVAL 1 HOUR
+GROUP BY machine_id, window_start, window_end""", *SCORED_CTES, _ALERTS))
+def q_stream_alert_windows(spark, sf):
+    """Daily alert rate per machine; 1-hour watermark; only windows the watermark has closed."""
+    t, path = _staged(spark, sf)
+    model = gd.fit_guard(t)
+    stream = ts.read(spark, path, t.schema)
+    out = ts.scratch(spark, "windows")
+    ts.drain(ts.alert_windows(ts.score(stream, model)), out)
+    return spark.read.parquet(out)

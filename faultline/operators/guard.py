@@ -306,3 +306,38 @@ def score_probes(model: GuardModel, spark: SparkSession) -> DataFrame:
     if model.forest is not None:
         cols.append(verdict_text("l3_isolation").alias("layer3"))
     return scored.select(*cols, verdict_text("anomaly").alias("verdict"))
+
+
+def save_guard(model: GuardModel, spark: SparkSession, path: str) -> str:
+    """Bounds long table, physics scalars and (if fitted) both forests as parquet."""
+    model.bounds.table(spark).write.mode("overwrite").parquet(f"{path}/bounds")
+    p = model.physics
+    spark.createDataFrame([(p.power_ratio_mean, p.power_ratio_std, p.strain_ratio_mean, p.strain_ratio_std,
+                            p.power_tolerance, model.n_fit, model.bounds.z_threshold)],
+                          "power_ratio_mean DOUBLE, power_ratio_std DOUBLE, strain_ratio_mean DOUBLE, "
+                          "strain_ratio_std DOUBLE, power_tolerance DOUBLE, n_fit LONG, z_threshold DOUBLE") \
+        .write.mode("overwrite").parquet(f"{path}/physics")
+    if model.forest is not None:
+        from faultline.operators.iforest import save_forest
+        save_forest(model.forest.main, spark, f"{path}/forest_main")
+        save_forest(model.forest.aggressive, spark, f"{path}/forest_aggressive")
+    return path
+
+
+def load_guard(spark: SparkSession, path: str) -> GuardModel:
+    import os
+    rows = spark.read.parquet(f"{path}/bounds").orderBy("ordinal").collect()
+    feats = [r.feature for r in rows]
+    stats = {r.feature: {k: r[k] for k in ("mean", "std", "min", "max", "p01", "p99", "lo", "hi")} for r in rows}
+    ph = spark.read.parquet(f"{path}/physics").first()
+    model = GuardModel(BoundsModel(feats, stats, ph.z_threshold),
+                       PhysicsModel(ph.power_ratio_mean, ph.power_ratio_std, ph.strain_ratio_mean,
+                                    ph.strain_ratio_std, ph.power_tolerance), n_fit=ph.n_fit, features=feats)
+    if os.path.exists(f"{path}/forest_main") or "://" in path:
+        try:
+            from faultline.operators.iforest import ForestPair, load_forest
+            model.forest = ForestPair(load_forest(spark, f"{path}/forest_main"),
+                                      load_forest(spark, f"{path}/forest_aggressive"))
+        except Exception:  # noqa: BLE001 — a guard saved without forests
+            model.forest = None
+    return model

@@ -103,6 +103,12 @@ class IsolationForestModel:
     n_trees: int
     offset: float | None = None
     contamination: float = 0.05
+    scale: dict | None = None  # feature -> (median, iqr) when fitted with robust=True
+
+    def _prepared(self, df: DataFrame) -> DataFrame:
+        if not self.scale:
+            return df
+        return df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(q) for f, (m, q) in self.scale.items()})
 
     def arrays(self):
         """Padded per-tree node arrays for vectorised traversal."""
@@ -151,8 +157,14 @@ class IsolationForestModel:
                 pdf[out] = np.power(2.0, -eh / cpsi) if cpsi > 0 else 1.0
                 yield pdf
 
-        schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-        return df.mapInPandas(score, schema)
+        raw = {f: f"__raw_{i}" for i, f in enumerate(feats)}
+        # with robust scaling the scaled values feed the trees; the originals are restored after
+        staged = self._prepared(df.withColumns({raw[f]: F.col(f) for f in feats})) if self.scale else df
+        schema = T.StructType([*staged.schema.fields, T.StructField(out, T.DoubleType())])
+        scored = staged.mapInPandas(score, schema)
+        if self.scale:
+            scored = scored.withColumns({f: F.col(raw[f]) for f in feats}).drop(*raw.values())
+        return scored
 
     def transform(self, df: DataFrame, flag: str = "l3_isolation", score: str = "anomaly_score") -> DataFrame:
         s = self.score_column(df, "_s")
@@ -166,10 +178,19 @@ def _draw(key, tree, seed):
 
 
 def fit_forest(df: DataFrame, features, n_trees: int = 200, max_samples: float = 0.8, sample_cap: int = 256,
-               contamination: float = 0.05, seed: int = 42, key: str = KEY, exact_offset: bool = True
-               ) -> IsolationForestModel:
-    """Fit an isolation forest on ``df`` (numeric ``features``, unique ``key``)."""
+               contamination: float = 0.05, seed: int = 42, key: str = KEY, exact_offset: bool = True,
+               robust: bool = False) -> IsolationForestModel:
+    """Fit an isolation forest on ``df`` (numeric ``features``, unique ``key``).
+
+    ``robust=True`` centres each feature on its median and divides by its IQR
+    (zero IQR -> 1) before the trees see it — one extra aggregate.
+    """
     feats = list(features)
+    scale = None
+    if robust:
+        q = df.agg(*[F.percentile(F.col(f), [0.25, 0.5, 0.75]).alias(f) for f in feats]).first()
+        scale = {f: (q[f][1], (q[f][2] - q[f][0]) or 1.0) for f in feats}
+        df = df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(i) for f, (m, i) in scale.items()})
     n = df.count()
     psi = max(2, min(int(max_samples * n) if max_samples <= 1 else int(max_samples), sample_cap, n))
     p = min(1.0, 1.25 * psi / n) if n else 1.0
@@ -184,7 +205,8 @@ def fit_forest(df: DataFrame, features, n_trees: int = 200, max_samples: float =
     nodes = sample.groupBy("tree").applyInPandas(_tree_builder(feats, seed, limit), NODE_SCHEMA)
     # the node table has < n_trees * 2 * psi rows: a bounded model, held on the driver
     model = IsolationForestModel(feats, nodes.toPandas(), psi, n_trees, contamination=contamination)
-    scored = model.score_column(df.select(*feats), "_s")
+    scored = model.score_column(df.select(*feats), "_s")  # df is already scaled here
+    model.scale = scale
     q = (F.percentile(-F.col("_s"), contamination) if exact_offset
          else F.percentile_approx(-F.col("_s"), contamination, 100000))
     model.offset = float(scored.agg(q.alias("q")).first()["q"])
@@ -210,3 +232,22 @@ def fit_forest_pair(df: DataFrame, features, contamination: float = 0.05, seed:
     main = fit_forest(df, features, 200, 0.8, sample_cap, contamination, seed, key)
     aggressive = fit_forest(df, features, 150, 0.5, sample_cap, 2 * contamination, seed + 1, key)
     return ForestPair(main, aggressive)
+
+
+def save_forest(model: IsolationForestModel, spark, path: str) -> str:
+    """Node table as parquet + a one-row metadata table (shared storage, reloadable anywhere)."""
+    spark.createDataFrame(model.nodes).write.mode("overwrite").parquet(f"{path}/nodes")
+    meta = [(",".join(model.features), model.psi, model.n_trees, model.offset, model.contamination,
+             None if not model.scale else ";".join(f"{f}:{m!r}:{q!r}" for f, (m, q) in model.scale.items()))]
+    spark.createDataFrame(meta, "features STRING, psi INT, n_trees INT, offset DOUBLE, contamination DOUBLE, "
+                                "scale STRING").write.mode("overwrite").parquet(f"{path}/meta")
+    return path
+
+
+def load_forest(spark, path: str) -> IsolationForestModel:
+    m = spark.read.parquet(f"{path}/meta").first()
+    scale = None
+    if m.scale:
+        scale = {f: (float(a), float(b)) for f, a, b in (x.split(":") for x in m.scale.split(";"))}
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas()
+    return IsolationForestModel(m.features.split(","), nodes, m.psi, m.n_trees, m.offset, m.contamination, scale)

@@ -47,12 +47,14 @@ def digits_for(n_rows: int, rows_per_bucket: int = 2_000_000) -> int:
 
 
 def dense_index(df: DataFrame, key: Column, prefix_cols=(), restart: bool = True, name: str = "idx",
-                digits: int | None = 2, tiebreak: str | None = KEY, with_total: str | None = None) -> DataFrame:
+                digits: int | None = None, tiebreak: str | None = KEY, with_total: str | None = None) -> DataFrame:
     """0-based dense index of rows ordered by (prefix_cols, key).
 
     restart=True  -> index restarts at 0 for every prefix value (rank within class)
     restart=False -> one global index in (prefix_cols, key) order
     ``with_total`` adds the row count of the row's prefix group.
+    ``digits`` (bucket prefix length) defaults to one sized from the row count,
+    so buckets stay ~2M rows however large the input grows.
     """
     prefix_cols = list(prefix_cols)
     if digits is None:
@@ -109,7 +111,7 @@ def oversample_uniform(df: DataFrame, n_target: int, seed: int = 42, key: str =
     n = df.count()
     if n == 0:
         raise ValueError("cannot resample an empty table")
-    src = dense_index(df, md5_key(F.col(key), seed), name="pos", tiebreak=key)
+    src = dense_index(df, md5_key(F.col(key), seed), name="pos", tiebreak=key, digits=digits_for(n))
     draws = _draws(df.sparkSession, n_target, n, seed)
     return draws.join(src, "pos", "inner").drop("pos")
 
@@ -122,17 +124,22 @@ def class_targets(n_by_class: dict, n_target: int, boost: float = 1.5, positive=
 
 
 def oversample_by_class(df: DataFrame, targets: dict, label: str = LABEL, seed: int = 42,
-                        key: str = KEY) -> DataFrame:
+                        key: str = KEY, n_by: dict | None = None) -> DataFrame:
     """Keep every original row, add (target_c - n_c) draws with replacement per class.
 
-    Output has ``is_draw`` (0 original, 1 drawn) and ``draw_id`` (row key of the draw).
+    Output has ``is_draw`` (0 original, 1 drawn), ``draw_id`` (original key, or
+    the draw number 0..extra-1 within the class) and ``_seq``: the row's dense
+    position within its (is_draw, class) block — the source index for
+    originals, the draw number for draws — so new ids need no further pass.
     """
     spark = df.sparkSession
-    n_by = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if n_by is None:
+        n_by = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     short = {c: t for c, t in targets.items() if t < n_by.get(c, 0)}
     if short:
         raise ValueError(f"target below current count for classes {sorted(short)}")
-    src = dense_index(df, md5_key(F.col(key), seed), [label], restart=True, name="pos", tiebreak=key)
+    src = dense_index(df, md5_key(F.col(key), seed), [label], restart=True, name="pos", tiebreak=key,
+                      digits=digits_for(sum(n_by.values())))
     draws = None
     for c, t in sorted(targets.items()):
         extra = t - n_by.get(c, 0)
@@ -140,20 +147,42 @@ def oversample_by_class(df: DataFrame, targets: dict, label: str = LABEL, seed:
             continue
         d = _draws(spark, extra, n_by[c], seed, tag=F.lit(c), extra={label: c})
         draws = d if draws is None else draws.unionByName(d)
-    originals = df.withColumns({"is_draw": F.lit(0), "draw_id": F.col(key)})
+    originals = src.withColumns({"is_draw": F.lit(0), "draw_id": F.col(key), "_seq": F.col("pos")}).drop("pos")
     if draws is None:
         return originals
-    drawn = draws.join(src, [label, "pos"], "inner").drop("pos").withColumn("is_draw", F.lit(1))
+    drawn = (draws.join(src, [label, "pos"], "inner").drop("pos")
+             .withColumns({"is_draw": F.lit(1), "_seq": F.col("draw_id")}))
     return originals.unionByName(drawn.select(*originals.columns))
 
 
+def block_ids(df: DataFrame, sizes: dict, block_cols=("is_draw", LABEL), seq: str = "_seq",
+              id_col: str = KEY, product_prefix: str = "S", product_base: int = 50000) -> DataFrame:
+    """Ids 1..N when each (block) already has a dense ``seq``: id = block offset + seq + 1.
+
+    ``sizes`` maps block tuples to their row counts (driver scalars); offsets
+    follow the sorted block order. A narrow projection — no shuffle.
+    """
+    expr, off = None, 0
+    for blk in sorted(sizes):
+        cond = None
+        for c, v in zip(block_cols, blk):
+            cond = (F.col(c) == F.lit(v)) if cond is None else (cond & (F.col(c) == F.lit(v)))
+        expr = F.when(cond, F.lit(off)) if expr is None else expr.when(cond, F.lit(off))
+        off += sizes[blk]
+    i = expr.otherwise(F.lit(None).cast("long")) + F.col(seq)
+    return df.withColumns({id_col: (i + 1).cast("long"),
+                           "product_id": F.concat(F.lit(product_prefix), (i + F.lit(product_base)).cast("string"))})
+
+
 def top_up(df: DataFrame, n_target: int, seed: int = 42, key: str = "draw_id") -> DataFrame:
-    """If short of ``n_target`` rows, add uniform draws from the frame itself."""
+    """If short of ``n_target`` rows, add uniform draws from the frame itself (``is_draw`` = 2)."""
     n = df.count()
     if n >= n_target:
         return df
-    extra = oversample_uniform(df, n_target - n, seed + 1, key=key)
-    extra = extra.withColumn("is_draw", F.lit(2)).withColumn("draw_id", F.col("draw_id") + F.lit(n_target))
+    src = df.withColumnRenamed(key, "_src_key")
+    extra = oversample_uniform(src, n_target - n, seed + 1, key="_src_key")
+    extra = (extra.withColumn("_new", F.col("draw_id") + F.lit(n_target)).drop("draw_id", "_src_key")
+             .withColumnRenamed("_new", key).withColumn("is_draw", F.lit(2)))
     return df.unionByName(extra.select(*df.columns))
 
 
@@ -173,15 +202,16 @@ def head_n(df: DataFrame, n: int, id_col: str = KEY) -> DataFrame:
 
 
 def reassign_flags(df: DataFrame, originals: DataFrame, seed: int = 42, label: str = LABEL,
-                   key: str = KEY, flags=FLAG_COLS, row_key: str = KEY) -> DataFrame:
+                   key: str = KEY, flags=FLAG_COLS, row_key: str = KEY, n_fail: int | None = None) -> DataFrame:
     """Failed rows get the joint flag pattern of one bootstrap-drawn original failure; healthy get 0."""
     fails = originals.filter(F.col(label) == 1).select(key, *flags)
-    n_fail = fails.count()
+    n_fail = fails.count() if n_fail is None else n_fail
     out = df.drop(*[f for f in flags if f in df.columns])
     zeros = {f: F.lit(0) for f in flags}
     if n_fail == 0:
         return out.withColumns(zeros)
-    pool = dense_index(fails, md5_key(F.col(key), seed), name="_pos", tiebreak=key).drop(key)
+    pool = dense_index(fails, md5_key(F.col(key), seed), name="_pos", tiebreak=key,
+                       digits=digits_for(n_fail)).drop(key)
     is_fail = F.col(label) == 1
     picked = out.withColumn("_pos", F.when(is_fail, hash32(F.col(row_key), "flags", seed) % F.lit(n_fail)))
     joined = picked.join(pool, "_pos", "left")
@@ -193,23 +223,33 @@ def resample_to(df: DataFrame, n_target: int = 20000, seed: int = 42, label: str
                 key: str = KEY, boost: float = 1.5) -> DataFrame:
     """Grow a table to ``n_target`` rows the way the original 20k script does.
 
-    Per-class random oversampling (failures = int(N * rate * 1.5)); if a class
-    target is below its size, uniform sampling of the whole table instead;
-    top up if short; ids 1..N in (is_draw, class, draw key) order with product
-    ids S50000+i; trim to N; subtype flags of failed rows re-drawn jointly
-    from original failures, healthy rows 0.
+    Per-class random oversampling (failures = int(N * rate * 1.5)) keeping all
+    originals; if a class target is below its size, uniform sampling of the
+    whole table instead. New ids 1..N run over the blocks (originals by class,
+    then draws by class), inside a block in source-index / draw order, with
+    product ids S50000+i. Subtype flags of failed rows are re-drawn jointly
+    from the original failures; healthy rows get 0. Block sizes are driver
+    scalars, so no count of the grown table and no id pass are needed.
     """
     n_by = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(n_by.values()) >= n_target:
+    total = sum(n_by.values())
+    if total >= n_target:
         return df
     targets = class_targets(n_by, n_target, boost)
     base = df.drop(*[f for f in FLAG_COLS if f in df.columns], "product_id")
-    try:
-        grown = oversample_by_class(base, targets, label, seed, key)
-    except ValueError:
-        grown = oversample_uniform(base, n_target, seed, key).withColumn("is_draw", F.lit(1))
-    grown = top_up(grown, n_target, seed)
+    if all(t >= n_by.get(c, 0) for c, t in targets.items()):
+        grown = oversample_by_class(base, targets, label, seed, key, n_by=n_by)
+        sizes = {(0, c): n for c, n in n_by.items()}
+        sizes.update({(1, c): t - n_by[c] for c, t in targets.items() if t > n_by[c]})
+    else:
+        grown = oversample_uniform(base, n_target, seed, key).withColumns(
+            {"is_draw": F.lit(1), "_seq": F.col("draw_id")})
+        sizes = None
     grown = grown.withColumnRenamed(key, "source_unit_id")
-    ids = sequence_ids(grown, md5_key(F.col("draw_id"), F.col(label), seed), ["is_draw", label], id_col=key)
-    ids = head_n(ids, n_target, key)
-    return reassign_flags(ids, df, seed, label, key=key, row_key=key)
+    if sizes is None:
+        ids = grown.withColumns({key: F.col("_seq") + 1, "product_id": F.concat(
+            F.lit("S"), (F.col("_seq") + F.lit(50000)).cast("string"))})
+    else:
+        ids = block_ids(grown, sizes, ("is_draw", label), "_seq", key)
+    ids = head_n(ids.drop("_seq"), n_target, key)
+    return reassign_flags(ids, df, seed, label, key=key, row_key=key, n_fail=n_by.get(1, 0))

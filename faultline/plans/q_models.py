@@ -9,7 +9,7 @@ these queries carry no oracle (rows-only check) except ``class_weights``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +31,35 @@ from faultline.sources.telemetry import telemetry
 DETECTOR_PARAMS = {"numTrees": 100, "maxDepth": 10}
 
 
-@dataclass
 class Bundle:
-    table: DataFrame
-    train: DataFrame
-    test: DataFrame
-    balanced: DataFrame
-    detector: md.Detector
-    failures: DataFrame
-    diagnoser: md.Diagnoser
-    guard: gd.GuardModel
+    """Training artefacts of one (application, scale dir), each built on first use."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+        self.table = fe.encode_type(telemetry(spark, sf))
+        split = cut_lineage(sm.stratified_split(self.table))
+        self.train = split.filter(~F.col("is_test")).drop("is_test")
+        self.test = split.filter(F.col("is_test")).drop("is_test")
+
+    @cached_property
+    def balanced(self) -> DataFrame:
+        return cut_lineage(smote(self.train, MODEL_FEATURES))
+
+    @cached_property
+    def detector(self) -> md.Detector:
+        return md.fit_detector(self.balanced, algo="rf", params=DETECTOR_PARAMS)
+
+    @cached_property
+    def failures(self) -> DataFrame:
+        return cut_lineage(sm.stratified_split(md.diagnoser_frame(self.table), label="failure_type"))
+
+    @cached_property
+    def diagnoser(self) -> md.Diagnoser:
+        return md.fit_diagnoser(self.failures.filter(~F.col("is_test")))
+
+    @cached_property
+    def guard(self) -> gd.GuardModel:
+        return gd.fit_guard(self.table)
 
 
 _CACHE: dict = {}
@@ -48,20 +67,9 @@ _CACHE: dict = {}
 
 def trained(spark, sf) -> Bundle:
     key = (spark.sparkContext.applicationId, sf)
-    if key in _CACHE:
-        return _CACHE[key]
-    t = fe.encode_type(telemetry(spark, sf))
-    split = cut_lineage(sm.stratified_split(t))
-    train = split.filter(~F.col("is_test")).drop("is_test")
-    test = split.filter(F.col("is_test")).drop("is_test")
-    balanced = cut_lineage(smote(train, MODEL_FEATURES))
-    det = md.fit_detector(balanced, algo="rf", params=DETECTOR_PARAMS)
-    fails = cut_lineage(sm.stratified_split(md.diagnoser_frame(t), label="failure_type"))
-    diag = md.fit_diagnoser(fails.filter(~F.col("is_test")))
-    guard = gd.fit_guard(t)
-    b = Bundle(t, train, test, balanced, det, fails, diag, guard)
-    _CACHE[key] = b
-    return b
+    if key not in _CACHE:
+        _CACHE[key] = Bundle(spark, sf)
+    return _CACHE[key]
 
 
 def _r6(c):

@@ -71,10 +71,14 @@ _RESAMPLE_CTES = [
               "1 AS is_draw, d.draw_id FROM draws d JOIN ranked r ON r.machine_failure = d.machine_failure AND r.pos = "
               + _h("concat(CAST(d.draw_id AS VARCHAR), '|', CAST(d.machine_failure AS VARCHAR), '|42')")
               + " % d.n"),
-    ("grown", f"SELECT unit_id, {', '.join(_BASE_COLS)}, machine_failure, 0 AS is_draw, unit_id AS draw_id "
-              "FROM src UNION ALL SELECT * FROM drawn"),
-    ("ids", "SELECT *, row_number() OVER (ORDER BY is_draw, machine_failure, md5(concat(CAST(draw_id AS VARCHAR), "
-            "'|', CAST(machine_failure AS VARCHAR), '|42'))) - 1 AS i FROM grown"),
+    ("offs", "SELECT machine_failure, "
+             "COALESCE(sum(n) OVER (ORDER BY machine_failure ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+             "AS orig_off, COALESCE(sum(CASE WHEN target > n THEN target - n ELSE 0 END) OVER (ORDER BY "
+             "machine_failure ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS draw_off FROM tgt"),
+    ("ids", "SELECT g.*, CASE WHEN g.is_draw = 0 THEN o.orig_off + g.seq "
+            "ELSE (SELECT n_all FROM tot) + o.draw_off + g.seq END AS i FROM ("
+            "SELECT s.*, 0 AS is_draw, s.unit_id AS draw_id, r.pos AS seq FROM src s JOIN ranked r USING (unit_id) "
+            "UNION ALL SELECT d.*, d.draw_id AS seq FROM drawn d) g JOIN offs o USING (machine_failure)"),
     ("pool", "SELECT twf, hdf, pwf, osf, rnf, row_number() OVER (ORDER BY md5(concat(CAST(unit_id AS VARCHAR), "
              "'|42')), unit_id) - 1 AS fpos FROM telemetry WHERE machine_failure = 1"),
     ("nf", "SELECT count(*) AS n_fail FROM pool"),

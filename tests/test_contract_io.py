@@ -54,3 +54,35 @@ def test_model_persistence(spark):
     a = det.transform(t).select("unit_id", "detector_prob").orderBy("unit_id").collect()
     b = again.transform(t).select("unit_id", "detector_prob").orderBy("unit_id").collect()
     assert a == b
+
+
+def test_guard_persistence(spark):
+    from faultline.operators import guard as gd
+    t = telemetry(spark, SF_SMALL)
+    m = gd.fit_guard(t, forest=True, forest_params={"sample_cap": 64})
+    d = tempfile.mkdtemp(prefix="faultline-guard-")
+    gd.save_guard(m, spark, d)
+    again = gd.load_guard(spark, d)
+    cols = ["unit_id", "l1_stats", "l2_physics", "l3_isolation", "anomaly", "anomaly_score"]
+    a = m.transform(t).select(*cols).orderBy("unit_id").collect()
+    b = again.transform(t).select(*cols).orderBy("unit_id").collect()
+    assert a == b
+
+
+def test_robust_forest_same_features_out(spark):
+    from faultline.operators.iforest import fit_forest
+    from faultline.schema import GUARD_FEATURES
+    t = telemetry(spark, SF_SMALL).filter("machine_failure = 0")
+    f = fit_forest(t, GUARD_FEATURES, n_trees=20, robust=True)
+    s = f.transform(t)
+    assert s.select(*GUARD_FEATURES).exceptAll(t.select(*GUARD_FEATURES)).count() == 0
+    assert 0.0 < s.agg({"l3_isolation": "count"}).first()[0]
+
+
+def test_top_up(spark):
+    from pyspark.sql import functions as F
+    from faultline.operators import sampling as sm
+    df = spark.range(0, 50).withColumnRenamed("id", "draw_id").withColumn("is_draw", F.lit(0)) \
+        .withColumn("unit_id", F.col("draw_id"))
+    out = sm.top_up(df, 80)
+    assert out.count() == 80 and out.filter("is_draw = 2").count() == 30

@@ -105,11 +105,6 @@ class IsolationForestModel:
     contamination: float = 0.05
     scale: dict | None = None  # feature -> (median, iqr) when fitted with robust=True
 
-    def _prepared(self, df: DataFrame) -> DataFrame:
-        if not self.scale:
-            return df
-        return df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(q) for f, (m, q) in self.scale.items()})
-
     def arrays(self):
         """Padded per-tree node arrays for vectorised traversal."""
         width = int(self.nodes.groupby("tree")["node"].max().max()) + 1
@@ -131,40 +126,7 @@ class IsolationForestModel:
 
     def score_column(self, df: DataFrame, out: str = "_score") -> DataFrame:
         """Append the anomaly score s in (0, 1] (higher = more anomalous)."""
-        spark = df.sparkSession
-        bc = spark.sparkContext.broadcast(self.arrays())
-        feats = list(self.features)
-
-        def score(batches):
-            feat, thr, left, right, leafc, cpsi = bc.value
-            for pdf in batches:
-                x = pdf[feats].to_numpy(dtype=float)
-                total = np.zeros(len(x))
-                rows = np.arange(len(x))
-                for t in range(feat.shape[0]):
-                    node = np.zeros(len(x), dtype=np.int32)
-                    while True:
-                        f = feat[t, node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        fi = np.where(inner, f, 0)
-                        go_left = x[rows, fi] < thr[t, node]
-                        nxt = np.where(go_left, left[t, node], right[t, node])
-                        node = np.where(inner, nxt, node)
-                    total += leafc[t, node]
-                eh = total / feat.shape[0]
-                pdf[out] = np.power(2.0, -eh / cpsi) if cpsi > 0 else 1.0
-                yield pdf
-
-        raw = {f: f"__raw_{i}" for i, f in enumerate(feats)}
-        # with robust scaling the scaled values feed the trees; the originals are restored after
-        staged = self._prepared(df.withColumns({raw[f]: F.col(f) for f in feats})) if self.scale else df
-        schema = T.StructType([*staged.schema.fields, T.StructField(out, T.DoubleType())])
-        scored = staged.mapInPandas(score, schema)
-        if self.scale:
-            scored = scored.withColumns({f: F.col(raw[f]) for f in feats}).drop(*raw.values())
-        return scored
+        return score_many(df, [self], [out])
 
     def transform(self, df: DataFrame, flag: str = "l3_isolation", score: str = "anomaly_score") -> DataFrame:
         s = self.score_column(df, "_s")
@@ -172,11 +134,110 @@ class IsolationForestModel:
         return s.withColumns({score: decision, flag: F.coalesce(decision < 0, F.lit(False))}).drop("_s")
 
 
+def _walk(x: np.ndarray, arrays) -> np.ndarray:
+    """Mean leaf depth (+ c(size)) over all trees, all trees advanced together per level."""
+    feat, thr, left, right, leafc, _ = arrays
+    n_trees = feat.shape[0]
+    rows = np.arange(len(x))[:, None]
+    tree = np.arange(n_trees)[None, :]
+    node = np.zeros((len(x), n_trees), dtype=np.int32)
+    while True:
+        f = feat[tree, node]
+        inner = f >= 0
+        if not inner.any():
+            break
+        go_left = x[rows, np.where(inner, f, 0)] < thr[tree, node]
+        node = np.where(inner, np.where(go_left, left[tree, node], right[tree, node]), node)
+    return leafc[tree, node].mean(axis=1)
+
+
+def score_many(df: DataFrame, models, outs) -> DataFrame:
+    """One Arrow pass appending the score of each model (node arrays broadcast once)."""
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast([(list(m.features), m.arrays(), m.scale) for m in models])
+    names = list(outs)
+
+    def score(batches):
+        packs = bc.value
+        for pdf in batches:
+            for name, (feats, arrays, scale) in zip(names, packs):
+                x = pdf[feats].to_numpy(dtype=float)
+                if scale:
+                    x = (x - np.array([scale[f][0] for f in feats])) / np.array([scale[f][1] for f in feats])
+                cpsi = arrays[5]
+                pdf[name] = np.power(2.0, -_walk(x, arrays) / cpsi) if cpsi > 0 else 1.0
+            yield pdf
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in names]])
+    return df.mapInPandas(score, schema)
+
+
 def _draw(key, tree, seed):
     """Non-negative 63-bit hash of (key, tree, seed)."""
     return F.xxhash64(key, tree, F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def _sample(df: DataFrame, feats, n: int, n_trees: int, psi: int, seed: int, key: str, forest: int) -> DataFrame:
+    """Rows of every tree's sample: (forest, tree, key, features, _h), at most psi per tree."""
+    p = min(1.0, 1.25 * psi / n) if n else 1.0
+    thr = int(p * (2 ** 63 - 1))
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    pick = F.filter(trees, lambda t: _draw(F.col(key), t, seed) < F.lit(thr))
+    members = (df.select(key, *feats, F.explode(pick).alias("tree"))
+               .withColumns({"_h": _draw(F.col(key), F.col("tree"), seed), "forest": F.lit(forest)}))
+    ranked = members.withColumn("_r", F.row_number().over(
+        Window.partitionBy("forest", "tree").orderBy("_h", key)))
+    return ranked.filter(F.col("_r") <= psi).drop("_r")
+
+
+def _psi(n: int, max_samples: float, sample_cap: int) -> int:
+    return max(2, min(int(max_samples * n) if max_samples <= 1 else int(max_samples), sample_cap, n))
+
+
+def _fit_many(df: DataFrame, feats, specs, key: str, robust: bool, exact_offset: bool):
+    """Fit several forests on the same rows: one sampling stage, one grouped build, one scoring pass.
+
+    ``specs``: list of (n_trees, max_samples, sample_cap, contamination, seed).
+    """
+    scale = None
+    if robust:
+        q = df.agg(*[F.percentile(F.col(f), [0.25, 0.5, 0.75]).alias(f) for f in feats]).first()
+        scale = {f: (q[f][1], (q[f][2] - q[f][0]) or 1.0) for f in feats}
+    src = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats])
+    if scale:
+        src = src.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(i) for f, (m, i) in scale.items()})
+    n = src.count()
+    samples, psis = None, []
+    for i, (n_trees, max_samples, cap, _, seed) in enumerate(specs):
+        psi = _psi(n, max_samples, cap)
+        psis.append(psi)
+        part = _sample(src, feats, n, n_trees, psi, seed, key, i)
+        samples = part if samples is None else samples.unionByName(part)
+    builders = {i: _tree_builder(feats, spec[4], int(math.ceil(math.log2(max(psis[i], 2)))))
+                for i, spec in enumerate(specs)}
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = builders[int(pdf["forest"].iloc[0])](pdf)
+        out.insert(0, "forest", int(pdf["forest"].iloc[0]))
+        return out.astype({"forest": "int32"})
+
+    # node table: < sum(trees x 2 psi) rows — a bounded model, held on the driver
+    nodes = samples.groupBy("forest", "tree").applyInPandas(build, "forest INT, " + NODE_SCHEMA).toPandas()
+    models = [IsolationForestModel(feats, nodes[nodes.forest == i].drop(columns="forest").reset_index(drop=True),
+                                   psis[i], spec[0], contamination=spec[3]) for i, spec in enumerate(specs)]
+    # offsets: contamination quantile of -score over the training rows, all forests in one pass
+    scored = score_many(src.select(*feats), models, [f"_s{i}" for i in range(len(models))])
+    aggs = []
+    for i, m in enumerate(models):
+        aggs.append(F.percentile(-F.col(f"_s{i}"), m.contamination) if exact_offset
+                    else F.percentile_approx(-F.col(f"_s{i}"), m.contamination, 100000))
+    row = scored.agg(*[a.alias(f"o{i}") for i, a in enumerate(aggs)]).first()
+    for i, m in enumerate(models):
+        m.offset = float(row[f"o{i}"])
+        m.scale = scale
+    return models
+
+
 def fit_forest(df: DataFrame, features, n_trees: int = 200, max_samples: float = 0.8, sample_cap: int = 256,
                contamination: float = 0.05, seed: int = 42, key: str = KEY, exact_offset: bool = True,
                robust: bool = False) -> IsolationForestModel:
@@ -185,32 +246,8 @@ def fit_forest(df: DataFrame, features, n_trees: int = 200, max_samples: float =
     ``robust=True`` centres each feature on its median and divides by its IQR
     (zero IQR -> 1) before the trees see it — one extra aggregate.
     """
-    feats = list(features)
-    scale = None
-    if robust:
-        q = df.agg(*[F.percentile(F.col(f), [0.25, 0.5, 0.75]).alias(f) for f in feats]).first()
-        scale = {f: (q[f][1], (q[f][2] - q[f][0]) or 1.0) for f in feats}
-        df = df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(i) for f, (m, i) in scale.items()})
-    n = df.count()
-    psi = max(2, min(int(max_samples * n) if max_samples <= 1 else int(max_samples), sample_cap, n))
-    p = min(1.0, 1.25 * psi / n) if n else 1.0
-    thr = int(p * (2 ** 63 - 1))
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    pick = F.filter(trees, lambda t: _draw(F.col(key), t, seed) < F.lit(thr))
-    members = (df.select(key, *[F.col(f).cast("double").alias(f) for f in feats], F.explode(pick).alias("tree"))
-               .withColumn("_h", _draw(F.col(key), F.col("tree"), seed)))
-    ranked = members.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", key)))
-    sample = ranked.filter(F.col("_r") <= psi).drop("_r")
-    limit = int(math.ceil(math.log2(max(psi, 2))))
-    nodes = sample.groupBy("tree").applyInPandas(_tree_builder(feats, seed, limit), NODE_SCHEMA)
-    # the node table has < n_trees * 2 * psi rows: a bounded model, held on the driver
-    model = IsolationForestModel(feats, nodes.toPandas(), psi, n_trees, contamination=contamination)
-    scored = model.score_column(df.select(*feats), "_s")  # df is already scaled here
-    model.scale = scale
-    q = (F.percentile(-F.col("_s"), contamination) if exact_offset
-         else F.percentile_approx(-F.col("_s"), contamination, 100000))
-    model.offset = float(scored.agg(q.alias("q")).first()["q"])
-    return model
+    return _fit_many(df, list(features), [(n_trees, max_samples, sample_cap, contamination, seed)], key,
+                     robust, exact_offset)[0]
 
 
 @dataclass
@@ -221,16 +258,18 @@ class ForestPair:
     aggressive: IsolationForestModel
 
     def transform(self, df: DataFrame, flag: str = "l3_isolation", score: str = "anomaly_score") -> DataFrame:
-        a = self.main.transform(df, "_l3a", score)
-        b = self.aggressive.transform(a, "_l3b", "_score_b")
-        return b.withColumn(flag, F.col("_l3a") | F.col("_l3b")).drop("_l3a", "_l3b", "_score_b")
+        s = score_many(df, [self.main, self.aggressive], ["_sa", "_sb"])
+        da = -F.col("_sa") - F.lit(self.main.offset)
+        db = -F.col("_sb") - F.lit(self.aggressive.offset)
+        return s.withColumns({score: da, flag: F.coalesce((da < 0) | (db < 0), F.lit(False))}).drop("_sa", "_sb")
 
 
 def fit_forest_pair(df: DataFrame, features, contamination: float = 0.05, seed: int = 42,
-                    sample_cap: int = 256, key: str = KEY) -> ForestPair:
-    """200 trees / 80 % samples / c, and 150 trees / 50 % samples / 2c with seed + 1."""
-    main = fit_forest(df, features, 200, 0.8, sample_cap, contamination, seed, key)
-    aggressive = fit_forest(df, features, 150, 0.5, sample_cap, 2 * contamination, seed + 1, key)
+                    sample_cap: int = 256, key: str = KEY, robust: bool = False) -> ForestPair:
+    """200 trees / 80 % samples / c, and 150 trees / 50 % samples / 2c with seed + 1 — fitted together."""
+    main, aggressive = _fit_many(df, list(features), [(200, 0.8, sample_cap, contamination, seed),
+                                                      (150, 0.5, sample_cap, 2 * contamination, seed + 1)],
+                                 key, robust, True)
     return ForestPair(main, aggressive)
 
 

@@ -34,6 +34,10 @@ from faultline.schema import FLAG_COLS, KEY, LABEL, MODEL_FEATURES, PHYSICS_ALIA
 
 SEED = 42
 THRESHOLD = 0.25
+# Training knobs for tree learners that do not change the model: cache each row's node id between
+# levels (no re-walk of the trees; the cache is checkpointed every 10 iterations when a checkpoint
+# folder is set) and split more nodes per pass over the data (fewer jobs for deep trees).
+TREE_KNOBS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
 
 
 def assemble(features, scaled: bool = True):
@@ -81,18 +85,20 @@ class Detector:
 
 def fit_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL, search: bool = False,
                  n_draws: int = 4, folds: int = 3, algo: str = "gbt", params: dict | None = None,
-                 seed: int = SEED) -> Detector:
+                 seed: int = SEED, parallelism: int | None = None) -> Detector:
     """Stage 1: binary detector (GBT; ``algo='rf'`` for the forest alternative)."""
     data = train.select(F.col(label).cast("double").alias("label"),
                         *[F.col(f).cast("double").alias(f) for f in features])
     if algo == "gbt":
-        clf = GBTClassifier(labelCol="label", featuresCol="features", seed=seed)
+        clf = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **TREE_KNOBS)
     else:
-        clf = RandomForestClassifier(labelCol="label", featuresCol="features", seed=seed)
+        clf = RandomForestClassifier(labelCol="label", featuresCol="features", seed=seed, **TREE_KNOBS)
     for k, v in (params or {}).items():
         clf.set(clf.getParam(k), v)
     pipe = Pipeline(stages=[*assemble(features), clf])
     best = None
+    if parallelism is None:  # candidate fits in flight: enough to keep the cores busy between jobs
+        parallelism = max(2, min(8, train.sparkSession.sparkContext.defaultParallelism // 2))
     if search:
         grid = sample_grid(detector_grid(clf) if algo == "gbt" else
                            ParamGridBuilder().addGrid(clf.numTrees, [100, 200])
@@ -100,7 +106,7 @@ def fit_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL,
         ev = MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{clf.getParam(p.name): v for p, v in m.items()}
                                                                 for m in grid],
-                            evaluator=ev, numFolds=folds, seed=seed, parallelism=2)
+                            evaluator=ev, numFolds=folds, seed=seed, parallelism=parallelism)
         cvm = cv.fit(data)
         i = max(range(len(cvm.avgMetrics)), key=lambda j: cvm.avgMetrics[j])
         best = {p.name: v for p, v in grid[i].items()}
@@ -147,7 +153,7 @@ def fit_diagnoser(failures: DataFrame, features=MODEL_FEATURES, num_trees: int =
         F.col("failure_type").cast("double").alias("label"), "class_weight",
         *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0, subset=list(features))
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="class_weight",
-                                numTrees=num_trees, seed=seed)
+                                numTrees=num_trees, seed=seed, **TREE_KNOBS)
     return Diagnoser(Pipeline(stages=[*assemble(features), rf]).fit(data), list(features))
 
 
@@ -199,7 +205,7 @@ def pwf_rules(df: DataFrame, features, target: str = "PWF", depth: int = 2, fold
     """Depth-2 tree separating one failure type from the other labelled rows; rules + CV F1."""
     data = df.select(F.when(F.col("failure_type") == target, 1.0).otherwise(0.0).alias("label"),
                      *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0)
-    dt = DecisionTreeClassifier(labelCol="label", featuresCol="features", maxDepth=depth, seed=seed)
+    dt = DecisionTreeClassifier(labelCol="label", featuresCol="features", maxDepth=depth, seed=seed, **TREE_KNOBS)
     pipe = Pipeline(stages=[*assemble(features, scaled=False), dt])
     model = pipe.fit(data)
     rules = tree_rules(model.stages[-1], list(features))

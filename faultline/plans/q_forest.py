@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultline.operators import guard as gd
 from faultline.plans.registry import query
 from faultline.schema import GUARD_FEATURES, LABEL
+from faultline.session import cut_lineage
 from faultline.sources.telemetry import telemetry
 
 _CACHE: dict = {}
@@ -84,7 +85,8 @@ def pca_view(df, features=GUARD_FEATURES, label=LABEL, k: int = 2):
 @query("guard_pca")
 def q_guard_pca(spark, sf):
     t, m = forest_guard(spark, sf)
-    scored = m.transform(t).select("unit_id", LABEL, "anomaly", *GUARD_FEATURES)
+    # PCA makes several passes (scaler, covariance, mean, projection): score the forest once
+    scored = cut_lineage(m.transform(t).select("unit_id", LABEL, "anomaly", *GUARD_FEATURES))
     view, _ = pca_view(scored)
     return view.select("unit_id", LABEL, "anomaly", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 

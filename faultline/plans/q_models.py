@@ -25,7 +25,7 @@ from faultline.operators.smote import smote
 from faultline.plans.fixture import with_fixture
 from faultline.plans.registry import FAILURE_CODE_SQL, query
 from faultline.schema import LABEL, MODEL_FEATURES
-from faultline.session import cut_lineage
+from faultline.session import checkpoint_dir, cut_lineage
 from faultline.sources.telemetry import telemetry
 
 DETECTOR_PARAMS = {"numTrees": 100, "maxDepth": 10}
@@ -43,6 +43,7 @@ class Bundle:
 
     @cached_property
     def balanced(self) -> DataFrame:
+        checkpoint_dir(self.spark)  # tree learners checkpoint their node-id cache here
         return cut_lineage(smote(self.train, MODEL_FEATURES))
 
     @cached_property

@@ -106,23 +106,34 @@ class IsolationForestModel:
     scale: dict | None = None  # feature -> (median, iqr) when fitted with robust=True
 
     def arrays(self):
-        """Padded per-tree node arrays for vectorised traversal."""
-        width = int(self.nodes.groupby("tree")["node"].max().max()) + 1
+        """Trees as complete binary trees of fixed height L (heap layout) for branch-free traversal.
+
+        Internal slot p has children 2p+1 / 2p+2. A leaf above the bottom level
+        is copied down its left spine with threshold +inf (always left), so
+        every row takes exactly L steps; the bottom slots hold depth + c(size).
+        """
+        height = max(1, int(math.ceil(math.log2(max(self.psi, 2)))))
+        n_int = 2 ** height - 1
         trees = sorted(self.nodes["tree"].unique())
-        shape = (len(trees), width)
-        feat = np.full(shape, -1, dtype=np.int32)
-        thr = np.zeros(shape)
-        left = np.zeros(shape, dtype=np.int32)
-        right = np.zeros(shape, dtype=np.int32)
-        leafc = np.zeros(shape)
+        feat = np.zeros((len(trees), n_int), dtype=np.int32)
+        thr = np.full((len(trees), n_int), np.inf)
+        leafv = np.zeros((len(trees), 2 ** height))
         for i, (_, g) in enumerate(self.nodes.groupby("tree", sort=True)):
-            n = g["node"].to_numpy()
-            feat[i, n] = g["feature"].to_numpy()
-            thr[i, n] = g["threshold"].to_numpy()
-            left[i, n] = g["left_child"].to_numpy()
-            right[i, n] = g["right_child"].to_numpy()
-            leafc[i, n] = g["depth"].to_numpy() + c_factor(g["size"].to_numpy())
-        return feat, thr, left, right, leafc, float(c_factor([self.psi])[0])
+            g = g.set_index("node")
+            f, th, lc, rc = (g[c].to_dict() for c in ("feature", "threshold", "left_child", "right_child"))
+            value = (g["depth"] + c_factor(g["size"].to_numpy())).to_dict()
+            stack = [(0, 0, 0)]
+            while stack:
+                node, pos, depth = stack.pop()
+                if f[node] >= 0 and depth < height:
+                    feat[i, pos], thr[i, pos] = f[node], th[node]
+                    stack.append((lc[node], 2 * pos + 1, depth + 1))
+                    stack.append((rc[node], 2 * pos + 2, depth + 1))
+                else:
+                    while depth < height:
+                        pos, depth = 2 * pos + 1, depth + 1
+                    leafv[i, pos - n_int] = value[node]
+        return feat, thr, leafv, height, float(c_factor([self.psi])[0])
 
     def score_column(self, df: DataFrame, out: str = "_score") -> DataFrame:
         """Append the anomaly score s in (0, 1] (higher = more anomalous)."""
@@ -135,20 +146,19 @@ class IsolationForestModel:
 
 
 def _walk(x: np.ndarray, arrays) -> np.ndarray:
-    """Mean leaf depth (+ c(size)) over all trees, all trees advanced together per level."""
-    feat, thr, left, right, leafc, _ = arrays
-    n_trees = feat.shape[0]
-    rows = np.arange(len(x))[:, None]
-    tree = np.arange(n_trees)[None, :]
-    node = np.zeros((len(x), n_trees), dtype=np.int32)
-    while True:
-        f = feat[tree, node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        go_left = x[rows, np.where(inner, f, 0)] < thr[tree, node]
-        node = np.where(inner, np.where(go_left, left[tree, node], right[tree, node]), node)
-    return leafc[tree, node].mean(axis=1)
+    """Mean path length over all trees: ``height`` branch-free steps per tree."""
+    feat, thr, leafv, height, _ = arrays
+    n_int = 2 ** height - 1
+    xt = np.ascontiguousarray(x.T)
+    cols = np.arange(len(x))
+    total = np.zeros(len(x))
+    for t in range(feat.shape[0]):
+        ft, tt = feat[t], thr[t]
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range(height):
+            node = 2 * node + 1 + (xt[ft[node], cols] >= tt[node])
+        total += leafv[t, node - n_int]
+    return total / feat.shape[0]
 
 
 def score_many(df: DataFrame, models, outs) -> DataFrame:
@@ -164,7 +174,7 @@ def score_many(df: DataFrame, models, outs) -> DataFrame:
                 x = pdf[feats].to_numpy(dtype=float)
                 if scale:
                     x = (x - np.array([scale[f][0] for f in feats])) / np.array([scale[f][1] for f in feats])
-                cpsi = arrays[5]
+                cpsi = arrays[4]
                 pdf[name] = np.power(2.0, -_walk(x, arrays) / cpsi) if cpsi > 0 else 1.0
             yield pdf
 

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from faultline.schema import KEY
+from faultline.session import spread
 
 NODE_SCHEMA = ("tree INT, node INT, feature INT, threshold DOUBLE, left_child INT, right_child INT, "
                "size INT, depth INT")
@@ -179,7 +180,7 @@ def score_many(df: DataFrame, models, outs) -> DataFrame:
             yield pdf
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in names]])
-    return df.mapInPandas(score, schema)
+    return spread(df).mapInPandas(score, schema)
 
 
 def _draw(key, tree, seed):

@@ -31,6 +31,7 @@ from faultline.functions.labels import failure_code
 from faultline.operators.features import align_to, labelled_failures
 from faultline.operators.sampling import dense_index, md5_key
 from faultline.schema import FLAG_COLS, KEY, LABEL, MODEL_FEATURES, PHYSICS_ALIASES
+from faultline.session import spread
 
 SEED = 42
 THRESHOLD = 0.25
@@ -87,8 +88,8 @@ def fit_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL,
                  n_draws: int = 4, folds: int = 3, algo: str = "gbt", params: dict | None = None,
                  seed: int = SEED, parallelism: int | None = None) -> Detector:
     """Stage 1: binary detector (GBT; ``algo='rf'`` for the forest alternative)."""
-    data = train.select(F.col(label).cast("double").alias("label"),
-                        *[F.col(f).cast("double").alias(f) for f in features])
+    data = spread(train.select(F.col(label).cast("double").alias("label"),
+                               *[F.col(f).cast("double").alias(f) for f in features]))
     if algo == "gbt":
         clf = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **TREE_KNOBS)
     else:
@@ -149,9 +150,9 @@ def fit_diagnoser(failures: DataFrame, features=MODEL_FEATURES, num_trees: int =
                   seed: int = SEED) -> Diagnoser:
     """Stage 2: class-weighted random forest on labelled failures."""
     w = F.broadcast(class_weights(failures).select("failure_type", "class_weight"))  # <= 5 rows
-    data = failures.join(w, "failure_type").select(
+    data = spread(failures.join(w, "failure_type").select(
         F.col("failure_type").cast("double").alias("label"), "class_weight",
-        *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0, subset=list(features))
+        *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0, subset=list(features)))
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="class_weight",
                                 numTrees=num_trees, seed=seed, **TREE_KNOBS)
     return Diagnoser(Pipeline(stages=[*assemble(features), rf]).fit(data), list(features))

@@ -29,14 +29,17 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions.draws import hash32, uniform
 from faultline.operators.sampling import dense_index, md5_key
 from faultline.schema import KEY, LABEL
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, spread
+
+
+_DEBUG = False
 
 
 def _vectors(df: DataFrame, features, key: str = KEY) -> DataFrame:
@@ -64,53 +67,77 @@ def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str
     lo = [st[f"{d}__lo"] for d in dims]
     spans = [max(st[f"{d}__hi"] - st[f"{d}__lo"], 1e-9) for d in dims]
     w = max((math.prod(spans) / max(1.0, n / per_cell)) ** (1.0 / nd), 1e-9)
-    vec = vec.withColumns({f"_g{i}": F.floor((F.col(d) - F.lit(lo[i])) / F.lit(w)).cast("long")
-                           for i, d in enumerate(dims)})
+    vec = spread(vec.withColumns({f"_g{i}": F.floor((F.col(d) - F.lit(lo[i])) / F.lit(w)).cast("long")
+                                  for i, d in enumerate(dims)}))
     cand = vec.select(F.col("_vid").alias("nb_vid"), F.col("_m").alias("_qm"),
                       *[F.col(f).alias(f"_q_{f}") for f in features], *[f"_g{i}" for i in range(nd)])
     offs = list(itertools.product((-1, 0, 1), repeat=nd))
     arr = F.array(*[F.struct(*[F.lit(o[i]).alias(f"o{i}") for i in range(nd)]) for o in offs])
     dist = F.sqrt(sum((F.col(f) - F.col(f"_q_{f}")) ** 2 for f in features))
-    pending, done, level = vec, None, 0
-    while True:
-        scale = 1 << level
-        width = w * scale
-        cell = {f"_c{i}": F.floor(F.col(f"_g{i}") / F.lit(scale)).cast("long") for i in range(nd)}
+
+    def cells(level: Column):
+        scale = F.pow(F.lit(2.0), level.cast("double"))
+        return {f"_c{i}": F.floor(F.col(f"_g{i}") / scale).cast("long") for i in range(nd)}
+
+    def probe_round(pending: DataFrame, levels) -> tuple[DataFrame, DataFrame]:
+        """Probe 27 cells at each pending vector's ``_lvl``; return (certified slots, per-vector k-th dist)."""
+        width = F.lit(w) * F.pow(F.lit(2.0), F.col("_lvl").cast("double"))
         border, covers = None, None
+        p = pending.withColumns(cells(F.col("_lvl")))
         for i, d in enumerate(dims):
-            box_lo = F.lit(lo[i]) + (F.col(f"_c{i}") - 1) * F.lit(width)
-            box_hi = F.lit(lo[i]) + (F.col(f"_c{i}") + 2) * F.lit(width)
+            box_lo = F.lit(lo[i]) + (F.col(f"_c{i}") - 1) * width
+            box_hi = F.lit(lo[i]) + (F.col(f"_c{i}") + 2) * width
             b = F.least(F.col(d) - box_lo, box_hi - F.col(d))
             c = (box_lo <= F.lit(lo[i])) & (box_hi >= F.lit(lo[i] + spans[i]))
             border = b if border is None else F.least(border, b)
             covers = c if covers is None else (covers & c)
-        probes = (pending.withColumns(cell)
-                  .withColumns({"_border": border, "_covers": covers})
-                  .select("_vid", "_m", *features, "_border", "_covers", F.explode(arr).alias("_o"),
+        probes = (p.withColumns({"_border": border, "_covers": covers})
+                  .select("_vid", "_m", "_lvl", *features, "_border", "_covers", F.explode(arr).alias("_o"),
                           *[f"_c{i}" for i in range(nd)])
-                  .select("_vid", "_m", *features, "_border", "_covers",
+                  .select("_vid", "_m", "_lvl", *features, "_border", "_covers",
                           *[(F.col(f"_c{i}") + F.col(f"_o.o{i}")).alias(f"_c{i}") for i in range(nd)]))
-        cand_l = cand.withColumns(cell).drop(*[f"_g{i}" for i in range(nd)])
-        pairs = probes.join(cand_l, on=[f"_c{i}" for i in range(nd)], how="inner")
+        # candidate cells at every level in use (a handful of levels: bounded replication)
+        lv = F.explode(F.array(*[F.lit(int(x)) for x in sorted(levels)])).alias("_lvl")
+        cand_l = cand.select("*", lv).withColumns(cells(F.col("_lvl"))).drop(*[f"_g{i}" for i in range(nd)])
+        pairs = probes.join(cand_l, on=["_lvl", *[f"_c{i}" for i in range(nd)]], how="inner")
         avail = F.when(F.col("nb_vid") == F.col("_vid"), F.col("_m") - 1).otherwise(F.col("_qm"))
-        pairs = pairs.select("_vid", "_border", "_covers", "nb_vid", dist.alias("dist"),
+        pairs = pairs.select("_vid", "_lvl", "_border", "_covers", "nb_vid", dist.alias("dist"),
                              avail.alias("_avail")).filter(F.col("_avail") > 0)
         w_ord = Window.partitionBy("_vid").orderBy("dist", "nb_vid")
         ranked = pairs.withColumn("_cum", F.sum("_avail").over(w_ord.rowsBetween(Window.unboundedPreceding, 0)))
-        ranked = ranked.withColumn("_prev", F.col("_cum") - F.col("_avail")).filter(F.col("_prev") < k)
+        ranked = cut_lineage(ranked.withColumn("_prev", F.col("_cum") - F.col("_avail"))
+                             .filter(F.col("_prev") < k))
         per = ranked.groupBy("_vid").agg(F.max("_cum").alias("_tot"), F.max("dist").alias("_dk"),
-                                         F.first("_border").alias("_border"), F.first("_covers").alias("_covers"))
-        ok = per.filter((F.col("_tot") >= k) & ((F.col("_dk") <= F.col("_border")) | F.col("_covers"))) \
-            .select("_vid")
-        slots = ranked.join(ok, "_vid", "left_semi").select(
+                                         F.first("_border").alias("_border"), F.first("_covers").alias("_covers"),
+                                         F.first("_lvl").alias("_lvl"))
+        ok = per.filter((F.col("_tot") >= k) & ((F.col("_dk") <= F.col("_border")) | F.col("_covers")))
+        slots = ranked.join(ok.select("_vid"), "_vid", "left_semi").select(
             "_vid", "nb_vid", "dist",
             F.explode(F.sequence(F.col("_prev"), F.least(F.col("_cum"), F.lit(k)) - 1)).alias("slot"))
-        slots = cut_lineage(slots)
+        return cut_lineage(slots), per
+
+    # round 0 at the finest grid; then every uncertified vector jumps to the level whose probed
+    # box is at least its current k-th distance wide (an upper bound of the true one): certified
+    # in one more round. Vectors with fewer than k candidates widen 8x per round until they have.
+    pending = vec.withColumn("_lvl", F.lit(0))
+    done, levels = None, {0}
+    while True:
+        slots, per = probe_round(pending, levels)
         done = slots if done is None else done.unionByName(slots)
-        pending = cut_lineage(pending.join(slots.select("_vid"), "_vid", "left_anti"))
-        if pending.limit(1).count() == 0:
+        left = cut_lineage(pending.join(slots.select("_vid").distinct(), "_vid", "left_anti")
+                           .withColumnRenamed("_lvl", "_plvl")
+                           .join(per.select("_vid", "_tot", "_dk"), "_vid", "left"))
+        if left.limit(1).count() == 0:
             break
-        level += 1
+        need = F.when(F.col("_tot") >= k,
+                      F.greatest(F.col("_plvl") + 1,
+                                 F.ceil(F.log2(F.greatest(F.col("_dk") / F.lit(w), F.lit(1.0)))).cast("int")))
+        # too few candidates nearby (an isolated vector): widen the box 8x per round
+        pending = left.withColumn("_lvl", F.coalesce(need, F.col("_plvl") + 3).cast("int")) \
+            .drop("_tot", "_dk", "_plvl")
+        levels = {r[0] for r in pending.select("_lvl").distinct().collect()}  # a few small ints
+        if _DEBUG:
+            print("knn round", sorted(levels), left.count(), left.filter(F.col("_tot") >= k).count())
     return done.select("_vid", "slot", "nb_vid", "dist")
 
 

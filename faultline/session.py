@@ -60,3 +60,17 @@ def cut_lineage(df):
     """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy consumers (tree training, Arrow-batched Python) every core.
+
+    Small inputs arrive as one partition (a single parquet row group, or a
+    shuffle that AQE coalesced); a round-robin repartition then spreads the
+    work. On a cluster reading large tables the frame already has more
+    partitions than cores and this is a no-op.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

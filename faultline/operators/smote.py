@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions.draws import hash32, uniform
-from faultline.operators.sampling import dense_index, md5_key
+from faultline.operators.sampling import dense_index, digits_for, md5_key
 from faultline.schema import KEY, LABEL
 from faultline.session import cut_lineage, spread
 
@@ -47,7 +47,8 @@ def _vectors(df: DataFrame, features, key: str = KEY) -> DataFrame:
     return df.groupBy(*features).agg(F.count(F.lit(1)).alias("_m"), F.min(key).alias("_vid"))
 
 
-def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str = KEY) -> DataFrame:
+def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str = KEY,
+              vectors: DataFrame | None = None) -> DataFrame:
     """(_vid, slot, nb_vid, dist) for the k nearest neighbours of every distinct vector.
 
     Distances are Euclidean on the raw feature values (as SMOTE uses them).
@@ -57,7 +58,7 @@ def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str
     whole data range certifies everything, so the loop always terminates.
     """
     # materialised once in the shared checkpoint folder: every level reads it
-    vec = cut_lineage(_vectors(df, features, key))
+    vec = vectors if vectors is not None else cut_lineage(_vectors(df, features, key))
     st = vec.agg(F.count(F.lit(1)).alias("n"),
                  *[x for f in features for x in (F.stddev_pop(f).alias(f"{f}__s"), F.min(f).alias(f"{f}__lo"),
                                                   F.max(f).alias(f"{f}__hi"))]).first()
@@ -161,9 +162,10 @@ def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 4
     orig = base.withColumn("is_synthetic", F.lit(0))
     if n_new <= 0:
         return orig
-    mins = cut_lineage(base.filter(F.col(label) == minority))
-    vec_ids = _vectors(mins, feats, key).select(*feats, "_vid")
-    rows = dense_index(mins.join(vec_ids, feats), md5_key(F.col(key), seed), name="_pos", tiebreak=key)
+    mins = base.filter(F.col(label) == minority)
+    vec = cut_lineage(_vectors(mins, feats, key))  # distinct vectors: built once, read by every step
+    rows = dense_index(mins.join(vec.select(*feats, "_vid"), feats), md5_key(F.col(key), seed), name="_pos",
+                       tiebreak=key, digits=digits_for(n_min))
     k_eff = min(k, n_min - 1)
     draws = spark.range(0, n_new, 1, max(1, spark.sparkContext.defaultParallelism)) \
         .withColumnRenamed("id", "_d")
@@ -175,8 +177,8 @@ def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 4
         pair = hash32(F.col("_d"), seed) % F.lit(n_min * k_eff)
         draws = draws.withColumns({"_pos": (pair / F.lit(k_eff)).cast("long"), "slot": (pair % F.lit(k_eff)).cast("int"),
                                    "_u": uniform(F.col("_d"), "gap", seed)})
-        nn = knn_table(mins, feats, k_eff, per_cell, key)
-        vecs = _vectors(mins, feats, key).select(F.col("_vid").alias("nb_vid"),
+        nn = knn_table(mins, feats, k_eff, per_cell, key, vectors=vec)
+        vecs = vec.select(F.col("_vid").alias("nb_vid"),
                                             *[F.col(f).alias(f"_nb_{f}") for f in feats])
         picked = draws.join(rows, "_pos").join(nn, ["_vid", "slot"]).join(vecs, "nb_vid")
         synth = picked.select(*[(F.col(f) + F.col("_u") * (F.col(f"_nb_{f}") - F.col(f))).alias(f) for f in feats],

@@ -40,10 +40,14 @@ def md5_key(*parts) -> Column:
 
 
 def digits_for(n_rows: int, rows_per_bucket: int = 2_000_000) -> int:
-    """Hex digits of bucket prefix so that a bucket holds ~rows_per_bucket rows."""
+    """Hex digits of the bucket prefix so that a bucket holds at most ~rows_per_bucket rows.
+
+    1e12 rows -> 5 digits: ~1M buckets of ~1M rows; the offsets table (one row
+    per bucket and prefix value) stays small enough for its running sum.
+    """
     if n_rows <= rows_per_bucket:
         return 1
-    return max(1, min(6, math.ceil(math.log(n_rows / rows_per_bucket, 16)) + 1))
+    return max(1, min(6, math.ceil(math.log(n_rows / rows_per_bucket, 16))))
 
 
 def dense_index(df: DataFrame, key: Column, prefix_cols=(), restart: bool = True, name: str = "idx",

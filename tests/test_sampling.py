@@ -80,3 +80,25 @@ def test_smote_balances_and_interpolates(spark):
     for f in MODEL_FEATURES:
         r = syn.agg(F.min(f), F.max(f)).first()
         assert r[0] >= mins[f] - 1e-9 and r[1] <= maxs[f] + 1e-9
+
+
+def test_approximate_stats_path(spark):
+    """exact=False (bounded-memory quantiles for very large tables) stays close to exact."""
+    from faultline.operators import stats as st
+    t = fe.encode_type(telemetry(spark, SF_SMALL))
+    ex = {r.feature: r for r in st.describe(t, ["rpm", "power_w"], exact=True).collect()}
+    ap = {r.feature: r for r in st.describe(t, ["rpm", "power_w"], exact=False).collect()}
+    for f in ("rpm", "power_w"):
+        assert ex[f]["count"] == ap[f]["count"] and ex[f]["mean"] == ap[f]["mean"]
+        spread = ex[f]["max"] - ex[f]["min"]
+        assert abs(ex[f]["q50"] - ap[f]["q50"]) <= 0.01 * spread
+
+
+def test_resample_falls_back_to_uniform(spark):
+    """A class target below its size -> uniform draws of the whole table, still exactly N rows."""
+    rows = [(i, 1 if i < 60 else 0) for i in range(100)]
+    df = spark.createDataFrame(rows, "unit_id LONG, machine_failure INT").withColumns(
+        {c: F.lit(0) for c in ("twf", "hdf", "pwf", "osf", "rnf")})
+    out = sm.resample_to(df, 150)  # failures 60 % -> target int(150*0.6*1.5)=135 > 60, healthy 15 < 40
+    assert out.count() == 150
+    assert out.select("unit_id").distinct().count() == 150

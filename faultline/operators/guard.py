@@ -199,11 +199,13 @@ class GuardModel:
         return out.withColumn("anomaly", final)
 
 
-def fit_guard(df: DataFrame, features=GUARD_FEATURES, exact: bool = True, forest: bool = False,
+def fit_guard(df: DataFrame, features=GUARD_FEATURES, exact: bool | None = None, forest: bool = False,
               healthy_only: bool = True, label: str = LABEL, forest_params: dict | None = None) -> GuardModel:
     """Fit L1 + L2 in one aggregate pass over the healthy rows (+ optional forest)."""
     require_columns(df, list(features))
     fit_df = df.filter(F.col(label) == 0) if healthy_only and label in df.columns else df
+    from faultline.operators.stats import use_exact
+    exact = use_exact(fit_df, exact)  # exact p01/p99 up to 20M healthy rows, bounded-memory above
     row = fit_df.agg(F.count(F.lit(1)).alias("n"), *_bounds_aggs(features, exact), *_physics_aggs()).first()
     bounds = BoundsModel(list(features), _bounds_from_row(row, features))
     physics = PhysicsModel(row["pr_mean"], row["pr_std"], row["sr_mean"], row["sr_std"])

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from faultline.operators.stats import EXACT_QUANTILE_MAX_ROWS, use_exact
 from faultline.schema import KEY
 from faultline.session import spread
 
@@ -205,19 +206,21 @@ def _psi(n: int, max_samples: float, sample_cap: int) -> int:
     return max(2, min(int(max_samples * n) if max_samples <= 1 else int(max_samples), sample_cap, n))
 
 
-def _fit_many(df: DataFrame, feats, specs, key: str, robust: bool, exact_offset: bool):
+def _fit_many(df: DataFrame, feats, specs, key: str, robust: bool, exact_offset: bool | None):
     """Fit several forests on the same rows: one sampling stage, one grouped build, one scoring pass.
 
     ``specs``: list of (n_trees, max_samples, sample_cap, contamination, seed).
     """
     scale = None
     if robust:
-        q = df.agg(*[F.percentile(F.col(f), [0.25, 0.5, 0.75]).alias(f) for f in feats]).first()
+        q = df.agg(*[(F.percentile(F.col(f), [0.25, 0.5, 0.75]) if use_exact(df, exact_offset)
+                      else F.percentile_approx(F.col(f), [0.25, 0.5, 0.75], 100000)).alias(f) for f in feats]).first()
         scale = {f: (q[f][1], (q[f][2] - q[f][0]) or 1.0) for f in feats}
     src = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats])
     if scale:
         src = src.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(i) for f, (m, i) in scale.items()})
     n = src.count()
+    exact = exact_offset if exact_offset is not None else n <= EXACT_QUANTILE_MAX_ROWS
     samples, psis = None, []
     for i, (n_trees, max_samples, cap, _, seed) in enumerate(specs):
         psi = _psi(n, max_samples, cap)
@@ -240,7 +243,7 @@ def _fit_many(df: DataFrame, feats, specs, key: str, robust: bool, exact_offset:
     scored = score_many(src.select(*feats), models, [f"_s{i}" for i in range(len(models))])
     aggs = []
     for i, m in enumerate(models):
-        aggs.append(F.percentile(-F.col(f"_s{i}"), m.contamination) if exact_offset
+        aggs.append(F.percentile(-F.col(f"_s{i}"), m.contamination) if exact
                     else F.percentile_approx(-F.col(f"_s{i}"), m.contamination, 100000))
     row = scored.agg(*[a.alias(f"o{i}") for i, a in enumerate(aggs)]).first()
     for i, m in enumerate(models):
@@ -250,7 +253,7 @@ def _fit_many(df: DataFrame, feats, specs, key: str, robust: bool, exact_offset:
 
 
 def fit_forest(df: DataFrame, features, n_trees: int = 200, max_samples: float = 0.8, sample_cap: int = 256,
-               contamination: float = 0.05, seed: int = 42, key: str = KEY, exact_offset: bool = True,
+               contamination: float = 0.05, seed: int = 42, key: str = KEY, exact_offset: bool | None = None,
                robust: bool = False) -> IsolationForestModel:
     """Fit an isolation forest on ``df`` (numeric ``features``, unique ``key``).
 
@@ -280,7 +283,7 @@ def fit_forest_pair(df: DataFrame, features, contamination: float = 0.05, seed:
     """200 trees / 80 % samples / c, and 150 trees / 50 % samples / 2c with seed + 1 — fitted together."""
     main, aggressive = _fit_many(df, list(features), [(200, 0.8, sample_cap, contamination, seed),
                                                       (150, 0.5, sample_cap, 2 * contamination, seed + 1)],
-                                 key, robust, True)
+                                 key, robust, None)
     return ForestPair(main, aggressive)
 
 

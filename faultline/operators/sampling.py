@@ -32,9 +32,6 @@ from pyspark.sql.window import Window
 from faultline.functions.draws import hash32, key_string
 from faultline.schema import FLAG_COLS, KEY, LABEL
 
-BROADCAST_OFFSETS_MAX = 1 << 20  # rows of the (prefix, bucket) offsets table we broadcast
-
-
 def md5_key(*parts) -> Column:
     return F.md5(key_string(*parts))
 
@@ -76,8 +73,8 @@ def dense_index(df: DataFrame, key: Column, prefix_cols=(), restart: bool = True
         tw = Window.partitionBy(*prefix_cols) if prefix_cols else Window.partitionBy()
         offsets = offsets.withColumn(with_total, F.sum("_c").over(tw))
     offsets = offsets.drop("_c")
-    if (16 ** digits) * 64 <= BROADCAST_OFFSETS_MAX:
-        offsets = F.broadcast(offsets)
+    # no broadcast hint: the offsets table has one row per (prefix, bucket); AQE turns this into a
+    # broadcast join at runtime only when its materialised size is under the threshold
     joined = keyed.join(offsets, on=order, how="inner")
     ord_cols = [F.col("_k")] + ([F.col(tiebreak)] if tiebreak and tiebreak in df.columns else [])
     rn = F.row_number().over(Window.partitionBy(*order).orderBy(*ord_cols))

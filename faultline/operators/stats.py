@@ -21,6 +21,18 @@ from faultline.functions.labels import failure_name
 from faultline.schema import FLAG_COLS, LABEL, PROFILE_FEATURES
 
 ND = 6  # decimals kept on aggregated doubles
+EXACT_QUANTILE_MAX_ROWS = 20_000_000  # above this, quantiles switch to bounded-memory percentile_approx
+
+
+def use_exact(df: DataFrame, exact: bool | None) -> bool:
+    """``exact=None`` (auto): exact percentiles up to EXACT_QUANTILE_MAX_ROWS rows, approximate above.
+
+    Exact ``percentile`` keeps a value -> count map per group (memory grows with
+    distinct values); ``percentile_approx`` keeps a bounded summary.
+    """
+    if exact is not None:
+        return exact
+    return df.count() <= EXACT_QUANTILE_MAX_ROWS
 
 
 def _q(col: Column, qs, exact: bool, accuracy: int = 100000) -> Column:
@@ -66,8 +78,9 @@ def type_summary(df: DataFrame, features=("power_w", "temp_diff_k", "strain_load
     return named.groupBy("failure_type").agg(*aggs)
 
 
-def describe(df: DataFrame, features=PROFILE_FEATURES, exact: bool = True) -> DataFrame:
+def describe(df: DataFrame, features=PROFILE_FEATURES, exact: bool | None = None) -> DataFrame:
     """count, mean, std, min, 25/50/75 %, max per feature — one global aggregate."""
+    exact = use_exact(df, exact)
     aggs = []
     for f in features:
         c = F.col(f).cast("double")
@@ -84,8 +97,9 @@ def describe(df: DataFrame, features=PROFILE_FEATURES, exact: bool = True) -> Da
 
 
 def quantiles(df: DataFrame, features, qs=(0.1, 0.25, 0.5, 0.75, 0.9), prefix: str = "q",
-              exact: bool = True, nd: int = 2) -> DataFrame:
+              exact: bool | None = None, nd: int = 2) -> DataFrame:
     """Long table (feature, {prefix}10, {prefix}25, ...) of quantiles."""
+    exact = use_exact(df, exact)
     names = [f"{prefix}{int(round(q * 100))}" for q in qs]
     wide = df.agg(*[_q(F.col(f), list(qs), exact).alias(f"{f}__arr") for f in features])
     wide = wide.select(*[_r(F.col(f"{f}__arr")[i], nd).alias(f"{f}__{n}")
@@ -94,8 +108,9 @@ def quantiles(df: DataFrame, features, qs=(0.1, 0.25, 0.5, 0.75, 0.9), prefix: s
 
 
 def quantile_compare(df: DataFrame, subset: Column, features=PROFILE_FEATURES,
-                     qs=(0.1, 0.25, 0.5, 0.75, 0.9), exact: bool = True) -> DataFrame:
+                     qs=(0.1, 0.25, 0.5, 0.75, 0.9), exact: bool | None = None) -> DataFrame:
     """Quantiles of a subset next to the whole table, aligned on the feature name."""
+    exact = use_exact(df, exact)
     sub = quantiles(df.filter(subset), features, qs, "subset_q", exact)
     allq = quantiles(df, features, qs, "all_q", exact)
     return sub.join(allq, on="feature", how="full")
@@ -123,12 +138,13 @@ def cohens_d(df: DataFrame, subset: Column, features=PROFILE_FEATURES) -> DataFr
 
 
 def share_above_quantile(df: DataFrame, subset: Column, features, q: float = 0.75,
-                         exact: bool = True) -> DataFrame:
+                         exact: bool | None = None) -> DataFrame:
     """Share of the subset and of all rows above the overall q-quantile (two passes).
 
     The thresholds are a handful of scalars; they are collected once and
     applied as literals in the second (conditional-average) pass.
     """
+    exact = use_exact(df, exact)
     thr_row = df.agg(*[_q(F.col(f), q, exact).alias(f) for f in features]).first()
     flag = F.coalesce(subset, F.lit(False))
     aggs = []
@@ -166,25 +182,26 @@ def missed_vs_caught(df: DataFrame, pred: str = "pred", label: str = LABEL,
 
 
 def missed_profile(df: DataFrame, pred: str = "pred", label: str = LABEL,
-                   features=("power_w", "temp_diff_k", "strain_load"), exact: bool = True) -> DataFrame:
+                   features=("power_w", "temp_diff_k", "strain_load"), exact: bool | None = None) -> DataFrame:
     """Descriptive profile of the false negatives."""
     return describe(df.filter((F.col(label) == 1) & (F.col(pred) == 0)), list(features), exact)
 
 
-def box_stats(df: DataFrame, group: str, features, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, group: str, features, exact: bool | None = None) -> DataFrame:
     """Box/violin data per group: quartiles, IQR, whiskers at 1.5*IQR, outlier count.
 
     Pass 1 aggregates quartiles per group (tiny result); pass 2 joins it back
     (broadcast: one row per group) and finds the whiskers as min/max inside
     the fences.
     """
+    exact = use_exact(df, exact)
     q = df.groupBy(group).agg(*[_q(F.col(f), [0.25, 0.5, 0.75], exact).alias(f"{f}__qs") for f in features])
     q = q.select(group, *[x for f in features for x in (
         F.col(f"{f}__qs")[0].alias(f"{f}__q1"), F.col(f"{f}__qs")[1].alias(f"{f}__median"),
         F.col(f"{f}__qs")[2].alias(f"{f}__q3"))])
-    # quartile table: one row per group value -> broadcast is size-bounded by the group count
+    # quartile table: one row per group value; AQE broadcasts it at runtime when it is small
     joined = df.select(group, *[F.col(f).cast("double").alias(f) for f in features]) \
-        .join(F.broadcast(q), on=group, how="inner")
+        .join(q, on=group, how="inner")
     aggs = []
     for f in features:
         q1, q3 = F.col(f"{f}__q1"), F.col(f"{f}__q3")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import features as fe
 from faultline.operators import sampling as sm
 from faultline.operators import scenario as sc
 from faultline.operators import guard as gd
@@ -203,5 +202,3 @@ def q_stress_grid_fleet(spark, sf):
     return s.select("machine_id", "case_id", *_r6(GUARD_FEATURES), rule.alias("rule_alert"),
                     "l1_stats", "l2_physics")
 
-
-_ = fe  # feature helpers are used by the model-backed scenario queries

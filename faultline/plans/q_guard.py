@@ -88,7 +88,7 @@ def q_guard_verdicts(spark, sf):
 
 
 @query("guard_zscores", with_fixture(
-    "SELECT unit_id, " + ", ".join(f"round(({f} - m_{f}) / s_{f}, 6) AS z_{f}" for f in GUARD_FEATURES)
+    "SELECT unit_id, " + ", ".join(f"round(({f} - m_{f}) / s_{f}, 6) + 0.0 AS z_{f}" for f in GUARD_FEATURES)
     + " FROM telemetry, fit", *SCORED_CTES[:1]))
 def q_guard_zscores(spark, sf):
     t, m = fitted(spark, sf)

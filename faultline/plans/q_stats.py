@@ -135,7 +135,7 @@ def q_test_mean_std(spark, sf):
 
 @query("test_zscores", with_fixture(
     "SELECT t.unit_id, " + ", ".join(
-        f"round((t.{f} - s.m_{f}) / s.s_{f}, 3) AS z_{f}" for f in MODEL_FEATURES)
+        f"round((t.{f} - s.m_{f}) / s.s_{f}, 3) + 0.0 AS z_{f}" for f in MODEL_FEATURES)  # + 0.0: no -0.0
     + " FROM enc t, (SELECT " + ", ".join(
         f"avg({f}) AS m_{f}, CASE WHEN stddev_samp({f}) = 0 THEN 1.0 ELSE stddev_samp({f}) END AS s_{f}"
         for f in MODEL_FEATURES) + " FROM test) s",

@@ -53,9 +53,18 @@ def encode_type(df: DataFrame, col: str = "type", out: str = "type_encoded") ->
     return df.withColumn(out, type_code(col))
 
 
+def coerce_labels(df: DataFrame) -> DataFrame:
+    """Key -> BIGINT, label and subtype flags -> INT (text sources; unparsable -> NULL)."""
+    casts = {c: F.expr(f"try_cast(`{c}` AS INT)") for c in [LABEL, *FLAG_COLS] if c in df.columns
+             and dict(df.dtypes)[c] == "string"}
+    if KEY in df.columns and dict(df.dtypes)[KEY] == "string":
+        casts[KEY] = F.expr(f"try_cast(`{KEY}` AS BIGINT)")
+    return df.withColumns(casts) if casts else df
+
+
 def prepare_features(df: DataFrame) -> DataFrame:
     """Coerce + physics + type code: the model-ready telemetry frame."""
-    df = coerce_numeric(df)
+    df = coerce_labels(coerce_numeric(df))
     df = add_physics(df)
     if "type" in df.columns:
         df = encode_type(df)

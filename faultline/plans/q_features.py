@@ -9,7 +9,8 @@ from faultline.plans.fixture import TELEMETRY_RAW_SQL, with_fixture
 from faultline.plans.registry import (FAILURE_CODE_SQL, FAILURE_DIM_SQL, FAILURE_NAME_SQL, TYPE_CODE_SQL,
                                       query)
 from faultline.schema import MODEL_FEATURES, SENSOR_COLS
-from faultline.sources.telemetry import telemetry, telemetry_raw
+from faultline.sources.telemetry import (read_sensor_csv, telemetry, telemetry_raw, to_source_layout,
+                                         write_table)
 
 _SENSORS_SQL = ", ".join(f"COALESCE(TRY_CAST({c} AS DOUBLE), 0) AS {c}" for c in SENSOR_COLS)
 
@@ -124,3 +125,16 @@ def q_healthy_failed_union(spark, sf):
     t = telemetry(spark, sf).select("unit_id", "machine_failure")
     return (fe.healthy(t).withColumn("part", F.lit("healthy"))
             .unionByName(fe.failed(t).withColumn("part", F.lit("failed"))))
+
+
+@query("csv_batch_features", with_fixture(
+    f"SELECT unit_id, {TYPE_CODE_SQL} AS type_encoded, 2 * pi() * rpm * torque_nm / 60 AS power_w, "
+    "process_temp_k - air_temp_k AS temp_diff_k, tool_wear_min * torque_nm AS strain_load, machine_failure, "
+    "twf + hdf + pwf + osf + rnf AS n_flags FROM telemetry"))
+def q_csv_batch_features(spark, sf):
+    """Telemetry written as the original CSV (text, source names), read back with an explicit schema."""
+    from faultline.streaming.telemetry_stream import scratch
+    path = write_table(to_source_layout(telemetry(spark, sf)), scratch(spark, "csv-batch"), fmt="csv")
+    df = fe.prepare_features(read_sensor_csv(spark, path))
+    return df.select("unit_id", "type_encoded", "power_w", "temp_diff_k", "strain_load", "machine_failure",
+                     (F.col("twf") + F.col("hdf") + F.col("pwf") + F.col("osf") + F.col("rnf")).alias("n_flags"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.physics import mechanical_power, thermal_gap, tool_strain
-from faultline.schema import RAW_CSV_SCHEMA, SENSOR_COLS, to_canonical
+from faultline.schema import RAW_CSV_SCHEMA, SENSOR_COLS, SOURCE_COLUMNS, to_canonical
 
 # Fixed generator constants of the test fixture: (multiplier, offset, modulus)
 # per uniform stream u1..u6, the type digit rule, and the injected-defect moduli.
@@ -134,3 +134,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     else:
         w.format(fmt).save(path)
     return path
+
+
+def to_source_layout(df: DataFrame) -> DataFrame:
+    """Canonical frame -> the original CSV layout (source column names, every value as text)."""
+    out = []
+    for src, dst in SOURCE_COLUMNS.items():
+        if dst in df.columns and src in RAW_CSV_SCHEMA.fieldNames():
+            out.append(F.col(dst).cast("string").alias(src))
+    return df.select(*out)

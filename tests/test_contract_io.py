@@ -40,7 +40,7 @@ def test_csv_roundtrip(spark):
     path = write_table(src, os.path.join(d, "raw"), fmt="csv")
     df = fe.prepare_features(read_sensor_csv(spark, path))
     r = df.first()
-    assert r.unit_id == "1" and r.type_encoded == 1 and abs(r.temp_diff_k - 10.5) < 1e-9
+    assert r.unit_id == 1 and r.machine_failure == 0 and r.type_encoded == 1 and abs(r.temp_diff_k - 10.5) < 1e-9
     out = write_table(df, os.path.join(d, "features"))
     assert spark.read.parquet(out).count() == 1
 

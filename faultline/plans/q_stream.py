@@ -53,3 +53,21 @@ def q_stream_alert_windows(spark, sf):
     out = ts.scratch(spark, "windows")
     ts.drain(ts.alert_windows(ts.score(stream, model)), out)
     return spark.read.parquet(out)
+
+
+@query("stream_alert_windows_sliding", with_fixture("""
+SELECT machine_id, window_start, window_end, count(*) AS n, CAST(sum(CAST(alert AS INT)) AS BIGINT) AS n_alerts,
+  round(sum(CAST(alert AS INT)) / count(*), 6) AS alert_rate
+FROM (SELECT a.*, b.window_start, b.window_start + INTERVAL 1 DAY AS window_end
+      FROM alerts a, LATERAL (SELECT time_bucket(INTERVAL 12 HOUR, a.ts) AS window_start
+                              UNION ALL SELECT time_bucket(INTERVAL 12 HOUR, a.ts) - INTERVAL 12 HOUR) b) w
+WHERE window_end <= (SELECT max(ts) FROM telemetry) - INTERVAL 1 HOUR
+GROUP BY machine_id, window_start, window_end""", *SCORED_CTES, _ALERTS))
+def q_stream_alert_windows_sliding(spark, sf):
+    """Alert rate per machine over 1-day windows sliding every 12 hours; 1-hour watermark."""
+    t, path = _staged(spark, sf)
+    model = gd.fit_guard(t)
+    stream = ts.read(spark, path, t.schema)
+    out = ts.scratch(spark, "sliding")
+    ts.drain(ts.alert_windows(ts.score(stream, model), "1 day", slide="12 hours"), out)
+    return spark.read.parquet(out)

@@ -57,10 +57,17 @@ def score(stream: DataFrame, guard: GuardModel) -> DataFrame:
 
 
 def alert_windows(scored: DataFrame, window: str = "1 day", delay: str = "1 hour",
-                  group: str = "machine_id", ts: str = "ts") -> DataFrame:
-    """Alert counts and rate per machine per event-time window (watermarked, append mode)."""
+                  group: str = "machine_id", ts: str = "ts", slide: str | None = None,
+                  session_gap: str | None = None) -> DataFrame:
+    """Alert counts and rate per machine per event-time window (watermarked, append mode).
+
+    Tumbling by default; ``slide`` gives sliding windows, ``session_gap`` session windows.
+    """
     ev = scored.withColumn("_evt", F.col(ts).cast("timestamp")).withWatermark("_evt", delay)
-    w = F.window("_evt", window)
+    if session_gap:
+        w = F.session_window("_evt", session_gap)
+    else:
+        w = F.window("_evt", window, slide) if slide else F.window("_evt", window)
     return (ev.groupBy(w.alias("w"), F.col(group))
             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alert").cast("int")).alias("n_alerts"))
             .select(group, F.col("w.start").cast("timestamp_ntz").alias("window_start"),

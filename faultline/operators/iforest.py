@@ -5,7 +5,7 @@ Fit
 * Tree membership is a per-(row, tree) hash draw: ``xxhash64(key, tree, seed)``
   below ``p * 2^63`` with ``p = min(1, 1.25 * psi / n)``, evaluated inside one
   codegen'd ``filter``/``explode`` — no driver loop. Each tree then keeps the
-  ``psi`` rows with the smallest draw (a window per tree over ~1.25 psi rows),
+  ``psi`` rows with the smallest draw (inside its build group of ~1.25 psi rows),
   i.e. an exact-size sample without replacement.
   ``psi = min(max_samples * n, sample_cap)``; the cap (256 by default, as in
   Liu, Ting & Zhou, "Isolation Forest", 2008) keeps per-tree work constant
@@ -34,7 +34,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from faultline.operators.stats import EXACT_QUANTILE_MAX_ROWS, use_exact
 from faultline.schema import KEY
@@ -83,10 +82,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
     return nodes
 
 
-def _tree_builder(features, seed: int, limit: int):
+def _tree_builder(features, seed: int, limit: int, psi: int | None = None, key: str = KEY):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("_h")  # deterministic row order within the tree
+        pdf = pdf.sort_values(["_h", key], kind="mergesort")  # deterministic row order within the tree
+        if psi is not None:
+            pdf = pdf.head(psi)  # the tree's sample: the psi smallest draws
         rng = np.random.default_rng([seed, tree])
         nodes = _grow(pdf[list(features)].to_numpy(dtype=float), rng, limit)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left_child", "right_child", "size",
@@ -190,16 +191,17 @@ def _draw(key, tree, seed):
 
 
 def _sample(df: DataFrame, feats, n: int, n_trees: int, psi: int, seed: int, key: str, forest: int) -> DataFrame:
-    """Rows of every tree's sample: (forest, tree, key, features, _h), at most psi per tree."""
+    """Candidate rows of every tree: (forest, tree, key, features, _h); ~1.25 psi per tree.
+
+    The tree builder keeps the psi smallest draws of its group, so no separate
+    ranking stage is needed; a group's size is Binomial(n, 1.25 psi / n).
+    """
     p = min(1.0, 1.25 * psi / n) if n else 1.0
     thr = int(p * (2 ** 63 - 1))
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     pick = F.filter(trees, lambda t: _draw(F.col(key), t, seed) < F.lit(thr))
-    members = (df.select(key, *feats, F.explode(pick).alias("tree"))
-               .withColumns({"_h": _draw(F.col(key), F.col("tree"), seed), "forest": F.lit(forest)}))
-    ranked = members.withColumn("_r", F.row_number().over(
-        Window.partitionBy("forest", "tree").orderBy("_h", key)))
-    return ranked.filter(F.col("_r") <= psi).drop("_r")
+    return (df.select(key, *feats, F.explode(pick).alias("tree"))
+            .withColumns({"_h": _draw(F.col(key), F.col("tree"), seed), "forest": F.lit(forest)}))
 
 
 def _psi(n: int, max_samples: float, sample_cap: int) -> int:
@@ -227,7 +229,7 @@ def _fit_many(df: DataFrame, feats, specs, key: str, robust: bool, exact_offset:
         psis.append(psi)
         part = _sample(src, feats, n, n_trees, psi, seed, key, i)
         samples = part if samples is None else samples.unionByName(part)
-    builders = {i: _tree_builder(feats, spec[4], int(math.ceil(math.log2(max(psis[i], 2)))))
+    builders = {i: _tree_builder(feats, spec[4], int(math.ceil(math.log2(max(psis[i], 2)))), psis[i], key)
                 for i, spec in enumerate(specs)}
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

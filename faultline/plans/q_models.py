@@ -29,6 +29,7 @@ from faultline.session import checkpoint_dir, cut_lineage
 from faultline.sources.telemetry import telemetry
 
 DETECTOR_PARAMS = {"numTrees": 100, "maxDepth": 10}
+GBT_PARAMS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1}
 
 
 class Bundle:
@@ -50,6 +51,11 @@ class Bundle:
     def detector(self) -> md.Detector:
         return md.fit_detector(self.balanced, algo="rf", params=DETECTOR_PARAMS)
 
+    @cached_property
+    def gbt_detector(self) -> md.Detector:
+        """The boosted-tree detector at the middle of its 27-point grid."""
+        return md.fit_detector(self.balanced, algo="gbt", params=GBT_PARAMS)
+
     @cached_property
     def failures(self) -> DataFrame:
         return cut_lineage(sm.stratified_split(md.diagnoser_frame(self.table), label="failure_type"))
@@ -125,6 +131,13 @@ def q_detector_scores(spark, sf):
     return mt.summary_scores(_detector_test(spark, sf), LABEL, "detector_pred", classes=[0, 1])
 
 
+@query("detector_gbt_report")
+def q_detector_gbt_report(spark, sf):
+    """Boosted-tree detector (MLlib GBT) on the same SMOTE-balanced training split, test report."""
+    b = trained(spark, sf)
+    return mt.class_report(b.gbt_detector.transform(b.test), LABEL, "detector_pred", classes=[0, 1])
+
+
 @query("detector_missed_profile")
 def q_detector_missed_profile(spark, sf):
     s = _detector_test(spark, sf)

@@ -44,3 +44,16 @@ def test_cascade_columns(spark):
     r = out.agg(F.count(F.when((F.col("final_pred") == 0) & F.col("final_type").isNotNull(), 1)).alias("bad"),
                 F.count(F.when(F.col("overstrain_rule") & (F.col("final_type") != 3), 1)).alias("bad_osf")).first()
     assert r.bad == 0 and r.bad_osf == 0
+
+
+def test_grid_sampler_and_gbt_path(spark):
+    from pyspark.ml.classification import GBTClassifier
+    grid = md.detector_grid(GBTClassifier())
+    assert len(grid) == 27
+    a, b = md.sample_grid(grid, 4, 42), md.sample_grid(grid, 4, 42)
+    assert len(a) == 4 and [sorted((p.name, v) for p, v in m.items()) for m in a] == \
+        [sorted((p.name, v) for p, v in m.items()) for m in b]
+    t = fe.encode_type(telemetry(spark, SF_SMALL))
+    det = md.fit_detector(t, algo="gbt", params={"maxIter": 3, "maxDepth": 2})
+    p = det.transform(t).agg(F.min("detector_prob"), F.max("detector_prob")).first()
+    assert 0.0 <= p[0] <= p[1] <= 1.0

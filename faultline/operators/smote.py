@@ -153,7 +153,14 @@ def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 4
     spark = df.sparkSession
     feats = list(features)
     base = df.select(key, label, *[F.col(f).cast("double").alias(f) for f in feats])
-    n_by = {r[label]: r["n"] for r in base.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    any_null = None
+    for f in feats:
+        any_null = F.col(f).isNull() if any_null is None else (any_null | F.col(f).isNull())
+    counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("n"),
+                                     F.count(F.when(any_null, 1)).alias("n_null")).collect()
+    if any(r["n_null"] for r in counts):
+        raise ValueError("SMOTE needs complete feature vectors: fill or drop missing values first")
+    n_by = {r[label]: r["n"] for r in counts}
     if len(n_by) < 2:
         return base.withColumn("is_synthetic", F.lit(0))
     minority = min(n_by, key=lambda c: (n_by[c], c))
@@ -167,19 +174,19 @@ def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 4
     rows = dense_index(mins.join(vec.select(*feats, "_vid"), feats), md5_key(F.col(key), seed), name="_pos",
                        tiebreak=key, digits=digits_for(n_min))
     k_eff = min(k, n_min - 1)
-    draws = spark.range(0, n_new, 1, max(1, spark.sparkContext.defaultParallelism)) \
-        .withColumnRenamed("id", "_d")
+    slices = max(1, spark.sparkContext.defaultParallelism, n_new // 1_000_000)
+    draws = spark.range(0, n_new, 1, slices).withColumnRenamed("id", "_d")
     if k_eff <= 0:
         draws = draws.withColumns({"_pos": F.lit(0).cast("long"), "slot": F.lit(0)})
         picked = draws.join(rows, "_pos").withColumn("_u", F.lit(0.0))
         synth = picked.select(*[F.col(f) for f in feats], F.col("_d"))
     else:
         pair = hash32(F.col("_d"), seed) % F.lit(n_min * k_eff)
-        draws = draws.withColumns({"_pos": (pair / F.lit(k_eff)).cast("long"), "slot": (pair % F.lit(k_eff)).cast("int"),
+        draws = draws.withColumns({"_pos": F.floor(pair / F.lit(k_eff)).cast("long"),
+                                   "slot": (pair % F.lit(k_eff)).cast("int"),
                                    "_u": uniform(F.col("_d"), "gap", seed)})
         nn = knn_table(mins, feats, k_eff, per_cell, key, vectors=vec)
-        vecs = vec.select(F.col("_vid").alias("nb_vid"),
-                                            *[F.col(f).alias(f"_nb_{f}") for f in feats])
+        vecs = vec.select(F.col("_vid").alias("nb_vid"), *[F.col(f).alias(f"_nb_{f}") for f in feats])
         picked = draws.join(rows, "_pos").join(nn, ["_vid", "slot"]).join(vecs, "nb_vid")
         synth = picked.select(*[(F.col(f) + F.col("_u") * (F.col(f"_nb_{f}") - F.col(f))).alias(f) for f in feats],
                               F.col("_d"))

@@ -102,3 +102,11 @@ def test_resample_falls_back_to_uniform(spark):
     out = sm.resample_to(df, 150)  # failures 60 % -> target int(150*0.6*1.5)=135 > 60, healthy 15 < 40
     assert out.count() == 150
     assert out.select("unit_id").distinct().count() == 150
+
+
+def test_smote_rejects_missing_features(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 1, None, 1.0), (2, 0, 1.0, 2.0), (3, 0, 2.0, 3.0)],
+                               "unit_id LONG, machine_failure INT, a DOUBLE, b DOUBLE")
+    with pytest.raises(ValueError):
+        smote(df, ["a", "b"])

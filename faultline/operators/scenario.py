@@ -91,7 +91,8 @@ def latest_k(df: DataFrame, k: int = 5, group: str = "machine_id", order=("ts",
     w1 = Window.partitionBy(group, "_salt").orderBy(*desc)
     pre = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
     w2 = Window.partitionBy(group).orderBy(*desc)
-    return pre.withColumn("recency_rank", F.row_number().over(w2)).filter(F.col("recency_rank") <= k)
+    return (pre.withColumn("recency_rank", F.row_number().over(w2).cast("bigint"))
+            .filter(F.col("recency_rank") <= k))
 
 
 def _drift_struct(d: Drift) -> Column:

@@ -85,7 +85,7 @@ _RESAMPLE_CTES = [
 ]
 
 _RESAMPLED_ROWS_SQL = f"""
-SELECT i + 1 AS unit_id, concat('S', CAST(i + 50000 AS VARCHAR)) AS product_id, ids.unit_id AS source_unit_id,
+SELECT CAST(i + 1 AS BIGINT) AS unit_id, concat('S', CAST(i + 50000 AS VARCHAR)) AS product_id, ids.unit_id AS source_unit_id,
   is_draw, draw_id, {', '.join(_BASE_COLS)}, machine_failure,
   {', '.join(f"CAST(CASE WHEN machine_failure = 1 THEN p.{f} ELSE 0 END AS INT) AS {f}" for f in FLAG_COLS)}
 FROM ids LEFT JOIN pool p ON ids.machine_failure = 1 AND p.fpos =

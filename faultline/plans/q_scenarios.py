@@ -55,7 +55,7 @@ SELECT s.machine_id, s.start_unit_id, p.name AS scenario, st.step,
   CASE WHEN st.step = 0 THEN s.temp_diff_k WHEN p.gap_floor IS NULL THEN {_GAP_LIN}
        ELSE greatest({_GAP_LIN}, p.gap_floor) END AS temp_diff_k,
   {_grow('strain_load', 'strain_growth')} AS strain_load
-FROM start s CROSS JOIN presets p CROSS JOIN (SELECT unnest(range(0, {steps})) AS step) st"""
+FROM start s CROSS JOIN presets p CROSS JOIN (SELECT CAST(unnest(range(0, {steps})) AS INTEGER) AS step) st"""
 
 
 TRAJ_SQL = traj_sql(STEPS)

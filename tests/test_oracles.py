@@ -26,11 +26,20 @@ def test_every_oracle_has_a_query():
     assert len(SQLS) >= 60
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+            "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_oracle_equal(spark, duck, name):
     duck_views(duck, SF_SMALL)
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
-    exp = duck.execute(SQLS[name]).df()
+    sdf = QUERIES[name](spark, SF_SMALL)
+    rel = duck.sql(SQLS[name])
+    spark_types = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    got = sdf.toPandas()
+    exp = rel.df()
     assert sorted(got.columns) == sorted(exp.columns)
     assert len(got) == len(exp)
     assert _rows(got) == _rows(exp)

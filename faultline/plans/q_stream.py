@@ -71,3 +71,21 @@ def q_stream_alert_windows_sliding(spark, sf):
     out = ts.scratch(spark, "sliding")
     ts.drain(ts.alert_windows(ts.score(stream, model), "1 day", slide="12 hours"), out)
     return spark.read.parquet(out)
+
+
+@query("stream_alert_sessions", with_fixture("""
+SELECT machine_id, min(ts) AS window_start, max(ts) + INTERVAL 12 HOUR AS window_end, count(*) AS n,
+  CAST(sum(CAST(alert AS INT)) AS BIGINT) AS n_alerts, round(sum(CAST(alert AS INT)) / count(*), 6) AS alert_rate
+FROM (SELECT *, sum(CASE WHEN prev_ts IS NULL OR ts - prev_ts > INTERVAL 12 HOUR THEN 1 ELSE 0 END)
+        OVER (PARTITION BY machine_id ORDER BY ts, unit_id ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY machine_id ORDER BY ts, unit_id) AS prev_ts FROM alerts) z) s
+GROUP BY machine_id, sid
+HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM telemetry) - INTERVAL 1 HOUR""", *SCORED_CTES, _ALERTS))
+def q_stream_alert_sessions(spark, sf):
+    """Alert rate per machine activity session (12-hour inactivity gap); 1-hour watermark."""
+    t, path = _staged(spark, sf)
+    model = gd.fit_guard(t)
+    stream = ts.read(spark, path, t.schema)
+    out = ts.scratch(spark, "sessions")
+    ts.drain(ts.alert_windows(ts.score(stream, model), session_gap="12 hours"), out)
+    return spark.read.parquet(out)

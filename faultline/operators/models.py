@@ -103,7 +103,8 @@ def fit_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL,
     if search:
         grid = sample_grid(detector_grid(clf) if algo == "gbt" else
                            ParamGridBuilder().addGrid(clf.numTrees, [100, 200])
-                           .addGrid(clf.maxDepth, [5, 10, 20]).build(), n_draws, seed)
+                           # unlimited depth maps to Spark's maximum tree depth, 30
+                           .addGrid(clf.maxDepth, [30, 10, 20]).build(), n_draws, seed)
         ev = MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{clf.getParam(p.name): v for p, v in m.items()}
                                                                 for m in grid],

@@ -110,3 +110,11 @@ def test_smote_rejects_missing_features(spark):
                                "unit_id LONG, machine_failure INT, a DOUBLE, b DOUBLE")
     with pytest.raises(ValueError):
         smote(df, ["a", "b"])
+
+
+def test_bucket_sizing_grows_with_data():
+    assert sm.digits_for(10_000) == 1
+    assert sm.digits_for(10 ** 9) == 3
+    assert sm.digits_for(10 ** 12) == 5          # ~1M buckets of ~1M rows
+    assert 10 ** 12 / 16 ** sm.digits_for(10 ** 12) <= 2_000_000
+    assert sm.digits_for(10 ** 15) == 6          # capped

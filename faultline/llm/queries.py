@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, substring_dedup
+from faultline.llm import decontaminate, packing, simhash, substring_dedup, token_store
 from faultline.llm.common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of ``documents`` placed in sequences of 1024."""
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as token ids, written to the shared folder and read back."""
+    return token_store.report(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents`` and the components of those within two bits."""
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents searched for passages of ``benchmark``."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -21,6 +36,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op8_decontaminate, op10_substring_dedup)}
+    op2_packing, op4_token_store, op5_simhash, op8_decontaminate, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, packing, simhash, substring_dedup, token_store
+from faultline.llm import decontaminate, line_dedup, packing, simhash, substring_dedup, token_store
 from faultline.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-line chunks that occur more than once in ``documents``, removed."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of ``documents`` placed in sequences of 1024."""
     return packing.report(table(spark, sf_dir, "documents"))
@@ -36,6 +41,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_packing, op4_token_store, op5_simhash, op8_decontaminate, op10_substring_dedup)}
+    op1_line_dedup, op2_packing, op4_token_store, op5_simhash, op8_decontaminate, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}

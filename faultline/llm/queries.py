@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, line_dedup, packing, simhash, substring_dedup, token_store
+from faultline.llm import decontaminate, line_dedup, packing, simhash, substring_dedup, token_store, toxicity
 from faultline.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, fitted on labelled documents outside the held-out fold."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents searched for passages of ``benchmark``."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,6 +46,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_packing, op4_token_store, op5_simhash, op8_decontaminate, op10_substring_dedup)}
+    op1_line_dedup, op2_packing, op4_token_store, op5_simhash, op7_toxicity, op8_decontaminate, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}

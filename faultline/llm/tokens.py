@@ -17,7 +17,7 @@ from itertools import islice
 import numpy as np
 
 #: Words whose ids a worker remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_100_000
 
 #: White space of Unicode (fixed values), as text and as a search in UTF-8 for all but single ASCII ones.
 SPACES = "\t-\r \x85\xa0  -     　"

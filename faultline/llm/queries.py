@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, line_dedup, packing, simhash, substring_dedup, token_store, toxicity
+from faultline.llm import decontaminate, html_text, line_dedup, packing, secrets, simhash, substring_dedup, token_store, toxicity
 from faultline.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, fitted on labelled documents outside the held-out fold."""
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -40,12 +45,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 35-word windows that occur more than once in ``documents``."""
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_packing, op4_token_store, op5_simhash, op7_toxicity, op8_decontaminate, op10_substring_dedup)}
+    op1_line_dedup, op2_packing, op4_token_store, op5_simhash, op6_html_text, op7_toxicity,
+    op8_decontaminate, op9_secrets, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, html_text, line_dedup, packing, secrets, simhash, substring_dedup, token_store, toxicity
+from faultline.llm import bm25, decontaminate, html_text, line_dedup, packing, secrets, simhash, substring_dedup, token_store, toxicity
 from faultline.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20."""
+    return bm25.report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as token ids, written to the shared folder and read back."""
     return token_store.report(table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_packing, op4_token_store, op5_simhash, op6_html_text, op7_toxicity,
+    op1_line_dedup, op2_packing, op3_bm25, op4_token_store, op5_simhash, op6_html_text, op7_toxicity,
     op8_decontaminate, op9_secrets, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}

@@ -27,6 +27,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from faultline.llm.common import map_texts
@@ -57,10 +58,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
         tokens, end = word_tokens(tokenizer, lower=True), np.array([end_id], "<u4").tobytes()
         return lambda texts: [[(b + end)[:SAMPLE_BYTES] for b in tokens.blobs(texts)]]
 
-    from pyspark.sql import types as T
-    # ids are hashed first, so that only the chosen texts are tokenized
-    chosen = docs.select("id", "text").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
-    ids = map_texts(chosen, "text", [], [T.StructField("ids", T.BinaryType())], start)
+    # ids are chosen first, so that only the chosen texts are moved and tokenized
+    few = docs.select("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
+    chosen = docs.join(F.broadcast(few), "id", "left_semi").repartition(16)
+    ids = map_texts(chosen, "text", [], [T.StructField("ids", T.BinaryType())], start).limit(2 * SAMPLE_DOCUMENTS)
     samples = [bytes(r.ids) for r in ids.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()

@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part hold about ``SLICE_BYTES`` (a longer text stands alone)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -45,9 +53,7 @@ def map_texts(df: DataFrame, text_col: str, carry: list[str], fields: list[T.Str
     field. Rows keep their partition: no shuffle, and no row identity needed.
     """
     ship_package(df.sparkSession)
-    hidden = "__text"
-    while hidden in carry:
-        hidden = "_" + hidden
+    hidden = unused("__text", [*carry, *also])
     extra = [c for c in also if c not in carry]
     src = df.select(*[F.col(f"`{c}`") for c in [*carry, *extra]], F.col(f"`{text_col}`").cast("binary").alias(hidden))
     schema = T.StructType([src.schema[c] for c in carry] + fields)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.common import map_texts
+from faultline.llm.common import map_texts, unused
 
 #: Words of a shift block.
 BLOCK = 3
@@ -118,8 +118,8 @@ def benchmark_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: s
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str = "text", window: int = 10,
-                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The ``carry`` columns of every document and ``contamination``: n_words, hits, items.
+                  item_id: str = "item_id", item_text: str = "text", result: str = "contamination") -> DataFrame:
+    """The ``carry`` columns of every document and ``result``, a struct of n_words, hits, items.
 
     ``hits`` are the merged (start, length) word spans inside occurrences of a
     window; ``items`` the ids, as sorted strings, of items with an occurring
@@ -128,11 +128,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_
     rows or items that repeat are each searched; an empty benchmark gives no
     hits. Other columns of either table are ignored.
     """
-    result = "contamination"
-    carry = [c for c in carry if c != result]
     blocks = benchmark_blocks(benchmark, window, item_id, item_text)
 
-    def scan(shared, before):
+    def scan(shared):
         def start():
             found = searchers(shared.value, window) if shared else []
 
@@ -153,12 +151,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_
 
     field = [T.StructField(result, RESULT)]
     if len(blocks) <= 1:
-        return map_texts(docs, text_col, carry, field, scan(blocks[0] if blocks else None, False))
-    hidden = "__searched"
+        return map_texts(docs, text_col, carry, field, scan(blocks[0] if blocks else None))
+    hidden = unused("__searched", [*carry, result])
     cur = docs.select(*carry, F.col(text_col).alias(hidden))
     for k, shared in enumerate(blocks):
         keep = [*carry, hidden] if k + 1 < len(blocks) else carry
-        cur = map_texts(cur, hidden, keep, field, scan(shared, k > 0), [result] if k else [])
+        cur = map_texts(cur, hidden, keep, field, scan(shared), [result] if k else [])
     return cur
 
 
@@ -169,8 +167,9 @@ def n_hit(result: str = "contamination") -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10) -> DataFrame:
     """The documents without a hit, all their columns kept."""
-    found = contamination(docs, benchmark, docs.columns, text_col, window)
-    return found.filter(F.size("contamination.hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = unused("contamination", docs.columns)
+    found = contamination(docs, benchmark, docs.columns, text_col, window, result=mark)
+    return found.filter(F.size(f"{mark}.hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

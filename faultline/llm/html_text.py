@@ -273,7 +273,7 @@ def extract(pages: DataFrame, carry: list[str], html_col: str = "html") -> DataF
     def start():
         return lambda pages: [[main_text(p) for p in pages]]
 
-    return map_texts(pages, html_col, [c for c in carry if c != "text"], [T.StructField("text", T.StringType())], start)
+    return map_texts(pages, html_col, carry, [T.StructField("text", T.StringType())], start)
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from faultline.llm.common import unused
+
 #: Rolling hash: (last * FACTOR + the one before) modulo PRIME. A line hash is the first 7 hex digits of its MD5.
 FACTOR, PRIME, SPACING = 1_000_003, 2_147_483_647, 3
 
@@ -50,10 +52,15 @@ def chunks_of(text: Column, spacing: int = SPACING) -> Column:
     return let(F.split(text, "\n", -1), cut)
 
 
+def _ordered_id(docs: DataFrame, id_col: str) -> Column:
+    """The id, with a missing one after all others."""
+    last = F.lit("\U0010ffff") if dict(docs.dtypes)[id_col] == "string" else F.lit((1 << 63) - 1)
+    return F.coalesce(F.col(f"`{id_col}`"), last)
+
+
 def removals(docs: DataFrame, id_col: str, text_col: str, spacing: int = SPACING) -> DataFrame:
     """(id, text_hash, gone): the numbers of the chunks that each document loses."""
-    last = F.lit((1 << 63) - 1) if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.lit("\U0010ffff")
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`"), last).alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
+    rows = docs.select(_ordered_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     found = rows.filter(F.instr("text", "\n") > 0).select("id", "text_hash", F.explode(chunks_of(F.col("text"), spacing)).alias("c"))
     found = found.select("id", "text_hash", "c.at", "c.chunk").filter((F.col("c.n_lines") > 1) & (F.trim(F.translate("chunk", "\n\t\r", "   ")) != ""))
     found = found.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(7), "chunk")})
@@ -76,23 +83,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without an id, after all others): each keeps what that document keeps.
     A document may lose all its lines; its text is then empty.
     """
-    last = F.lit((1 << 63) - 1) if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.lit("\U0010ffff")
-    lost = removals(docs, id_col, text_col, spacing).withColumnsRenamed({"id": "__lost_id", "text_hash": "__lost_hash", "gone": "__gone"})
+    key, digest, lost_id, lost_hash, gone, left = (unused(n, docs.columns) for n in ("__key", "__hash", "__lost_id", "__lost_hash", "__gone", "__left"))
+    lost = removals(docs, id_col, text_col, spacing).withColumnsRenamed({"id": lost_id, "text_hash": lost_hash, "gone": gone})
     text = F.col(f"`{text_col}`")
-    mine = docs.withColumns({"__key": F.coalesce(F.col(f"`{id_col}`"), last), "__hash": F.xxhash64(text)})
-    joined = mine.join(lost, (mine["__key"] == lost["__lost_id"]) & (mine["__hash"] == lost["__lost_hash"]), "left")
+    mine = docs.withColumns({key: _ordered_id(docs, id_col), digest: F.xxhash64(text)})
+    joined = mine.join(lost, (mine[key] == lost[lost_id]) & (mine[digest] == lost[lost_hash]), "left")
 
     def rebuilt(pieces: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__gone"))
-        kept = F.transform(left, lambda k: F.get(pieces, k))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(gone))
+        kept = F.transform(stay, lambda k: F.get(pieces, k))
         return let(kept, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["chunk"]), "\n").alias("text"),
                                             F.aggregate(p, F.lit(0), lambda n, x: n + x["n_lines"]).alias("lines")))
 
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    done = joined.withColumn("__left", F.when(F.col("__gone").isNotNull(), let(chunks_of(text, spacing), rebuilt)))
-    cols = [F.when(F.col("__gone").isNull(), text).otherwise(F.col("__left.text")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    done = joined.withColumn(left, F.when(F.col(gone).isNotNull(), let(chunks_of(text, spacing), rebuilt)))
+    cols = [F.when(F.col(gone).isNull(), text).otherwise(F.col(f"{left}.text")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        cols += [n_lines.cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n_lines - F.col("__left.lines")).cast("long").alias("n_removed")]
+        cols += [n_lines.cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), F.lit(0)).otherwise(n_lines - F.col(f"{left}.lines")).cast("long").alias("n_removed")]
     return done.select(*cols)
 
 

@@ -226,7 +226,7 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", net: Net | N
             return [out]
         return compute
 
-    return map_texts(docs, text_col, [c for c in carry if c != "findings"], [T.StructField("findings", RESULT)], start)
+    return map_texts(docs, text_col, carry, [T.StructField("findings", RESULT)], start)
 
 
 def report(docs: DataFrame) -> DataFrame:

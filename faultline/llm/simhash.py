@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.common import map_texts
+from faultline.llm.common import map_texts, unused
 from faultline.llm.components import star_components
 from faultline.session import cut_lineage, ship_package
 
@@ -283,6 +283,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     found = near_duplicates(docs, id_col, text_col, words, max_bits)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")
     best = found.groupBy("root").agg(F.min(order).alias("b")).select("b.id", "b.text_hash")
-    mine = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
-    kept = mine.join(best, mine[id_col].eqNullSafe(best.id) & (mine["__hash"] == best.text_hash), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = unused("__hash", docs.columns)
+    mine = docs.withColumn(mark, F.xxhash64(F.col(f"`{text_col}`")))
+    best = best.withColumnsRenamed({"id": "best_id", "text_hash": "best_hash"})
+    kept = mine.join(best, mine[id_col].eqNullSafe(best.best_id) & (mine[mark] == best.best_hash), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])

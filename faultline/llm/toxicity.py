@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.common import map_texts
+from faultline.llm.common import map_texts, unused
 
 #: Labelled documents that the lexicon and the curve are fitted on at most: a bounded sample, chosen by hash.
 FIT_ROWS = 20_000
@@ -216,8 +216,8 @@ def _curve(train: DataFrame, model: Model) -> tuple[float, float, float]:
     return tuple(float(round(v, 9)) for v in w)
 
 
-def scores(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The ``carry`` columns of every row and ``score``, from 0 to 1, of its whole text.
+def scores(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", result: str = "score") -> DataFrame:
+    """The ``carry`` columns of every row and ``result``, the score from 0 to 1, of its whole text.
 
     Null, empty and wordless texts get the score of a text without a match;
     repeated rows get equal scores; other columns are ignored; no rows give none.
@@ -226,7 +226,7 @@ def scores(docs: DataFrame, model: Model, carry: list[str], text_col: str = "tex
         auto = model.matcher()
         return lambda texts: [[model.score(model.features(auto, fold(t))) for t in texts]]
 
-    return map_texts(docs, text_col, [c for c in carry if c != "score"], [T.StructField("score", T.DoubleType())], start)
+    return map_texts(docs, text_col, carry, [T.StructField(result, T.DoubleType())], start)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,7 +238,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The documents that score below 0.5, all their columns kept; fitted on ``labelled`` (default: the documents)."""
     model = fit(labelled if labelled is not None else docs, labels)
-    keep = [c for c in docs.columns if c != "score"]
-    if len(keep) < len(docs.columns):
-        raise ValueError("rename the column score first")
-    return scores(docs, model, keep).filter("score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = unused("score", docs.columns)
+    return scores(docs, model, docs.columns, result=mark).filter(F.col(mark) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,6 +33,6 @@ def duck():
 
 
 def duck_views(con, sf_dir):
-    for t in ("events",):
+    for t in sorted(p[:-8] for p in os.listdir(sf_dir) if p.endswith(".parquet")):
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con

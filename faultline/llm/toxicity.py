@@ -28,7 +28,7 @@ from faultline.llm.common import map_texts, unused
 FIT_ROWS = 20_000
 #: Shortest and longest stem; least distinct contexts (neighbouring words) of an entry in toxic documents, so that
 #: copies of one document are no evidence; least log odds; most candidates and most learned entries.
-STEMS, SUPPORT, LEAST_ODDS, MOST_CANDIDATES, MOST_ENTRIES = (4, 7), 5, 3.5, 100_000, 3_000
+STEMS, SUPPORT, LEAST_ODDS, MOST_CANDIDATES, MOST_ENTRIES = (4, 7), 4, 3.2, 100_000, 3_000
 #: A stem is left out if one longer entry has this share of its contexts.
 SAME_WORD = 0.8
 #: Weight of a base entry that the training documents do not tell about.

@@ -1,9 +1,10 @@
 """Deterministic hash-based draws.
 
 Random numbers that must be reproducible across engines and across task
-retries are derived from ``md5`` of a string key: the first 8 hex digits as an
-unsigned 32-bit integer. The same value is computable in DuckDB as
-``('0x' || substr(md5(s), 1, 8))::BIGINT``.
+retries are derived from ``md5`` of a string key: the first 15 hex digits as an
+unsigned 60-bit integer, so a position drawn modulo any table size reaches
+every row. The same value is computable in DuckDB as
+``('0x' || substr(md5(s), 1, 15))::BIGINT``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
+TWO_52 = float(1 << 52)
 
 
 def key_string(*parts) -> Column:
@@ -24,16 +25,11 @@ def key_string(*parts) -> Column:
     return F.concat(*cols)
 
 
-def hash32(*parts) -> Column:
-    """Unsigned 32-bit integer from md5 of the joined key (BIGINT)."""
-    return F.conv(F.substring(F.md5(key_string(*parts)), 1, 8), 16, 10).cast("bigint")
+def hash60(*parts) -> Column:
+    """Unsigned 60-bit integer from md5 of the joined key (BIGINT)."""
+    return F.conv(F.substring(F.md5(key_string(*parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(*parts) -> Column:
-    """Uniform [0,1) double from the key."""
-    return hash32(*parts) / F.lit(TWO_32)
-
-
-def hash32_sql(expr: str) -> str:
-    """DuckDB/ANSI text of :func:`hash32` for a string expression."""
-    return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
+    """Uniform [0,1) double from the key: 52 bits, so that it stays below 1."""
+    return F.conv(F.substring(F.md5(key_string(*parts)), 1, 13), 16, 10).cast("bigint") / F.lit(TWO_52)

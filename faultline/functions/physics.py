@@ -37,12 +37,6 @@ def type_code(type_col="type") -> Column:
     return expr.otherwise(F.lit(None).cast("int"))
 
 
-def safe_ratio(num, den, zero_as: float = 1e-10) -> Column:
-    """num / den with a zero denominator replaced by ``zero_as`` (never throws under ANSI)."""
-    d = _c(den)
-    return _c(num) / F.when(d == 0, F.lit(zero_as)).otherwise(d)
-
-
 def nan_to_null(col) -> Column:
     """NaN -> NULL, so SQL aggregates skip it and comparisons stay false."""
     c = _c(col)

@@ -132,8 +132,3 @@ def overstrain_like(df: DataFrame, wear=170, torque=46, strain=11000) -> DataFra
     """Overstrain-like subset: wear > 170 AND torque > 46 AND strain > 11000."""
     return df.filter((F.col("tool_wear_min") > wear) & (F.col("torque_nm") > torque)
                      & (F.col("strain_load") > strain))
-
-
-def flagged_any(df: DataFrame) -> DataFrame:
-    df = add_absent(df, FLAG_COLS, 0)
-    return df.filter(any_flag())

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.labels import verdict_text
+from faultline.functions.physics import nan_to_null
+from faultline.operators.quantiles import select_quantiles
 from faultline.schema import GUARD_FEATURES, LABEL, require_columns
 
 # Fixed parameters of the guard (equal to the original tool's defaults).
@@ -39,11 +41,11 @@ def _lit(v) -> Column:
 
 def expected_power() -> Column:
     """rpm * torque * 2 * pi / 60 (the guard's operation order)."""
-    return F.col("rpm") * F.col("torque_nm") * F.lit(2) * F.pi() / F.lit(60)
+    return nan_to_null("rpm") * nan_to_null("torque_nm") * F.lit(2) * F.pi() / F.lit(60)
 
 
 def expected_strain() -> Column:
-    return F.col("torque_nm") * F.col("tool_wear_min")
+    return nan_to_null("torque_nm") * nan_to_null("tool_wear_min")
 
 
 def _nz(c: Column) -> Column:
@@ -51,11 +53,11 @@ def _nz(c: Column) -> Column:
 
 
 def power_ratio() -> Column:
-    return F.col("power_w") / _nz(expected_power())
+    return nan_to_null("power_w") / _nz(expected_power())
 
 
 def strain_ratio() -> Column:
-    return F.col("strain_load") / _nz(expected_strain())
+    return nan_to_null("strain_load") / _nz(expected_strain())
 
 
 # ---------------------------------------------------------------- L1 bounds
@@ -69,11 +71,11 @@ class BoundsModel:
 
     def zscore(self, f: str) -> Column:
         s = self.stats[f]
-        return (F.col(f) - _lit(s["mean"])) / _lit(s["std"])
+        return (nan_to_null(f) - _lit(s["mean"])) / _lit(s["std"])
 
     def feature_flag(self, f: str) -> Column:
         s = self.stats[f]
-        x = F.col(f)
+        x = nan_to_null(f)
         return F.coalesce((F.abs(self.zscore(f)) > F.lit(self.z_threshold))
                           | (x < _lit(s["lo"])) | (x > _lit(s["hi"])), F.lit(False))
 
@@ -96,23 +98,20 @@ class BoundsModel:
                   "p01 DOUBLE, p99 DOUBLE, lo DOUBLE, hi DOUBLE")
 
 
-def _bounds_aggs(features, exact: bool):
+def _bounds_aggs(features):
     aggs = []
     for f in features:
-        c = F.col(f)
-        q = (F.percentile(c, [LOW_Q, HIGH_Q]) if exact
-             else F.percentile_approx(c, [LOW_Q, HIGH_Q], 100000))
+        c = nan_to_null(f)
         aggs += [F.avg(c).alias(f"{f}__mean"), F.stddev_samp(c).alias(f"{f}__std"),
-                 F.min(c).alias(f"{f}__min"), F.max(c).alias(f"{f}__max"), q.alias(f"{f}__q")]
+                 F.min(c).alias(f"{f}__min"), F.max(c).alias(f"{f}__max")]
     return aggs
 
 
-def _bounds_from_row(row, features) -> dict:
+def _bounds_from_row(row, features, quantiles: dict) -> dict:
     stats = {}
     for f in features:
         std = row[f"{f}__std"]
-        q = row[f"{f}__q"] or [None, None]
-        p01, p99 = q[0], q[1]
+        p01, p99 = quantiles[f]
         iqr = None if p01 is None or p99 is None else p99 - p01
         stats[f] = {
             "mean": row[f"{f}__mean"],
@@ -146,14 +145,15 @@ class PhysicsModel:
     def power_gap(self) -> Column:
         """Relative gap |actual - expected| / expected (zero expected -> 1e-10)."""
         e = expected_power()
-        return F.abs(F.col("power_w") - e) / _nz(e)
+        return F.abs(nan_to_null("power_w") - e) / _nz(e)
 
     def flag(self, has_temp_gap: bool = True) -> Column:
         parts = [self.power_z() > F.lit(POWER_Z_THRESHOLD),
                  self.power_gap() > F.lit(self.power_tolerance),
                  self.strain_z() > F.lit(STRAIN_Z_THRESHOLD)]
         if has_temp_gap:
-            parts += [F.col("temp_diff_k") < F.lit(TEMP_GAP_MIN), F.col("temp_diff_k") > F.lit(TEMP_GAP_MAX)]
+            gap = nan_to_null("temp_diff_k")
+            parts += [gap < F.lit(TEMP_GAP_MIN), gap > F.lit(TEMP_GAP_MAX)]
         out = None
         for p in parts:
             p = F.coalesce(p, F.lit(False))
@@ -199,15 +199,14 @@ class GuardModel:
         return out.withColumn("anomaly", final)
 
 
-def fit_guard(df: DataFrame, features=GUARD_FEATURES, exact: bool | None = None, forest: bool = False,
+def fit_guard(df: DataFrame, features=GUARD_FEATURES, forest: bool = False,
               healthy_only: bool = True, label: str = LABEL, forest_params: dict | None = None) -> GuardModel:
-    """Fit L1 + L2 in one aggregate pass over the healthy rows (+ optional forest)."""
+    """Fit L1 + L2 over the healthy rows: one aggregate and the quantile selection (+ optional forest)."""
     require_columns(df, list(features))
     fit_df = df.filter(F.col(label) == 0) if healthy_only and label in df.columns else df
-    from faultline.operators.stats import use_exact
-    exact = use_exact(fit_df, exact)  # exact p01/p99 up to 20M healthy rows, bounded-memory above
-    row = fit_df.agg(F.count(F.lit(1)).alias("n"), *_bounds_aggs(features, exact), *_physics_aggs()).first()
-    bounds = BoundsModel(list(features), _bounds_from_row(row, features))
+    quantiles = select_quantiles(fit_df, {f: F.col(f) for f in features}, [LOW_Q, HIGH_Q])[None]
+    row = fit_df.agg(F.count(F.lit(1)).alias("n"), *_bounds_aggs(features), *_physics_aggs()).first()
+    bounds = BoundsModel(list(features), _bounds_from_row(row, features, quantiles))
     physics = PhysicsModel(row["pr_mean"], row["pr_std"], row["sr_mean"], row["sr_std"])
     model = GuardModel(bounds, physics, n_fit=row["n"], features=list(features))
     if forest:
@@ -315,9 +314,9 @@ def save_guard(model: GuardModel, spark: SparkSession, path: str) -> str:
     model.bounds.table(spark).write.mode("overwrite").parquet(f"{path}/bounds")
     p = model.physics
     spark.createDataFrame([(p.power_ratio_mean, p.power_ratio_std, p.strain_ratio_mean, p.strain_ratio_std,
-                            p.power_tolerance, model.n_fit, model.bounds.z_threshold)],
+                            p.power_tolerance, model.n_fit, model.bounds.z_threshold, model.forest is not None)],
                           "power_ratio_mean DOUBLE, power_ratio_std DOUBLE, strain_ratio_mean DOUBLE, "
-                          "strain_ratio_std DOUBLE, power_tolerance DOUBLE, n_fit LONG, z_threshold DOUBLE") \
+                          "strain_ratio_std DOUBLE, power_tolerance DOUBLE, n_fit LONG, z_threshold DOUBLE, has_forest BOOLEAN") \
         .write.mode("overwrite").parquet(f"{path}/physics")
     if model.forest is not None:
         from faultline.operators.iforest import save_forest
@@ -327,7 +326,6 @@ def save_guard(model: GuardModel, spark: SparkSession, path: str) -> str:
 
 
 def load_guard(spark: SparkSession, path: str) -> GuardModel:
-    import os
     rows = spark.read.parquet(f"{path}/bounds").orderBy("ordinal").collect()
     feats = [r.feature for r in rows]
     stats = {r.feature: {k: r[k] for k in ("mean", "std", "min", "max", "p01", "p99", "lo", "hi")} for r in rows}
@@ -335,11 +333,7 @@ def load_guard(spark: SparkSession, path: str) -> GuardModel:
     model = GuardModel(BoundsModel(feats, stats, ph.z_threshold),
                        PhysicsModel(ph.power_ratio_mean, ph.power_ratio_std, ph.strain_ratio_mean,
                                     ph.strain_ratio_std, ph.power_tolerance), n_fit=ph.n_fit, features=feats)
-    if os.path.exists(f"{path}/forest_main") or "://" in path:
-        try:
-            from faultline.operators.iforest import ForestPair, load_forest
-            model.forest = ForestPair(load_forest(spark, f"{path}/forest_main"),
-                                      load_forest(spark, f"{path}/forest_aggressive"))
-        except Exception:  # noqa: BLE001 — a guard saved without forests
-            model.forest = None
+    if ph.has_forest:  # a forest that cannot be read is an error, not a guard of two layers
+        from faultline.operators.iforest import ForestPair, load_forest
+        model.forest = ForestPair(load_forest(spark, f"{path}/forest_main"), load_forest(spark, f"{path}/forest_aggressive"))
     return model

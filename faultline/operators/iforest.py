@@ -2,46 +2,42 @@
 
 Fit
 ---
-* Tree membership is a per-(row, tree) hash draw: ``xxhash64(key, tree, seed)``
-  below ``p * 2^63`` with ``p = min(1, 1.25 * psi / n)``, evaluated inside one
-  codegen'd ``filter``/``explode`` — no driver loop. Each tree then keeps the
-  ``psi`` rows with the smallest draw (inside its build group of ~1.25 psi rows),
-  i.e. an exact-size sample without replacement.
-  ``psi = min(max_samples * n, sample_cap)``; the cap (256 by default, as in
-  Liu, Ting & Zhou, "Isolation Forest", 2008) keeps per-tree work constant
-  however large the table grows.
-* ``groupBy("tree").applyInPandas`` grows one isolation tree per group with
-  numpy (height limit ceil(log2 psi)), seeded by (seed, tree): a group never
-  holds more than psi rows.
-* The node table (trees x < 2 psi rows, a few MB at most) is the model.
+* A row belongs to a tree if a hash of (row key, tree, seed) falls below
+  ``max_samples``: every tree sees that share of all rows, whatever their number.
+* Trees grow level by level, all trees of all forests together. One pass per
+  level walks every row down the trees so far and keeps count, minimum and
+  maximum of each feature for each (tree, node), first per task, then in one
+  small aggregate. The driver then draws feature and threshold of each node
+  from (seed, tree, node). So the fitted trees depend neither on partitions
+  nor on the machine.
+* ``max_depth`` bounds the model, the same for every table: a node table of at
+  most trees x 2^(max_depth + 1) rows.
 
 Score
 -----
-The node arrays are broadcast once; ``mapInPandas`` walks all trees over each
-Arrow batch with vectorised numpy indexing. ``score = 2^(-E[h]/c(psi))``;
-``decision = -score - offset`` where ``offset`` is the contamination
-quantile of ``-score`` over the training rows (one aggregate); a row is an
-anomaly when ``decision < 0``.
+The trees are broadcast once; one Arrow function over a struct of the features
+returns the scores of all forests. ``score = 2^(-E[h]/c(psi))``; ``decision =
+-score - offset`` where ``offset`` is the exact contamination quantile of
+``-score`` over the training rows; a row is an anomaly when ``decision < 0``.
+Rows with a missing feature have no score and are no anomaly.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from faultline.operators.stats import EXACT_QUANTILE_MAX_ROWS, use_exact
+from faultline.functions.physics import nan_to_null
+from faultline.operators.quantiles import select_quantiles
 from faultline.schema import KEY
-from faultline.session import spread
+from faultline.session import cut_lineage, ship_package
 
-NODE_SCHEMA = ("tree INT, node INT, feature INT, threshold DOUBLE, left_child INT, right_child INT, "
-               "size INT, depth INT")
 EULER = 0.5772156649015329
+MAX_DEPTH = 8
 
 
 def c_factor(n) -> np.ndarray:
@@ -54,216 +50,198 @@ def c_factor(n) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
-    """One isolation tree over the rows of x; returns node tuples."""
-    nodes = []
-    stack = [(np.arange(len(x)), 0, -1, False)]
-    while stack:
-        idx, depth, parent, is_right = stack.pop()
-        node_id = len(nodes)
-        nodes.append([node_id, -1, 0.0, -1, -1, len(idx), depth])
-        if parent >= 0:
-            nodes[parent][4 if is_right else 3] = node_id
-        if depth >= limit or len(idx) <= 1:
-            continue
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            continue
-        f = int(rng.choice(usable))
-        thr = float(rng.uniform(lo[f], hi[f]))
-        left = idx[sub[:, f] < thr]
-        right = idx[sub[:, f] >= thr]
-        nodes[node_id][1] = f
-        nodes[node_id][2] = thr
-        stack.append((right, depth + 1, node_id, True))
-        stack.append((left, depth + 1, node_id, False))
-    return nodes
-
-
-def _tree_builder(features, seed: int, limit: int, psi: int | None = None, key: str = KEY):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["_h", key], kind="mergesort")  # deterministic row order within the tree
-        if psi is not None:
-            pdf = pdf.head(psi)  # the tree's sample: the psi smallest draws
-        rng = np.random.default_rng([seed, tree])
-        nodes = _grow(pdf[list(features)].to_numpy(dtype=float), rng, limit)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left_child", "right_child", "size",
-                                           "depth"])
-        out.insert(0, "tree", tree)
-        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left_child": "int32",
-                           "right_child": "int32", "size": "int32", "depth": "int32"})
-    return build
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Splitmix64 finaliser."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def members(row_hash: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
+    """Which rows belong to a tree."""
+    salt = np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    return _mix(row_hash.view(np.uint64) + salt) < np.uint64(min(1.0, share) * (2.0 ** 64 - 2 ** 11))
 
 
 @dataclass
 class IsolationForestModel:
+    """Trees as complete binary trees (heap layout: children of p are 2p+1 and 2p+2).
+
+    ``feature`` is -1 for a leaf or an absent node; ``size`` counts the training rows of a node.
+    """
+
     features: list
-    nodes: pd.DataFrame
+    feature: np.ndarray
+    threshold: np.ndarray
+    size: np.ndarray
     psi: int
-    n_trees: int
+    max_depth: int = MAX_DEPTH
     offset: float | None = None
     contamination: float = 0.05
-    scale: dict | None = None  # feature -> (median, iqr) when fitted with robust=True
-
-    def arrays(self):
-        """Trees as complete binary trees of fixed height L (heap layout) for branch-free traversal.
-
-        Internal slot p has children 2p+1 / 2p+2. A leaf above the bottom level
-        is copied down its left spine with threshold +inf (always left), so
-        every row takes exactly L steps; the bottom slots hold depth + c(size).
-        """
-        height = max(1, int(math.ceil(math.log2(max(self.psi, 2)))))
-        n_int = 2 ** height - 1
-        trees = sorted(self.nodes["tree"].unique())
-        feat = np.zeros((len(trees), n_int), dtype=np.int32)
-        thr = np.full((len(trees), n_int), np.inf)
-        leafv = np.zeros((len(trees), 2 ** height))
-        for i, (_, g) in enumerate(self.nodes.groupby("tree", sort=True)):
-            g = g.set_index("node")
-            f, th, lc, rc = (g[c].to_dict() for c in ("feature", "threshold", "left_child", "right_child"))
-            value = (g["depth"] + c_factor(g["size"].to_numpy())).to_dict()
-            stack = [(0, 0, 0)]
-            while stack:
-                node, pos, depth = stack.pop()
-                if f[node] >= 0 and depth < height:
-                    feat[i, pos], thr[i, pos] = f[node], th[node]
-                    stack.append((lc[node], 2 * pos + 1, depth + 1))
-                    stack.append((rc[node], 2 * pos + 2, depth + 1))
-                else:
-                    while depth < height:
-                        pos, depth = 2 * pos + 1, depth + 1
-                    leafv[i, pos - n_int] = value[node]
-        return feat, thr, leafv, height, float(c_factor([self.psi])[0])
-
-    def score_column(self, df: DataFrame, out: str = "_score") -> DataFrame:
-        """Append the anomaly score s in (0, 1] (higher = more anomalous)."""
-        return score_many(df, [self], [out])
+    scale: dict | None = None  # feature -> (median, iqr)
+
+    @property
+    def n_trees(self) -> int:
+        return len(self.feature)
+
+    @property
+    def nodes(self) -> pd.DataFrame:
+        """Present nodes: tree, node, feature, threshold, size, depth."""
+        tree, node = np.nonzero(self.size)
+        return pd.DataFrame({"tree": tree.astype("int32"), "node": node.astype("int32"), "feature": self.feature[tree, node].astype("int32"),
+                             "threshold": self.threshold[tree, node], "size": self.size[tree, node].astype("int64"),
+                             "depth": np.floor(np.log2(node + 1)).astype("int32")})
+
+    def leaf_values(self) -> np.ndarray:
+        """Path length that a row gets for each slot of the deepest level; a leaf above it fills its left spine."""
+        first = 2 ** self.max_depth - 1
+        depth = np.floor(np.log2(np.arange(self.feature.shape[1]) + 1))
+        value = depth[None, :] + c_factor(self.size)
+        out = np.zeros((self.n_trees, first + 1))
+        out[:] = value[:, first:]
+        for p in range(first - 1, -1, -1):
+            leaf = self.feature[:, p] < 0
+            spine = p
+            while spine < first:
+                spine = 2 * spine + 1
+            out[leaf, spine - first] = value[leaf, p]
+        return out
 
     def transform(self, df: DataFrame, flag: str = "l3_isolation", score: str = "anomaly_score") -> DataFrame:
-        s = self.score_column(df, "_s")
-        decision = -F.col("_s") - F.lit(self.offset)
-        return s.withColumns({score: decision, flag: F.coalesce(decision < 0, F.lit(False))}).drop("_s")
-
-
-def _walk(x: np.ndarray, arrays) -> np.ndarray:
-    """Mean path length over all trees: ``height`` branch-free steps per tree."""
-    feat, thr, leafv, height, _ = arrays
-    n_int = 2 ** height - 1
-    xt = np.ascontiguousarray(x.T)
-    cols = np.arange(len(x))
-    total = np.zeros(len(x))
-    for t in range(feat.shape[0]):
-        ft, tt = feat[t], thr[t]
-        node = np.zeros(len(x), dtype=np.int64)
-        for _ in range(height):
-            node = 2 * node + 1 + (xt[ft[node], cols] >= tt[node])
-        total += leafv[t, node - n_int]
-    return total / feat.shape[0]
-
-
-def score_many(df: DataFrame, models, outs) -> DataFrame:
-    """One Arrow pass appending the score of each model (node arrays broadcast once)."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast([(list(m.features), m.arrays(), m.scale) for m in models])
-    names = list(outs)
-
-    def score(batches):
-        packs = bc.value
+        decision = -score_many(df, [self])["s0"] - F.lit(self.offset)
+        return _with_decision(df, decision, decision < 0, flag, score)
+
+
+def _with_decision(df: DataFrame, decision, is_anomaly, flag: str, score: str) -> DataFrame:
+    return df.withColumns({score: decision, flag: F.coalesce(is_anomaly, F.lit(False))})
+
+
+def _walk(xt: np.ndarray, feature: np.ndarray, threshold: np.ndarray, levels: int) -> np.ndarray:
+    """Node of each row after ``levels`` steps down one tree; a leaf above is followed down its left spine."""
+    node = np.zeros(xt.shape[1], np.int64)
+    rows = np.arange(xt.shape[1])
+    for _ in range(levels):
+        f = feature[node]
+        node = 2 * node + 1 + ((f >= 0) & (xt[f, rows] >= threshold[node]))
+    return node
+
+
+def score_many(df: DataFrame, models: list[IsolationForestModel]):
+    """Struct column with the score of each model (s0, s1, ...; higher is more anomalous), null where a feature is missing."""
+    ship_package(df.sparkSession)
+    features = models[0].features
+    packs = [(m.feature, m.threshold, m.leaf_values(), m.max_depth, float(c_factor([m.psi])[0]),
+              np.array([(m.scale or {}).get(f, (0.0, 1.0)) for f in features]).T) for m in models]
+    shared = df.sparkSession.sparkContext.broadcast(packs)
+
+    @F.pandas_udf(", ".join(f"s{i} double" for i in range(len(models))))
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = rows.to_numpy(dtype=float)
+        out = {}
+        for i, (feature, threshold, leaves, depth, c, (middle, width)) in enumerate(shared.value):
+            xt = np.ascontiguousarray(((raw - middle) / width).T)
+            first = 2 ** depth - 1
+            total = np.zeros(len(raw))
+            for t in range(len(feature)):
+                total += leaves[t, _walk(xt, feature[t], threshold[t], depth) - first]
+            s = np.power(2.0, -total / len(feature) / c) if c > 0 else np.ones(len(raw))
+            out[f"s{i}"] = pd.Series(s).where(~np.isnan(raw).any(axis=1))
+        return pd.DataFrame(out)
+
+    return score(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
+
+
+def _grow_level(rows: DataFrame, models: list[IsolationForestModel], shares: list[float], seeds: list[int], level: int) -> list:
+    """Count, minima and maxima of the nodes at ``level``: (forest, tree, node, n, lo, hi) rows, at most one per node."""
+    shared = rows.sparkSession.sparkContext.broadcast([(m.feature, m.threshold, m.size) for m in models])
+    names = models[0].features
+    d = len(names)
+    first, width = 2 ** level - 1, 2 ** level
+
+    def run(batches):
+        packs = shared.value
+        state = [(np.zeros((len(f), width), np.int64), np.full((len(f), width, d), np.inf), np.full((len(f), width, d), -np.inf)) for f, _, _ in packs]
         for pdf in batches:
-            for name, (feats, arrays, scale) in zip(names, packs):
-                x = pdf[feats].to_numpy(dtype=float)
-                if scale:
-                    x = (x - np.array([scale[f][0] for f in feats])) / np.array([scale[f][1] for f in feats])
-                cpsi = arrays[4]
-                pdf[name] = np.power(2.0, -_walk(x, arrays) / cpsi) if cpsi > 0 else 1.0
-            yield pdf
-
-    schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in names]])
-    return spread(df).mapInPandas(score, schema)
-
-
-def _draw(key, tree, seed):
-    """Non-negative 63-bit hash of (key, tree, seed)."""
-    return F.xxhash64(key, tree, F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
-
-
-def _sample(df: DataFrame, feats, n: int, n_trees: int, psi: int, seed: int, key: str, forest: int) -> DataFrame:
-    """Candidate rows of every tree: (forest, tree, key, features, _h); ~1.25 psi per tree.
-
-    The tree builder keeps the psi smallest draws of its group, so no separate
-    ranking stage is needed; a group's size is Binomial(n, 1.25 psi / n).
-    """
-    p = min(1.0, 1.25 * psi / n) if n else 1.0
-    thr = int(p * (2 ** 63 - 1))
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    pick = F.filter(trees, lambda t: _draw(F.col(key), t, seed) < F.lit(thr))
-    return (df.select(key, *feats, F.explode(pick).alias("tree"))
-            .withColumns({"_h": _draw(F.col(key), F.col("tree"), seed), "forest": F.lit(forest)}))
-
-
-def _psi(n: int, max_samples: float, sample_cap: int) -> int:
-    return max(2, min(int(max_samples * n) if max_samples <= 1 else int(max_samples), sample_cap, n))
-
+            x = pdf[names].to_numpy(dtype=float)
+            h = pdf["__h"].to_numpy(np.int64)
+            xt = np.ascontiguousarray(x.T)
+            for (feature, threshold, _), (n, lo, hi), share, seed in zip(packs, state, shares, seeds):
+                for t in range(len(feature)):
+                    node = _walk(xt, feature[t], threshold[t], level) - first
+                    mine = members(h, t, seed, share)
+                    if level:  # nodes under a leaf are not present
+                        mine &= feature[t][(node + first - 1) // 2] >= 0
+                    node, part = node[mine], x[mine]
+                    if not len(node):
+                        continue
+                    order = np.argsort(node, kind="stable")
+                    node, part = node[order], part[order]
+                    at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                    k = node[at]
+                    n[t, k] += np.diff(np.append(at, len(node)))
+                    lo[t, k] = np.minimum(lo[t, k], np.minimum.reduceat(part, at, axis=0))
+                    hi[t, k] = np.maximum(hi[t, k], np.maximum.reduceat(part, at, axis=0))
+        for i, (n, lo, hi) in enumerate(state):
+            t, k = np.nonzero(n)
+            yield pd.DataFrame({"forest": np.full(len(t), i, "int32"), "tree": t.astype("int32"), "node": k.astype("int32"), "n": n[t, k],
+                                **{f"lo{f}": lo[t, k, f] for f in range(d)}, **{f"hi{f}": hi[t, k, f] for f in range(d)}})
+
+    schema = "forest int, tree int, node int, n long, " + ", ".join([f"lo{f} double" for f in range(d)] + [f"hi{f} double" for f in range(d)])
+    found = rows.mapInPandas(run, schema).groupBy("forest", "tree", "node").agg(
+        F.sum("n").alias("n"), *[F.min(f"lo{f}").alias(f"lo{f}") for f in range(d)], *[F.max(f"hi{f}").alias(f"hi{f}") for f in range(d)])
+    out = found.collect()  # at most one row per node of the level
+    shared.unpersist()
+    return out
 
-def _fit_many(df: DataFrame, feats, specs, key: str, robust: bool, exact_offset: bool | None):
-    """Fit several forests on the same rows: one sampling stage, one grouped build, one scoring pass.
 
-    ``specs``: list of (n_trees, max_samples, sample_cap, contamination, seed).
-    """
+def _fit_many(df: DataFrame, features: list, specs: list[tuple], key: str, robust: bool, max_depth: int) -> list[IsolationForestModel]:
+    """Fit several forests on the same rows. ``specs``: (n_trees, max_samples, contamination, seed)."""
+    ship_package(df.sparkSession)
+    clean = df.select(F.xxhash64(key).alias("__h"), *[nan_to_null(F.col(f).cast("double")).alias(f) for f in features]).dropna(subset=features)
     scale = None
     if robust:
-        q = df.agg(*[(F.percentile(F.col(f), [0.25, 0.5, 0.75]) if use_exact(df, exact_offset)
-                      else F.percentile_approx(F.col(f), [0.25, 0.5, 0.75], 100000)).alias(f) for f in feats]).first()
-        scale = {f: (q[f][1], (q[f][2] - q[f][0]) or 1.0) for f in feats}
-    src = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats])
-    if scale:
-        src = src.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(i) for f, (m, i) in scale.items()})
-    n = src.count()
-    exact = exact_offset if exact_offset is not None else n <= EXACT_QUANTILE_MAX_ROWS
-    samples, psis = None, []
-    for i, (n_trees, max_samples, cap, _, seed) in enumerate(specs):
-        psi = _psi(n, max_samples, cap)
-        psis.append(psi)
-        part = _sample(src, feats, n, n_trees, psi, seed, key, i)
-        samples = part if samples is None else samples.unionByName(part)
-    builders = {i: _tree_builder(feats, spec[4], int(math.ceil(math.log2(max(psis[i], 2)))), psis[i], key)
-                for i, spec in enumerate(specs)}
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = builders[int(pdf["forest"].iloc[0])](pdf)
-        out.insert(0, "forest", int(pdf["forest"].iloc[0]))
-        return out.astype({"forest": "int32"})
-
-    # node table: < sum(trees x 2 psi) rows — a bounded model, held on the driver
-    nodes = samples.groupBy("forest", "tree").applyInPandas(build, "forest INT, " + NODE_SCHEMA).toPandas()
-    models = [IsolationForestModel(feats, nodes[nodes.forest == i].drop(columns="forest").reset_index(drop=True),
-                                   psis[i], spec[0], contamination=spec[3]) for i, spec in enumerate(specs)]
-    # offsets: contamination quantile of -score over the training rows, all forests in one pass
-    scored = score_many(src.select(*feats), models, [f"_s{i}" for i in range(len(models))])
-    aggs = []
+        found = select_quantiles(clean, {f: F.col(f) for f in features}, [0.25, 0.5, 0.75])[None]
+        scale = {f: (q[1] or 0.0, (q[2] - q[0]) if q[2] is not None and q[2] > q[0] else 1.0) for f, q in found.items()}
+    rows = clean.select("__h", *[((F.col(f) - F.lit(scale[f][0])) / F.lit(scale[f][1])).alias(f) if scale else F.col(f) for f in features])
+    n = rows.count()
+    slots = 2 ** (max_depth + 1) - 1
+    models = [IsolationForestModel(features, np.full((trees, slots), -1, np.int32), np.zeros((trees, slots)), np.zeros((trees, slots), np.int64),
+                                   max(2, int(share * n)), max_depth, None, contamination, scale) for trees, share, contamination, _ in specs]
+    shares, seeds = [s[1] for s in specs], [s[3] for s in specs]
+    for level in range(max_depth + 1):
+        split = False
+        for r in _grow_level(rows, models, shares, seeds, level):
+            m, node = models[r.forest], 2 ** level - 1 + r.node
+            m.size[r.tree, node] = r.n
+            lo, hi = (np.array([r[f"{side}{f}"] for f in range(len(features))]) for side in ("lo", "hi"))
+            usable = np.flatnonzero(hi > lo)
+            if level == max_depth or r.n < 2 or not len(usable):
+                continue
+            rng = np.random.default_rng([seeds[r.forest], r.tree, node])
+            f = int(rng.choice(usable))
+            cut = float(rng.uniform(lo[f], hi[f]))
+            m.feature[r.tree, node], m.threshold[r.tree, node] = f, cut if cut > lo[f] else hi[f]
+            split = True
+        if not split:
+            break
+    # offsets: the contamination quantiles of -score over the training rows, scored once
+    both = cut_lineage(clean.select(score_many(clean, models).alias("s")).select("s.*"))
+    found = select_quantiles(both, {f"s{i}": -F.col(f"s{i}") for i in range(len(models))}, sorted({s[2] for s in specs}))[None]
+    at = sorted({s[2] for s in specs})
     for i, m in enumerate(models):
-        aggs.append(F.percentile(-F.col(f"_s{i}"), m.contamination) if exact
-                    else F.percentile_approx(-F.col(f"_s{i}"), m.contamination, 100000))
-    row = scored.agg(*[a.alias(f"o{i}") for i, a in enumerate(aggs)]).first()
-    for i, m in enumerate(models):
-        m.offset = float(row[f"o{i}"])
-        m.scale = scale
+        value = found[f"s{i}"][at.index(m.contamination)]
+        m.offset = float(value) if value is not None else 0.0
     return models
 
 
-def fit_forest(df: DataFrame, features, n_trees: int = 200, max_samples: float = 0.8, sample_cap: int = 256,
-               contamination: float = 0.05, seed: int = 42, key: str = KEY, exact_offset: bool | None = None,
-               robust: bool = False) -> IsolationForestModel:
+def fit_forest(df: DataFrame, features, n_trees: int = 200, max_samples: float = 0.8, contamination: float = 0.05, seed: int = 42,
+               key: str = KEY, robust: bool = True, max_depth: int = MAX_DEPTH) -> IsolationForestModel:
     """Fit an isolation forest on ``df`` (numeric ``features``, unique ``key``).
 
-    ``robust=True`` centres each feature on its median and divides by its IQR
-    (zero IQR -> 1) before the trees see it — one extra aggregate.
+    ``robust`` centres each feature on its median and divides by its IQR
+    (zero IQR -> 1) before the trees see it.
     """
-    return _fit_many(df, list(features), [(n_trees, max_samples, sample_cap, contamination, seed)], key,
-                     robust, exact_offset)[0]
+    return _fit_many(df, list(features), [(n_trees, max_samples, contamination, seed)], key, robust, max_depth)[0]
 
 
 @dataclass
@@ -274,35 +252,35 @@ class ForestPair:
     aggressive: IsolationForestModel
 
     def transform(self, df: DataFrame, flag: str = "l3_isolation", score: str = "anomaly_score") -> DataFrame:
-        s = score_many(df, [self.main, self.aggressive], ["_sa", "_sb"])
-        da = -F.col("_sa") - F.lit(self.main.offset)
-        db = -F.col("_sb") - F.lit(self.aggressive.offset)
-        return s.withColumns({score: da, flag: F.coalesce((da < 0) | (db < 0), F.lit(False))}).drop("_sa", "_sb")
+        name = "__scores"
+        scored = df.withColumn(name, score_many(df, [self.main, self.aggressive]))
+        da, db = -F.col(f"{name}.s0") - F.lit(self.main.offset), -F.col(f"{name}.s1") - F.lit(self.aggressive.offset)
+        return _with_decision(scored, da, (da < 0) | (db < 0), flag, score).drop(name)
 
 
-def fit_forest_pair(df: DataFrame, features, contamination: float = 0.05, seed: int = 42,
-                    sample_cap: int = 256, key: str = KEY, robust: bool = False) -> ForestPair:
+def fit_forest_pair(df: DataFrame, features, contamination: float = 0.05, seed: int = 42, key: str = KEY, robust: bool = True,
+                    max_depth: int = MAX_DEPTH) -> ForestPair:
     """200 trees / 80 % samples / c, and 150 trees / 50 % samples / 2c with seed + 1 — fitted together."""
-    main, aggressive = _fit_many(df, list(features), [(200, 0.8, sample_cap, contamination, seed),
-                                                      (150, 0.5, sample_cap, 2 * contamination, seed + 1)],
-                                 key, robust, None)
+    main, aggressive = _fit_many(df, list(features), [(200, 0.8, contamination, seed), (150, 0.5, 2 * contamination, seed + 1)], key, robust, max_depth)
     return ForestPair(main, aggressive)
 
 
 def save_forest(model: IsolationForestModel, spark, path: str) -> str:
     """Node table as parquet + a one-row metadata table (shared storage, reloadable anywhere)."""
     spark.createDataFrame(model.nodes).write.mode("overwrite").parquet(f"{path}/nodes")
-    meta = [(",".join(model.features), model.psi, model.n_trees, model.offset, model.contamination,
-             None if not model.scale else ";".join(f"{f}:{m!r}:{q!r}" for f, (m, q) in model.scale.items()))]
-    spark.createDataFrame(meta, "features STRING, psi INT, n_trees INT, offset DOUBLE, contamination DOUBLE, "
-                                "scale STRING").write.mode("overwrite").parquet(f"{path}/meta")
+    scale = None if not model.scale else [(f, float(m), float(w)) for f, (m, w) in model.scale.items()]
+    spark.createDataFrame([(list(model.features), model.psi, model.n_trees, model.max_depth, model.offset, model.contamination, scale)],
+                          "features ARRAY<STRING>, psi LONG, n_trees INT, max_depth INT, offset DOUBLE, contamination DOUBLE, "
+                          "scale ARRAY<STRUCT<feature: STRING, middle: DOUBLE, width: DOUBLE>>").write.mode("overwrite").parquet(f"{path}/meta")
     return path
 
 
 def load_forest(spark, path: str) -> IsolationForestModel:
     m = spark.read.parquet(f"{path}/meta").first()
-    scale = None
-    if m.scale:
-        scale = {f: (float(a), float(b)) for f, a, b in (x.split(":") for x in m.scale.split(";"))}
-    nodes = spark.read.parquet(f"{path}/nodes").toPandas()
-    return IsolationForestModel(m.features.split(","), nodes, m.psi, m.n_trees, m.offset, m.contamination, scale)
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas()  # the model: at most trees x 2^(max_depth + 1) rows
+    shape = (m.n_trees, 2 ** (m.max_depth + 1) - 1)
+    feature, threshold, size = np.full(shape, -1, np.int32), np.zeros(shape), np.zeros(shape, np.int64)
+    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+    feature[at], threshold[at], size[at] = nodes["feature"], nodes["threshold"], nodes["size"]
+    scale = {s.feature: (s.middle, s.width) for s in m.scale} if m.scale else None
+    return IsolationForestModel(list(m.features), feature, threshold, size, m.psi, m.max_depth, m.offset, m.contamination, scale)

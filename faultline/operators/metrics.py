@@ -51,17 +51,16 @@ def _per_class(long: DataFrame) -> DataFrame:
 def class_report(df: DataFrame, label: str = "label", pred: str = "pred", classes=None) -> DataFrame:
     """Per-class precision/recall/F1/support + accuracy, macro and weighted averages."""
     long = confusion_long(df, label, pred, classes)
-    pc = _per_class(long).filter(F.col("support") > 0)  # report rows: classes present in truth
-    pc_all = _per_class(long)
+    pc = _per_class(long)  # every class of the truth or the predictions
     tot = long.agg(F.sum("n").alias("n_total"),
                    F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).alias("n_correct"))
     per = pc.select(F.col("cls").cast("string").alias("class"), "precision", "recall", "f1",
                     F.col("support").cast("bigint").alias("support"))
     # macro / weighted over labels present in truth or prediction (sklearn's label set)
-    macro = pc_all.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+    macro = pc.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
                        F.avg("f1").alias("f1"), F.sum("support").cast("bigint").alias("support")) \
         .select(F.lit("macro avg").alias("class"), "precision", "recall", "f1", "support")
-    weighted = pc_all.agg(
+    weighted = pc.agg(
         F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("precision"),
         F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("recall"),
         F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1"),

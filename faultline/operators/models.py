@@ -242,8 +242,3 @@ def permutation_importance(df: DataFrame, scorer, features, label: str, repeats:
     return acc.groupBy(F.col("_feat").alias("feature")).agg(
         (F.lit(baseline) - F.avg("acc")).alias("importance_mean"),
         F.stddev_pop(F.lit(baseline) - F.col("acc")).alias("importance_std"))
-
-
-def flags_to_zero(df: DataFrame) -> DataFrame:
-    return df.withColumns({f: F.lit(0) for f in FLAG_COLS})
-

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.physics import nan_to_null
+
 # Fixed rule thresholds (equal to the original dashboard's batch rules).
 HEAT_GAP_K = 7.0
 OSF_WEAR_HIGH, OSF_TORQUE = 200.0, 45.0
@@ -21,7 +23,7 @@ HEAT_FLOOR, OSF_FLOOR = 0.26, 0.75
 def heat_rule(cols) -> Column:
     if "temp_diff_k" not in cols:
         return F.lit(False)
-    return F.coalesce(F.col("temp_diff_k") < F.lit(HEAT_GAP_K), F.lit(False))
+    return F.coalesce(nan_to_null("temp_diff_k") < F.lit(HEAT_GAP_K), F.lit(False))
 
 
 def overstrain_rule(cols) -> Column:
@@ -33,13 +35,13 @@ def overstrain_rule(cols) -> Column:
     cols = set(cols)
     if "tool_wear_min" not in cols or not ({"torque_nm", "strain_load"} & cols):
         return F.lit(False)
-    wear = F.col("tool_wear_min")
+    wear = nan_to_null("tool_wear_min")
     first = wear > F.lit(OSF_WEAR_HIGH)
     if "torque_nm" in cols:
-        first = first & (F.col("torque_nm") > F.lit(OSF_TORQUE))
+        first = first & (nan_to_null("torque_nm") > F.lit(OSF_TORQUE))
     rule = first
     if "strain_load" in cols:
-        rule = rule | ((wear > F.lit(OSF_WEAR_MID)) & (F.col("strain_load") > F.lit(OSF_STRAIN)))
+        rule = rule | ((wear > F.lit(OSF_WEAR_MID)) & (nan_to_null("strain_load") > F.lit(OSF_STRAIN)))
     return F.coalesce(rule, F.lit(False))
 
 

@@ -3,11 +3,11 @@
 Dense index
 -----------
 A ``row_number()`` over a whole class runs in one task. Instead rows are
-ordered by an md5 hex key and bucketed by its first ``digits`` hex digits:
+ordered by an md5 hex key and bucketed by its first five hex digits:
 
 1. count rows per (prefix columns, bucket)   — partial aggregate, tiny output
-2. running offsets over that count table     — window over <= P * 16^d rows
-3. ``row_number`` inside (prefix, bucket)   — one shuffle, 16^d-way parallel
+2. running offsets over that count table     — by blocks of 4,096 buckets
+3. ``row_number`` inside (prefix, bucket)   — one shuffle, a million-way parallel
 4. index = offset + row_number - 1
 
 md5 spreads keys uniformly, so buckets are balanced. Keys must be unique
@@ -23,56 +23,43 @@ join, no driver loop, reproducible across task retries and in SQL.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.functions.draws import hash32, key_string
+from faultline.functions.draws import hash60, key_string
 from faultline.schema import FLAG_COLS, KEY, LABEL
 
 def md5_key(*parts) -> Column:
     return F.md5(key_string(*parts))
 
 
-def digits_for(n_rows: int, rows_per_bucket: int = 2_000_000) -> int:
-    """Hex digits of the bucket prefix so that a bucket holds at most ~rows_per_bucket rows.
-
-    1e12 rows -> 5 digits: ~1M buckets of ~1M rows; the offsets table (one row
-    per bucket and prefix value) stays small enough for its running sum.
-    """
-    if n_rows <= rows_per_bucket:
-        return 1
-    return max(1, min(6, math.ceil(math.log(n_rows / rows_per_bucket, 16))))
+#: Hex digits of a bucket's prefix and of the blocks that hold 4,096 buckets each, the same for every table (the index
+#: does not depend on them): a bucket of 1e12 rows holds a million.
+DIGITS, BLOCK_DIGITS = 5, 2
 
 
 def dense_index(df: DataFrame, key: Column, prefix_cols=(), restart: bool = True, name: str = "idx",
-                digits: int | None = None, tiebreak: str | None = KEY, with_total: str | None = None) -> DataFrame:
+                tiebreak: str | None = KEY, with_total: str | None = None) -> DataFrame:
     """0-based dense index of rows ordered by (prefix_cols, key).
 
     restart=True  -> index restarts at 0 for every prefix value (rank within class)
     restart=False -> one global index in (prefix_cols, key) order
     ``with_total`` adds the row count of the row's prefix group.
-    ``digits`` (bucket prefix length) defaults to one sized from the row count,
-    so buckets stay ~2M rows however large the input grows.
     """
     prefix_cols = list(prefix_cols)
-    if digits is None:
-        digits = digits_for(df.count())
-    keyed = df.withColumns({"_k": key, "_b": F.substring(key, 1, digits)})
+    keyed = df.withColumns({"_k": key, "_b": F.substring(key, 1, DIGITS)})
     counts = keyed.groupBy(*prefix_cols, "_b").agg(F.count(F.lit(1)).alias("_c"))
     order = [*prefix_cols, "_b"]
-    if restart:
-        w = Window.partitionBy(*prefix_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        # the counts table has at most (#prefix values x 16^digits) rows
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    if with_total:
-        tw = Window.partitionBy(*prefix_cols) if prefix_cols else Window.partitionBy()
-        offsets = offsets.withColumn(with_total, F.sum("_c").over(tw))
-    offsets = offsets.drop("_c")
+    counts = counts.withColumn("_s", F.substring("_b", 1, BLOCK_DIGITS))
+    blocks = counts.groupBy(*prefix_cols, "_s").agg(F.sum("_c").alias("_n"))  # at most 256 rows per prefix value
+    over = Window.partitionBy(*prefix_cols).orderBy("_s") if restart else Window.orderBy(*prefix_cols, "_s")
+    first = F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first")
+    total = [F.sum("_n").over(Window.partitionBy(*prefix_cols)).alias(with_total)] if with_total else []
+    blocks = blocks.select(*prefix_cols, "_s", first, *total)
+    inside = Window.partitionBy(*prefix_cols, "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(blocks, [*prefix_cols, "_s"])
+    offsets = offsets.withColumn("_off", F.col("_first") + F.col("_in")).drop("_c", "_s", "_in", "_first")
     # no broadcast hint: the offsets table has one row per (prefix, bucket); AQE turns this into a
     # broadcast join at runtime only when its materialised size is under the threshold
     joined = keyed.join(offsets, on=order, how="inner")
@@ -98,10 +85,10 @@ def train_test(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
 def _draws(spark, n_draws: int, n_source: int, seed, tag=None, extra: dict | None = None,
            slices: int | None = None) -> DataFrame:
     """``n_draws`` rows (draw_id, pos) with pos uniform in [0, n_source)."""
-    slices = slices or max(1, min(10_000, n_draws // 1_000_000 + spark.sparkContext.defaultParallelism))
+    slices = slices or n_draws // 1_000_000 + spark.sparkContext.defaultParallelism
     d = spark.range(0, n_draws, 1, slices).withColumnRenamed("id", "draw_id")
     parts = [F.col("draw_id")] + ([tag] if tag is not None else []) + [seed]
-    d = d.withColumn("pos", hash32(*parts) % F.lit(n_source))
+    d = d.withColumn("pos", hash60(*parts) % F.lit(n_source))
     if extra:
         d = d.withColumns({k: F.lit(v) for k, v in extra.items()})
     return d
@@ -112,7 +99,7 @@ def oversample_uniform(df: DataFrame, n_target: int, seed: int = 42, key: str =
     n = df.count()
     if n == 0:
         raise ValueError("cannot resample an empty table")
-    src = dense_index(df, md5_key(F.col(key), seed), name="pos", tiebreak=key, digits=digits_for(n))
+    src = dense_index(df, md5_key(F.col(key), seed), name="pos", tiebreak=key)
     draws = _draws(df.sparkSession, n_target, n, seed)
     return draws.join(src, "pos", "inner").drop("pos")
 
@@ -139,8 +126,7 @@ def oversample_by_class(df: DataFrame, targets: dict, label: str = LABEL, seed:
     short = {c: t for c, t in targets.items() if t < n_by.get(c, 0)}
     if short:
         raise ValueError(f"target below current count for classes {sorted(short)}")
-    src = dense_index(df, md5_key(F.col(key), seed), [label], restart=True, name="pos", tiebreak=key,
-                      digits=digits_for(sum(n_by.values())))
+    src = dense_index(df, md5_key(F.col(key), seed), [label], restart=True, name="pos", tiebreak=key)
     draws = None
     for c, t in sorted(targets.items()):
         extra = t - n_by.get(c, 0)
@@ -175,15 +161,20 @@ def block_ids(df: DataFrame, sizes: dict, block_cols=("is_draw", LABEL), seq: st
                            "product_id": F.concat(F.lit(product_prefix), (i + F.lit(product_base)).cast("string"))})
 
 
-def top_up(df: DataFrame, n_target: int, seed: int = 42, key: str = "draw_id") -> DataFrame:
-    """If short of ``n_target`` rows, add uniform draws from the frame itself (``is_draw`` = 2)."""
+def top_up(df: DataFrame, n_target: int, seed: int = 42, key=None) -> DataFrame:
+    """If short of ``n_target`` rows, add uniform draws from the frame itself.
+
+    ``key`` are the columns that together identify a row (default: is_draw, the
+    label and draw_id, as far as the frame has them). Added rows have
+    ``is_draw`` 2 and their draw number as ``draw_id``, so they share their key
+    with no row of the frame.
+    """
     n = df.count()
     if n >= n_target:
         return df
-    src = df.withColumnRenamed(key, "_src_key")
-    extra = oversample_uniform(src, n_target - n, seed + 1, key="_src_key")
-    extra = (extra.withColumn("_new", F.col("draw_id") + F.lit(n_target)).drop("draw_id", "_src_key")
-             .withColumnRenamed("_new", key).withColumn("is_draw", F.lit(2)))
+    key = key or [c for c in ("is_draw", LABEL, "draw_id") if c in df.columns]
+    src = df.withColumn("_row", md5_key(*[F.col(c) for c in key]))
+    extra = oversample_uniform(src.drop("draw_id", "is_draw"), n_target - n, seed + 1, key="_row").withColumn("is_draw", F.lit(2))
     return df.unionByName(extra.select(*df.columns))
 
 
@@ -211,10 +202,9 @@ def reassign_flags(df: DataFrame, originals: DataFrame, seed: int = 42, label: s
     zeros = {f: F.lit(0) for f in flags}
     if n_fail == 0:
         return out.withColumns(zeros)
-    pool = dense_index(fails, md5_key(F.col(key), seed), name="_pos", tiebreak=key,
-                       digits=digits_for(n_fail)).drop(key)
+    pool = dense_index(fails, md5_key(F.col(key), seed), name="_pos", tiebreak=key).drop(key)
     is_fail = F.col(label) == 1
-    picked = out.withColumn("_pos", F.when(is_fail, hash32(F.col(row_key), "flags", seed) % F.lit(n_fail)))
+    picked = out.withColumn("_pos", F.when(is_fail, hash60(F.col(row_key), "flags", seed) % F.lit(n_fail)))
     joined = picked.join(pool, "_pos", "left")
     return joined.withColumns({f: F.when(is_fail, F.col(f)).otherwise(F.lit(0)).cast("int") for f in flags}) \
         .drop("_pos")
@@ -242,15 +232,12 @@ def resample_to(df: DataFrame, n_target: int = 20000, seed: int = 42, label: str
         grown = oversample_by_class(base, targets, label, seed, key, n_by=n_by)
         sizes = {(0, c): n for c, n in n_by.items()}
         sizes.update({(1, c): t - n_by[c] for c, t in targets.items() if t > n_by[c]})
-    else:
-        grown = oversample_uniform(base, n_target, seed, key).withColumns(
-            {"is_draw": F.lit(1), "_seq": F.col("draw_id")})
-        sizes = None
+    else:  # whole rows are drawn: flags and product ids stay, only the sequence id is new
+        grown = oversample_uniform(df, n_target, seed, key).withColumnRenamed(key, "source_unit_id")
+        grown = grown.withColumns({"is_draw": F.lit(1), key: F.col("draw_id") + 1})
+        flags = [f for f in FLAG_COLS if f in grown.columns]
+        return grown.select(*[c for c in grown.columns if c not in flags], *flags)
     grown = grown.withColumnRenamed(key, "source_unit_id")
-    if sizes is None:
-        ids = grown.withColumns({key: F.col("_seq") + 1, "product_id": F.concat(
-            F.lit("S"), (F.col("_seq") + F.lit(50000)).cast("string"))})
-    else:
-        ids = block_ids(grown, sizes, ("is_draw", label), "_seq", key)
+    ids = block_ids(grown, sizes, ("is_draw", label), "_seq", key)
     ids = head_n(ids.drop("_seq"), n_target, key)
     return reassign_flags(ids, df, seed, label, key=key, row_key=key, n_fail=n_by.get(1, 0))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.functions.draws import hash32
+from faultline.functions.draws import hash60
 from faultline.functions.physics import mechanical_power
 
 TRAJ_COLS = ["rpm", "torque_nm", "tool_wear_min", "power_w", "temp_diff_k", "strain_load"]
@@ -87,7 +87,7 @@ def latest_k(df: DataFrame, k: int = 5, group: str = "machine_id", order=("ts",
     Phase 1 keeps k rows per (group, salt); phase 2 ranks at most k*salts rows per group.
     """
     desc = [F.col(o).desc() for o in order]
-    salted = df.withColumn("_salt", hash32(F.col(key), "salt") % F.lit(salts))
+    salted = df.withColumn("_salt", hash60(F.col(key), "salt") % F.lit(salts))
     w1 = Window.partitionBy(group, "_salt").orderBy(*desc)
     pre = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
     w2 = Window.partitionBy(group).orderBy(*desc)
@@ -169,7 +169,3 @@ def compare_runs(scored: DataFrame, value: Column, scenarios, name: str = "v") -
     """One row per step, one column per scenario (pivot with explicit values: no extra pass)."""
     return (scored.groupBy("step").pivot("scenario", list(scenarios)).agg(value.alias(name))
             .select("step", *[F.col(s).alias(f"{s}") for s in scenarios]))
-
-
-def with_physics_power(df: DataFrame) -> DataFrame:
-    return df.withColumn("power_w", mechanical_power("rpm", "torque_nm"))

@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.functions.draws import hash32, uniform
-from faultline.operators.sampling import dense_index, digits_for, md5_key
+from faultline.functions.draws import hash60, uniform
+from faultline.operators.sampling import dense_index, md5_key
 from faultline.schema import KEY, LABEL
 from faultline.session import cut_lineage, spread
 
@@ -172,7 +172,7 @@ def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 4
     mins = base.filter(F.col(label) == minority)
     vec = cut_lineage(_vectors(mins, feats, key))  # distinct vectors: built once, read by every step
     rows = dense_index(mins.join(vec.select(*feats, "_vid"), feats), md5_key(F.col(key), seed), name="_pos",
-                       tiebreak=key, digits=digits_for(n_min))
+                       tiebreak=key)
     k_eff = min(k, n_min - 1)
     slices = max(1, spark.sparkContext.defaultParallelism, n_new // 1_000_000)
     draws = spark.range(0, n_new, 1, slices).withColumnRenamed("id", "_d")
@@ -181,7 +181,7 @@ def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 4
         picked = draws.join(rows, "_pos").withColumn("_u", F.lit(0.0))
         synth = picked.select(*[F.col(f) for f in feats], F.col("_d"))
     else:
-        pair = hash32(F.col("_d"), seed) % F.lit(n_min * k_eff)
+        pair = hash60(F.col("_d"), seed) % F.lit(n_min * k_eff)
         draws = draws.withColumns({"_pos": F.floor(pair / F.lit(k_eff)).cast("long"),
                                    "slot": (pair % F.lit(k_eff)).cast("int"),
                                    "_u": uniform(F.col("_d"), "gap", seed)})

@@ -6,9 +6,8 @@ Design for scale:
     rows to (feature, value) first — that would shuffle n x features rows;
   * results are tiny (features x stats) and are reshaped *after* the
     aggregate with an ``inline`` of an array of structs;
-  * exact quantiles (``percentile``, equal to DuckDB ``quantile_cont``) keep a
-    value->count map per group. ``exact=False`` switches to
-    ``percentile_approx`` with bounded memory for very large inputs.
+  * quantiles are exact at every size (:mod:`faultline.operators.quantiles`);
+    their values are a few scalars, applied as literals.
 """
 
 from __future__ import annotations
@@ -18,29 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions.labels import failure_name
-from faultline.schema import FLAG_COLS, LABEL, PROFILE_FEATURES
+from faultline.functions.physics import nan_to_null
+from faultline.operators.quantiles import select_quantiles
+from faultline.schema import LABEL, PROFILE_FEATURES
 
 ND = 6  # decimals kept on aggregated doubles
-EXACT_QUANTILE_MAX_ROWS = 20_000_000  # above this, quantiles switch to bounded-memory percentile_approx
-
-
-def use_exact(df: DataFrame, exact: bool | None) -> bool:
-    """``exact=None`` (auto): exact percentiles up to EXACT_QUANTILE_MAX_ROWS rows, approximate above.
-
-    Exact ``percentile`` keeps a value -> count map per group (memory grows with
-    distinct values); ``percentile_approx`` keeps a bounded summary.
-    """
-    if exact is not None:
-        return exact
-    return df.count() <= EXACT_QUANTILE_MAX_ROWS
-
-
-def _q(col: Column, qs, exact: bool, accuracy: int = 100000) -> Column:
-    if exact:
-        return F.percentile(col, list(qs)) if isinstance(qs, (list, tuple)) else F.percentile(col, qs)
-    return F.percentile_approx(col, list(qs) if isinstance(qs, (list, tuple)) else qs, accuracy)
-
-
 def _r(c: Column, nd: int = ND) -> Column:
     return F.round(c, nd)
 
@@ -78,42 +59,38 @@ def type_summary(df: DataFrame, features=("power_w", "temp_diff_k", "strain_load
     return named.groupBy("failure_type").agg(*aggs)
 
 
-def describe(df: DataFrame, features=PROFILE_FEATURES, exact: bool | None = None) -> DataFrame:
-    """count, mean, std, min, 25/50/75 %, max per feature — one global aggregate."""
-    exact = use_exact(df, exact)
+def _columns(features) -> dict:
+    return {f: F.col(f) for f in features}
+
+
+def _optional(value) -> Column:
+    return F.lit(value).cast("double")
+
+
+def describe(df: DataFrame, features=PROFILE_FEATURES) -> DataFrame:
+    """count, mean, std, min, 25/50/75 %, max per feature — one global aggregate and the quantile selection."""
+    qs = select_quantiles(df, _columns(features), [0.25, 0.5, 0.75])[None]
     aggs = []
     for f in features:
-        c = F.col(f).cast("double")
-        qs = _q(c, [0.25, 0.5, 0.75], exact)
+        c = nan_to_null(F.col(f).cast("double"))
         aggs += [F.count(c).alias(f"{f}__count"), _r(F.avg(c)).alias(f"{f}__mean"),
                  _r(F.stddev_samp(c)).alias(f"{f}__std"), F.min(c).alias(f"{f}__min"),
-                 qs.alias(f"{f}__qs"), F.max(c).alias(f"{f}__max")]
-    wide = df.agg(*aggs)
-    wide = wide.select(*[c for f in features for c in (
-        F.col(f"{f}__count"), F.col(f"{f}__mean"), F.col(f"{f}__std"), F.col(f"{f}__min"),
-        _r(F.col(f"{f}__qs")[0]).alias(f"{f}__q25"), _r(F.col(f"{f}__qs")[1]).alias(f"{f}__q50"),
-        _r(F.col(f"{f}__qs")[2]).alias(f"{f}__q75"), F.col(f"{f}__max"))])
-    return _inline(wide, features, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+                 *[_r(_optional(v)).alias(f"{f}__q{n}") for n, v in zip((25, 50, 75), qs[f])], F.max(c).alias(f"{f}__max")]
+    return _inline(df.agg(*aggs), features, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
-def quantiles(df: DataFrame, features, qs=(0.1, 0.25, 0.5, 0.75, 0.9), prefix: str = "q",
-              exact: bool | None = None, nd: int = 2) -> DataFrame:
+def quantiles(df: DataFrame, features, qs=(0.1, 0.25, 0.5, 0.75, 0.9), prefix: str = "q", nd: int = 2) -> DataFrame:
     """Long table (feature, {prefix}10, {prefix}25, ...) of quantiles."""
-    exact = use_exact(df, exact)
     names = [f"{prefix}{int(round(q * 100))}" for q in qs]
-    wide = df.agg(*[_q(F.col(f), list(qs), exact).alias(f"{f}__arr") for f in features])
-    wide = wide.select(*[_r(F.col(f"{f}__arr")[i], nd).alias(f"{f}__{n}")
-                         for f in features for i, n in enumerate(names)])
-    return _inline(wide, features, names)
+    found = select_quantiles(df, _columns(features), list(qs))[None]
+    rows = df.sparkSession.createDataFrame([(f, *found[f]) for f in features], ", ".join(["feature string", *(f"{n} double" for n in names)]))
+    return rows.select("feature", *[_r(F.col(n), nd).alias(n) for n in names])
 
 
-def quantile_compare(df: DataFrame, subset: Column, features=PROFILE_FEATURES,
-                     qs=(0.1, 0.25, 0.5, 0.75, 0.9), exact: bool | None = None) -> DataFrame:
+def quantile_compare(df: DataFrame, subset: Column, features=PROFILE_FEATURES, qs=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Quantiles of a subset next to the whole table, aligned on the feature name."""
-    exact = use_exact(df, exact)
-    sub = quantiles(df.filter(subset), features, qs, "subset_q", exact)
-    allq = quantiles(df, features, qs, "all_q", exact)
-    return sub.join(allq, on="feature", how="full")
+    sub = quantiles(df.filter(subset), features, qs, "subset_q")
+    return sub.join(quantiles(df, features, qs, "all_q"), on="feature", how="full")
 
 
 def cohens_d(df: DataFrame, subset: Column, features=PROFILE_FEATURES) -> DataFrame:
@@ -137,20 +114,19 @@ def cohens_d(df: DataFrame, subset: Column, features=PROFILE_FEATURES) -> DataFr
             .orderBy(F.desc_nulls_last("abs_d"), "feature"))
 
 
-def share_above_quantile(df: DataFrame, subset: Column, features, q: float = 0.75,
-                         exact: bool | None = None) -> DataFrame:
-    """Share of the subset and of all rows above the overall q-quantile (two passes).
+def share_above_quantile(df: DataFrame, subset: Column, features, q: float = 0.75) -> DataFrame:
+    """Share of the subset and of all rows above the overall q-quantile.
 
-    The thresholds are a handful of scalars; they are collected once and
-    applied as literals in the second (conditional-average) pass.
+    The thresholds are a handful of scalars, applied as literals in the
+    conditional-average pass.
     """
-    exact = use_exact(df, exact)
-    thr_row = df.agg(*[_q(F.col(f), q, exact).alias(f) for f in features]).first()
+    found = select_quantiles(df, _columns(features), [q])[None]
+    thr_row = {f: found[f][0] for f in features}
     flag = F.coalesce(subset, F.lit(False))
     aggs = []
     for f in features:
-        above = F.when(F.col(f) > F.lit(thr_row[f]), 1.0).otherwise(0.0)
-        aggs += [F.lit(thr_row[f]).alias(f"{f}__q_all"),
+        above = F.when(nan_to_null(f) > _optional(thr_row[f]), 1.0).otherwise(0.0)
+        aggs += [_optional(thr_row[f]).alias(f"{f}__q_all"),
                  _r(F.avg(F.when(flag, above))).alias(f"{f}__share_subset_above"),
                  _r(F.avg(above)).alias(f"{f}__share_all_above")]
     return _inline(df.agg(*aggs), features, ["q_all", "share_subset_above", "share_all_above"])
@@ -182,26 +158,25 @@ def missed_vs_caught(df: DataFrame, pred: str = "pred", label: str = LABEL,
 
 
 def missed_profile(df: DataFrame, pred: str = "pred", label: str = LABEL,
-                   features=("power_w", "temp_diff_k", "strain_load"), exact: bool | None = None) -> DataFrame:
+                   features=("power_w", "temp_diff_k", "strain_load")) -> DataFrame:
     """Descriptive profile of the false negatives."""
-    return describe(df.filter((F.col(label) == 1) & (F.col(pred) == 0)), list(features), exact)
+    return describe(df.filter((F.col(label) == 1) & (F.col(pred) == 0)), list(features))
 
 
-def box_stats(df: DataFrame, group: str, features, exact: bool | None = None) -> DataFrame:
+def box_stats(df: DataFrame, group: str, features) -> DataFrame:
     """Box/violin data per group: quartiles, IQR, whiskers at 1.5*IQR, outlier count.
 
-    Pass 1 aggregates quartiles per group (tiny result); pass 2 joins it back
-    (broadcast: one row per group) and finds the whiskers as min/max inside
-    the fences.
+    The quartiles (a few scalars per group) come from the quantile selection;
+    one more pass finds the whiskers as min/max inside the fences. Rows without
+    a group value are left out.
     """
-    exact = use_exact(df, exact)
-    q = df.groupBy(group).agg(*[_q(F.col(f), [0.25, 0.5, 0.75], exact).alias(f"{f}__qs") for f in features])
-    q = q.select(group, *[x for f in features for x in (
-        F.col(f"{f}__qs")[0].alias(f"{f}__q1"), F.col(f"{f}__qs")[1].alias(f"{f}__median"),
-        F.col(f"{f}__qs")[2].alias(f"{f}__q3"))])
-    # quartile table: one row per group value; AQE broadcasts it at runtime when it is small
-    joined = df.select(group, *[F.col(f).cast("double").alias(f) for f in features]) \
-        .join(q, on=group, how="inner")
+    rows = df.select(group, *[nan_to_null(F.col(f).cast("double")).alias(f) for f in features]).filter(F.col(group).isNotNull())
+    found = select_quantiles(rows, _columns(features), [0.25, 0.5, 0.75], group)
+    table = [(key, *[v for f in features for v in values[f]]) for key, values in found.items()]
+    kind = rows.schema[group].dataType.simpleString()
+    fields = ", ".join([f"`{group}` {kind}", *(f"`{f}__{n}` double" for f in features for n in ("q1", "median", "q3"))])
+    q = df.sparkSession.createDataFrame(table, fields)
+    joined = rows.join(F.broadcast(q), on=group, how="inner")  # a row per group, held by the driver already
     aggs = []
     for f in features:
         q1, q3 = F.col(f"{f}__q1"), F.col(f"{f}__q3")
@@ -227,11 +202,6 @@ def resample_summary(df: DataFrame, label: str = LABEL) -> DataFrame:
                   _r(F.lit(100.0) * F.sum(F.col(label)) / F.count(F.lit(1))).alias("failure_pct"))
 
 
-def subtype_flag_counts(df: DataFrame) -> DataFrame:
-    return df.agg(*[F.sum(F.col(f)).cast("bigint").alias(f"n_{f}") for f in FLAG_COLS],
-                  F.count(F.lit(1)).alias("n"))
-
-
 def zscores_against(df: DataFrame, population: DataFrame, features, nd: int | None = 3,
                     keep=("unit_id",)) -> DataFrame:
     """z-score every row of ``df`` against the mean/std (0 -> 1) of a reference population.

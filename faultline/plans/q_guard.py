@@ -234,7 +234,7 @@ def q_confusion_matrix(spark, sf):
 
 @query("class_report", with_fixture("""
 SELECT CAST(cls AS VARCHAR) AS class, round(precision, 6) AS precision, round(recall, 6) AS recall,
-  round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pc WHERE support > 0
+  round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pc
 UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pc
 UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
   CAST(sum(support) AS BIGINT) FROM pc

@@ -15,7 +15,7 @@ SEED = 42
 
 
 def _h(expr: str) -> str:
-    return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({expr}), 1, 15))::BIGINT"
 
 
 @query("stratified_split", with_fixture(

@@ -59,7 +59,7 @@ def test_model_persistence(spark):
 def test_guard_persistence(spark):
     from faultline.operators import guard as gd
     t = telemetry(spark, SF_SMALL)
-    m = gd.fit_guard(t, forest=True, forest_params={"sample_cap": 64})
+    m = gd.fit_guard(t, forest=True, forest_params={"max_depth": 5})
     d = tempfile.mkdtemp(prefix="faultline-guard-")
     gd.save_guard(m, spark, d)
     again = gd.load_guard(spark, d)

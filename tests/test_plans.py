@@ -21,6 +21,6 @@ def test_guard_report_scans_one_column(spark, capsys):
 
 
 def test_describe_is_one_aggregate(spark, capsys):
-    plan = _plan(st.describe(telemetry(spark, SF_SMALL), ["rpm", "power_w"], exact=True), capsys)
+    plan = _plan(st.describe(telemetry(spark, SF_SMALL), ["rpm", "power_w"]), capsys)
     # formatted plans list each operator once in the details section: "(n) Exchange"
     assert len(re.findall(r"^\(\d+\) Exchange", plan, flags=re.M)) == 1

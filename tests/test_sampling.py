@@ -13,7 +13,7 @@ from faultline.sources.telemetry import telemetry
 def test_dense_index_is_a_permutation(spark):
     df = spark.range(0, 5000).withColumnRenamed("id", "unit_id").withColumn("g", F.col("unit_id") % 3)
     for restart in (True, False):
-        idx = sm.dense_index(df, sm.md5_key(F.col("unit_id"), 7), ["g"], restart=restart, digits=2)
+        idx = sm.dense_index(df, sm.md5_key(F.col("unit_id"), 7), ["g"], restart=restart)
         if restart:
             agg = idx.groupBy("g").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"),
                                        F.countDistinct("idx").alias("d"), F.count(F.lit(1)).alias("n")).collect()
@@ -82,18 +82,6 @@ def test_smote_balances_and_interpolates(spark):
         assert r[0] >= mins[f] - 1e-9 and r[1] <= maxs[f] + 1e-9
 
 
-def test_approximate_stats_path(spark):
-    """exact=False (bounded-memory quantiles for very large tables) stays close to exact."""
-    from faultline.operators import stats as st
-    t = fe.encode_type(telemetry(spark, SF_SMALL))
-    ex = {r.feature: r for r in st.describe(t, ["rpm", "power_w"], exact=True).collect()}
-    ap = {r.feature: r for r in st.describe(t, ["rpm", "power_w"], exact=False).collect()}
-    for f in ("rpm", "power_w"):
-        assert ex[f]["count"] == ap[f]["count"] and ex[f]["mean"] == ap[f]["mean"]
-        spread = ex[f]["max"] - ex[f]["min"]
-        assert abs(ex[f]["q50"] - ap[f]["q50"]) <= 0.01 * spread
-
-
 def test_resample_falls_back_to_uniform(spark):
     """A class target below its size -> uniform draws of the whole table, still exactly N rows."""
     rows = [(i, 1 if i < 60 else 0) for i in range(100)]
@@ -112,9 +100,27 @@ def test_smote_rejects_missing_features(spark):
         smote(df, ["a", "b"])
 
 
-def test_bucket_sizing_grows_with_data():
-    assert sm.digits_for(10_000) == 1
-    assert sm.digits_for(10 ** 9) == 3
-    assert sm.digits_for(10 ** 12) == 5          # ~1M buckets of ~1M rows
-    assert 10 ** 12 / 16 ** sm.digits_for(10 ** 12) <= 2_000_000
-    assert sm.digits_for(10 ** 15) == 6          # capped
+def test_draws_reach_every_row_of_a_huge_table(spark):
+    n = 10 ** 11
+    pos = [r.pos for r in sm._draws(spark, 20_000, n, 42).collect()]
+    assert min(pos) >= 0 and max(pos) < n and max(pos) > 2 ** 32
+    share = [sum(k * n // 10 <= p < (k + 1) * n // 10 for p in pos) / len(pos) for k in range(10)]
+    assert all(0.08 < s < 0.12 for s in share)
+
+
+def test_fallback_keeps_each_drawn_row(spark):
+    rows = [(i, f"P{i}", 1 if i < 60 else 0, int(i % 7 == 0 and i < 60)) for i in range(100)]
+    df = spark.createDataFrame(rows, "unit_id LONG, product_id STRING, machine_failure INT, twf INT").withColumns({c: F.lit(0) for c in ("hdf", "pwf", "osf", "rnf")})
+    for r in sm.resample_to(df, 150).collect():
+        assert (r.product_id, r.machine_failure, r.twf) == rows[r.source_unit_id][1:]
+
+
+def test_top_up_adds_rows_with_keys_of_their_own(spark):
+    df = spark.createDataFrame([(i, i % 4 == 0, 0, i) for i in range(40)], "draw_id LONG, f BOOLEAN, is_draw INT, value LONG") \
+        .withColumn("machine_failure", F.col("f").cast("int")).drop("f")
+    df = df.unionByName(df.filter("draw_id < 9").withColumn("is_draw", F.lit(1)))
+    out = sm.top_up(df, 100)
+    assert out.count() == 100 and out.select("is_draw", "machine_failure", "draw_id").distinct().count() == 100
+    assert out.filter("is_draw < 2").exceptAll(df).count() == 0
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, sm.top_up(df.repartition(3), 100).collect()))
+    assert sm.top_up(df, 10).count() == df.count()

@@ -31,7 +31,7 @@ from faultline.functions.labels import failure_code
 from faultline.operators.features import align_to, labelled_failures
 from faultline.operators.sampling import dense_index, md5_key
 from faultline.schema import FLAG_COLS, KEY, LABEL, MODEL_FEATURES, PHYSICS_ALIASES
-from faultline.session import spread
+from faultline.session import for_training
 
 SEED = 42
 THRESHOLD = 0.25
@@ -88,7 +88,7 @@ def fit_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL,
                  n_draws: int = 4, folds: int = 3, algo: str = "gbt", params: dict | None = None,
                  seed: int = SEED, parallelism: int | None = None) -> Detector:
     """Stage 1: binary detector (GBT; ``algo='rf'`` for the forest alternative)."""
-    data = spread(train.select(F.col(label).cast("double").alias("label"),
+    data = for_training(train.select(F.col(label).cast("double").alias("label"),
                                *[F.col(f).cast("double").alias(f) for f in features]))
     if algo == "gbt":
         clf = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **TREE_KNOBS)
@@ -151,7 +151,7 @@ def fit_diagnoser(failures: DataFrame, features=MODEL_FEATURES, num_trees: int =
                   seed: int = SEED) -> Diagnoser:
     """Stage 2: class-weighted random forest on labelled failures."""
     w = F.broadcast(class_weights(failures).select("failure_type", "class_weight"))  # <= 5 rows
-    data = spread(failures.join(w, "failure_type").select(
+    data = for_training(failures.join(w, "failure_type").select(
         F.col("failure_type").cast("double").alias("label"), "class_weight",
         *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0, subset=list(features)))
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="class_weight",
@@ -205,12 +205,14 @@ def tree_rules(model, features) -> list[tuple]:
 
 def pwf_rules(df: DataFrame, features, target: str = "PWF", depth: int = 2, folds: int = 5, seed: int = SEED):
     """Depth-2 tree separating one failure type from the other labelled rows; rules + CV F1."""
-    data = df.select(F.when(F.col("failure_type") == target, 1.0).otherwise(0.0).alias("label"),
-                     *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0)
+    data = for_training(df.select(F.when(F.col("failure_type") == target, 1.0).otherwise(0.0).alias("label"),
+                                  *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0))
     dt = DecisionTreeClassifier(labelCol="label", featuresCol="features", maxDepth=depth, seed=seed, **TREE_KNOBS)
     pipe = Pipeline(stages=[*assemble(features, scaled=False), dt])
     model = pipe.fit(data)
     rules = tree_rules(model.stages[-1], list(features))
+    if not folds:
+        return rules, None
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=ev, numFolds=folds, seed=seed)
     f1 = cv.fit(data).avgMetrics[0]

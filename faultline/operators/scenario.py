@@ -52,7 +52,6 @@ PRESETS = [
     Drift("custom", wear_rate=3.0, gap_rate=0.5, gap_floor=0.5, power_growth=0.02, strain_growth=0.02),
 ]
 DEFAULT_STEPS = 20
-MIN_STEPS, MAX_STEPS = 5, 50
 
 # Fixed stress cases (wear, torque, strain overrides on the population mean).
 STRESS_CASES = [
@@ -103,8 +102,8 @@ def _drift_struct(d: Drift) -> Column:
 
 def project(start: DataFrame, drifts=PRESETS, steps: int = DEFAULT_STEPS) -> DataFrame:
     """Trajectory rows (…, scenario, step, rpm, torque_nm, tool_wear_min, power_w, temp_diff_k, strain_load)."""
-    if not MIN_STEPS <= steps <= MAX_STEPS:
-        raise ValueError(f"steps must be in [{MIN_STEPS}, {MAX_STEPS}]")
+    if steps < 1:
+        raise ValueError("a trajectory has at least one step")
     for d in drifts:
         if d.wear_rate < 0 or d.gap_rate < 0:
             raise ValueError("closed form needs non-negative wear and gap rates")

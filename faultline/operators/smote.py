@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from faultline.functions.draws import hash60, uniform
 from faultline.operators.sampling import dense_index, md5_key
 from faultline.schema import KEY, LABEL
-from faultline.session import cut_lineage, spread
+from faultline.session import cut_lineage
 
 
 _DEBUG = False
@@ -68,8 +68,7 @@ def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str
     lo = [st[f"{d}__lo"] for d in dims]
     spans = [max(st[f"{d}__hi"] - st[f"{d}__lo"], 1e-9) for d in dims]
     w = max((math.prod(spans) / max(1.0, n / per_cell)) ** (1.0 / nd), 1e-9)
-    vec = spread(vec.withColumns({f"_g{i}": F.floor((F.col(d) - F.lit(lo[i])) / F.lit(w)).cast("long")
-                                  for i, d in enumerate(dims)}))
+    vec = vec.withColumns({f"_g{i}": F.floor((F.col(d) - F.lit(lo[i])) / F.lit(w)).cast("long") for i, d in enumerate(dims)})
     cand = vec.select(F.col("_vid").alias("nb_vid"), F.col("_m").alias("_qm"),
                       *[F.col(f).alias(f"_q_{f}") for f in features], *[f"_g{i}" for i in range(nd)])
     offs = list(itertools.product((-1, 0, 1), repeat=nd))

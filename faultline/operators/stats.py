@@ -87,10 +87,10 @@ def quantiles(df: DataFrame, features, qs=(0.1, 0.25, 0.5, 0.75, 0.9), prefix: s
     return rows.select("feature", *[_r(F.col(n), nd).alias(n) for n in names])
 
 
-def quantile_compare(df: DataFrame, subset: Column, features=PROFILE_FEATURES, qs=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+def quantile_compare(df: DataFrame, subset: Column, features=PROFILE_FEATURES, qs=(0.1, 0.25, 0.5, 0.75, 0.9), nd: int = 2) -> DataFrame:
     """Quantiles of a subset next to the whole table, aligned on the feature name."""
-    sub = quantiles(df.filter(subset), features, qs, "subset_q")
-    return sub.join(quantiles(df, features, qs, "all_q"), on="feature", how="full")
+    sub = quantiles(df.filter(subset), features, qs, "subset_q", nd)
+    return sub.join(quantiles(df, features, qs, "all_q", nd), on="feature", how="full")
 
 
 def cohens_d(df: DataFrame, subset: Column, features=PROFILE_FEATURES) -> DataFrame:

@@ -48,6 +48,13 @@ def q_guard_forest_report(spark, sf):
     return gd.detection_report(m.transform(t), layers=("l1_stats", "l2_physics", "l3_isolation"))
 
 
+@query("guard_forest_crosstab")
+def q_guard_forest_crosstab(spark, sf):
+    """Verdict of all three layers against the label."""
+    t, m = forest_guard(spark, sf)
+    return gd.crosstab(m.transform(t))
+
+
 @query("guard_forest_probes")
 def q_guard_forest_probes(spark, sf):
     _, m = forest_guard(spark, sf)

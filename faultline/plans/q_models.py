@@ -66,7 +66,8 @@ class Bundle:
 
     @cached_property
     def guard(self) -> gd.GuardModel:
-        return gd.fit_guard(self.table)
+        """All three layers, as in batch scoring."""
+        return gd.fit_guard(self.table, forest=True)
 
 
 _CACHE: dict = {}
@@ -131,6 +132,28 @@ def q_detector_scores(spark, sf):
     return mt.summary_scores(_detector_test(spark, sf), LABEL, "detector_pred", classes=[0, 1])
 
 
+@query("detector_default_report")
+def q_detector_default_report(spark, sf):
+    """Report on the default class decision (probability 0.5), the published measure."""
+    return mt.class_report(_detector_test(spark, sf), LABEL, "detector_default", classes=[0, 1])
+
+
+@query("detector_default_confusion")
+def q_detector_default_confusion(spark, sf):
+    return mt.confusion_long(_detector_test(spark, sf), LABEL, "detector_default", classes=[0, 1])
+
+
+@query("detector_default_scores")
+def q_detector_default_scores(spark, sf):
+    return mt.summary_scores(_detector_test(spark, sf), LABEL, "detector_default", classes=[0, 1])
+
+
+@query("detector_missed_vs_caught")
+def q_detector_missed_vs_caught(spark, sf):
+    """Average physics values of the failures that the detector misses and catches."""
+    return st.missed_vs_caught(_detector_test(spark, sf), pred="detector_pred")
+
+
 @query("detector_gbt_report")
 def q_detector_gbt_report(spark, sf):
     """Boosted-tree detector (MLlib GBT) on the same SMOTE-balanced training split, test report."""
@@ -236,7 +259,7 @@ def q_pwf_decision_rules(spark, sf):
     t = fe.with_failure_name(telemetry(spark, sf))
     df = fe.encode_type(t).filter(F.col("failure_type") != "NoLabel")
     rules, _ = md.pwf_rules(df, ["power_w", "temp_diff_k", "strain_load", "rpm", "torque_nm",
-                                 "tool_wear_min", "type_encoded"], folds=2)
+                                 "tool_wear_min", "type_encoded"], folds=0)
     return spark.createDataFrame(rules, "leaf INT, rule STRING, prediction DOUBLE")
 
 
@@ -290,5 +313,14 @@ def q_drift_risk_summary(spark, sf):
     # non-drifting inputs (air/process temperature, type) ride along as keys of the projection
     start = sc.latest_state(b.table, cols=MODEL_FEATURES)
     s = b.detector.transform(sc.project(start, sc.PRESETS))
-    s = b.guard.transform(s).withColumn("alert", F.col("detector_pred") == 1)
-    return sc.run_summary(s, "alert", risk="detector_prob")
+    return sc.run_summary(s.withColumn("alert", F.col("detector_pred") == 1), "alert", risk="detector_prob")
+
+
+@query("drift_step_scores")
+def q_drift_step_scores(spark, sf):
+    """Every machine x preset x step: failure probability, guard verdict of all layers and guard score."""
+    b = trained(spark, sf)
+    start = sc.latest_state(b.table, cols=MODEL_FEATURES)
+    s = b.guard.transform(b.detector.transform(sc.project(start, sc.PRESETS)))
+    return s.select("machine_id", "scenario", "step", _r6("detector_prob"), "detector_pred", "l1_stats", "l2_physics", "l3_isolation",
+                    "anomaly", _r6("anomaly_score"))

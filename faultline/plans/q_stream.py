@@ -1,4 +1,4 @@
-"""Streaming queries (S1, S2): the stream is the telemetry table landed as time-ordered files.
+"""Streaming queries (S1, S2): the stream is the given ``events`` table, telemetry derived on it.
 
 Both return the sink contents as a batch DataFrame, so they are checked like
 any other query: S1 must equal the batch guard + rules; S2 equals a batch
@@ -11,6 +11,7 @@ from faultline.operators import guard as gd
 from faultline.plans.fixture import with_fixture
 from faultline.plans.q_guard import SCORED_CTES
 from faultline.plans.registry import query
+from faultline.session import scratch_path
 from faultline.sources.telemetry import telemetry
 from faultline.streaming import telemetry_stream as ts
 
@@ -19,20 +20,13 @@ _RULE_SQL = ("COALESCE(temp_diff_k < 7, FALSE) OR COALESCE((tool_wear_min > 200
 _ALERTS = ("alerts", f"SELECT *, ({_RULE_SQL}) AS rule_alert, anomaly OR ({_RULE_SQL}) AS alert FROM verdicts")
 
 
-def _staged(spark, sf):
-    t = telemetry(spark, sf)
-    path = ts.stage_files(t, ts.scratch(spark, "telemetry"), n_files=8)
-    return t, path
-
-
 @query("stream_scoring", with_fixture(
     "SELECT unit_id, l1_stats, l2_physics, anomaly, rule_alert, alert FROM alerts", *SCORED_CTES, _ALERTS))
 def q_stream_scoring(spark, sf):
-    """Score a telemetry stream with the guard fitted on the batch table (micro-batches of 1 file)."""
-    t, path = _staged(spark, sf)
-    model = gd.fit_guard(t)
-    stream = ts.read(spark, path, t.schema)
-    out = ts.scratch(spark, "scored")
+    """Score a telemetry stream with the guard fitted on the batch table ."""
+    model = gd.fit_guard(telemetry(spark, sf))
+    stream = ts.telemetry_stream(spark, sf)
+    out = scratch_path(spark, "stream-scored")
     ts.drain(ts.score(stream, model).select("unit_id", "l1_stats", "l2_physics", "anomaly", "rule_alert",
                                            "alert"), out)
     return spark.read.parquet(out)
@@ -47,10 +41,9 @@ WHERE window_end <= (SELECT max(ts) FROM telemetry) - INTERVAL 1 HOUR
 GROUP BY machine_id, window_start, window_end""", *SCORED_CTES, _ALERTS))
 def q_stream_alert_windows(spark, sf):
     """Daily alert rate per machine; 1-hour watermark; only windows the watermark has closed."""
-    t, path = _staged(spark, sf)
-    model = gd.fit_guard(t)
-    stream = ts.read(spark, path, t.schema)
-    out = ts.scratch(spark, "windows")
+    model = gd.fit_guard(telemetry(spark, sf))
+    stream = ts.telemetry_stream(spark, sf)
+    out = scratch_path(spark, "stream-windows")
     ts.drain(ts.alert_windows(ts.score(stream, model)), out)
     return spark.read.parquet(out)
 
@@ -65,10 +58,9 @@ WHERE window_end <= (SELECT max(ts) FROM telemetry) - INTERVAL 1 HOUR
 GROUP BY machine_id, window_start, window_end""", *SCORED_CTES, _ALERTS))
 def q_stream_alert_windows_sliding(spark, sf):
     """Alert rate per machine over 1-day windows sliding every 12 hours; 1-hour watermark."""
-    t, path = _staged(spark, sf)
-    model = gd.fit_guard(t)
-    stream = ts.read(spark, path, t.schema)
-    out = ts.scratch(spark, "sliding")
+    model = gd.fit_guard(telemetry(spark, sf))
+    stream = ts.telemetry_stream(spark, sf)
+    out = scratch_path(spark, "stream-sliding")
     ts.drain(ts.alert_windows(ts.score(stream, model), "1 day", slide="12 hours"), out)
     return spark.read.parquet(out)
 
@@ -83,9 +75,8 @@ GROUP BY machine_id, sid
 HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM telemetry) - INTERVAL 1 HOUR""", *SCORED_CTES, _ALERTS))
 def q_stream_alert_sessions(spark, sf):
     """Alert rate per machine activity session (12-hour inactivity gap); 1-hour watermark."""
-    t, path = _staged(spark, sf)
-    model = gd.fit_guard(t)
-    stream = ts.read(spark, path, t.schema)
-    out = ts.scratch(spark, "sessions")
+    model = gd.fit_guard(telemetry(spark, sf))
+    stream = ts.telemetry_stream(spark, sf)
+    out = scratch_path(spark, "stream-sessions")
     ts.drain(ts.alert_windows(ts.score(stream, model), session_gap="12 hours"), out)
     return spark.read.parquet(out)

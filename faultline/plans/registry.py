@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 def _load_all():
     # import for side effects: each module registers its queries
     from faultline.plans import q_features, q_stats, q_guard, q_sampling, q_scenarios  # noqa: F401
-    from faultline.plans import q_forest, q_models, q_stream  # noqa: F401
+    from faultline.plans import q_forest, q_models, q_stream, q_tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -92,15 +92,10 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, min_partitions: int | None = None):
-    """Give CPU-heavy consumers (tree training, Arrow-batched Python) every core.
+#: Partitions of training rows; models that draw per partition depend on it, so it is the same on every cluster.
+TRAIN_PARTITIONS = 64
 
-    Small inputs arrive as one partition (a single parquet row group, or a
-    shuffle that AQE coalesced); a round-robin repartition then spreads the
-    work. On a cluster reading large tables the frame already has more
-    partitions than cores and this is a no-op.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+
+def for_training(df, partitions: int = TRAIN_PARTITIONS):
+    """Rows dealt and sorted by their own values, so that a fitted model does not depend on the machine."""
+    return df.repartition(partitions, *df.columns).sortWithinPartitions(*df.columns)

@@ -1,13 +1,12 @@
 """Structured Streaming: score telemetry as it arrives, aggregate alerts per machine.
 
-* ``stage_files`` lands a telemetry table as ``n_files`` parquet files in
-  event-time order (one append job per time slice, so the file source reads
-  them oldest first) — a stand-in for an upstream writer.
-* ``score`` applies the batch-fitted guard (L1 + L2) and the rules to a
-  stream: stateless Column expressions, identical to the batch plan.
-* ``alert_windows`` is the stateful part: event-time tumbling windows per
-  machine with a watermark, so state for closed windows is dropped and late
-  rows (older than the watermark) are discarded.
+* ``telemetry_stream`` reads a folder (or file) of ``events`` as a stream and
+  derives the sensor readings on it, a pure projection.
+* ``score`` applies the batch-fitted guard (L1 + L2, and L3 if fitted) and the
+  rules to a stream: no state, the batch expressions.
+* ``alert_windows`` is the stateful part: event-time windows per machine with
+  a watermark, so state for closed windows is dropped and late rows (older
+  than the watermark) are discarded.
 * ``drain`` runs a query with ``trigger(availableNow=True)`` into a parquet
   sink with its checkpoint in the shared checkpoint folder (exactly-once file
   sink; a restarted driver resumes from the checkpoint).
@@ -15,38 +14,21 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.guard import GuardModel
 from faultline.operators.rules import heat_rule, overstrain_rule
-from faultline.session import checkpoint_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def stage_files(df: DataFrame, path: str, n_files: int = 8, ts: str = "ts") -> str:
-    """Write ``df`` as ``n_files`` event-time-ordered parquet files (one append per slice)."""
-    bounds = df.agg(F.min(F.col(ts).cast("timestamp").cast("double")).alias("lo"),
-                    F.max(F.col(ts).cast("timestamp").cast("double")).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    width = max((hi - lo) / n_files, 1e-6)
-    slice_of = F.least(F.floor((F.col(ts).cast("timestamp").cast("double") - F.lit(lo)) / F.lit(width)),
-                       F.lit(n_files - 1))
-    tagged = df.withColumn("_slice", slice_of)
-    for i in range(n_files):  # n_files small writes, in event-time order
-        tagged.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
-    return path
+from faultline.sources.telemetry import table_path, telemetry_from_events
 
 
-def read(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def telemetry_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The telemetry of ``events`` as a stream; ``max_files`` per micro-batch (default: all that is there)."""
+    reader = spark.readStream.schema(spark.read.parquet(table_path(sf_dir, "events")).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # a pattern, because a stream takes a single file only by pattern
+    return telemetry_from_events(reader.parquet(table_path(sf_dir, "event[s]")).select("event_id", "user_id", "ts"))
 
 
 def score(stream: DataFrame, guard: GuardModel) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from faultline.session import ship_package
 
 #: One task handles at most this much text at once (bytes), however many rows Spark puts in a batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ MAGIC = b"TOKSTOR1"
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 16 << 10, 64 << 10
 LEVEL = 3
 #: Texts (bytes) that a writing task handles at once.
-WRITE_BYTES = 4 << 20
+WRITE_BYTES = 2 << 20
 
 
 def _open(path: str):

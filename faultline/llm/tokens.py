@@ -17,14 +17,15 @@ from itertools import islice
 import numpy as np
 
 #: Words whose ids a worker remembers.
-KNOWN_WORDS = 1_100_000
+KNOWN_WORDS = 400_000
 
 #: White space of Unicode (fixed values), as text and as a search in UTF-8 for all but single ASCII ones.
 SPACES = "\t-\r \x85\xa0  -     　"
 UNUSUAL = re.compile(rb"[\t-\r ][\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: A run of white space leaves its last space to the word that follows.
 UNIT = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-MARK, CUT = "\x01", "\x00"
+#: Separators (texts that hold them are encoded whole), and ASCII punctuation.
+MARK, CUT, PUNCTUATION = b"\1", b"\0", frozenset(string.punctuation.encode())
 #: A word that ends in a Latin letter or digit, and the punctuation after it.
 STEM = re.compile("(.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])([" + re.escape(string.punctuation) + "]+)", re.S)
 
@@ -39,7 +40,7 @@ class WordTokens:
 
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
         self.lower = lower  # the vocabulary drops white space and case, else it keeps both
-        self.mark = self.direct(MARK)
+        self.mark = self.direct(MARK.decode())
         assert len(self.mark) == 4
         self.known: dict[bytes, bytes] = {}
 
@@ -47,41 +48,51 @@ class WordTokens:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def units(self, text: bytes) -> list[bytes]:
-        """Parts of a text whose ids, put together, are those of the text."""
+        """Keys of the parts of a text whose ids, put together, are those of the text.
+
+        A key is the part itself or, where spaces count, the part without the
+        space it starts with; parts without such a space have CUT before them.
+        """
         if self.lower:
             return text.lower().split()
         if UNUSUAL.search(text):
-            return [u.encode() for u in UNIT.findall(text.decode())]
-        return text.replace(b" ", b"\0 ").split(b"\0")
-
-    def learn(self, words: list[bytes]) -> None:
-        """Ask the library for words that are not known; a stem and its punctuation are asked for apart."""
-        ask, joined = {}, []
-        for w in words:
-            m = STEM.fullmatch(w.decode())
+            return [u[1:].encode() if u[0] == " " else CUT + u.encode() for u in UNIT.findall(text.decode())]
+        out = text.split(b" ")
+        out[0] = CUT + out[0]
+        if out[0] == CUT:
+            del out[0]
+        return out
+
+    def part(self, key: bytes) -> bytes:
+        return key if self.lower else key[1:] if key[:1] == CUT else b" " + key
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Ask the library for parts that are not known; a stem and its punctuation are asked for apart."""
+        ask, joined, known, bare = {}, [], self.known, b"" if self.lower else CUT
+        for w in keys:
+            m = STEM.fullmatch(w.decode()) if w and w[-1] in PUNCTUATION else None
             if m:
-                stem, rest = m[1].encode(), m[2].encode()
+                stem, rest = m[1].encode(), bare + m[2].encode()
                 joined.append((w, stem, rest))
-                ask |= {part: None for part in (stem, rest) if part not in self.known}
-            elif not self.lower and not w.strip():
-                self.known[w] = self.direct(w.decode())
+                ask |= {x: None for x in (stem, rest) if x not in known}
             else:
                 ask[w] = None
         if not self.lower:  # punctuation first, or white space last, would join the separator
-            for w in [w for w in ask if not (w[0] == 32 or w[:1].isalnum()) or w.decode()[-1].isspace()]:
-                self.known[w] = self.direct(w.decode())
-                del ask[w]
+            for w in [w for w in ask if not w or w == CUT or (w[:1] == CUT and not w[1:2].isalnum()) or not (w[-1:].isalnum() or w[-1] in PUNCTUATION)]:
+                if not w or w[:1] == CUT or w.decode()[-1].isspace():
+                    known[w] = self.direct(self.part(w).decode())
+                    del ask[w]
         if ask:
-            mark = MARK.encode()
-            text = (b" " + mark + b" " if self.lower else mark).join([*ask, b""])
+            sep = b" " + MARK + b" " if self.lower else MARK
+            text = sep.join([*map(self.part, ask), b""])
             ids = np.array(self.tok.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
             end = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
             if len(end) != len(ask):
                 raise RuntimeError("the tokenizer merged a separator")
             raw, start = ids.tobytes(), [0, *((end[:-1] + 1) * 4).tolist()]
-            self.known.update(zip(ask, (raw[a:b] for a, b in zip(start, (end * 4).tolist()))))
+            known.update(zip(ask, (raw[a:b] for a, b in zip(start, (end * 4).tolist()))))
         for w, stem, rest in joined:
-            self.known[w] = self.known[stem] + self.known[rest]
+            known[w] = known[stem] + known[rest]
 
     def blobs(self, texts: list) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
@@ -89,7 +100,7 @@ class WordTokens:
         get = known.get
         for raw in texts:
             text = bytes(raw) if raw else b""
-            if b"<|" in text or b"\1" in text or b"\0" in text:
+            if b"<|" in text or MARK in text or CUT in text:
                 got.append([self.direct(text.decode())])
                 open_at.append(())
                 continue

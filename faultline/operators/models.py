@@ -221,22 +221,20 @@ def pwf_rules(df: DataFrame, features, target: str = "PWF", depth: int = 2, fold
 
 def permutation_importance(df: DataFrame, scorer, features, label: str, repeats: int = 10, seed: int = SEED,
                            key: str = KEY) -> DataFrame:
-    """Mean accuracy drop when one feature column is permuted (repeats x features copies).
+    """Mean accuracy drop when one feature column is permuted.
 
-    The permutation of feature f in repeat r maps dense position p to the row
-    at dense position rank(md5(p|f|r)) — a seeded shuffle built with joins.
-    All (feature, repeat) copies are scored in one ``transform``.
+    Repeat r maps the row at dense position p to the row at rank(md5(p|r)) — a
+    seeded shuffle built with joins, one for all features: ``repeats`` copies
+    of the table are moved. A copy becomes one row per feature only after the
+    join, in the stage that scores it.
     """
     base = dense_index(df, md5_key(F.col(key), seed), name="_pos", tiebreak=key)
     baseline = scorer(base).agg(F.avg((F.col("_pred") == F.col(label)).cast("double")).alias("acc")).first()["acc"]
-    copies = F.array(*[F.struct(F.lit(f).alias("_feat"), F.lit(r).alias("_rep"))
-                       for f in features for r in range(repeats)])  # features x repeats literals
-    expanded = base.select("_pos", F.explode(copies).alias("_c")).select("_pos", "_c.*")
-    perm_rows = dense_index(expanded, md5_key(F.col("_pos"), F.col("_feat"), F.col("_rep"), seed),
-                            ["_feat", "_rep"], restart=True, name="_src", tiebreak="_pos")
+    expanded = base.select("_pos", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("_rep"))
+    perm_rows = dense_index(expanded, md5_key(F.col("_pos"), F.col("_rep"), seed), ["_rep"], restart=True, name="_src", tiebreak="_pos")
     vals = base.select(F.col("_pos").alias("_src"), *[F.col(f).alias(f"_v_{f}") for f in features])
-    donors = perm_rows.join(vals, "_src")
-    rows = base.join(donors, "_pos")
+    rows = base.join(perm_rows.join(vals, "_src"), "_pos")
+    rows = rows.withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in features])))
     permuted = rows.withColumns({f: F.when(F.col("_feat") == f, F.col(f"_v_{f}")).otherwise(F.col(f))
                                  for f in features})
     acc = scorer(permuted).groupBy("_feat", "_rep").agg(

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions.draws import hash60, uniform
+from faultline.operators.quantiles import select_quantiles
 from faultline.operators.sampling import dense_index, md5_key
 from faultline.schema import KEY, LABEL
 from faultline.session import cut_lineage
@@ -66,7 +67,10 @@ def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str
     dims = sorted(features, key=lambda f: -(st[f"{f}__s"] or 0.0))[:3]
     nd = len(dims)
     lo = [st[f"{d}__lo"] for d in dims]
-    spans = [max(st[f"{d}__hi"] - st[f"{d}__lo"], 1e-9) for d in dims]
+    # the cell width follows the bulk of the vectors: one far outlier must not put all others in one cell
+    bulk = select_quantiles(vec, {d: F.col(d) for d in dims}, [0.05, 0.95])[None]
+    spans = [max(bulk[d][1] - bulk[d][0] if bulk[d][0] is not None else 0.0, 1e-9) for d in dims]
+    spans = [s if s > 1e-9 else max(st[f"{d}__hi"] - st[f"{d}__lo"], 1e-9) for s, d in zip(spans, dims)]
     w = max((math.prod(spans) / max(1.0, n / per_cell)) ** (1.0 / nd), 1e-9)
     vec = vec.withColumns({f"_g{i}": F.floor((F.col(d) - F.lit(lo[i])) / F.lit(w)).cast("long") for i, d in enumerate(dims)})
     cand = vec.select(F.col("_vid").alias("nb_vid"), F.col("_m").alias("_qm"),

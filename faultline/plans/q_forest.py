@@ -6,15 +6,12 @@ pytest properties (determinism, training flag rate ~ contamination, probes).
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
 from pyspark.sql import functions as F
 
 from faultline.operators import guard as gd
 from faultline.plans.registry import query
 from faultline.schema import GUARD_FEATURES, LABEL
-from faultline.session import cut_lineage
 from faultline.sources.telemetry import telemetry
 
 _CACHE: dict = {}
@@ -73,28 +70,40 @@ def q_forest_shape(spark, sf):
 
 
 def pca_view(df, features=GUARD_FEATURES, label=LABEL, k: int = 2):
-    """Standardise on all rows, fit PCA on healthy rows, project everyone (fit mean removed)."""
-    va = VectorAssembler(inputCols=list(features), outputCol="_raw")
-    scaled = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True)
-    x = va.transform(df)
-    x = scaled.fit(x).transform(x)
-    healthy = x.filter(F.col(label) == 0)
-    pca = PCA(k=k, inputCol="_z", outputCol="_pc").fit(healthy)
-    # Spark's PCA does not centre in transform: subtract the projected fit-set mean
-    mean = healthy.select(Summarizer.mean(F.col("_z")).alias("m")).first()["m"].toArray()
-    pcs = pca.pc.toArray()
-    shift = mean @ pcs
-    proj = pca.transform(x).withColumn("_p", vector_to_array("_pc"))
-    cols = [(F.col("_p")[i] - F.lit(float(shift[i]))).alias(f"pc{i + 1}") for i in range(k)]
-    return proj.select(*[c for c in df.columns if c not in features], *cols), pca.explainedVariance.toArray()
+    """Standardise on all rows, fit PCA on healthy rows, project everyone (fit mean removed).
+
+    One aggregate of counts, sums and cross products of all and of healthy rows
+    gives means, scales and the covariance; the projection is a linear
+    expression with literals. Each component's largest loading is positive.
+    """
+    healthy, d = F.col(label) == 0, len(features)
+    shift = df.agg(*[F.avg(f).alias(f) for f in features]).first()  # centred first: sums of squares stay accurate
+    x = [F.col(f).cast("double") - F.lit(shift[f]) for f in features]
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(F.when(healthy, 1)).alias("nh")]
+    for i in range(d):
+        aggs += [F.sum(x[i] * x[i]).alias(f"q{i}"), F.sum(F.when(healthy, x[i])).alias(f"s{i}")]
+        aggs += [F.sum(F.when(healthy, x[i] * x[j])).alias(f"p{i}_{j}") for j in range(i, d)]
+    r = df.agg(*aggs).first()
+    scale = np.sqrt(np.array([r[f"q{i}"] for i in range(d)]) / max(1, r.n - 1))
+    scale[scale == 0] = 1.0
+    mean = np.array([r[f"s{i}"] or 0.0 for i in range(d)]) / max(1, r.nh)
+    cross = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
+    cov = (cross - r.nh * np.outer(mean, mean)) / max(1, r.nh - 1) / np.outer(scale, scale)
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(d)])
+    cols = []
+    for c in range(k):
+        terms = [(x[i] - F.lit(float(mean[i]))) * F.lit(float(vectors[i, c] / scale[i])) for i in range(d)]
+        cols.append(sum(terms[1:], terms[0]).alias(f"pc{c + 1}"))
+    return df.select(*[c for c in df.columns if c not in features], *cols), (values / values.sum())[:k]
 
 
 @query("guard_pca")
 def q_guard_pca(spark, sf):
     t, m = forest_guard(spark, sf)
-    # PCA makes several passes (scaler, covariance, mean, projection): score the forest once
-    scored = cut_lineage(m.transform(t).select("unit_id", LABEL, "anomaly", *GUARD_FEATURES))
-    view, _ = pca_view(scored)
+    # the aggregates of the view read only features and label, so the forest scores each row once
+    view, _ = pca_view(m.transform(t).select("unit_id", LABEL, "anomaly", *GUARD_FEATURES))
     return view.select("unit_id", LABEL, "anomaly", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 

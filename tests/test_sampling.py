@@ -124,3 +124,12 @@ def test_top_up_adds_rows_with_keys_of_their_own(spark):
     assert out.filter("is_draw < 2").exceptAll(df).count() == 0
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, sm.top_up(df.repartition(3), 100).collect()))
     assert sm.top_up(df, 10).count() == df.count()
+
+
+def test_knn_is_exact_beside_a_far_outlier_and_a_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(150, 2)), 5 + rng.normal(scale=1e-4, size=(60, 2)), [[1e9, -1e9]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "unit_id LONG, a DOUBLE, b DOUBLE")
+    got = np.sort(knn_table(df, ["a", "b"], 5).toPandas()["dist"].to_numpy())
+    want = np.sort(np.concatenate([np.sort(np.sqrt(((x - p) ** 2).sum(axis=1)))[1:6] for p in x]))
+    assert np.allclose(got, want, rtol=1e-7)

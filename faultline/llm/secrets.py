@@ -26,7 +26,6 @@ from faultline.llm.common import map_texts
 # The base patterns, their kinds in order, and the least length of what must be long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "net")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")

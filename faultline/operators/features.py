@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.labels import any_flag, failure_code, failure_name, labelled_failure
+from faultline.functions.labels import failure_code, failure_name, labelled_failure
 from faultline.functions.physics import mechanical_power, thermal_gap, tool_strain, type_code
 from faultline.schema import (FAILURE_TYPES, FLAG_COLS, KEY, LABEL, SENSOR_COLS, missing_columns,
                               require_columns)

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from faultline.functions.labels import failure_code
 from faultline.operators.features import align_to, labelled_failures
 from faultline.operators.sampling import dense_index, md5_key
-from faultline.schema import FLAG_COLS, KEY, LABEL, MODEL_FEATURES, PHYSICS_ALIASES
+from faultline.schema import KEY, LABEL, MODEL_FEATURES, PHYSICS_ALIASES
 from faultline.session import for_training
 
 SEED = 42

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions.draws import hash60
-from faultline.functions.physics import mechanical_power
 
 TRAJ_COLS = ["rpm", "torque_nm", "tool_wear_min", "power_w", "temp_diff_k", "strain_load"]
 

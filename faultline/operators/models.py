@@ -205,16 +205,19 @@ def tree_rules(model, features) -> list[tuple]:
 
 def pwf_rules(df: DataFrame, features, target: str = "PWF", depth: int = 2, folds: int = 5, seed: int = SEED):
     """Depth-2 tree separating one failure type from the other labelled rows; rules + CV F1."""
-    data = for_training(df.select(F.when(F.col("failure_type") == target, 1.0).otherwise(0.0).alias("label"),
-                                  *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0))
+    data = df.select(KEY, F.when(F.col("failure_type") == target, 1.0).otherwise(0.0).alias("label"),
+                     *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0)
     dt = DecisionTreeClassifier(labelCol="label", featuresCol="features", maxDepth=depth, seed=seed, **TREE_KNOBS)
     pipe = Pipeline(stages=[*assemble(features, scaled=False), dt])
     model = pipe.fit(data)
     rules = tree_rules(model.stages[-1], list(features))
     if not folds:
         return rules, None
+    # stratified folds: each class dealt in turn, in the order of a hash of the key
+    data = dense_index(data, md5_key(F.col(KEY), seed), ["label"], name="fold", tiebreak=KEY)
+    data = data.withColumn("fold", (F.col("fold") % folds).cast("int"))
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=ev, numFolds=folds, seed=seed)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=ev, numFolds=folds, seed=seed, foldCol="fold")
     f1 = cv.fit(data).avgMetrics[0]
     return rules, f1
 

@@ -72,6 +72,8 @@ def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str
     spans = [max(bulk[d][1] - bulk[d][0] if bulk[d][0] is not None else 0.0, 1e-9) for d in dims]
     spans = [s if s > 1e-9 else max(st[f"{d}__hi"] - st[f"{d}__lo"], 1e-9) for s, d in zip(spans, dims)]
     w = max((math.prod(spans) / max(1.0, n / per_cell)) ** (1.0 / nd), 1e-9)
+    # the last cell of each dimension: a box certifies by covering all cells, not those of the bulk
+    last = [math.floor(((st[f"{d}__hi"] or 0.0) - (lo[i] or 0.0)) / w) for i, d in enumerate(dims)]
     vec = vec.withColumns({f"_g{i}": F.floor((F.col(d) - F.lit(lo[i])) / F.lit(w)).cast("long") for i, d in enumerate(dims)})
     cand = vec.select(F.col("_vid").alias("nb_vid"), F.col("_m").alias("_qm"),
                       *[F.col(f).alias(f"_q_{f}") for f in features], *[f"_g{i}" for i in range(nd)])
@@ -85,14 +87,15 @@ def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str
 
     def probe_round(pending: DataFrame, levels) -> tuple[DataFrame, DataFrame]:
         """Probe 27 cells at each pending vector's ``_lvl``; return (certified slots, per-vector k-th dist)."""
-        width = F.lit(w) * F.pow(F.lit(2.0), F.col("_lvl").cast("double"))
+        scale = F.pow(F.lit(2.0), F.col("_lvl").cast("double"))
+        width = F.lit(w) * scale
         border, covers = None, None
         p = pending.withColumns(cells(F.col("_lvl")))
         for i, d in enumerate(dims):
             box_lo = F.lit(lo[i]) + (F.col(f"_c{i}") - 1) * width
             box_hi = F.lit(lo[i]) + (F.col(f"_c{i}") + 2) * width
             b = F.least(F.col(d) - box_lo, box_hi - F.col(d))
-            c = (box_lo <= F.lit(lo[i])) & (box_hi >= F.lit(lo[i] + spans[i]))
+            c = (F.col(f"_c{i}") <= 1) & (F.col(f"_c{i}") + 1 >= F.floor(F.lit(last[i]) / scale))
             border = b if border is None else F.least(border, b)
             covers = c if covers is None else (covers & c)
         probes = (p.withColumns({"_border": border, "_covers": covers})

@@ -133,3 +133,11 @@ def test_knn_is_exact_beside_a_far_outlier_and_a_dense_cluster(spark):
     got = np.sort(knn_table(df, ["a", "b"], 5).toPandas()["dist"].to_numpy())
     want = np.sort(np.concatenate([np.sort(np.sqrt(((x - p) ** 2).sum(axis=1)))[1:6] for p in x]))
     assert np.allclose(got, want, rtol=1e-7)
+
+
+def test_knn_is_exact_beside_a_vector_between_bulk_and_tail(spark):
+    x = np.array([*range(200), 1740, *range(2800, 2805)], float)
+    df = spark.createDataFrame([(i, float(a)) for i, a in enumerate(x)], "unit_id LONG, a DOUBLE")
+    nn = knn_table(df, ["a"], 5).toPandas()
+    for i, p in enumerate(x):
+        assert np.allclose(np.sort(nn[nn._vid == i].dist), np.sort(np.abs(x - p))[1:6])

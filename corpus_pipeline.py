@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, less the multi-line chunks that an earlier document has too."""
+    """Every document, less the passages of two lines or more that an earlier place has too."""
     return line_dedup.dedup_lines(docs)
 
 

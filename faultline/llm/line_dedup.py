@@ -1,12 +1,22 @@
-"""Line dedup: content-defined chunks of lines, repeated ones removed after byte comparison.
+"""Line dedup: repeated passages of two lines or more, removed after byte comparison.
 
-Only DataFrame functions. A text is cut into lines; a rolling hash over the
+Only DataFrame functions.
+
+Passages (``dedup_lines``): every pair of neighbouring lines is looked up, so
+the lines that go are the union of all repeated pairs, which is every repeated
+passage from its first line to its last, whatever stands around it. A line is
+known by two hashes; distinct lines are grouped by their bytes, and hashes that
+two different lines share are left alone, so equal hashes are equal bytes.
+Pairs travel as hashes, without text.
+
+Chunks (``dedup_chunks``, the rows of op1 and its SQL): a rolling hash over the
 last two line hashes ends a chunk where it is a multiple of ``spacing``, so an
 insertion moves only the boundaries next to it. Chunks of two lines or more
 are grouped by their bytes; the document with the smallest id keeps its first
-copy, every other copy goes.
+copy, every other copy goes. A passage is found as far as both copies are cut
+alike, so short ones mostly stay (README has the share).
 
-Plan: the chunk texts are aggregated by (two hashes, bytes) with partial
+Plan of the chunks: the chunk texts are aggregated by (two hashes, bytes) with partial
 aggregation, so a chunk that a third of all documents share is one row per
 task; occurrences travel without their text and find the verdict by the two
 hashes (a pair of hashes that two different chunks share is left alone); the
@@ -74,7 +84,67 @@ def removals(docs: DataFrame, id_col: str, text_col: str, spacing: int = SPACING
     return gone.groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING, counts: bool = False) -> DataFrame:
+def repeated_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, gone): where each document has a pair of lines that an earlier place has too.
+
+    Earlier is a smaller id, or two lines or more above in the same text: a
+    pair that overlaps its own first copy (a line three times in a row) stays.
+    """
+    rows = docs.select(_ordered_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
+    rows = rows.filter(F.instr("text", "\n") > 0).select("id", "text_hash", F.split("text", "\n", -1).alias("lines"))
+    # equal bytes are one group; different bytes under one pair of hashes make it unusable
+    line = rows.select(F.explode("lines").alias("line"))
+    line = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line").distinct()
+    shared = line.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter("texts > 1")
+
+    def pairs(marks: Column) -> Column:
+        def pair(i: Column) -> Column:
+            one, two = F.get(marks, i), F.get(marks, i + 1)
+            return F.struct(i.alias("at"), one["h1"].alias("a1"), one["h2"].alias("a2"), two["h1"].alias("b1"), two["h2"].alias("b2"), (one["blank"] & two["blank"]).alias("blank"))
+        return F.transform(F.sequence(F.lit(0), F.size(marks) - 2), pair)
+
+    def mark(x: Column) -> Column:
+        return F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), (F.trim(F.translate(x, "\t\r", "  ")) == "").alias("blank"))
+
+    found = rows.select("id", "text_hash", F.explode(let(F.transform("lines", mark), pairs)).alias("p")).filter(~F.col("p.blank"))
+    found = found.select("id", "text_hash", "p.at", "p.a1", "p.a2", "p.b1", "p.b2")
+    of = ["a1", "a2", "b1", "b2"]
+    verdict = found.groupBy(*of).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    for side in "ab":
+        bad = shared.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
+        verdict = verdict.join(bad, [f"{side}1", f"{side}2"], "left_anti")
+    again = found.join(verdict.select(*of, "first"), of)
+    top = F.min("at").over(Window.partitionBy("id", "text_hash", *of))
+    gone = again.withColumn("top", top).filter("id <> first or at > top + 1")
+    return gone.groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their text less repeated passages of two lines or more; all columns and rows kept.
+
+    A passage goes line by line to both its ends; the first line with given
+    bytes always stays somewhere. A null text stays null; an empty text and one
+    without a newline have no two lines and stay; pairs of blank lines stay.
+    Rows of one id count as one document (so do rows without an id, after all
+    others): each keeps what that document keeps. A document whose lines would
+    all go keeps its first one: one line is no passage.
+    """
+    key, digest, lost_id, lost_hash, gone = (unused(n, docs.columns) for n in ("__key", "__hash", "__lost_id", "__lost_hash", "__gone"))
+    lost = repeated_pairs(docs, id_col, text_col).withColumnsRenamed({"id": lost_id, "text_hash": lost_hash, "gone": gone})
+    text = F.col(f"`{text_col}`")
+    mine = docs.withColumns({key: _ordered_id(docs, id_col), digest: F.xxhash64(text)})
+    joined = mine.join(lost, (mine[key] == lost[lost_id]) & (mine[digest] == lost[lost_hash]), "left")
+
+    def rebuilt(lines: Column) -> Column:
+        out = F.flatten(F.transform(F.col(gone), lambda i: F.array(i, i + 1)))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+        return let(stay, lambda s: F.array_join(F.transform(F.when(F.size(s) > 0, s).otherwise(F.array(F.lit(0))), lambda i: F.get(lines, i)), "\n"))
+
+    left = F.when(F.col(gone).isNull(), text).otherwise(let(F.split(text, "\n", -1), rebuilt))
+    return joined.select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
+def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING, counts: bool = False) -> DataFrame:
     """The documents with their text less repeated multi-line chunks; all columns and rows kept.
 
     With ``counts``, also n_lines and n_removed (both long). A null text stays null; an empty
@@ -105,7 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def report(docs: DataFrame) -> DataFrame:
     """op1: lines, lines removed and the digest of what is left of each document."""
-    done = dedup_lines(docs.select("doc_id", "text"), counts=True)
+    done = dedup_chunks(docs.select("doc_id", "text"), counts=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

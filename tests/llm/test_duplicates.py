@@ -78,6 +78,41 @@ def test_line_dedup_tricky_rows(tricky, empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def brute_passages(rows):
+    """Lines of each (id, text) that stay: pairs of lines by their bytes, one document after another."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        lines, gone, here = text.split("\n"), set(), {}
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if "".join(pair).strip(" \t\r"):
+                if first.setdefault(pair, i) != i or k > here.setdefault(pair, k) + 1:
+                    gone |= {k, k + 1}
+        out[i] = "\n".join([x for k, x in enumerate(lines) if k not in gone] or lines[:1])
+    return out
+
+
+def test_passages_of_any_length_go_whole_in_any_context(make):
+    rnd = random.Random(4)
+    shared = {n: [[f"{n} {j} {k}" for k in range(n)] for j in range(8)] for n in (2, 3, 4, 6, 8, 20)}
+    rows, context = [], iter(range(10 ** 6))
+    for copy in range(3):
+        for passages in shared.values():
+            for p in passages:
+                own = lambda: [f"own {next(context)}" for _ in range(rnd.randint(1, 4))]
+                rows.append((len(rows), "\n".join(own() + p + own())))
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()}
+    for i, text in rows:
+        lines = text.split("\n")
+        assert left[i].split("\n") == (lines if i < len(rows) // 3 else [x for x in lines if x.startswith("own")])
+
+
+def test_passages_equal_brute_force_on_few_lines(make):
+    rnd = random.Random(11)
+    rows = [(i, "\n".join(rnd.choice(["a", "b", "c", "d", "", " ", "e\r"]) for _ in range(rnd.randint(1, 9)))) for i in range(120)]
+    rows += [(200, "same\nsame\nsame"), (201, "self\nother\nx\nself\nother")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()} == brute_passages(rows)
+
+
 def test_chunks_join_to_the_text(make):
     for text in ("", "a", "a\nb", "\n\n", "a\nb\nc\n" * 50):
         got = make([(1, text)]).select(line_dedup.chunks_of(F.col("text")).alias("c")).first().c

@@ -1,9 +1,9 @@
 """Secret scans: base patterns, and a character convolutional network over every other candidate.
 
 Base spans (assignments, access keys, long hex runs) always stay. Candidates
-are all runs of 16 or more key characters that mix letters and digits; the
-network reads each whole candidate, in windows, with the characters before and
-after it. It is trained with numpy on a table of labelled findings, its outputs
+are all runs of 16 or more key characters that mix letters and digits, less the
+base spans in them; the network reads each whole candidate, in windows, with the
+characters before and after it, and the highest window counts. It is trained with numpy on a table of labelled findings, its outputs
 are calibrated on findings held out from training, and the threshold is the
 largest one that keeps the demanded recall there.
 """
@@ -56,12 +56,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs that mix letters and digits and do not overlap a base span."""
+    """Runs, and the parts of runs outside base spans, that are long enough and mix letters and digits."""
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(map(str.isdigit, run)) and any(map(str.isalpha, run)) and not any(a < m.end() and m.start() < b for _, a, b in base):
-            found.append(m.span())
+        parts, at = [], m.start()
+        for _, a, b in base:  # by start
+            if a < m.end() and at < b:
+                parts.append((at, a))
+                at = b
+        for a, b in [*parts, (at, m.end())]:
+            run = text[a:b]
+            if CANDIDATE.fullmatch(run) and any(map(str.isdigit, run)) and any(map(str.isalpha, run)):
+                found.append((a, b))
     return found
 
 
@@ -109,9 +115,12 @@ class Net:
         if not spans:
             return []
         parts = [encode(text, a, b) for a, b in spans]
-        p = self.probability(np.concatenate(parts))
-        at = np.cumsum([0] + [len(x) for x in parts[:-1]])
-        return (np.maximum.reduceat(p, at) >= self.threshold).tolist()
+        return (np.maximum.reduceat(self.probability(np.concatenate(parts)), _firsts(parts)) >= self.threshold).tolist()
+
+
+def _firsts(parts: list[np.ndarray]) -> np.ndarray:
+    """Position of each candidate's first window among all windows."""
+    return np.cumsum([0] + [len(x) for x in parts[:-1]])
 
 
 def labelled_findings(count: int = 3000, seed: int = SEED) -> list[tuple[str, int, int, int]]:
@@ -153,36 +162,49 @@ def labelled_findings(count: int = 3000, seed: int = SEED) -> list[tuple[str, in
 
 @lru_cache(maxsize=4)
 def train(count: int = 3000, recall: float = RECALL, seed: int = SEED) -> Net:
-    """Fit on three quarters of the labelled findings; calibrate and set the threshold on the rest."""
+    """Fit on three quarters of the labelled findings; calibrate and set the threshold on the rest.
+
+    A finding's output is that of its highest window, as when scanning.
+    """
     table = labelled_findings(count, seed)
-    x = np.stack([encode(t, a, b)[0] for t, a, b, _ in table])
+    x = [encode(t, a, b) for t, a, b, _ in table]
     y = np.array([float(label) for *_, label in table])
     rng = np.random.default_rng(seed)
     d = WIDTH * (EMBED + 1)
     net = Net(rng.normal(0, 0.3, (len(ALPHABET) + 2, EMBED)), rng.normal(0, d ** -0.5, (d, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS + 1))
     mine = np.arange(len(x)) % 8 < 6
-    fit_x, fit_y, held_x, held_y = x[mine], y[mine], x[~mine], y[~mine]
+    fit_x, fit_y, held_x, held_y = [x[i] for i in np.flatnonzero(mine)], y[mine], [x[i] for i in np.flatnonzero(~mine)], y[~mine]
     params = [net.embed, net.conv, net.bias, net.out]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(10):
         for part in np.array_split(rng.permutation(len(fit_x)), len(fit_x) // 64):
             step += 1
-            for p, g, m, v in zip(params, _gradients(net, fit_x[part], fit_y[part]), first, second):
+            highest = _highest(net, [fit_x[i] for i in part])[0]
+            for p, g, m, v in zip(params, _gradients(net, highest, fit_y[part]), first, second):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= 0.004 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    z = net.forward(held_x)[0]
+    z = _highest(net, held_x)[1]
     w = np.zeros(2)
     f = np.stack([z, np.ones_like(z)], axis=1)
     for _ in range(30):  # scale and shift that make the held-out outputs probabilities
         p = 1 / (1 + np.exp(-f @ w))
         w = w + np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + 0.05 * np.eye(2), f.T @ (held_y - p) - 0.05 * w)
     net.scale = (float(w[0]), float(w[1]))
-    positive = np.sort(net.probability(held_x[held_y == 1]))
-    net.threshold = float(max(0.5, positive[int((1 - recall) * len(positive))]))
+    held = net.probability(np.concatenate(held_x))
+    positive = np.sort(np.maximum.reduceat(held, _firsts(held_x))[held_y == 1])
+    net.threshold = float(positive[int((1 - recall) * len(positive))])
     return net
 
 
+def _highest(net: Net, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each finding the window with the highest output, and that output."""
+    x = np.concatenate(parts)
+    z, at = net.forward(x)[0], _firsts(parts)
+    best = [a + int(z[a:a + len(p)].argmax()) for a, p in zip(at, parts)]
+    return x[best], z[best]
+
+
 def _gradients(net: Net, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean log loss for embedding, convolution, bias and output."""
     z, pooled, h, top, cols = net.forward(x)

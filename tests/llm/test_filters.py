@@ -153,6 +153,23 @@ def test_network_on_findings_it_was_not_trained_on():
     assert says[label].mean() > 0.93 and says[~label].mean() < 0.05
 
 
+def test_threshold_is_the_largest_with_the_demanded_recall():
+    for count, recall in ((3000, 0.95), (300, 0.95), (3000, 1.0)):
+        net = secrets.train(count, recall)
+        held = [f for i, f in enumerate(secrets.labelled_findings(count)) if i % 8 >= 6 and f[3] == 1]
+        best = np.sort([net.probability(secrets.encode(t, a, b)).max() for t, a, b, _ in held])
+        assert (best >= net.threshold - 1e-9).mean() >= recall > (best > net.threshold + 1e-9).mean()
+    net = secrets.train()
+    assert np.mean([net.is_secret(t, [(a, b)])[0] for t, a, b, label in secrets.labelled_findings(600, seed=991) if label]) >= 0.95
+
+
+def test_parts_of_a_run_outside_a_base_span_are_candidates():
+    key = "Zq81xVt7LmP02RyKw9Hs"
+    text = f"x {key}/{'0123456789abcdef' * 2}/{key} y"
+    found = [text[a:b] for a, b in secrets.candidates(text, secrets.base_spans(text))]
+    assert found == [f"{key}/", f"/{key}"]
+
+
 # ---- page text ------------------------------------------------------------------
 PAGES = {
     "<html><body><header><a href=x>Home</a></header><nav><a>One</a> <a>Two</a></nav><main><article><header><h1>Real title</h1></header>"

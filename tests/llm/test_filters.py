@@ -254,3 +254,14 @@ def test_short_queries_and_tricky_rows(spark, tricky, empty):
     frame = spark.createDataFrame(queries, "query_id long, text string")
     check_search(bm25.search(tricky, frame, 3).collect(), brute_search(rows, queries, 3), 3)
     assert bm25.search(empty, frame).collect() == [] and bm25.search(tricky, frame.filter("false")).collect() == []
+
+
+@pytest.mark.parametrize("shard_docs", [24_000, 40])
+def test_rows_of_one_query_id_are_one_query_of_their_words(spark, read, shard_docs, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", shard_docs)
+    docs = read("documents")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    queries = [(7, rows[3][1]), (7, rows[3][1]), (8, rows[5][1]), (8, rows[9][1]), (9, rows[11][1])]
+    frame = spark.createDataFrame(queries, "query_id long, text string")
+    joined = [(7, rows[3][1]), (8, rows[5][1] + " " + rows[9][1]), (9, rows[11][1])]
+    check_search(bm25.search(docs, frame).collect(), brute_search(rows, joined))

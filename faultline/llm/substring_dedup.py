@@ -151,6 +151,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = -(-size // (6 * BUCKET_WINDOWS)) + 1  # about 6 bytes a word, as many windows as words
     # every copy of a row is its own row of some chunk; the chunk is a function of the row alone
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+    kind = rows.schema["id"].dataType.simpleString()
+    carried = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would turn integers with nulls into floats
+    dealt = dealt.withColumn("id", F.col("id").cast(carried))
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, h, twice, _ = _distinct(pdf["text"].tolist(), window, buckets)
@@ -175,7 +178,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return np.packbits(again[at] == h).tobytes()
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "n": [len(h) for h in sent], "bits": [bits(h) for h in sent]})
 
-    out = "id %s, n_words long, n_removed long, kept_sha256 string" % rows.schema["id"].dataType.simpleString()
+    out = f"id {carried}, n_words long, n_removed long, kept_sha256 string"
     out += ", kept_text string" if with_text else ""
 
     def remove(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +217,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sent = dealt.groupBy("chunk").applyInPandas(send, "bucket long, chunk long, hashes binary, twice binary")
     answers = sent.groupBy("bucket").applyInPandas(count, "chunk long, bucket long, n long, bits binary")
     done = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(remove, out)
-    return done.withColumnRenamed("id", id_col)
+    return done.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -102,6 +102,7 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     mark = dictionary_hash(dictionary)
     dealt = rows.withColumn("mix", F.xxhash64("text")).repartitionByRange(F.col("id").asc_nulls_first(), "mix")
     dealt = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "mix").withColumn("shard", F.spark_partition_id())
+    dealt = dealt.withColumn("id", F.coalesce("id", F.lit(NO_ID)))  # pandas would turn a column with nulls into floats
 
     def write(batches):
         tokens, end, pack = word_tokens(tokenizer, lower=True), np.array([end_id], "<u4").tobytes(), _compressor(dictionary)
@@ -127,7 +128,7 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     blob += end
                     frame = pack.compress(blob)
                     out.write(frame)
-                    index.append((NO_ID if i is None or i != i else int(i), at, len(frame), len(blob) // 4))
+                    index.append((int(i), at, len(frame), len(blob) // 4))
                     at += len(frame)
                     total += len(blob) // 4
                 part, held = [], 0
@@ -137,7 +138,7 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             fs.move(draft, name)
             yield pd.DataFrame({"shard": [shard], "path": [f"shard-{shard:06d}.bin"], "documents": [len(index)], "tokens": [total]})
 
-    done = dealt.mapInPandas(_keep_nulls(write), "shard long, path string, documents long, tokens long")
+    done = dealt.mapInPandas(write, "shard long, path string, documents long, tokens long")
     done = spark.createDataFrame(done.collect(), done.schema)  # a row per shard
     before = F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")
     return done.withColumn("start", before)
@@ -147,13 +148,6 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 NO_ID = -(1 << 63)
 
 
-def _keep_nulls(write):
-    """Ids as exact integers: pandas would turn a column with nulls into floats."""
-    def run(batches):
-        return write(b.assign(id=b["id"].astype("Int64").astype(object).where(b["id"].notna(), None)) if b["id"].dtype.kind == "f" else b for b in batches)
-    return run
-
-
 class Shard:
     """Random access to the documents of one shard."""
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from faultline.llm import packing, token_store
+from faultline.llm import bm25, packing, substring_dedup, token_store
 from faultline.llm.tokens import WordTokens
 from faultline.session import scratch_path
 
@@ -124,3 +124,12 @@ def test_one_document_is_read_by_itself_and_the_dictionary_is_checked(spark, rea
     assert np.frombuffer(shard.ids(k), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids + [1]
     with pytest.raises(ValueError):
         token_store.Shard(fs, f"{root}/{shards[0].path}", dictionary + b"x")
+
+
+def test_large_ids_beside_a_null_id_stay_exact(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(None, "a b"), (big, "c d"), (big + 1, "e f"), (-big, "g")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in token_store.report(docs).collect()} == {None, big, big + 1, -big}
+    assert {r.doc_id for r in substring_dedup.report(docs).collect()} == {None, big, big + 1, -big}
+    asked = spark.createDataFrame([(1, "a c e g")], "query_id long, text string")
+    assert {r.doc_id for r in bm25.search(docs, asked).collect()} == {None, big, big + 1, -big}

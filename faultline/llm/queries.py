@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bm25, decontaminate, html_text, line_dedup, packing, secrets, simhash, substring_dedup, token_store, toxicity
+from faultline.llm import (bm25, decontaminate, hard_negatives, html_text, line_dedup, packing, secrets, simhash, spelling, substring_dedup,
+                           token_store, toxicity, url_filter)
 from faultline.llm.common import table
 
 
@@ -60,8 +61,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of nested host and path rules on the url of every page."""
+    return url_filter.report(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` with their near words, frequent forms and roots."""
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every row of ``embeddings`` whose id is divisible by 50."""
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_packing, op3_bm25, op4_token_store, op5_simhash, op6_html_text, op7_toxicity,
-    op8_decontaminate, op9_secrets, op10_substring_dedup)}
+    op8_decontaminate, op9_secrets, op10_substring_dedup, op11_url_filter, op12_spelling_variants, op13_hard_negatives)}
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op11_url_filter": url_filter.ORACLE}

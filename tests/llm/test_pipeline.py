@@ -8,8 +8,8 @@ from faultline.llm import decontaminate, line_dedup, simhash, toxicity
 
 def test_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
-    assert "pipeline" in entry.queries() and "op1_line_dedup" in entry.oracle_sql()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+    assert "pipeline" in entry.queries() and {"op1_line_dedup", "op11_url_filter"} <= set(entry.oracle_sql())
 
 
 def test_stages_in_order_keep_columns_and_take_effect(spark, read):

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from faultline.functions.labels import failure_name
 from faultline.functions.physics import nan_to_null
-from faultline.operators.quantiles import select_quantiles
+from faultline.operators.quantiles import group_quantiles, select_quantiles
 from faultline.schema import LABEL, PROFILE_FEATURES
 
 ND = 6  # decimals kept on aggregated doubles
@@ -54,8 +54,9 @@ def type_summary(df: DataFrame, features=("power_w", "temp_diff_k", "strain_load
     named = df.withColumn("failure_type", failure_name()).filter(F.col("failure_type") != "NoLabel")
     aggs = []
     for f in features:
-        aggs += [F.count(f).alias(f"{f}_count"), _r(F.avg(f), nd).alias(f"{f}_mean"),
-                 _r(F.stddev_samp(f), nd).alias(f"{f}_std")]
+        c = nan_to_null(f)
+        aggs += [F.count(c).alias(f"{f}_count"), _r(F.avg(c), nd).alias(f"{f}_mean"),
+                 _r(F.stddev_samp(c), nd).alias(f"{f}_std")]
     return named.groupBy("failure_type").agg(*aggs)
 
 
@@ -98,8 +99,8 @@ def cohens_d(df: DataFrame, subset: Column, features=PROFILE_FEATURES) -> DataFr
     flag = F.coalesce(subset, F.lit(False))
     aggs = []
     for f in features:
-        a = F.when(flag, F.col(f))
-        b = F.when(~flag, F.col(f))
+        a = F.when(flag, nan_to_null(f))
+        b = F.when(~flag, nan_to_null(f))
         aggs += [F.count(a).alias(f"{f}__na"), F.count(b).alias(f"{f}__nb"),
                  F.avg(a).alias(f"{f}__ma"), F.avg(b).alias(f"{f}__mb"),
                  F.var_samp(a).alias(f"{f}__va"), F.var_samp(b).alias(f"{f}__vb")]
@@ -142,7 +143,7 @@ def mean_std_profile(df: DataFrame, features) -> DataFrame:
     """Column means and sample stds, zero std replaced by 1 (for z-scoring)."""
     aggs = []
     for f in features:
-        aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_samp(f).alias(f"{f}__std")]
+        aggs += [F.avg(nan_to_null(f)).alias(f"{f}__mean"), F.stddev_samp(nan_to_null(f)).alias(f"{f}__std")]
     wide = df.agg(*aggs).select(*[x for f in features for x in (
         _r(F.col(f"{f}__mean")).alias(f"{f}__mean"),
         _r(F.when(F.col(f"{f}__std") == 0, F.lit(1.0)).otherwise(F.col(f"{f}__std"))).alias(f"{f}__std"))])
@@ -154,7 +155,7 @@ def missed_vs_caught(df: DataFrame, pred: str = "pred", label: str = LABEL,
     """Average physics values of missed (pred 0) vs caught (pred 1) failures."""
     outcome = F.when(F.col(pred) == 1, F.lit("caught")).otherwise(F.lit("missed"))
     return (df.filter(F.col(label) == 1).groupBy(outcome.alias("outcome"))
-            .agg(F.count(F.lit(1)).alias("n"), *[_r(F.avg(f)).alias(f"avg_{f}") for f in features]))
+            .agg(F.count(F.lit(1)).alias("n"), *[_r(F.avg(nan_to_null(f))).alias(f"avg_{f}") for f in features]))
 
 
 def missed_profile(df: DataFrame, pred: str = "pred", label: str = LABEL,
@@ -166,17 +167,14 @@ def missed_profile(df: DataFrame, pred: str = "pred", label: str = LABEL,
 def box_stats(df: DataFrame, group: str, features) -> DataFrame:
     """Box/violin data per group: quartiles, IQR, whiskers at 1.5*IQR, outlier count.
 
-    The quartiles (a few scalars per group) come from the quantile selection;
-    one more pass finds the whiskers as min/max inside the fences. Rows without
-    a group value are left out.
+    Any number of groups: the quartiles are a table of their own, found by
+    distributed ranks; one more pass finds the whiskers as min/max inside the
+    fences. Rows without a group value are left out.
     """
     rows = df.select(group, *[nan_to_null(F.col(f).cast("double")).alias(f) for f in features]).filter(F.col(group).isNotNull())
-    found = select_quantiles(rows, _columns(features), [0.25, 0.5, 0.75], group)
-    table = [(key, *[v for f in features for v in values[f]]) for key, values in found.items()]
-    kind = rows.schema[group].dataType.simpleString()
-    fields = ", ".join([f"`{group}` {kind}", *(f"`{f}__{n}` double" for f in features for n in ("q1", "median", "q3"))])
-    q = df.sparkSession.createDataFrame(table, fields)
-    joined = rows.join(F.broadcast(q), on=group, how="inner")  # a row per group, held by the driver already
+    names = {f: [f"{f}__{n}" for n in ("q1", "median", "q3")] for f in features}
+    q = group_quantiles(rows, group, _columns(features), [0.25, 0.5, 0.75], names)
+    joined = rows.join(q, on=group, how="inner")  # no hint: the table has a row per group; AQE broadcasts it when small
     aggs = []
     for f in features:
         q1, q3 = F.col(f"{f}__q1"), F.col(f"{f}__q3")
@@ -210,7 +208,7 @@ def zscores_against(df: DataFrame, population: DataFrame, features, nd: int | No
     they are applied as literals, so scoring is a narrow projection.
     """
     row = population.agg(*[x for f in features for x in (
-        F.avg(f).alias(f"{f}__m"), F.stddev_samp(f).alias(f"{f}__s"))]).first()
+        F.avg(nan_to_null(f)).alias(f"{f}__m"), F.stddev_samp(nan_to_null(f)).alias(f"{f}__s"))]).first()
     cols = []
     for f in features:
         m, s = row[f"{f}__m"], row[f"{f}__s"]

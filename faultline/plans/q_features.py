@@ -9,6 +9,7 @@ from faultline.plans.fixture import TELEMETRY_RAW_SQL, with_fixture
 from faultline.plans.registry import (FAILURE_CODE_SQL, FAILURE_DIM_SQL, FAILURE_NAME_SQL, TYPE_CODE_SQL,
                                       query)
 from faultline.schema import MODEL_FEATURES, SENSOR_COLS
+from faultline.session import scratch_path
 from faultline.sources.telemetry import (read_sensor_csv, telemetry, telemetry_raw, to_source_layout,
                                          write_table)
 
@@ -133,8 +134,7 @@ def q_healthy_failed_union(spark, sf):
     "twf + hdf + pwf + osf + rnf AS n_flags FROM telemetry"))
 def q_csv_batch_features(spark, sf):
     """Telemetry written as the original CSV (text, source names), read back with an explicit schema."""
-    from faultline.streaming.telemetry_stream import scratch
-    path = write_table(to_source_layout(telemetry(spark, sf)), scratch(spark, "csv-batch"), fmt="csv")
+    path = write_table(to_source_layout(telemetry(spark, sf)), scratch_path(spark, "csv-batch"), fmt="csv")
     df = fe.prepare_features(read_sensor_csv(spark, path))
     return df.select("unit_id", "type_encoded", "power_w", "temp_diff_k", "strain_load", "machine_failure",
                      (F.col("twf") + F.col("hdf") + F.col("pwf") + F.col("osf") + F.col("rnf")).alias("n_flags"))

@@ -12,6 +12,7 @@ from faultline.operators import metrics as mt
 from faultline.operators import rules as ru
 from faultline.operators import sampling as sm
 from faultline.operators import stats as st
+from faultline.operators.quantiles import group_quantiles
 from faultline.plans.fixture import with_fixture
 from faultline.plans.q_guard import _METRIC_CTES
 from faultline.plans.q_stats import describe_sql
@@ -53,6 +54,33 @@ def q_event_value_box(spark, sf):
     return st.box_stats(read_table(spark, sf, "events"), "event_type", ["value"])
 
 
+SUPPLIER_COLS = ["l_quantity", "l_extendedprice"]
+
+
+@query("supplier_quartiles", "SELECT l_suppkey, " + ", ".join(
+    f"round(quantile_cont({c}, {q}), 6) AS {c}_{n}" for c in SUPPLIER_COLS for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
+    + " FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY l_suppkey")
+def q_supplier_quartiles(spark, sf):
+    """Quartiles of quantity and price of every supplier: as many groups as suppliers."""
+    names = {c: [f"{c}_{n}" for n in ("q1", "median", "q3")] for c in SUPPLIER_COLS}
+    found = group_quantiles(read_table(spark, sf, "lineitem"), "l_suppkey", {c: F.col(c) for c in SUPPLIER_COLS}, [0.25, 0.5, 0.75], names)
+    return found.select("l_suppkey", *[F.round(n, 6).alias(n) for c in SUPPLIER_COLS for n in names[c]])
+
+
+@query("supplier_price_box", """
+WITH q AS (SELECT l_suppkey, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
+           FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY l_suppkey),
+e AS (SELECT l.l_suppkey, l_extendedprice AS x, q1, median, q3, x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) AS inside
+      FROM lineitem l JOIN q ON l.l_suppkey = q.l_suppkey)
+SELECT l_suppkey, 'l_extendedprice' AS feature, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
+  round(any_value(q3) - any_value(q1), 6) AS iqr, round(min(CASE WHEN inside THEN x END), 6) AS whisker_lo,
+  round(max(CASE WHEN inside THEN x END), 6) AS whisker_hi, count(CASE WHEN NOT inside THEN 1 END) AS n_outliers
+FROM e GROUP BY l_suppkey""")
+def q_supplier_price_box(spark, sf):
+    """Box statistics of line prices for every supplier."""
+    return st.box_stats(read_table(spark, sf, "lineitem"), "l_suppkey", ["l_extendedprice"])
+
+
 @query("event_purchase_effect", """
 WITH s AS (SELECT count(CASE WHEN event_type = 'purchase' THEN value END) AS na, count(CASE WHEN event_type <> 'purchase' THEN value END) AS nb,
   avg(CASE WHEN event_type = 'purchase' THEN value END) AS ma, avg(CASE WHEN event_type <> 'purchase' THEN value END) AS mb,

@@ -21,11 +21,20 @@ def check(got, xs):
     if not xs:
         assert got == [None] * len(QS)
     else:
-        assert np.allclose(got, np.quantile(np.array(xs, float), QS), rtol=1e-12, atol=1e-300)
+        assert np.allclose(got, [quantile(sorted(xs), q) for q in QS], rtol=1e-12, atol=1e-300)
+
+
+def quantile(xs, q):
+    """Linear between neighbours; beside an infinity, the infinity."""
+    at = q * (len(xs) - 1)
+    a, b = xs[math.floor(at)], xs[math.ceil(at)]
+    if a == b or at == math.floor(at) or math.isinf(a):
+        return a
+    return b if math.isinf(b) else a + (b - a) * (at - math.floor(at))
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.one_of(st.none(), st.sampled_from([0.0, 1.0, 1.0, 2.5, -3.0, float("nan")]), st.floats(-1e300, 1e300)), max_size=40))
+@given(st.lists(st.one_of(st.none(), st.sampled_from([0.0, 1.0, 1.0, 2.5, -3.0, float("nan")]), st.floats(-1e300, 1e300), st.sampled_from([math.inf, -math.inf, 5e-324])), max_size=40))
 def test_any_values_through_forced_rounds(spark, xs):
     old, qn.FETCH = qn.FETCH, 0
     try:
@@ -49,6 +58,43 @@ def test_groups_ties_and_one_outlier(spark, fetch, monkeypatch):
         check(found["y"], [r[2] for r in rows if r[0] == g])
 
 
+def test_one_infinity_among_many_rows(spark):
+    rows = spark.range(120_000).select(F.when(F.col("id") == 7, F.lit(math.inf)).otherwise(F.exp(F.col("id") / 400.0 - 150)).alias("x"))
+    got = qn.select_quantiles(rows, {"x": F.col("x")}, QS)[None]["x"]
+    xs = np.sort(np.where(np.arange(120_000) == 7, np.inf, np.exp(np.arange(120_000) / 400.0 - 150)))
+    assert np.allclose(got, [quantile(xs, q) for q in QS], rtol=1e-9)
+    hurt = telemetry(spark, SF_SMALL).withColumn("rpm", F.when(F.col("unit_id") == 3, F.lit(math.inf)).otherwise(F.col("rpm")))
+    model = gd.fit_guard(hurt)
+    assert model.transform(hurt).count() == hurt.count() and stats.describe(hurt, ["rpm"]).first().max == math.inf
+
+
+def test_quantiles_of_many_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(x), float(k % 4)) for k, (g, x) in enumerate(zip(rng.integers(0, 300, 3000), rng.lognormal(0, 2, 3000)))]
+    rows += [(1000, 5.0, 1.0)] * 2500 + [(1001, math.inf, -math.inf), (1001, 1.0, 2.0), (1002, None, float("nan")), (None, 3.0, 1.0), (1003, -0.0, 0.0), (1003, 0.0, None)]
+    df = spark.createDataFrame(rows, "g long, x double, y double").repartition(7)
+    names = {c: [f"{c}{i}" for i in range(len(QS))] for c in ("x", "y")}
+    got = {r.g: r for r in qn.group_quantiles(df, "g", {"x": F.col("x"), "y": F.col("y")}, QS, names).collect()}
+    assert set(got) == {r[0] for r in rows if r[0] is not None}
+    for g, r in got.items():
+        for at, c in ((1, "x"), (2, "y")):
+            check([r[n] for n in names[c]], [row[at] for row in rows if row[0] == g])
+    assert qn.group_quantiles(df.limit(0), "g", {"x": F.col("x")}, [0.5], {"x": ["m"]}).count() == 0
+
+
+def test_nan_is_left_out_of_every_statistic(spark):
+    t = telemetry(spark, SF_SMALL).withColumn("pred", F.lit(0))
+    cols = ["power_w", "temp_diff_k", "strain_load"]
+    hurt = t.unionByName(t.withColumns({c: F.lit(float("nan")) for c in cols}))
+    same = lambda f: sorted(map(str, f(t).collect())) == sorted(map(str, f(hurt).collect()))
+    assert same(lambda d: stats.type_summary(d)) and same(lambda d: stats.mean_std_profile(d, cols))
+    assert same(lambda d: stats.missed_vs_caught(d).drop("n"))
+    d = lambda df: {r.feature: r.cohens_d for r in stats.cohens_d(df, F.col("twf") == 1, cols).collect()}
+    assert d(t) == d(hurt)
+    z = stats.zscores_against(t, hurt, cols)
+    assert sorted(map(str, z.collect())) == sorted(map(str, stats.zscores_against(t, t, cols).collect()))
+
+
 def test_no_percentile_in_any_plan(spark, capsys):
     t = telemetry(spark, SF_SMALL)
     for df in (stats.describe(t, ["rpm", "power_w"]), stats.box_stats(t, "type", ["rpm"]), gd.detection_report(gd.fit_guard(t).transform(t))):

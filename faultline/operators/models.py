@@ -1,11 +1,12 @@
 """Detector (stage 1), diagnoser (stage 2) and model-derived reports on MLlib.
 
 * features are assembled and standardised inside a ``Pipeline`` (F1);
-* the detector is a ``GBTClassifier`` (``RandomForestClassifier`` alternative),
-  tuned by a seeded random subset of a 27-point grid with 3-fold
-  ``CrossValidator`` maximising recall of the failure class (F2, F3);
-* the diagnoser is a class-weighted ``RandomForestClassifier`` on labelled
-  failures (F4, F5) — MLlib's GBT is binary only;
+* the detector is an ensemble of boosted trees, chosen by a seeded random
+  subset of a 27-point grid with 3 folds for recall of the failure class
+  (:mod:`faultline.operators.boosting`); MLlib's ``RandomForestClassifier`` is
+  the fallback, with a search of its own, and ``GBTClassifier`` an option (F2, F3);
+* the diagnoser boosts class-weighted trees for all types together on labelled
+  failures, probabilities by softmax (F4, F5); ``RandomForestClassifier`` is the fallback;
 * scoring is a ``transform`` — the probability of class 1 is read with
   ``vector_to_array`` and thresholded at 0.25 (F6) — and the cascade scores
   both models in one plan (F8), then applies the rule overrides (F9-F12).
@@ -28,13 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions.labels import failure_code
+from faultline.operators.boosting import GRID, BoostedModel, Search, Spec, fit_many
+from faultline.operators.boosting import search as search_points
 from faultline.operators.features import align_to, labelled_failures
 from faultline.operators.sampling import dense_index, md5_key
-from faultline.schema import KEY, LABEL, MODEL_FEATURES, PHYSICS_ALIASES
+from faultline.schema import FAILURE_TYPES, KEY, LABEL, MODEL_FEATURES, PHYSICS_ALIASES
 from faultline.session import for_training
 
 SEED = 42
 THRESHOLD = 0.25
+#: The grid of the forest fallback; unlimited depth is Spark's maximum, 30.
+FOREST_GRID = {"trees": [100, 200], "depth": [30, 10, 20]}
 # Training knobs for tree learners that do not change the model: cache each row's node id between
 # levels (no re-walk of the trees; the cache is checkpointed every 10 iterations when a checkpoint
 # folder is set) and split more nodes per pass over the data (fewer jobs for deep trees).
@@ -53,8 +58,8 @@ def assemble(features, scaled: bool = True):
 
 def detector_grid(gbt: GBTClassifier):
     """The 27-point grid: trees x depth x learning rate."""
-    return (ParamGridBuilder().addGrid(gbt.maxIter, [50, 100, 200]).addGrid(gbt.maxDepth, [3, 5, 7])
-            .addGrid(gbt.stepSize, [0.01, 0.1, 0.2]).build())
+    return (ParamGridBuilder().addGrid(gbt.maxIter, GRID["trees"]).addGrid(gbt.maxDepth, GRID["depth"])
+            .addGrid(gbt.stepSize, GRID["rate"]).build())
 
 
 def sample_grid(grid, n: int = 4, seed: int = SEED):
@@ -84,10 +89,42 @@ class Detector:
                                      "feature STRING, importance DOUBLE")
 
 
+@dataclass
+class BoostedDetector:
+    """Stage 1 as boosted trees; ``search`` holds the points, held-out scores and recalls it was chosen by."""
+
+    model: BoostedModel
+    threshold: float = THRESHOLD
+    best_params: dict | None = None
+    search: Search | None = None
+
+    @property
+    def features(self) -> list:
+        return self.model.features
+
+    def transform(self, df: DataFrame, prob_col: str = "detector_prob", pred_col: str = "detector_pred") -> DataFrame:
+        rows = align_to(df, self.features, keep=[c for c in df.columns if c not in self.features])
+        rows = rows.withColumn(prob_col, F.get(self.model.probabilities(rows), F.lit(1)))
+        return rows.withColumns({pred_col: (F.col(prob_col) >= self.threshold).cast("int"), "detector_default": (F.col(prob_col) > 0.5).cast("int")})
+
+    def importances(self, spark) -> DataFrame:
+        return spark.createDataFrame(list(zip(self.features, self.model.importances())), "feature STRING, importance DOUBLE")
+
+
+def fit_boosted_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL, params: dict | None = None, n_draws: int = 4,
+                         folds: int = 3, seed: int = SEED, key: str = KEY) -> BoostedDetector:
+    """Stage 1 by boosted trees: a given point (trees, depth, rate), or the winner of the randomised search."""
+    if params:
+        spec = Spec(params["trees"], params["depth"], params["rate"])
+        return BoostedDetector(fit_many(train, features, label, [spec], key)[0][0], best_params=dict(params))
+    found = search_points(train, features, label, n_draws, folds, seed, key)
+    return BoostedDetector(found.model, best_params=found.best, search=found)
+
+
 def fit_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL, search: bool = False,
                  n_draws: int = 4, folds: int = 3, algo: str = "gbt", params: dict | None = None,
                  seed: int = SEED, parallelism: int | None = None) -> Detector:
-    """Stage 1: binary detector (GBT; ``algo='rf'`` for the forest alternative)."""
+    """Stage 1 by MLlib (GBT; ``algo='rf'`` for the forest fallback); see ``fit_boosted_detector`` for the main one."""
     data = for_training(train.select(F.col(label).cast("double").alias("label"),
                                *[F.col(f).cast("double").alias(f) for f in features]))
     if algo == "gbt":
@@ -102,9 +139,8 @@ def fit_detector(train: DataFrame, features=MODEL_FEATURES, label: str = LABEL,
         parallelism = max(2, min(8, train.sparkSession.sparkContext.defaultParallelism // 2))
     if search:
         grid = sample_grid(detector_grid(clf) if algo == "gbt" else
-                           ParamGridBuilder().addGrid(clf.numTrees, [100, 200])
-                           # unlimited depth maps to Spark's maximum tree depth, 30
-                           .addGrid(clf.maxDepth, [30, 10, 20]).build(), n_draws, seed)
+                           ParamGridBuilder().addGrid(clf.numTrees, FOREST_GRID["trees"])
+                           .addGrid(clf.maxDepth, FOREST_GRID["depth"]).build(), n_draws, seed)
         ev = MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{clf.getParam(p.name): v for p, v in m.items()}
                                                                 for m in grid],
@@ -142,14 +178,44 @@ class Diagnoser:
                                      "feature STRING, importance DOUBLE")
 
 
+@dataclass
+class BoostedDiagnoser:
+    """Stage 2 as boosted trees, one a type and round."""
+
+    model: BoostedModel
+
+    @property
+    def features(self) -> list:
+        return self.model.features
+
+    def transform(self, df: DataFrame, out: str = "diagnosis", probabilities: str | None = None) -> DataFrame:
+        """The most likely type (the first of equal ones); optionally the probabilities of all types."""
+        rows = align_to(df, self.features, keep=[c for c in df.columns if c not in self.features])
+        name = probabilities or "__types"
+        rows = rows.withColumn(name, self.model.probabilities(rows))
+        rows = rows.withColumn(out, (F.array_position(name, F.array_max(name)) - 1).cast("int"))
+        return rows if probabilities else rows.drop(name)
+
+    def importances(self, spark) -> DataFrame:
+        return spark.createDataFrame(list(zip(self.features, self.model.importances())), "feature STRING, importance DOUBLE")
+
+
 def diagnoser_frame(df: DataFrame) -> DataFrame:
     """Labelled failures with their type code 0..4 (``failure_type``)."""
     return labelled_failures(df).withColumn("failure_type", failure_code())
 
 
-def fit_diagnoser(failures: DataFrame, features=MODEL_FEATURES, num_trees: int = 100,
-                  seed: int = SEED) -> Diagnoser:
-    """Stage 2: class-weighted random forest on labelled failures."""
+def fit_diagnoser(failures: DataFrame, features=MODEL_FEATURES, num_trees: int = 100, depth: int = 5, rate: float = 0.1,
+                  weighted: bool = True, key: str = KEY) -> BoostedDiagnoser:
+    """Stage 2: class-weighted boosted trees on labelled failures."""
+    weights = class_weights(failures).select("failure_type", F.col("class_weight").alias("__weight"))
+    rows = failures.select(key, "failure_type", *features).fillna(0.0, subset=list(features)).join(F.broadcast(weights), "failure_type")  # <= 5 rows
+    spec = Spec(num_trees, depth, rate, classes=len(FAILURE_TYPES))
+    return BoostedDiagnoser(fit_many(rows, features, "failure_type", [spec], key, weight="__weight" if weighted else None)[0][0])
+
+
+def fit_forest_diagnoser(failures: DataFrame, features=MODEL_FEATURES, num_trees: int = 100, seed: int = SEED) -> Diagnoser:
+    """Stage 2 fallback: class-weighted random forest on labelled failures."""
     w = F.broadcast(class_weights(failures).select("failure_type", "class_weight"))  # <= 5 rows
     data = for_training(failures.join(w, "failure_type").select(
         F.col("failure_type").cast("double").alias("label"), "class_weight",

@@ -48,7 +48,13 @@ class Bundle:
         return cut_lineage(smote(self.train, MODEL_FEATURES))
 
     @cached_property
-    def detector(self) -> md.Detector:
+    def detector(self) -> md.BoostedDetector:
+        """The winner of the randomised search over boosted trees."""
+        return md.fit_boosted_detector(self.balanced)
+
+    @cached_property
+    def forest_detector(self) -> md.Detector:
+        """The random-forest fallback."""
         return md.fit_detector(self.balanced, algo="rf", params=DETECTOR_PARAMS)
 
     @cached_property
@@ -61,9 +67,13 @@ class Bundle:
         return cut_lineage(sm.stratified_split(md.diagnoser_frame(self.table), label="failure_type"))
 
     @cached_property
-    def diagnoser(self) -> md.Diagnoser:
+    def diagnoser(self) -> md.BoostedDiagnoser:
         return md.fit_diagnoser(self.failures.filter(~F.col("is_test")))
 
+    @cached_property
+    def forest_diagnoser(self) -> md.Diagnoser:
+        return md.fit_forest_diagnoser(self.failures.filter(~F.col("is_test")))
+
     @cached_property
     def guard(self) -> gd.GuardModel:
         """All three layers, as in batch scoring."""
@@ -181,11 +191,25 @@ def q_physics_in_top5(spark, sf):
 
 @query("detector_search")
 def q_detector_search(spark, sf):
-    """Randomised search: 4 draws of the forest grid, 3 folds, recall of the failure class."""
+    """Recall of every drawn grid point in every fold, and whether the point is the detector's."""
+    det = trained(spark, sf).detector
+    points = [(i, p["trees"], p["depth"], p["rate"], p == det.best_params) for i, p in enumerate(det.search.points)]
+    points = spark.createDataFrame(points, "point INT, trees INT, depth INT, rate DOUBLE, chosen BOOLEAN")
+    return det.search.recalls.join(F.broadcast(points), "point").select("point", "trees", "depth", "rate", "fold", "n_failures", _r6("recall"), "chosen")
+
+
+@query("detector_search_scores")
+def q_detector_search_scores(spark, sf):
+    """Held-out failure probability of every training row at every drawn grid point."""
+    scores = trained(spark, sf).detector.search.scores
+    return scores.select("point", "fold", F.col("key").alias("unit_id"), F.col("label").alias(LABEL), _r6("prob"))
+
+
+@query("detector_forest_report")
+def q_detector_forest_report(spark, sf):
+    """The random-forest fallback on the same balanced training split, test report."""
     b = trained(spark, sf)
-    det = md.fit_detector(b.balanced, algo="rf", search=True, n_draws=4, folds=3)
-    rows = [(k, float(v)) for k, v in sorted(det.best_params.items())]
-    return spark.createDataFrame(rows, "param STRING, value DOUBLE")
+    return mt.class_report(b.forest_detector.transform(b.test), LABEL, "detector_pred", classes=[0, 1])
 
 
 def _diag_all(spark, sf):
@@ -199,6 +223,21 @@ def q_diagnoser_validation(spark, sf):
     return s.select("unit_id", "failure_type", "diagnosis")
 
 
+@query("diagnoser_probabilities")
+def q_diagnoser_probabilities(spark, sf):
+    """Probability of every failure type for the validation failures, one row a type."""
+    b = trained(spark, sf)
+    s = b.diagnoser.transform(b.failures.filter("is_test"), probabilities="types")
+    return s.select("unit_id", F.posexplode("types").alias("failure_type", "probability")).withColumn("probability", F.round("probability", 6))
+
+
+@query("diagnoser_forest_report")
+def q_diagnoser_forest_report(spark, sf):
+    """The random-forest fallback over all labelled failures."""
+    b = trained(spark, sf)
+    return mt.class_report(b.forest_diagnoser.transform(b.failures), "failure_type", "diagnosis")
+
+
 @query("diagnoser_report")
 def q_diagnoser_report(spark, sf):
     """Per-type report over all labelled failures (the original evaluation includes training rows)."""

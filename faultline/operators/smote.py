@@ -1,20 +1,9 @@
-"""SMOTE on Spark: exact minority kNN without all-pairs, then hash-drawn interpolation.
+"""SMOTE on Spark: exact minority neighbours from a k-d tree, then hash-drawn interpolation.
 
-Exact k nearest neighbours
---------------------------
-1. Identical feature vectors are collapsed to (vector id, multiplicity): a
-   group of copies holding a third of the rows becomes one row, and its
-   neighbours are its own copies at distance 0.
-2. Distinct vectors are placed on a grid over the three highest-variance
-   dimensions (cell width sized for ~``per_cell`` vectors per cell).
-3. Each pending vector probes the 27 cells around its own: the probe rows
-   are joined with the cell table on the cell key, so candidate pairs exist
-   only between nearby cells (no cross join, no all-pairs group).
-4. The k-th distance (counting multiplicities) is *certified* when it is not
-   larger than the distance from the vector to the border of the probed box:
-   nothing outside the box can be closer. Uncertified vectors are probed again
-   on a grid twice as coarse; a level whose box spans the whole data range
-   certifies every vector, so the result is exact for any data.
+Identical feature vectors are collapsed to (vector id, multiplicity) first: a
+group of copies holding a third of the rows becomes one vector, and its
+neighbours are its own copies at distance 0. The k nearest neighbours of every
+distinct vector come from :mod:`faultline.operators.kdtree`.
 
 Interpolation
 -------------
@@ -26,130 +15,33 @@ keys; nothing is collected except a handful of scalars.
 
 from __future__ import annotations
 
-import itertools
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from faultline.functions.draws import hash60, uniform
-from faultline.operators.quantiles import select_quantiles
+from faultline.operators.kdtree import LEAF, knn
 from faultline.operators.sampling import dense_index, md5_key
 from faultline.schema import KEY, LABEL
 from faultline.session import cut_lineage
 
 
-_DEBUG = False
-
-
 def _vectors(df: DataFrame, features, key: str = KEY) -> DataFrame:
     """Distinct vectors with multiplicity; vector id = smallest row key holding it (unique)."""
     return df.groupBy(*features).agg(F.count(F.lit(1)).alias("_m"), F.min(key).alias("_vid"))
 
 
-def knn_table(df: DataFrame, features, k: int = 5, per_cell: int = 16, key: str = KEY,
-              vectors: DataFrame | None = None) -> DataFrame:
+def knn_table(df: DataFrame, features, k: int = 5, leaf: int = LEAF, key: str = KEY, vectors: DataFrame | None = None) -> DataFrame:
     """(_vid, slot, nb_vid, dist) for the k nearest neighbours of every distinct vector.
 
     Distances are Euclidean on the raw feature values (as SMOTE uses them).
     Multiplicity counts: a vector with m copies has m - 1 neighbours at 0.
-    Vectors not certified at one grid level are retried on a grid twice as
-    coarse (still 27 probed cells); the level where the probed box covers the
-    whole data range certifies everything, so the loop always terminates.
     """
-    # materialised once in the shared checkpoint folder: every level reads it
     vec = vectors if vectors is not None else cut_lineage(_vectors(df, features, key))
-    st = vec.agg(F.count(F.lit(1)).alias("n"),
-                 *[x for f in features for x in (F.stddev_pop(f).alias(f"{f}__s"), F.min(f).alias(f"{f}__lo"),
-                                                  F.max(f).alias(f"{f}__hi"))]).first()
-    n = st["n"]
-    dims = sorted(features, key=lambda f: -(st[f"{f}__s"] or 0.0))[:3]
-    nd = len(dims)
-    lo = [st[f"{d}__lo"] for d in dims]
-    # the cell width follows the bulk of the vectors: one far outlier must not put all others in one cell
-    bulk = select_quantiles(vec, {d: F.col(d) for d in dims}, [0.05, 0.95])[None]
-    spans = [max(bulk[d][1] - bulk[d][0] if bulk[d][0] is not None else 0.0, 1e-9) for d in dims]
-    spans = [s if s > 1e-9 else max(st[f"{d}__hi"] - st[f"{d}__lo"], 1e-9) for s, d in zip(spans, dims)]
-    w = max((math.prod(spans) / max(1.0, n / per_cell)) ** (1.0 / nd), 1e-9)
-    # the last cell of each dimension: a box certifies by covering all cells, not those of the bulk
-    last = [math.floor(((st[f"{d}__hi"] or 0.0) - (lo[i] or 0.0)) / w) for i, d in enumerate(dims)]
-    vec = vec.withColumns({f"_g{i}": F.floor((F.col(d) - F.lit(lo[i])) / F.lit(w)).cast("long") for i, d in enumerate(dims)})
-    cand = vec.select(F.col("_vid").alias("nb_vid"), F.col("_m").alias("_qm"),
-                      *[F.col(f).alias(f"_q_{f}") for f in features], *[f"_g{i}" for i in range(nd)])
-    offs = list(itertools.product((-1, 0, 1), repeat=nd))
-    arr = F.array(*[F.struct(*[F.lit(o[i]).alias(f"o{i}") for i in range(nd)]) for o in offs])
-    dist = F.sqrt(sum((F.col(f) - F.col(f"_q_{f}")) ** 2 for f in features))
-
-    def cells(level: Column):
-        scale = F.pow(F.lit(2.0), level.cast("double"))
-        return {f"_c{i}": F.floor(F.col(f"_g{i}") / scale).cast("long") for i in range(nd)}
-
-    def probe_round(pending: DataFrame, levels) -> tuple[DataFrame, DataFrame]:
-        """Probe 27 cells at each pending vector's ``_lvl``; return (certified slots, per-vector k-th dist)."""
-        scale = F.pow(F.lit(2.0), F.col("_lvl").cast("double"))
-        width = F.lit(w) * scale
-        border, covers = None, None
-        p = pending.withColumns(cells(F.col("_lvl")))
-        for i, d in enumerate(dims):
-            box_lo = F.lit(lo[i]) + (F.col(f"_c{i}") - 1) * width
-            box_hi = F.lit(lo[i]) + (F.col(f"_c{i}") + 2) * width
-            b = F.least(F.col(d) - box_lo, box_hi - F.col(d))
-            c = (F.col(f"_c{i}") <= 1) & (F.col(f"_c{i}") + 1 >= F.floor(F.lit(last[i]) / scale))
-            border = b if border is None else F.least(border, b)
-            covers = c if covers is None else (covers & c)
-        probes = (p.withColumns({"_border": border, "_covers": covers})
-                  .select("_vid", "_m", "_lvl", *features, "_border", "_covers", F.explode(arr).alias("_o"),
-                          *[f"_c{i}" for i in range(nd)])
-                  .select("_vid", "_m", "_lvl", *features, "_border", "_covers",
-                          *[(F.col(f"_c{i}") + F.col(f"_o.o{i}")).alias(f"_c{i}") for i in range(nd)]))
-        # candidate cells at every level in use (a handful of levels: bounded replication)
-        lv = F.explode(F.array(*[F.lit(int(x)) for x in sorted(levels)])).alias("_lvl")
-        cand_l = cand.select("*", lv).withColumns(cells(F.col("_lvl"))).drop(*[f"_g{i}" for i in range(nd)])
-        pairs = probes.join(cand_l, on=["_lvl", *[f"_c{i}" for i in range(nd)]], how="inner")
-        avail = F.when(F.col("nb_vid") == F.col("_vid"), F.col("_m") - 1).otherwise(F.col("_qm"))
-        pairs = pairs.select("_vid", "_lvl", "_border", "_covers", "nb_vid", dist.alias("dist"),
-                             avail.alias("_avail")).filter(F.col("_avail") > 0)
-        w_ord = Window.partitionBy("_vid").orderBy("dist", "nb_vid")
-        ranked = pairs.withColumn("_cum", F.sum("_avail").over(w_ord.rowsBetween(Window.unboundedPreceding, 0)))
-        ranked = cut_lineage(ranked.withColumn("_prev", F.col("_cum") - F.col("_avail"))
-                             .filter(F.col("_prev") < k))
-        per = ranked.groupBy("_vid").agg(F.max("_cum").alias("_tot"), F.max("dist").alias("_dk"),
-                                         F.first("_border").alias("_border"), F.first("_covers").alias("_covers"),
-                                         F.first("_lvl").alias("_lvl"))
-        ok = per.filter((F.col("_tot") >= k) & ((F.col("_dk") <= F.col("_border")) | F.col("_covers")))
-        slots = ranked.join(ok.select("_vid"), "_vid", "left_semi").select(
-            "_vid", "nb_vid", "dist",
-            F.explode(F.sequence(F.col("_prev"), F.least(F.col("_cum"), F.lit(k)) - 1)).alias("slot"))
-        return cut_lineage(slots), per
-
-    # round 0 at the finest grid; then every uncertified vector jumps to the level whose probed
-    # box is at least its current k-th distance wide (an upper bound of the true one): certified
-    # in one more round. Vectors with fewer than k candidates widen 8x per round until they have.
-    pending = vec.withColumn("_lvl", F.lit(0))
-    done, levels = None, {0}
-    while True:
-        slots, per = probe_round(pending, levels)
-        done = slots if done is None else done.unionByName(slots)
-        left = cut_lineage(pending.join(slots.select("_vid").distinct(), "_vid", "left_anti")
-                           .withColumnRenamed("_lvl", "_plvl")
-                           .join(per.select("_vid", "_tot", "_dk"), "_vid", "left"))
-        if left.limit(1).count() == 0:
-            break
-        need = F.when(F.col("_tot") >= k,
-                      F.greatest(F.col("_plvl") + 1,
-                                 F.ceil(F.log2(F.greatest(F.col("_dk") / F.lit(w), F.lit(1.0)))).cast("int")))
-        # too few candidates nearby (an isolated vector): widen the box 8x per round
-        pending = left.withColumn("_lvl", F.coalesce(need, F.col("_plvl") + 3).cast("int")) \
-            .drop("_tot", "_dk", "_plvl")
-        levels = {r[0] for r in pending.select("_lvl").distinct().collect()}  # a few small ints
-        if _DEBUG:
-            print("knn round", sorted(levels), left.count(), left.filter(F.col("_tot") >= k).count())
-    return done.select("_vid", "slot", "nb_vid", "dist")
+    return knn(vec, list(features), k, leaf)[0]
 
 
 def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 42, key: str = KEY,
-          per_cell: int = 16) -> DataFrame:
+          leaf: int = LEAF) -> DataFrame:
     """Balance a binary-labelled frame by synthesising minority rows.
 
     Returns the original rows plus synthetic rows (``is_synthetic`` = 1) with
@@ -191,7 +83,7 @@ def smote(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 4
         draws = draws.withColumns({"_pos": F.floor(pair / F.lit(k_eff)).cast("long"),
                                    "slot": (pair % F.lit(k_eff)).cast("int"),
                                    "_u": uniform(F.col("_d"), "gap", seed)})
-        nn = knn_table(mins, feats, k_eff, per_cell, key, vectors=vec)
+        nn = knn_table(mins, feats, k_eff, leaf, key, vectors=vec)
         vecs = vec.select(F.col("_vid").alias("nb_vid"), *[F.col(f).alias(f"_nb_{f}") for f in feats])
         picked = draws.join(rows, "_pos").join(nn, ["_vid", "slot"]).join(vecs, "nb_vid")
         synth = picked.select(*[(F.col(f) + F.col("_u") * (F.col(f"_nb_{f}") - F.col(f))).alias(f) for f in feats],

@@ -53,7 +53,7 @@ def test_knn_exact_against_brute_force(spark):
     rows = [(i, *map(float, p)) for i, p in enumerate(pts)]
     cols = ["a", "b", "c", "d"]
     df = spark.createDataFrame(rows, "unit_id LONG, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE")
-    nn = knn_table(df, cols, 5, per_cell=4).toPandas()
+    nn = knn_table(df, cols, 5, leaf=8).toPandas()
     # expected: 5 smallest distances to other rows (duplicates count)
     dist = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(dist, np.inf)
@@ -141,3 +141,35 @@ def test_knn_is_exact_beside_a_vector_between_bulk_and_tail(spark):
     nn = knn_table(df, ["a"], 5).toPandas()
     for i, p in enumerate(x):
         assert np.allclose(np.sort(nn[nn._vid == i].dist), np.sort(np.abs(x - p))[1:6])
+
+
+def test_half_of_the_vectors_in_one_tiny_cluster_meet_few_others(spark):
+    """Candidate pairs stay near the vectors' number however they cluster."""
+    from faultline.operators.kdtree import build, knn
+    from faultline.operators.smote import _vectors
+    rng = np.random.default_rng(11)
+    n = 3000
+    pts = np.concatenate([rng.normal(0, 1e-7, (n // 2, 3)), rng.uniform(-1e4, 1e4, (n // 2, 3))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "unit_id LONG, a DOUBLE, b DOUBLE, c DOUBLE")
+    vec = _vectors(df, ["a", "b", "c"])
+    leaves = build(vec.select("_vid", F.array("a", "b", "c").alias("_x")), 3, 32)[0].groupBy("_node").count().agg(F.max("count"), F.sum("count")).first()
+    assert leaves[0] <= 32 and leaves[1] == n
+    found, looked = knn(vec, ["a", "b", "c"], 5, leaf=32)
+    dist = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    np.fill_diagonal(dist, np.inf)
+    got = found.toPandas().sort_values(["_vid", "slot"]).dist.to_numpy().reshape(n, 5)
+    assert np.allclose(got, np.sort(dist, axis=1)[:, :5], rtol=1e-9, atol=0)
+    assert looked < n * 32 * 30
+
+
+def test_ties_copies_and_values_that_most_vectors_share(spark):
+    rng = np.random.default_rng(4)
+    pts = np.stack([np.where(rng.random(400) < 0.9, 7.0, rng.integers(0, 9, 400)), rng.integers(0, 12, 400).astype(float)], axis=1)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "unit_id LONG, a DOUBLE, b DOUBLE")
+    nn = knn_table(df, ["a", "b"], 5, leaf=3).toPandas()
+    dist = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    np.fill_diagonal(dist, np.inf)
+    first = {tuple(p): i for i, p in reversed(list(enumerate(pts.tolist())))}
+    assert set(nn._vid) == set(first.values()) and (nn.groupby("_vid").size() == 5).all()
+    for vid, part in nn.groupby("_vid"):
+        assert np.allclose(part.sort_values("slot").dist, np.sort(dist[vid])[:5])

@@ -22,8 +22,8 @@ from faultline.operators import sampling as sm
 from faultline.operators import scenario as sc
 from faultline.operators import stats as st
 from faultline.operators.smote import smote
-from faultline.plans.fixture import with_fixture
-from faultline.plans.registry import FAILURE_CODE_SQL, query
+from faultline.plans.fixture import SPLIT_SQL, with_fixture
+from faultline.plans.registry import FAILURE_CODE_SQL, TYPE_CODE_SQL, query
 from faultline.schema import LABEL, MODEL_FEATURES
 from faultline.session import checkpoint_dir, cut_lineage
 from faultline.sources.telemetry import telemetry
@@ -94,14 +94,31 @@ def _r6(c):
     return F.round(F.col(c), 6).alias(c)
 
 
-@query("smote_balanced")
+def _smote_sql(body: str) -> str:
+    """The balanced training split with neighbours by comparing all pairs of failures."""
+    cols, nb = ", ".join(MODEL_FEATURES), ", ".join(f"b.{f} AS nb_{f}" for f in MODEL_FEATURES)
+    gap = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in MODEL_FEATURES)
+    mixed = ", ".join(f"{f} + u * (nb_{f} - {f}) AS {f}" for f in MODEL_FEATURES)
+    return with_fixture(
+        body, ("split", SPLIT_SQL),
+        ("train", f"SELECT unit_id, machine_failure, {cols} FROM (SELECT *, {TYPE_CODE_SQL} AS type_encoded FROM split) s WHERE NOT is_test"),
+        ("few", "SELECT *, row_number() OVER (ORDER BY md5(concat(CAST(unit_id AS VARCHAR), '|42')), unit_id) - 1 AS pos FROM train WHERE machine_failure = 1"),
+        ("size", "SELECT count(*) FILTER (WHERE machine_failure = 1) AS n, count(*) FILTER (WHERE machine_failure = 0) - n AS n_new, least(5, n - 1) AS k FROM train"),
+        ("near", f"SELECT a.*, {nb}, row_number() OVER (PARTITION BY a.unit_id ORDER BY sqrt({gap}), b.unit_id) - 1 AS slot FROM few a JOIN few b ON a.unit_id <> b.unit_id"),
+        ("draws", "SELECT range AS d, ('0x' || substr(md5(concat(CAST(range AS VARCHAR), '|42')), 1, 15))::BIGINT % (SELECT n * k FROM size) AS pair, "
+                  "('0x' || substr(md5(concat(CAST(range AS VARCHAR), '|gap|42')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM range((SELECT n_new FROM size))"),
+        ("balanced", f"SELECT unit_id, machine_failure, {cols}, 0 AS is_synthetic FROM train UNION ALL "
+                     f"SELECT -1 - d, 1, {mixed}, 1 FROM draws JOIN near ON pos = pair // (SELECT k FROM size) AND slot = pair % (SELECT k FROM size)"))
+
+
+@query("smote_balanced", _smote_sql("SELECT machine_failure, is_synthetic, count(*) AS n FROM balanced GROUP BY 1, 2"))
 def q_smote_balanced(spark, sf):
     """Training split balanced with SMOTE: rows per class and origin."""
     b = trained(spark, sf)
     return b.balanced.groupBy(LABEL, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("smote_rows")
+@query("smote_rows", _smote_sql("SELECT unit_id, machine_failure, is_synthetic, " + ", ".join(f"round({f}, 6) AS {f}" for f in MODEL_FEATURES) + " FROM balanced"))
 def q_smote_rows(spark, sf):
     b = trained(spark, sf)
     return b.balanced.select("unit_id", LABEL, "is_synthetic", *[_r6(f) for f in MODEL_FEATURES])

@@ -4,12 +4,13 @@ Fit
 ---
 * A row belongs to a tree if a hash of (row key, tree, seed) falls below
   ``max_samples``: every tree sees that share of all rows, whatever their number.
-* Trees grow level by level, all trees of all forests together. One pass per
-  level walks every row down the trees so far and keeps count, minimum and
-  maximum of each feature for each (tree, node), first per task, then in one
-  small aggregate. The driver then draws feature and threshold of each node
-  from (seed, tree, node). So the fitted trees depend neither on partitions
-  nor on the machine.
+* Trees grow level by level, all trees of all forests together. The rows are dealt
+  evenly and written once; blocks of them carry the node that each row has reached in
+  every tree, and a pass moves all trees one step on. It keeps count, minimum and
+  maximum of each feature for each (tree, node), per task first; the sums of
+  tasks, whose size depends only on the trees, meet in a tree reduction. The driver then draws feature and threshold of each node
+  by md5 of (seed, tree, node). So the fitted trees depend neither on partitions
+  nor on the machine, and SQL can replay them.
 * ``max_depth`` bounds the model, the same for every table: a node table of at
   most trees x 2^(max_depth + 1) rows.
 
@@ -19,25 +20,35 @@ The trees are broadcast once; one Arrow function over a struct of the features
 returns the scores of all forests. ``score = 2^(-E[h]/c(psi))``; ``decision =
 -score - offset`` where ``offset`` is the exact contamination quantile of
 ``-score`` over the training rows; a row is an anomaly when ``decision < 0``.
-Rows with a missing feature have no score and are no anomaly.
+Scores are rounded to nine decimals, so that the order of a sum never decides.
+Rows with a missing feature have no score and are no anomaly; infinite values
+are left out of the fit.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.physics import nan_to_null
+from faultline.functions.draws import TWO_52, hash60
 from faultline.operators.quantiles import select_quantiles
 from faultline.schema import KEY
 from faultline.session import cut_lineage, ship_package
 
 EULER = 0.5772156649015329
 MAX_DEPTH = 8
+#: Modulus of the hashes that deal rows to trees; the node number of rows that have left a tree.
+PRIME, SETTLED = (1 << 31) - 1, (1 << 16) - 1
+#: Rows of a partition, and how many partitions send their ranges straight to the driver (more meet in pairs first).
+ROWS_A_PARTITION, FEW_PARTITIONS = 20_000, 8
 
 
 def c_factor(n) -> np.ndarray:
@@ -50,17 +61,24 @@ def c_factor(n) -> np.ndarray:
     return out
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    """Splitmix64 finaliser."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def row_hash(key: Column) -> Column:
+    """31-bit hash of a row's key."""
+    return hash60(key) % F.lit(PRIME)
 
 
-def members(row_hash: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
-    """Which rows belong to a tree."""
-    salt = np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    return _mix(row_hash.view(np.uint64) + salt) < np.uint64(min(1.0, share) * (2.0 ** 64 - 2 ** 11))
+def _md5_bits(text: str, digits: int) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
+
+
+def members(row: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
+    """Which rows belong to a tree: a line modulo a prime, drawn for the tree, puts the row's hash below the share."""
+    a, b = 1 + _md5_bits(f"{seed}|{tree}|a", 15) % (PRIME - 1), _md5_bits(f"{seed}|{tree}|b", 15) % PRIME
+    return (row * a + b) % PRIME < math.floor(min(1.0, share) * PRIME)
+
+
+def node_draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two numbers in [0, 1): which usable feature a node splits, and where."""
+    return tuple(_md5_bits(f"{seed}|{tree}|{node}|{what}", 13) / TWO_52 for what in ("feature", "cut"))
 
 
 @dataclass
@@ -145,85 +163,117 @@ def score_many(df: DataFrame, models: list[IsolationForestModel]):
             for t in range(len(feature)):
                 total += leaves[t, _walk(xt, feature[t], threshold[t], depth) - first]
             s = np.power(2.0, -total / len(feature) / c) if c > 0 else np.ones(len(raw))
-            out[f"s{i}"] = pd.Series(s).where(~np.isnan(raw).any(axis=1))
+            out[f"s{i}"] = pd.Series(s.round(9)).where(~np.isnan(raw).any(axis=1))
         return pd.DataFrame(out)
 
     return score(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
 
 
-def _grow_level(rows: DataFrame, models: list[IsolationForestModel], shares: list[float], seeds: list[int], level: int) -> list:
-    """Count, minima and maxima of the nodes at ``level``: (forest, tree, node, n, lo, hi) rows, at most one per node."""
-    shared = rows.sparkSession.sparkContext.broadcast([(m.feature, m.threshold, m.size) for m in models])
-    names = models[0].features
-    d = len(names)
-    first, width = 2 ** level - 1, 2 ** level
-
-    def run(batches):
-        packs = shared.value
-        state = [(np.zeros((len(f), width), np.int64), np.full((len(f), width, d), np.inf), np.full((len(f), width, d), -np.inf)) for f, _, _ in packs]
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
-            h = pdf["__h"].to_numpy(np.int64)
-            xt = np.ascontiguousarray(x.T)
-            for (feature, threshold, _), (n, lo, hi), share, seed in zip(packs, state, shares, seeds):
-                for t in range(len(feature)):
-                    node = _walk(xt, feature[t], threshold[t], level) - first
-                    mine = members(h, t, seed, share)
-                    if level:  # nodes under a leaf are not present
-                        mine &= feature[t][(node + first - 1) // 2] >= 0
-                    node, part = node[mine], x[mine]
-                    if not len(node):
-                        continue
-                    order = np.argsort(node, kind="stable")
-                    node, part = node[order], part[order]
-                    at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                    k = node[at]
-                    n[t, k] += np.diff(np.append(at, len(node)))
-                    lo[t, k] = np.minimum(lo[t, k], np.minimum.reduceat(part, at, axis=0))
-                    hi[t, k] = np.maximum(hi[t, k], np.maximum.reduceat(part, at, axis=0))
-        for i, (n, lo, hi) in enumerate(state):
-            t, k = np.nonzero(n)
-            yield pd.DataFrame({"forest": np.full(len(t), i, "int32"), "tree": t.astype("int32"), "node": k.astype("int32"), "n": n[t, k],
-                                **{f"lo{f}": lo[t, k, f] for f in range(d)}, **{f"hi{f}": hi[t, k, f] for f in range(d)}})
-
-    schema = "forest int, tree int, node int, n long, " + ", ".join([f"lo{f} double" for f in range(d)] + [f"hi{f} double" for f in range(d)])
-    found = rows.mapInPandas(run, schema).groupBy("forest", "tree", "node").agg(
-        F.sum("n").alias("n"), *[F.min(f"lo{f}").alias(f"lo{f}") for f in range(d)], *[F.max(f"hi{f}").alias(f"hi{f}") for f in range(d)])
-    out = found.collect()  # at most one row per node of the level
-    shared.unpersist()
-    return out
+@dataclass
+class _Block:
+    """Some rows: (rows, features) values and the (tree, row) nodes they have reached, counted within the level."""
+
+    x: np.ndarray
+    node: np.ndarray
+
+
+def _blocks(rows: DataFrame, names: list, trees: list[tuple]):
+    """RDD of blocks; a row that is no member of a tree counts as settled there."""
+    schema = pa.schema([("x", pa.binary()), ("h", pa.binary())])
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in names], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()]), pa.array([batch.column("__h").to_numpy().astype("<i8").tobytes()])], schema=schema)
+
+    def unpack(r):
+        x, h = np.frombuffer(r.x, "<f8").reshape(-1, len(names)), np.frombuffer(r.h, "<i8")
+        return _Block(x, np.stack([np.where(members(h, tree, seed, share), 0, SETTLED).astype(np.uint16) for tree, seed, share in trees]))
+
+    return rows.mapInArrow(pack, "x binary, h binary").rdd.map(unpack)
+
+
+def _step(b: _Block, feature: np.ndarray, threshold: np.ndarray) -> _Block:
+    """All trees one level down; rows at a leaf settle."""
+    inside = b.node != SETTLED
+    at = np.where(inside, b.node, 0).astype(np.int64)
+    f = np.take_along_axis(feature, at, axis=1)
+    right = b.x[np.arange(len(b.x)), f] >= np.take_along_axis(threshold, at, axis=1)
+    return _Block(b.x, np.where(inside & (f >= 0), 2 * at + right, SETTLED).astype(np.uint16))
+
+
+def _ranges(blocks, trees: int, width: int, d: int):
+    """Count, minima and maxima of the features by (tree, node) of one partition."""
+    n, lo, hi = np.zeros((trees, width), np.int64), np.full((trees, width, d), np.inf), np.full((trees, width, d), -np.inf)
+    for b in blocks:
+        for t in range(trees):
+            node = b.node[t]
+            mine = np.flatnonzero(node != SETTLED)
+            if not len(mine):
+                continue
+            mine = mine[np.argsort(node[mine], kind="stable")]
+            node, part = node[mine], b.x[mine]
+            at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            k = node[at]
+            n[t, k] += np.diff(np.append(at, len(node)))
+            lo[t, k] = np.minimum(lo[t, k], np.minimum.reduceat(part, at, axis=0))
+            hi[t, k] = np.maximum(hi[t, k], np.maximum.reduceat(part, at, axis=0))
+    yield n, lo, hi
+
+
+def _both(a: tuple, b: tuple) -> tuple:
+    return a[0] + b[0], np.minimum(a[1], b[1]), np.maximum(a[2], b[2])
 
 
 def _fit_many(df: DataFrame, features: list, specs: list[tuple], key: str, robust: bool, max_depth: int) -> list[IsolationForestModel]:
     """Fit several forests on the same rows. ``specs``: (n_trees, max_samples, contamination, seed)."""
-    ship_package(df.sparkSession)
-    clean = df.select(F.xxhash64(key).alias("__h"), *[nan_to_null(F.col(f).cast("double")).alias(f) for f in features]).dropna(subset=features)
+    spark, d = df.sparkSession, len(features)
+    if not 0 < max_depth < 16:
+        raise ValueError("max_depth must be between 1 and 15: nodes of a level are counted in two bytes")
+    ship_package(spark)
+    finite = [F.when(F.abs(F.col(f).cast("double")) < math.inf, F.col(f).cast("double")).alias(f) for f in features]
+    clean = df.select(row_hash(F.col(key)).alias("__h"), *finite).dropna(subset=features)
+    n = clean.count()
+    partitions = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_PARTITION))
+    clean = cut_lineage(clean.repartition(partitions, "__h", *features))
     scale = None
     if robust:
         found = select_quantiles(clean, {f: F.col(f) for f in features}, [0.25, 0.5, 0.75])[None]
         scale = {f: (q[1] or 0.0, (q[2] - q[0]) if q[2] is not None and q[2] > q[0] else 1.0) for f, q in found.items()}
     rows = clean.select("__h", *[((F.col(f) - F.lit(scale[f][0])) / F.lit(scale[f][1])).alias(f) if scale else F.col(f) for f in features])
-    n = rows.count()
     slots = 2 ** (max_depth + 1) - 1
     models = [IsolationForestModel(features, np.full((trees, slots), -1, np.int32), np.zeros((trees, slots)), np.zeros((trees, slots), np.int64),
                                    max(2, int(share * n)), max_depth, None, contamination, scale) for trees, share, contamination, _ in specs]
-    shares, seeds = [s[1] for s in specs], [s[3] for s in specs]
-    for level in range(max_depth + 1):
-        split = False
-        for r in _grow_level(rows, models, shares, seeds, level):
-            m, node = models[r.forest], 2 ** level - 1 + r.node
-            m.size[r.tree, node] = r.n
-            lo, hi = (np.array([r[f"{side}{f}"] for f in range(len(features))]) for side in ("lo", "hi"))
-            usable = np.flatnonzero(hi > lo)
-            if level == max_depth or r.n < 2 or not len(usable):
-                continue
-            rng = np.random.default_rng([seeds[r.forest], r.tree, node])
-            f = int(rng.choice(usable))
-            cut = float(rng.uniform(lo[f], hi[f]))
-            m.feature[r.tree, node], m.threshold[r.tree, node] = f, cut if cut > lo[f] else hi[f]
-            split = True
-        if not split:
+    trees = [(t, seed, share) for count, share, _, seed in specs for t in range(count)]
+    starts = np.cumsum([0, *[s[0] for s in specs]])
+    state = _blocks(rows, features, trees).persist(StorageLevel.MEMORY_AND_DISK)
+    older = []
+    for level in range(max_depth + 1 if n else 0):
+        width, first = 2 ** level, 2 ** level - 1
+        found = state.mapPartitions(lambda bs, width=width: _ranges(bs, len(trees), width, d))
+        size, lo, hi = found.treeReduce(_both, depth=1 if state.getNumPartitions() <= FEW_PARTITIONS else 2)
+        feature, threshold = np.full(size.shape, -1, np.int64), np.zeros(size.shape)
+        if level < max_depth:
+            usable = (hi > lo) & (size > 1)[..., None]
+            t, k = np.nonzero(usable.any(axis=-1))
+            u = np.array([node_draws(trees[i][1], trees[i][0], first + int(j)) for i, j in zip(t, k)]).reshape(-1, 2)
+            mask = usable[t, k]
+            f = (mask.cumsum(axis=1) > np.floor(u[:, 0] * mask.sum(axis=1))[:, None]).argmax(axis=1)
+            low, high = lo[t, k, f], hi[t, k, f]
+            cut = low + u[:, 1] * (high - low)
+            feature[t, k], threshold[t, k] = f, np.where(cut > low, cut, high)
+        for i, m in enumerate(models):
+            of = slice(starts[i], starts[i + 1])
+            m.size[:, first:first + width], m.feature[:, first:first + width], m.threshold[:, first:first + width] = size[of], feature[of], threshold[of]
+        if not (feature >= 0).any():
             break
+        older.append(state)
+        state = state.map(lambda b, feature=feature, threshold=threshold: _step(b, feature, threshold)).persist(StorageLevel.MEMORY_AND_DISK)
+        while len(older) > 1:  # the one before is still needed until the next pass
+            older.pop(0).unpersist()
+    for s in [*older, state]:
+        s.unpersist()
     # offsets: the contamination quantiles of -score over the training rows, scored once
     both = cut_lineage(clean.select(score_many(clean, models).alias("s")).select("s.*"))
     found = select_quantiles(both, {f"s{i}": -F.col(f"s{i}") for i in range(len(models))}, sorted({s[2] for s in specs}))[None]

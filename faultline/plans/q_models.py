@@ -23,6 +23,7 @@ from faultline.operators import scenario as sc
 from faultline.operators import stats as st
 from faultline.operators.smote import smote
 from faultline.plans.fixture import SPLIT_SQL, with_fixture
+from faultline.plans.q_forest import forest_guard
 from faultline.plans.registry import FAILURE_CODE_SQL, TYPE_CODE_SQL, query
 from faultline.schema import LABEL, MODEL_FEATURES
 from faultline.session import checkpoint_dir, cut_lineage
@@ -76,8 +77,8 @@ class Bundle:
 
     @cached_property
     def guard(self) -> gd.GuardModel:
-        """All three layers, as in batch scoring."""
-        return gd.fit_guard(self.table, forest=True)
+        """All three layers, as in batch scoring; the fit is shared with the guard queries."""
+        return forest_guard(self.spark, self.sf)[1]
 
 
 _CACHE: dict = {}

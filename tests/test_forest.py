@@ -33,7 +33,7 @@ def test_every_node_splits_its_own_rows(spark):
     x = rng.normal(size=(400, 2)).round(2)
     df = spark.createDataFrame(pd.DataFrame({"unit_id": range(400), "a": x[:, 0], "b": x[:, 1]}))
     m = fo.fit_forest(df, ["a", "b"], n_trees=6, max_samples=0.5, robust=False, max_depth=4)
-    h = np.array([r.h for r in df.orderBy("unit_id").select(F.xxhash64("unit_id").alias("h")).collect()])
+    h = np.array([r.h for r in df.orderBy("unit_id").select(fo.row_hash(F.col("unit_id")).alias("h")).collect()])
     for t in range(6):
         reach = {0: np.flatnonzero(fo.members(h, t, 42, 0.5))}
         for node in range(m.feature.shape[1]):

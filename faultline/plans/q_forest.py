@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import guard as gd
 from faultline.plans.fixture import with_fixture
-from faultline.plans.q_guard import SCORED_CTES
+from faultline.plans.q_guard import PROBE_FLAGS_SQL, PROBES_SQL, SCORED_CTES
 from faultline.plans.registry import query
 from faultline.schema import GUARD_FEATURES, LABEL
 from faultline.sources.telemetry import telemetry
@@ -32,6 +32,9 @@ _N, _P = len(GUARD_FEATURES), 2147483647
 _XS = [f"x{i}" for i in range(_N)]
 
 
+_SCALED = ", ".join(f"({f} - q{i}[2]) / (CASE WHEN q{i}[3] > q{i}[1] THEN q{i}[3] - q{i}[1] ELSE 1.0 END) AS x{i}" for i, f in enumerate(GUARD_FEATURES))
+
+
 def _draw(text: str, digits: int) -> str:
     return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
 
@@ -42,7 +45,7 @@ def _by_feature(prefix: str) -> str:
 
 def _forest_ctes(depth: int = 8) -> list[tuple[str, str]]:
     """fnodes: every node of both forests; fscores: the rounded scores of all rows by forest."""
-    scaled = ", ".join(f"({f} - q{i}[2]) / (CASE WHEN q{i}[3] > q{i}[1] THEN q{i}[3] - q{i}[1] ELSE 1.0 END) AS x{i}" for i, f in enumerate(GUARD_FEATURES))
+    scaled = _SCALED
     cols = ", ".join(_XS)
     ctes = [
         ("fscale", "SELECT " + ", ".join(f"quantile_cont({f}, [0.25, 0.5, 0.75]) AS q{i}" for i, f in enumerate(GUARD_FEATURES)) + " FROM telemetry WHERE machine_failure = 0"),
@@ -140,7 +143,19 @@ def q_guard_forest_crosstab(spark, sf):
     return gd.crosstab(m.transform(t))
 
 
-@query("guard_forest_probes")
+_PROBE_CTES = [
+    *SCORED_CTES[:1], *_forest_ctes(), ("probes", PROBES_SQL), ("pflags", PROBE_FLAGS_SQL),
+    ("pall", f"SELECT name AS unit_id, {_SCALED} FROM probes, fscale"),
+    ("pboth", "SELECT CAST(unit_id AS VARCHAR) AS unit_id, " + ", ".join(_XS) + " FROM fall UNION ALL SELECT unit_id, " + ", ".join(_XS) + " FROM pall"),
+    *_score_ctes("pboth"),
+    ("foffset", "SELECT quantile_cont(-s0, 0.05) AS o0, quantile_cont(-s1, 0.1) AS o1 FROM fscores s JOIN fin f ON s.unit_id = CAST(f.unit_id AS VARCHAR)"),
+    ("pverdicts", "SELECT name, l1, l2, -s0 - o0 < 0 OR -s1 - o1 < 0 AS l3 FROM pflags JOIN fscores ON unit_id = name, foffset"),
+]
+
+
+@query("guard_forest_probes", with_fixture("SELECT name, " + ", ".join(
+    f"CASE WHEN {c} THEN 'ANOMALY' ELSE 'normal' END AS {n}" for c, n in (("l1", "layer1"), ("l2", "layer2"), ("l3", "layer3"), ("l1 OR l2 OR l3", "verdict")))
+    + " FROM pverdicts", *_PROBE_CTES))
 def q_guard_forest_probes(spark, sf):
     _, m = forest_guard(spark, sf)
     return gd.score_probes(m, spark)

@@ -168,14 +168,17 @@ def q_guard_crosstab_test(spark, sf):
     return gd.crosstab(m.transform(test))
 
 
+PROBES_SQL = ("SELECT * FROM (VALUES " + ", ".join("('{}', {}, {}, {}, {}, {}, {})".format(*p) for p in gd.PROBES)
+              + ") AS v(name, rpm, torque_nm, tool_wear_min, power_w, temp_diff_k, strain_load)")
+PROBE_FLAGS_SQL = f"SELECT name, ({_L1_SQL}) AS l1, ({_L2_SQL}) AS l2 FROM probes, fit"
+
+
 @query("guard_probes", with_fixture("""
 SELECT p.name, CASE WHEN l1 THEN 'ANOMALY' ELSE 'normal' END AS layer1,
   CASE WHEN l2 THEN 'ANOMALY' ELSE 'normal' END AS layer2,
   CASE WHEN l1 OR l2 THEN 'ANOMALY' ELSE 'normal' END AS verdict
-FROM (SELECT name, (""" + _L1_SQL + ") AS l1, (" + _L2_SQL + """) AS l2 FROM probes, fit) p""",
-    *SCORED_CTES[:1], ("probes", "SELECT * FROM (VALUES " + ", ".join(
-        "('{}', {}, {}, {}, {}, {}, {})".format(*p) for p in gd.PROBES)
-        + ") AS v(name, rpm, torque_nm, tool_wear_min, power_w, temp_diff_k, strain_load)")))
+FROM (""" + PROBE_FLAGS_SQL + ") p",
+    *SCORED_CTES[:1], ("probes", PROBES_SQL)))
 def q_guard_probes(spark, sf):
     """Four probe machines with known violations, scored by the guard fit on the table."""
     _, m = fitted(spark, sf)

@@ -15,11 +15,10 @@
 from __future__ import annotations
 
 import random
-import re
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -251,43 +250,6 @@ def physics_in_top(importances: DataFrame, k: int = 5) -> DataFrame:
                                     F.min("rank").alias("best_rank"))
 
 
-def tree_rules(model, features) -> list[tuple]:
-    """Leaf rules of a fitted decision tree: (leaf, conditions, prediction)."""
-    text = model.toDebugString
-    rules, path = [], []
-    for line in text.splitlines()[1:]:
-        depth = (len(line) - len(line.lstrip())) // 1
-        s = line.strip()
-        m = re.match(r"(If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)", s)
-        if m:
-            level = depth
-            path = [p for p in path if p[0] < level]
-            name = features[int(m.group(2))]
-            path.append((level, f"{name} {m.group(3)} {m.group(4)}"))
-        elif s.startswith("Predict:"):
-            rules.append((len(rules), " AND ".join(c for _, c in path), float(s.split(":")[1])))
-    return rules
-
-
-def pwf_rules(df: DataFrame, features, target: str = "PWF", depth: int = 2, folds: int = 5, seed: int = SEED):
-    """Depth-2 tree separating one failure type from the other labelled rows; rules + CV F1."""
-    data = df.select(KEY, F.when(F.col("failure_type") == target, 1.0).otherwise(0.0).alias("label"),
-                     *[F.col(f).cast("double").alias(f) for f in features]).fillna(0.0)
-    dt = DecisionTreeClassifier(labelCol="label", featuresCol="features", maxDepth=depth, seed=seed, **TREE_KNOBS)
-    pipe = Pipeline(stages=[*assemble(features, scaled=False), dt])
-    model = pipe.fit(data)
-    rules = tree_rules(model.stages[-1], list(features))
-    if not folds:
-        return rules, None
-    # stratified folds: each class dealt in turn, in the order of a hash of the key
-    data = dense_index(data, md5_key(F.col(KEY), seed), ["label"], name="fold", tiebreak=KEY)
-    data = data.withColumn("fold", (F.col("fold") % folds).cast("int"))
-    ev = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=ev, numFolds=folds, seed=seed, foldCol="fold")
-    f1 = cv.fit(data).avgMetrics[0]
-    return rules, f1
-
-
 def permutation_importance(df: DataFrame, scorer, features, label: str, repeats: int = 10, seed: int = SEED,
                            key: str = KEY) -> DataFrame:
     """Mean accuracy drop when one feature column is permuted.

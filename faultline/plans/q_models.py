@@ -21,10 +21,11 @@ from faultline.operators import models as md
 from faultline.operators import sampling as sm
 from faultline.operators import scenario as sc
 from faultline.operators import stats as st
+from faultline.operators.decision_rules import fit_rules
 from faultline.operators.smote import smote
 from faultline.plans.fixture import SPLIT_SQL, with_fixture
 from faultline.plans.q_forest import forest_guard
-from faultline.plans.registry import FAILURE_CODE_SQL, TYPE_CODE_SQL, query
+from faultline.plans.registry import FAILURE_CODE_SQL, FAILURE_NAME_SQL, TYPE_CODE_SQL, query
 from faultline.schema import LABEL, MODEL_FEATURES
 from faultline.session import checkpoint_dir, cut_lineage
 from faultline.sources.telemetry import telemetry
@@ -310,23 +311,61 @@ def q_cascade_type_counts(spark, sf):
                             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("pwf_decision_rules")
+RULE_FEATURES = ["power_w", "temp_diff_k", "strain_load", "rpm", "torque_nm", "tool_wear_min", "type_encoded"]
+
+
+def _rule_ctes(folds: int) -> list[tuple[str, str]]:
+    """Depth-2 trees by comparing all midpoints: dnodes holds counts and splits of each (model, node); model ``folds`` has all rows."""
+    named = [f"COALESCE(CAST({f} AS DOUBLE), 0) AS {f}" for f in RULE_FEATURES]
+    value = "CASE f " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(RULE_FEATURES)) + " END"
+    ctes = [
+        ("lab", f"SELECT unit_id, CAST(failure_type = 'PWF' AS INT) AS y, {', '.join(named)} FROM (SELECT *, {TYPE_CODE_SQL} AS type_encoded, {FAILURE_NAME_SQL} AS failure_type FROM telemetry) e WHERE failure_type <> 'NoLabel'"),
+        ("dealt", f"SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(concat(CAST(unit_id AS VARCHAR), '|42')), unit_id) - 1) % {max(folds, 1)} AS fold FROM lab"),
+        ("drows0", f"SELECT m.range AS model, 0 AS node, d.* FROM dealt d, range({folds + 1}) m WHERE m.range = {folds} OR m.range <> fold"),
+    ]
+    for level in (0, 1):
+        ctes += [
+            (f"dcount{level}", f"SELECT model, node, f.range AS f, {value.replace('CASE f', 'CASE f.range')} AS x, count(*) AS n, sum(y) AS pos FROM drows{level}, range({len(RULE_FEATURES)}) f GROUP BY 1, 2, 3, 4"),
+            (f"dsum{level}", f"SELECT *, sum(n) OVER w AS nl, sum(pos) OVER w AS pl, lead(x) OVER w AS nx, sum(n) OVER (PARTITION BY model, node, f) AS na, sum(pos) OVER (PARTITION BY model, node, f) AS pa FROM dcount{level} WINDOW w AS (PARTITION BY model, node, f ORDER BY x)"),
+            (f"dbest{level}", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, node ORDER BY 2 * pl * (nl - pl) / nl + 2 * (pa - pl) * ((na - nl) - (pa - pl)) / (na - nl), f, x) AS place FROM dsum{level} WHERE nx IS NOT NULL AND pa > 0 AND pa < na) z WHERE place = 1"),
+            (f"dsplit{level}", f"SELECT model, node, f, x / 2 + nx / 2 AS cut FROM dbest{level}"),
+            (f"drows{level + 1}", f"SELECT r.* REPLACE (2 * r.node + 1 + CAST({value} > cut AS INT) AS node) FROM drows{level} r JOIN dsplit{level} s ON r.model = s.model AND r.node = s.node"),
+        ]
+    ctes.append(("dsplits", "SELECT * FROM dsplit0 UNION ALL SELECT * FROM dsplit1"))
+    ctes.append(("dnodes", "SELECT model, node, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos FROM (" + " UNION ALL ".join(f"SELECT model, node, y FROM drows{k}" for k in range(3)) + ") z GROUP BY model, node"))
+    ctes.append(("dleaves", "SELECT * FROM dnodes WHERE (model, node) NOT IN (SELECT (model, node) FROM dsplits)"))
+    return ctes
+
+
+def _rule_names(column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(RULE_FEATURES)) + " END"
+
+
+@query("pwf_decision_rules", with_fixture(f"""
+SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INT) AS leaf, rule, n, pos AS n_positive, CASE WHEN 2 * pos > n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM (
+  SELECT l.n, l.pos, CASE WHEN l.node > 2 THEN l.node WHEN l.node > 0 THEN 2 * l.node + 1 ELSE 0 END AS place,
+    CASE WHEN l.node = 0 THEN '' ELSE concat({_rule_names('r.f')}, CASE WHEN l.node IN (1, 3, 4) THEN ' <= ' ELSE ' > ' END, printf('%.4f', r.cut)) END
+    || CASE WHEN l.node > 2 THEN concat(' AND ', {_rule_names('c.f')}, CASE WHEN l.node IN (3, 5) THEN ' <= ' ELSE ' > ' END, printf('%.4f', c.cut)) ELSE '' END AS rule
+  FROM dleaves l LEFT JOIN dsplits r ON r.node = 0 LEFT JOIN dsplits c ON c.node = (l.node - 1) // 2 AND l.node > 2) z""", *_rule_ctes(0)))
 def q_pwf_decision_rules(spark, sf):
-    """Depth-2 rules separating PWF from other labelled rows (NoLabel dropped)."""
-    t = fe.with_failure_name(telemetry(spark, sf))
-    df = fe.encode_type(t).filter(F.col("failure_type") != "NoLabel")
-    rules, _ = md.pwf_rules(df, ["power_w", "temp_diff_k", "strain_load", "rpm", "torque_nm",
-                                 "tool_wear_min", "type_encoded"], folds=0)
-    return spark.createDataFrame(rules, "leaf INT, rule STRING, prediction DOUBLE")
-
-
-@query("pwf_rules_cv_f1")
+    """Depth-2 rules separating PWF from other labelled rows (NoLabel dropped), with exact splits."""
+    df = fe.encode_type(fe.with_failure_name(telemetry(spark, sf))).filter(F.col("failure_type") != "NoLabel")
+    tree, _ = fit_rules(df, RULE_FEATURES, F.col("failure_type") == "PWF")
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(tree.rules())], "leaf INT, rule STRING, n LONG, n_positive LONG, prediction DOUBLE")
+
+
+@query("pwf_rules_cv_f1", with_fixture("""
+SELECT fold, round(f1, 9) AS f1, round(avg(f1) OVER (), 9) AS f1_mean FROM (
+  SELECT CAST(fold AS INT) AS fold, CASE WHEN sum(y) + sum(p) > 0 THEN 2.0 * sum(y * p) / (sum(y) + sum(p)) ELSE 0.0 END AS f1 FROM (
+    SELECT d.fold, d.y, CAST(2 * l.pos > l.n AS INT) AS p FROM dplace d JOIN dleaves l ON l.model = d.fold AND l.node = d.leaf) z GROUP BY fold) q""",
+    *_rule_ctes(5), ("dwalk", "SELECT d.*, CASE WHEN s.f IS NULL THEN 0 ELSE 1 + CAST((CASE s.f " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(RULE_FEATURES)) + " END) > s.cut AS INT) END AS first FROM dealt d LEFT JOIN dsplits s ON s.model = d.fold AND s.node = 0"),
+    ("dplace", "SELECT d.*, CASE WHEN first = 0 OR s.f IS NULL THEN first ELSE 2 * first + 1 + CAST((CASE s.f " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(RULE_FEATURES)) + " END) > s.cut AS INT) END AS leaf FROM dwalk d LEFT JOIN dsplits s ON s.model = d.fold AND s.node = first AND first > 0")))
 def q_pwf_rules_cv_f1(spark, sf):
-    t = fe.with_failure_name(telemetry(spark, sf))
-    df = fe.encode_type(t).filter(F.col("failure_type") != "NoLabel")
-    _, f1 = md.pwf_rules(df, ["power_w", "temp_diff_k", "strain_load", "rpm", "torque_nm",
-                              "tool_wear_min", "type_encoded"], folds=5)
-    return spark.createDataFrame([(5, float(f1))], "folds INT, f1_mean DOUBLE")
+    """F1 of every stratified fold under the rules of the other four, and their mean."""
+    df = fe.encode_type(fe.with_failure_name(telemetry(spark, sf))).filter(F.col("failure_type") != "NoLabel")
+    _, f1 = fit_rules(df, RULE_FEATURES, F.col("failure_type") == "PWF", folds=5)
+    rows = spark.createDataFrame([(k, float(x), float(sum(f1) / len(f1))) for k, x in enumerate(f1)], "fold INT, f1 DOUBLE, f1_mean DOUBLE")
+    return rows.select("fold", F.round("f1", 9).alias("f1"), F.round("f1_mean", 9).alias("f1_mean"))
 
 
 def _overstrain_scored(spark, sf):

@@ -15,16 +15,6 @@ def test_physics_in_top(spark):
     assert [r.feature for r in md.top_k(imp, 2).collect()] == ["rpm", "power_w"]
 
 
-def test_tree_rules_and_cv(spark):
-    t = fe.encode_type(fe.with_failure_name(telemetry(spark, SF_SMALL))).filter(F.col("failure_type") != "NoLabel")
-    feats = ["power_w", "rpm", "torque_nm"]
-    rules, f1 = md.pwf_rules(t, feats, folds=2)
-    assert 1 <= len(rules) <= 4
-    assert all(r[2] in (0.0, 1.0) for r in rules)
-    assert all(any(f in r[1] for f in feats) for r in rules if r[1])
-    assert 0.0 <= f1 <= 1.0
-
-
 def test_permutation_importance_detects_the_used_feature(spark):
     rows = [(i, float(i % 7), float((i * 13) % 5), 1 if i % 7 >= 4 else 0) for i in range(400)]
     df = spark.createDataFrame(rows, "unit_id LONG, a DOUBLE, b DOUBLE, y INT")

@@ -10,7 +10,7 @@ from faultline.plans.registry import (FAILURE_CODE_SQL, FAILURE_DIM_SQL, FAILURE
                                       query)
 from faultline.schema import MODEL_FEATURES, SENSOR_COLS
 from faultline.session import scratch_path
-from faultline.sources.telemetry import (read_sensor_csv, telemetry, telemetry_raw, to_source_layout,
+from faultline.sources.telemetry import (checked_sensor_csv, read_sensor_csv, telemetry, telemetry_raw, to_source_layout,
                                          write_table)
 
 _SENSORS_SQL = ", ".join(f"COALESCE(TRY_CAST({c} AS DOUBLE), 0) AS {c}" for c in SENSOR_COLS)
@@ -138,3 +138,39 @@ def q_csv_batch_features(spark, sf):
     df = fe.prepare_features(read_sensor_csv(spark, path))
     return df.select("unit_id", "type_encoded", "power_w", "temp_diff_k", "strain_load", "machine_failure",
                      (F.col("twf") + F.col("hdf") + F.col("pwf") + F.col("osf") + F.col("rnf")).alias("n_flags"))
+
+
+def _uploaded(spark, sf) -> str:
+    """Telemetry as an upload: bad sensor values and types, lines cut off in the middle, an empty and an infinite value."""
+    raw = telemetry_raw(spark, sf)
+    uid = F.col("unit_id")
+    raw = raw.withColumn("rpm", F.when(uid % 809 == 0, F.lit("Infinity")).otherwise(F.col("rpm"))).withColumn("air_temp_k", F.when(uid % 613 == 0, F.lit("")).otherwise(F.col("air_temp_k")))
+    source = to_source_layout(raw)
+    half = F.concat_ws(",", *[F.col(f"`{c}`") for c in source.columns[:4]])
+    line = F.when(F.col("`UDI`").cast("long") % 701 == 0, half).otherwise(F.concat_ws(",", *[F.col(f"`{c}`") for c in source.columns]))
+    path = scratch_path(spark, "upload")
+    source.select(line.alias("value")).write.text(path)
+    return path
+
+
+_UPLOAD_CTES = [("raw", TELEMETRY_RAW_SQL), ("upload", "SELECT * REPLACE (CASE WHEN unit_id % 809 = 0 THEN 'Infinity' ELSE rpm END AS rpm, "
+                "CASE WHEN unit_id % 613 = 0 THEN NULL ELSE air_temp_k END AS air_temp_k) FROM raw"),
+                ("judged", "SELECT *, CASE WHEN unit_id % 701 = 0 THEN 'malformed line' ELSE concat_ws('; ', " + ", ".join(
+                    f"CASE WHEN {c} IS NULL THEN 'missing {c}' WHEN TRY_CAST({c} AS DOUBLE) IS NULL OR isnan(TRY_CAST({c} AS DOUBLE)) THEN 'no number in {c}' "
+                    f"WHEN isinf(TRY_CAST({c} AS DOUBLE)) THEN 'not finite: {c}' END" for c in SENSOR_COLS)
+                 + ", CASE WHEN type NOT IN ('L', 'M', 'H') THEN 'unknown type' END) END AS reason FROM upload")]
+
+
+@query("csv_quarantine", with_fixture("SELECT unit_id, reason FROM judged WHERE reason <> ''", *_UPLOAD_CTES))
+def q_csv_quarantine(spark, sf):
+    """Rows of an uploaded CSV that cannot be scored, each with the reason."""
+    rejected = checked_sensor_csv(spark, _uploaded(spark, sf), header=False)[1]
+    return rejected.select(F.col("unit_id").cast("long").alias("unit_id"), "reason")
+
+
+@query("csv_accepted", with_fixture(
+    "SELECT unit_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SENSOR_COLS) + f", {TYPE_CODE_SQL} AS type_encoded FROM judged WHERE reason = ''", *_UPLOAD_CTES))
+def q_csv_accepted(spark, sf):
+    """The rest of that upload, with numeric sensors."""
+    accepted = fe.encode_type(checked_sensor_csv(spark, _uploaded(spark, sf), header=False)[0])
+    return accepted.select(F.col("unit_id").cast("long").alias("unit_id"), *SENSOR_COLS, "type_encoded")

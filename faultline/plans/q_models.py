@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from faultline.operators import features as fe
 from faultline.operators import guard as gd
 from faultline.operators import metrics as mt
+from faultline.operators import model_store
 from faultline.operators import models as md
 from faultline.operators import sampling as sm
 from faultline.operators import scenario as sc
@@ -27,7 +28,7 @@ from faultline.plans.fixture import SPLIT_SQL, with_fixture
 from faultline.plans.q_forest import forest_guard
 from faultline.plans.registry import FAILURE_CODE_SQL, FAILURE_NAME_SQL, TYPE_CODE_SQL, query
 from faultline.schema import LABEL, MODEL_FEATURES
-from faultline.session import checkpoint_dir, cut_lineage
+from faultline.session import checkpoint_dir, cut_lineage, scratch_path
 from faultline.sources.telemetry import telemetry
 
 DETECTOR_PARAMS = {"numTrees": 100, "maxDepth": 10}
@@ -420,3 +421,18 @@ def q_drift_step_scores(spark, sf):
     s = b.guard.transform(b.detector.transform(sc.project(start, sc.PRESETS)))
     return s.select("machine_id", "scenario", "step", _r6("detector_prob"), "detector_pred", "l1_stats", "l2_physics", "l3_isolation",
                     "anomaly", _r6("anomaly_score"))
+
+
+@query("reloaded_scores")
+def q_reloaded_scores(spark, sf):
+    """Test rows scored by the models published to a store and loaded again, next to the scores before."""
+    b = trained(spark, sf)
+    root = scratch_path(spark, "models")
+    model_store.publish(spark, root, b.detector, b.diagnoser, b.guard)
+    again = model_store.load(spark, root)
+
+    def scores(detector, diagnoser, guard, tag):
+        s = guard.transform(diagnoser.transform(detector.transform(b.test)))
+        return s.select("unit_id", *[F.col(c).alias(f"{c}_{tag}") for c in ("detector_prob", "detector_pred", "diagnosis", "anomaly_score", "anomaly")])
+
+    return scores(b.detector, b.diagnoser, b.guard, "fitted").join(scores(again.detector, again.diagnoser, again.guard, "loaded"), "unit_id")

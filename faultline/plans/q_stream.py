@@ -7,12 +7,16 @@ GROUP BY over the windows the final watermark has closed.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from faultline.operators import guard as gd
 from faultline.plans.fixture import with_fixture
+from faultline.plans.q_forest import FOREST_CTES, forest_guard
 from faultline.plans.q_guard import SCORED_CTES
 from faultline.plans.registry import query
 from faultline.session import scratch_path
 from faultline.sources.telemetry import telemetry
+from faultline.streaming import live_sink
 from faultline.streaming import telemetry_stream as ts
 
 _RULE_SQL = ("COALESCE(temp_diff_k < 7, FALSE) OR COALESCE((tool_wear_min > 200 AND torque_nm > 45) OR "
@@ -80,3 +84,26 @@ def q_stream_alert_sessions(spark, sf):
     out = scratch_path(spark, "stream-sessions")
     ts.drain(ts.alert_windows(ts.score(stream, model), session_gap="12 hours"), out)
     return spark.read.parquet(out)
+
+
+_LIVE = ("live", f"SELECT *, anomaly OR ({_RULE_SQL}) AS alert FROM fverdicts")
+
+
+def _live(spark, sf) -> str:
+    """The stream scored by all three layers and the rules, in the live sink."""
+    _, model = forest_guard(spark, sf)
+    scored = ts.score(ts.telemetry_stream(spark, sf), model).select("unit_id", "ts", "l1_stats", "l2_physics", "l3_isolation", "anomaly", "anomaly_score", "alert")
+    return live_sink.drain(scored, scratch_path(spark, "live"))
+
+
+@query("stream_live_rows", with_fixture("SELECT unit_id, l1_stats, l2_physics, l3_isolation, anomaly, round(anomaly_score, 6) AS anomaly_score, alert FROM live", *FOREST_CTES, _LIVE))
+def q_stream_live_rows(spark, sf):
+    """Live scoring with all three layers: what the sink holds after the stream is read."""
+    return live_sink.rows(spark, _live(spark, sf)).select("unit_id", "l1_stats", "l2_physics", "l3_isolation", "anomaly", F.round("anomaly_score", 6).alias("anomaly_score"), "alert")
+
+
+@query("stream_live_metrics", with_fixture("SELECT count(*) AS rows, count(*) FILTER (WHERE alert) AS alerts, 0::BIGINT AS late_rows FROM live", *FOREST_CTES, _LIVE))
+def q_stream_live_metrics(spark, sf):
+    """Counts that the live sink observed, over all micro-batches."""
+    seen = live_sink.metrics(spark, _live(spark, sf))
+    return seen.agg(*[F.sum(c).alias(c) for c in ("rows", "alerts", "late_rows")])

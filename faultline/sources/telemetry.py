@@ -13,9 +13,10 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.physics import mechanical_power, thermal_gap, tool_strain
-from faultline.schema import RAW_CSV_SCHEMA, SENSOR_COLS, SOURCE_COLUMNS, to_canonical
+from faultline.schema import RAW_CSV_SCHEMA, SENSOR_COLS, SOURCE_COLUMNS, TYPE_CODES, to_canonical
 
 # Fixed generator constants of the test fixture: (multiplier, offset, modulus)
 # per uniform stream u1..u6, the type digit rule, and the injected-defect moduli.
@@ -123,6 +124,32 @@ def read_sensor_csv(spark: SparkSession, path: str, schema=RAW_CSV_SCHEMA) -> Da
     return to_canonical(df)
 
 
+#: Column of the text of a line that does not fit the schema.
+CORRUPT = "_corrupt_record"
+
+
+def checked_sensor_csv(spark: SparkSession, path: str, schema=RAW_CSV_SCHEMA, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows with typed sensors, quarantine) of a sensor CSV.
+
+    The quarantine keeps every column as text with a ``reason``: a line with too
+    few or too many fields, sensors that are missing, no number or not finite,
+    and unknown types. Both come from one scan's schema; no row is lost.
+    """
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(whole).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    df = to_canonical(reader.option("columnPruning", False).csv(path))  # whole lines, or a short one goes unseen
+    reasons = []
+    for c in SENSOR_COLS:
+        value = F.expr(f"try_cast(`{c}` AS DOUBLE)")
+        reasons.append(F.when(F.col(c).isNull(), F.lit(f"missing {c}")).when(value.isNull() | F.isnan(value), F.lit(f"no number in {c}"))
+                       .when(F.abs(value) == float("inf"), F.lit(f"not finite: {c}")))
+    reasons.append(F.when(~F.coalesce(F.col("type").isin(list(TYPE_CODES)), F.lit(False)), F.lit("unknown type")))
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed line")).otherwise(F.concat_ws("; ", *reasons))
+    df = df.withColumn("reason", reason)
+    accepted = df.filter("reason = ''").drop("reason", CORRUPT).withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in SENSOR_COLS})
+    return accepted, df.filter("reason <> ''").withColumnRenamed(CORRUPT, "line")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by=None) -> str:
     """Write a feature / split / resampled table (parquet by default, CSV with header)."""

@@ -7,8 +7,8 @@ of a search share the passes over the data:
 * features are cut at exact quantiles into at most ``BINS`` bins; a row is its
   bin numbers, label, weight, fold, and the margin, gradient and hessian of every model;
 * a pass over the rows sums gradients and hessians by (model, node, feature, bin) for all
-  models at one level; the sums, whose size does not depend on the rows, meet on the driver, which picks
-  the splits of the level;
+  models at one level, of left children only (the right ones are the rest of their parent); the sums, whose
+  size does not depend on the rows, meet on the driver, which picks the splits of the level;
 * margins advance one round after the trees of the round are done. The first
   rounds of an ensemble are the smaller ensemble: margins kept at 50, 100 and 200
   rounds are the scores of three grid points (:func:`search`);
@@ -223,8 +223,8 @@ def _nodes(b: _Block, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.n
 
 
 def _sums(blocks, active: list[int], specs: list[Spec], slots: list[slice], feature: np.ndarray, cut: np.ndarray, level: int, d: int):
-    """(output, node, feature, bin, gradient or hessian) sums of one partition."""
-    width, first = 2 ** level, 2 ** level - 1
+    """Gradient and hessian sums of one partition by (output, node, feature, bin): of the root, or of the left children of a level."""
+    width, first, step = max(1, 2 ** level // 2), 2 ** level - 1, 2 if level else 1
     total = None
     for b in blocks:
         if total is None:
@@ -239,8 +239,8 @@ def _sums(blocks, active: list[int], specs: list[Spec], slots: list[slice], feat
             for o in mine:
                 a = place[o]
                 node = _nodes(b, feature[a], cut[a], level)
-                here = np.flatnonzero((node >= 0) & (gradients[1][:, o - slot.start] > 0))
-                at = (flat[here] + ((node[here] - first) * (d * BINS))[:, None]).ravel()
+                here = np.flatnonzero((node >= 0) & ((node - first) % step == 0) & (gradients[1][:, o - slot.start] > 0))
+                at = (flat[here] + ((node[here] - first) // step * (d * BINS))[:, None]).ravel()
                 for side in (0, 1):
                     total[a, side] += np.bincount(at, np.repeat(gradients[side][here, o - slot.start], d), width * d * BINS)
     if total is not None:
@@ -271,6 +271,7 @@ def _grow(state, specs: list[Spec], slots: list[slice], specs_of: list[Spec], ac
     value, gains = np.zeros((len(active), size)), np.zeros((len(active), size))
     alive = np.zeros((len(active), size), bool)
     alive[:, 0] = True
+    known = {}  # sums of the level before: what the left children lack is the right ones'
     for level in range(deepest):
         width, first = 2 ** level, 2 ** level - 1
         which = [a for a, o in enumerate(active) if level < specs_of[o].depth and alive[a, first:first + width].any()]
@@ -280,6 +281,11 @@ def _grow(state, specs: list[Spec], slots: list[slice], specs_of: list[Spec], ac
         fe, cu = np.pad(fe, ((0, 0), (0, 1)), constant_values=-1), np.pad(cu, ((0, 0), (0, 1)))
         sums = state.mapPartitions(lambda bs, outs=outs, fe=fe, cu=cu, level=level: _sums(bs, outs, specs, slots, fe, cu, level, d))
         total = sums.treeReduce(add, depth=1 if state.getNumPartitions() <= FEW_PARTITIONS else 2)
+        total = total.reshape(len(which), 2, max(1, width // 2), 1, d * BINS)
+        if level:
+            total = np.concatenate([total, np.array([known[a] for a in which])[:, :, :, None] - total], axis=3)
+        total = total.reshape(len(which), 2, width, d * BINS)
+        known = dict(zip(which, total))
         g, h, gain, f, c, gl, hl = _best_splits(total, width, d, n_edges)
         for i, a in enumerate(which):
             rate = specs_of[active[a]].rate

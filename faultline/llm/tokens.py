@@ -19,15 +19,25 @@ import numpy as np
 #: Words whose ids a worker remembers.
 KNOWN_WORDS = 400_000
 
-#: White space of Unicode (fixed values), as text and as a search in UTF-8 for all but single ASCII ones.
+#: White space of Unicode (fixed values), as text and as a search in UTF-8 for all that is not ASCII.
 SPACES = "\t-\r \x85\xa0  -     　"
-UNUSUAL = re.compile(rb"[\t-\r ][\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: What such white space begins with, and ASCII white space as spaces.
+WIDE_STARTS, AS_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"), bytes(32 if 9 <= c <= 13 else c for c in range(256))
 #: A run of white space leaves its last space to the word that follows.
 UNIT = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: Separators (texts that hold them are encoded whole), and ASCII punctuation.
 MARK, CUT, PUNCTUATION = b"\1", b"\0", frozenset(string.punctuation.encode())
-#: A word that ends in a Latin letter or digit, and the punctuation after it.
-STEM = re.compile("(.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])([" + re.escape(string.punctuation) + "]+)", re.S)
+PUNCTUATION_BYTES = string.punctuation.encode()
+#: The end of a word that punctuation may be cut off from: a Latin letter or digit.
+LATIN_END = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ÿ]$")
+
+
+def unusual(text: bytes) -> bool:
+    """Whether white space stands together or is other than ASCII."""
+    if b"  " in text.translate(AS_SPACE):
+        return True
+    return not text.isascii() and any(x in text for x in WIDE_STARTS) and WIDE.search(text) is not None
 
 
 class WordTokens:
@@ -55,7 +65,7 @@ class WordTokens:
         """
         if self.lower:
             return text.lower().split()
-        if UNUSUAL.search(text):
+        if unusual(text):
             return [u[1:].encode() if u[0] == " " else CUT + u.encode() for u in UNIT.findall(text.decode())]
         out = text.split(b" ")
         out[0] = CUT + out[0]
@@ -70,15 +80,19 @@ class WordTokens:
         """Ask the library for parts that are not known; a stem and its punctuation are asked for apart."""
         ask, joined, known, bare = {}, [], self.known, b"" if self.lower else CUT
         for w in keys:
-            m = STEM.fullmatch(w.decode()) if w and w[-1] in PUNCTUATION else None
-            if m:
-                stem, rest = m[1].encode(), bare + m[2].encode()
+            stem = w.rstrip(PUNCTUATION_BYTES) if w and w[-1] in PUNCTUATION else b""
+            if stem and (stem[-1:].isalnum() or (stem[-1] > 127 and LATIN_END.search(stem.decode()))):
+                rest = bare + w[len(stem):]
                 joined.append((w, stem, rest))
-                ask |= {x: None for x in (stem, rest) if x not in known}
+                if stem not in known:
+                    ask[stem] = None
+                if rest not in known:
+                    ask[rest] = None
             else:
                 ask[w] = None
         if not self.lower:  # punctuation first, or white space last, would join the separator
-            for w in [w for w in ask if not w or w == CUT or (w[:1] == CUT and not w[1:2].isalnum()) or not (w[-1:].isalnum() or w[-1] in PUNCTUATION)]:
+            odd = [w for w in ask if not w[-1:].isalnum() or w[:1] == CUT]
+            for w in [w for w in odd if not w or w == CUT or (w[:1] == CUT and not w[1:2].isalnum()) or not (w[-1:].isalnum() or w[-1] in PUNCTUATION)]:
                 if not w or w[:1] == CUT or w.decode()[-1].isspace():
                     known[w] = self.direct(self.part(w).decode())
                     del ask[w]
@@ -106,7 +120,7 @@ class WordTokens:
                 continue
             units = self.units(text) if text else []
             ids = list(map(get, units))
-            missing = [(i, units[i]) for i, x in enumerate(ids) if x is None]
+            missing = [(i, u) for i, (u, x) in enumerate(zip(units, ids)) if x is None] if None in ids else ()
             need.update([u for _, u in missing])
             got.append(ids)
             open_at.append(missing)

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from faultline.operators import guard as gd
+from faultline.operators import sampling as sm
+from faultline.operators import scenario as sc
 from faultline.plans.fixture import with_fixture
 from faultline.plans.q_guard import PROBE_FLAGS_SQL, PROBES_SQL, SCORED_CTES
 from faultline.plans.registry import query
@@ -174,14 +176,14 @@ def q_forest_shape(spark, sf):
                                      F.max(F.when(F.col("node") == 0, F.col("size"))).alias("n_sampled"))
 
 
-def pca_view(df, features=GUARD_FEATURES, label=LABEL, k: int = 2):
-    """Standardise on all rows, fit PCA on healthy rows, project everyone (fit mean removed).
+def pca_view(df, features=GUARD_FEATURES, fit=None, k: int = 2):
+    """Standardise on all rows, fit PCA on the rows where ``fit`` holds (default: all), project everyone (fit mean removed).
 
-    One aggregate of counts, sums and cross products of all and of healthy rows
+    One aggregate of counts, sums and cross products of all and of fitted rows
     gives means, scales and the covariance; the projection is a linear
     expression with literals. Each component's largest loading is positive.
     """
-    healthy, d = F.col(label) == 0, len(features)
+    healthy, d = F.lit(True) if fit is None else fit, len(features)
     shift = df.agg(*[F.avg(f).alias(f) for f in features]).first()  # centred first: sums of squares stay accurate
     x = [F.col(f).cast("double") - F.lit(shift[f]) for f in features]
     aggs = [F.count(F.lit(1)).alias("n"), F.count(F.when(healthy, 1)).alias("nh")]
@@ -208,13 +210,33 @@ def pca_view(df, features=GUARD_FEATURES, label=LABEL, k: int = 2):
 def q_guard_pca(spark, sf):
     t, m = forest_guard(spark, sf)
     # the aggregates of the view read only features and label, so the forest scores each row once
-    view, _ = pca_view(m.transform(t).select("unit_id", LABEL, "anomaly", *GUARD_FEATURES))
+    view, _ = pca_view(m.transform(t).select("unit_id", LABEL, "anomaly", *GUARD_FEATURES), fit=F.col(LABEL) == 0)
     return view.select("unit_id", LABEL, "anomaly", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
 @query("guard_pca_variance")
 def q_guard_pca_variance(spark, sf):
     t = telemetry(spark, sf)
-    _, var = pca_view(t.select("unit_id", LABEL, *GUARD_FEATURES))
+    _, var = pca_view(t.select("unit_id", LABEL, *GUARD_FEATURES), fit=F.col(LABEL) == 0)
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(var)],
                                  "component INT, explained_variance_ratio DOUBLE")
+
+
+@query("guard_pca_all_rows")
+def q_guard_pca_all_rows(spark, sf):
+    """The view with the components fitted on all rows, and the share of variance each explains."""
+    t, m = forest_guard(spark, sf)
+    view, var = pca_view(m.transform(t).select("unit_id", LABEL, "anomaly", *GUARD_FEATURES))
+    return view.select("unit_id", LABEL, "anomaly", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"),
+                       *[F.round(F.lit(float(v)), 6).alias(f"explained{i + 1}") for i, v in enumerate(var)])
+
+
+@query("drift_pca_trail")
+def q_drift_pca_trail(spark, sf):
+    """Test rows and every step of every machine's drift in one plane, fitted on both together."""
+    t = telemetry(spark, sf)
+    steps = sc.project(sc.latest_state(t, cols=GUARD_FEATURES), sc.PRESETS)
+    test = sm.train_test(t)[1].select("unit_id", "machine_id", F.lit("test").alias("scenario"), F.lit(None).cast("int").alias("step"), *GUARD_FEATURES)
+    trail = steps.select(F.lit(None).cast("long").alias("unit_id"), "machine_id", "scenario", F.col("step").cast("int").alias("step"), *GUARD_FEATURES)
+    view, _ = pca_view(test.unionByName(trail))
+    return view.select("unit_id", "machine_id", "scenario", "step", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))

@@ -15,6 +15,11 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+def _heap_gb() -> int:
+    """Half of the machine's memory, at least 2 GB: a local master runs everything in the driver, next to its Python workers."""
+    return max(2, os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // (2 << 30))
+
+
 def get_spark(master: str | None = None, app: str = "faultline",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Return the active session or build a local one sized for tests/bench."""
@@ -32,7 +37,8 @@ def get_spark(master: str | None = None, app: str = "faultline",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", f"{_heap_gb()}g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.ansi.enabled", "true")

@@ -164,12 +164,12 @@ def q_guard_forest_probes(spark, sf):
 
 
 @query("forest_shape", with_fixture(
-    "SELECT CAST(tree AS INT) AS tree, count(*) AS n_nodes, count(*) FILTER (WHERE f IS NULL) AS n_leaves, max(depth) AS max_depth, "
+    "SELECT CAST(tree AS INT) AS tree, count(*) AS n_nodes, count(*) FILTER (WHERE f IS NULL) AS n_leaves, CAST(max(depth) AS INT) AS max_depth, "
     "max(n) FILTER (WHERE node = 0) AS n_sampled FROM fnodes WHERE forest = 0 GROUP BY tree", *_forest_ctes()))
 def q_forest_shape(spark, sf):
     """Per tree of the main forest: nodes, leaves, max depth, rows sampled."""
     _, m = forest_guard(spark, sf)
-    nodes = spark.createDataFrame(m.forest.main.nodes)
+    nodes = spark.createDataFrame(m.forest.main.nodes, "tree INT, node INT, feature INT, threshold DOUBLE, size LONG, depth INT")
     return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"),
                                      F.count(F.when(F.col("feature") < 0, 1)).alias("n_leaves"),
                                      F.max("depth").alias("max_depth"),

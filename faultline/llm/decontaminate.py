@@ -8,8 +8,10 @@ shift of zero selects the bucket of patterns with that suffix, whose words are
 then compared one by one. Positions inside clean text are mostly skipped.
 
 The benchmark is cut into blocks of bounded size; each is broadcast and every
-document is searched against each block in turn, inside its own partition. So
-memory is bounded for any benchmark, and documents are never shuffled.
+document is searched against each block in turn, inside its own partition. With
+several blocks the hits so far are written to the shared folder after each, so a
+task holds the tables of one block whatever the benchmark's size, and a lost
+executor costs one block's pass at most. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.common import map_texts, unused
+from faultline.session import scratch_path
 
 #: Words of a shift block.
 BLOCK = 3
@@ -157,6 +160,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_
     for k, shared in enumerate(blocks):
         keep = [*carry, hidden] if k + 1 < len(blocks) else carry
         cur = map_texts(cur, hidden, keep, field, scan(shared), [result] if k else [])
+        if k + 1 < len(blocks):
+            path = scratch_path(docs.sparkSession, "searched")
+            cur.write.parquet(path)
+            cur = docs.sparkSession.read.schema(cur.schema).parquet(path)
+            shared.unpersist()
     return cur
 
 

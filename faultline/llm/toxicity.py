@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -27,8 +29,8 @@ from faultline.llm.common import map_texts, unused
 #: Labelled documents that the lexicon and the curve are fitted on at most: a bounded sample, chosen by hash.
 FIT_ROWS = 20_000
 #: Shortest and longest stem; least distinct contexts (neighbouring words) of an entry in toxic documents, so that
-#: copies of one document are no evidence; least log odds; most candidates and most learned entries.
-STEMS, SUPPORT, LEAST_ODDS, MOST_CANDIDATES, MOST_ENTRIES = (4, 7), 4, 3.2, 100_000, 3_000
+#: copies of one document are no evidence; least log odds.
+STEMS, SUPPORT, LEAST_ODDS = (4, 7), 4, 3.2
 #: A stem is left out if one longer entry has this share of its contexts.
 SAME_WORD = 0.8
 #: Weight of a base entry that the training documents do not tell about.
@@ -94,10 +96,11 @@ class Model:
         found = [(end - n + 1, end, w) for end, (n, w) in auto.iter(folded.decode("latin-1"))]
         if not found:
             return 0.0, 0.0
-        spared = [(a, b) for a, b, w in found if w is None]
+        spared = sorted((a, b) for a, b, w in found if w is None)
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
         best: dict[int, float] = {}
         for a, b, w in found:  # a word counts once, by its heaviest entry
-            if w is not None and not any(x <= a and b <= y for x, y in spared):
+            if w is not None and not ((k := bisect_right(starts, a)) and reach[k - 1] >= b):
                 best[a] = max(best.get(a, 0.0), w)
         if not best:
             return 0.0, 0.0
@@ -109,11 +112,12 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> DataFrame:
-    """Text and toxic (0/1) of at most ``rows`` labelled documents whose crc32(id as text) mod 5 is not 0."""
+    """Text and toxic (0/1) of at most ``rows`` labelled documents whose crc32(id as text) mod 5 is not 0; one row an id and label."""
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").distinct()
     known = known.filter(~held_out("id")).orderBy(F.xxhash64("id"), "toxic").limit(rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return texts.join(F.broadcast(known), "id").select("text", "toxic")  # at most `rows` ids
+    one = texts.join(F.broadcast(known), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))  # at most `rows` ids
+    return one.select("text", "toxic")
 
 
 def held_out(id_col: str):
@@ -144,7 +148,7 @@ def _candidates(train: DataFrame) -> dict[bytes, int]:
 
     found = map_texts(train.filter("toxic = 1"), "text", [], [T.StructField("seen", seen)], start).select(F.explode("seen").alias("s"))
     held = found.groupBy("s.entry").agg(F.countDistinct("s.context").alias("n")).filter(F.col("n") >= SUPPORT)
-    return {bytes(r.entry): r.n for r in held.orderBy(F.desc("n"), "entry").limit(MOST_CANDIDATES).collect()}
+    return {bytes(r.entry): r.n for r in held.collect()}  # words of the bounded sample
 
 
 def _clean_counts(train: DataFrame, candidates: dict[bytes, int]) -> dict[bytes, int]:
@@ -173,12 +177,11 @@ def lexicon(contexts: dict[bytes, int], clean: dict[bytes, int], n_pos: int, n_n
         if len(shorter) > STEMS[0]:
             longer[shorter] = max(longer.get(shorter, 0), c)
     good = [e for e in odds if odds[e] >= LEAST_ODDS and (e.endswith(b" ") or longer.get(e, 0) < SAME_WORD * contexts[e])]
-    best = sorted(good, key=lambda e: (-odds[e] * contexts[e] ** 0.5, e))[:MOST_ENTRIES]
     weights = {}
     for w in BASE:
         e = b" " + w.encode() + b" "
         weights[e] = max(0.0, odds[e]) if e in odds else PRIOR_WEIGHT
-    return weights | {e: odds[e] for e in best}
+    return weights | {e: odds[e] for e in good}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:

@@ -1,7 +1,9 @@
 """Decontamination, toxicity, secrets, page text and search against brute force, labels or held-out findings."""
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -265,3 +267,53 @@ def test_rows_of_one_query_id_are_one_query_of_their_words(spark, read, shard_do
     frame = spark.createDataFrame(queries, "query_id long, text string")
     joined = [(7, rows[3][1]), (8, rows[5][1] + " " + rows[9][1]), (9, rows[11][1])]
     check_search(bm25.search(docs, frame).collect(), brute_search(rows, joined))
+
+
+def plain_features(model, folded):
+    """Weight per thousand words by looking at every position and every exception."""
+    spared = [(i, i + len(p)) for p in (b" " + e.encode() + b" " for e in toxicity.EXCEPTIONS) for i in range(len(folded)) if folded.startswith(p, i)]
+    best = {}
+    for i in range(len(folded)):
+        for e, w in model.weights.items():
+            if folded.startswith(e, i) and not any(a <= i and i + len(e) <= b for a, b in spared):
+                best[i] = max(best.get(i, 0.0), w)
+    return (float(np.log1p(1000 * sum(best.values()) / (folded.count(b" ") + 20))), 1.0) if best else (0.0, 0.0)
+
+
+def test_toxicity_features_equal_a_search_at_every_position():
+    rng = random.Random(2)
+    weights = {b" idiot ": 3.0, b" trash ": 2.0, b" tras": 1.5, b" pig ": 1.0, b" guin": 0.5, b" clown ": 4.0}
+    model = toxicity.Model(weights)
+    auto = model.matcher()
+    words = ["idiot", "1d1ot", "trash", "can", "pig", "guinea", "iron", "clown", "fish", "circus", "trashy", "the", "Idiot!", "proof"]
+    for _ in range(200):
+        folded = toxicity.fold(" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))).encode())
+        assert model.features(auto, folded) == pytest.approx(plain_features(model, folded))
+
+
+def test_a_megabyte_of_exceptions_takes_seconds():
+    model = toxicity.Model({b" idiot ": 3.0, b" trash ": 2.0})
+    auto, began = model.matcher(), time.time()
+    assert model.features(auto, toxicity.fold(b"trash can " * 100_000)) == (0.0, 0.0)
+    assert time.time() - began < 10
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(3, "b")], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id LONG, toxic INT")
+    rows = [tuple(r) for r in toxicity.training_rows(docs, labels).collect()]
+    assert len(rows) == len(set(rows)) <= 2 and all(t in ("text 0", "b") for t, _ in rows)
+
+
+def test_many_benchmark_blocks_are_searched_one_at_a_time(spark, monkeypatch, capsys):
+    rng = random.Random(6)
+    word = lambda: "w" + str(rng.randrange(40))
+    items = [(f"i{k}", " ".join(word() for _ in range(rng.randint(1, 30)))) for k in range(60)]
+    docs = [(k, " ".join([*(word() for _ in range(20)), items[k][1], word()])) for k in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id LONG, text STRING"), spark.createDataFrame(items, "item_id STRING, text STRING")
+    one = sorted(map(tuple, decontaminate.report(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 150)
+    many = decontaminate.report(d, b)
+    many.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert sorted(map(tuple, many.collect())) == one

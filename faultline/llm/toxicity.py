@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.common import map_texts, unused
+from faultline.session import cut_lineage
 
 #: Labelled documents that the lexicon and the curve are fitted on at most: a bounded sample, chosen by hash.
 FIT_ROWS = 20_000
@@ -186,7 +187,7 @@ def lexicon(contexts: dict[bytes, int], clean: dict[bytes, int], n_pos: int, n_n
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
     """Lexicon and curve from the labelled documents; the base lexicon and a fixed curve where labels are lacking."""
-    train = training_rows(docs, labels, id_col, text_col, rows)
+    train = cut_lineage(training_rows(docs, labels, id_col, text_col, rows))  # read four times
     totals = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     if not n_pos or not n_neg:

@@ -1,26 +1,26 @@
-"""Line dedup: repeated passages of two lines or more, removed after byte comparison.
+"""Line dedup: repeated passages of two lines or more, found as content-defined chunks and removed.
 
 Only DataFrame functions.
 
-Passages (``dedup_lines``): every pair of neighbouring lines is looked up, so
-the lines that go are the union of all repeated pairs, which is every repeated
-passage from its first line to its last, whatever stands around it. A line is
-known by two hashes; distinct lines are grouped by their bytes, and hashes that
-two different lines share are left alone, so equal hashes are equal bytes.
-Pairs travel as hashes, without text.
-
-Chunks (``dedup_chunks``, the rows of op1 and its SQL): a rolling hash over the
-last two line hashes ends a chunk where it is a multiple of ``spacing``, so an
-insertion moves only the boundaries next to it. Chunks of two lines or more
-are grouped by their bytes; the document with the smallest id keeps its first
-copy, every other copy goes. A passage is found as far as both copies are cut
-alike, so short ones mostly stay (README has the share).
-
-Plan of the chunks: the chunk texts are aggregated by (two hashes, bytes) with partial
-aggregation, so a chunk that a third of all documents share is one row per
-task; occurrences travel without their text and find the verdict by the two
-hashes (a pair of hashes that two different chunks share is left alone); the
-removed chunk numbers then join their documents once.
+A rolling hash over line hashes chooses the boundaries. Its window is one
+line: a longer one would need context that a short passage does not have.
+Three rules cut every text, each at its own remainders of that hash: a sparse
+one at a tenth of all lines, two dense ones at all lines but a twentieth. A
+chunk goes from a boundary line to the next one, both included, so it has two
+lines or more and depends on its own lines alone: an insertion moves only the
+chunks that hold it. Any two remainders are boundaries of a common rule, so
+any two neighbouring lines are a chunk of some rule, and every repeated passage
+is found from its first line to its last, whatever stands around it.
+
+A line is known by two hashes; distinct lines are grouped by their bytes, and
+chunks with a line whose hashes another line shares are left alone, so equal
+hashes are equal bytes. A chunk's key is the hashes of all its lines: chunks
+travel without text.
+
+Plan: keys are aggregated with partial aggregation, so a chunk that a third of
+all documents share is one row per task; occurrences find the verdict by their
+key and only then meet per document, so nothing after that join depends on its
+partitions and skew handling may split it.
 """
 
 from __future__ import annotations
@@ -29,12 +29,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from faultline.llm.common import unused
 
-#: Rolling hash: (last * FACTOR + the one before) modulo PRIME. A line hash is the first 7 hex digits of its MD5.
-FACTOR, PRIME, SPACING = 1_000_003, 2_147_483_647, 3
+#: Boundary rules: remainders of a line's hash by MODULUS at which a rule cuts; any two remainders are together in one of them.
+MODULUS = 20
+RULES = (range(0, 2), range(1, MODULUS), [0, *range(2, MODULUS)])
+#: A chunk's first line and its number of lines in one long.
+SHIFT = 31
+#: Bits of the text hash that order documents of one id.
+HASH_BITS = 62
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,162 +48,133 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
+def line_hashes(lines: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of every line."""
+    return F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, lambda x: F.xxhash64(F.lit(7), x))
 
 
-def chunks_of(text: Column, spacing: int = SPACING) -> Column:
-    """Array of the chunks of a text: (at, n_lines, chunk); joined by newlines they are the text."""
+def cuts(hashes: Column) -> Column:
+    """Chunks of all rules, each once: first line * 2^SHIFT + number of lines."""
+    def rule(remainders) -> Column:
+        edge = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.pmod(F.get(hashes, i), F.lit(MODULUS)).isin(list(remainders)))
+        return let(edge, lambda e: F.transform(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), lambda at, k: F.shiftleft(at.cast("long"), SHIFT) + F.get(e, k + 1) - at + 1))
+    return F.array_distinct(F.flatten(F.array(*[rule(r) for r in RULES])))
+
+
+def chunks_of(text: Column) -> Column:
+    """Array of the chunks of a text: (at, n_lines, key, blank); the key holds both hashes of each line, blank tells of two blank lines in a row."""
     def cut(lines: Column) -> Column:
-        def starts(h: Column) -> Column:
-            rolled = lambda i: F.pmod(F.get(h, i) * F.lit(FACTOR) + F.coalesce(F.get(h, i - 1), F.lit(0)), F.lit(PRIME))
-            return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.pmod(rolled(i - 1), F.lit(spacing)) == 0))
-
-        def pieces(first: Column) -> Column:
-            def piece(s: Column, k: Column) -> Column:
-                n = F.coalesce(F.get(first, k + 1), F.size(lines)) - s
-                return F.struct(k.alias("at"), n.alias("n_lines"), F.array_join(F.slice(lines, s + 1, n), "\n").alias("chunk"))
-            return F.transform(first, piece)
-        return let(let(F.transform(lines, line_hash), starts), pieces)
-    return let(F.split(text, "\n", -1), cut)
+        h1, h2 = line_hashes(lines)
 
+        def made(marks: Column) -> Column:
+            one, two, blank = marks["h1"], marks["h2"], marks["blank"]
 
-def _ordered_id(docs: DataFrame, id_col: str) -> Column:
-    """The id, with a missing one after all others."""
-    last = F.lit("\U0010ffff") if dict(docs.dtypes)[id_col] == "string" else F.lit((1 << 63) - 1)
-    return F.coalesce(F.col(f"`{id_col}`"), last)
+            def chunk(code: Column) -> Column:
+                at, n = F.shiftright(code, SHIFT).cast("int"), code.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
+                return F.struct(at.alias("at"), n.alias("n_lines"), F.concat(F.slice(one, at + 1, n), F.slice(two, at + 1, n)).alias("key"),
+                                F.exists(F.slice(blank, at + 1, n - 1), lambda b: b).alias("blank"))
+            return F.transform(cuts(one), chunk)
 
+        def white(x: Column) -> Column:
+            return F.coalesce(F.trim(F.translate(x, "\t\r", "  ")) == "", F.lit(False))
+        blank = F.transform(lines, lambda x, i: white(x) & white(F.get(lines, i + 1)))
+        return let(F.struct(h1.alias("h1"), h2.alias("h2"), blank.alias("blank")), made)
+    return let(F.split(text, "\n", -1), cut)
 
-def removals(docs: DataFrame, id_col: str, text_col: str, spacing: int = SPACING) -> DataFrame:
-    """(id, text_hash, gone): the numbers of the chunks that each document loses."""
-    rows = docs.select(_ordered_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
-    found = rows.filter(F.instr("text", "\n") > 0).select("id", "text_hash", F.explode(chunks_of(F.col("text"), spacing)).alias("c"))
-    found = found.select("id", "text_hash", "c.at", "c.chunk").filter((F.col("c.n_lines") > 1) & (F.trim(F.translate("chunk", "\n\t\r", "   ")) != ""))
-    found = found.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(7), "chunk")})
-    # equal bytes are one group; different bytes under one pair of hashes make it unusable
-    same = found.groupBy("h1", "h2", "chunk").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    verdict = same.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n"))
-    verdict = verdict.filter("texts = 1 and n > 1").select("h1", "h2", "first")
-    again = found.select("id", "text_hash", "at", "h1", "h2").join(verdict, ["h1", "h2"])
-    nth = F.dense_rank().over(Window.partitionBy("id", "text_hash", "h1", "h2").orderBy("at"))
-    gone = again.withColumn("nth", nth).filter("id <> first or nth > 1")
-    return gone.groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
 
+def place(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A document's place in the order of copies: by id, a missing one last, then by text hash."""
+    ident = F.col(f"`{id_col}`")
+    digest = F.xxhash64(F.col(f"`{text_col}`")).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return (F.coalesce(ident.cast("long"), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(1 << HASH_BITS).cast("decimal(19,0)") + digest.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.concat(F.coalesce(ident.cast("string"), F.lit("\U0010ffff")), F.lit("\0"), F.lpad(F.hex(digest), 16, "0"))
 
-def repeated_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, gone): where each document has a pair of lines that an earlier place has too.
 
-    Earlier is a smaller id, or two lines or more above in the same text: a
-    pair that overlaps its own first copy (a line three times in a row) stays.
+def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, gone): the lines of each document that lie in a chunk which an earlier place has too.
+
+    Earlier is another document that comes before, or far enough above in the
+    same text: a chunk that overlaps its own first copy there (a line three
+    times in a row) stays.
     """
-    rows = docs.select(_ordered_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
-    rows = rows.filter(F.instr("text", "\n") > 0).select("id", "text_hash", F.split("text", "\n", -1).alias("lines"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.filter(F.instr(text, "\n") > 0).select(place(docs, id_col, text_col).alias("doc"), text.alias("text"))
     # equal bytes are one group; different bytes under one pair of hashes make it unusable
-    line = rows.select(F.explode("lines").alias("line"))
+    line = rows.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     line = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line").distinct()
-    shared = line.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter("texts > 1")
-
-    def pairs(marks: Column) -> Column:
-        def pair(i: Column) -> Column:
-            one, two = F.get(marks, i), F.get(marks, i + 1)
-            return F.struct(i.alias("at"), one["h1"].alias("a1"), one["h2"].alias("a2"), two["h1"].alias("b1"), two["h2"].alias("b2"), (one["blank"] & two["blank"]).alias("blank"))
-        return F.transform(F.sequence(F.lit(0), F.size(marks) - 2), pair)
-
-    def mark(x: Column) -> Column:
-        return F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), (F.trim(F.translate(x, "\t\r", "  ")) == "").alias("blank"))
-
-    found = rows.select("id", "text_hash", F.explode(let(F.transform("lines", mark), pairs)).alias("p")).filter(~F.col("p.blank"))
-    found = found.select("id", "text_hash", "p.at", "p.a1", "p.a2", "p.b1", "p.b2")
-    of = ["a1", "a2", "b1", "b2"]
-    verdict = found.groupBy(*of).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    for side in "ab":
-        bad = shared.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
-        verdict = verdict.join(bad, [f"{side}1", f"{side}2"], "left_anti")
-    again = found.join(verdict.select(*of, "first"), of)
-    top = F.min("at").over(Window.partitionBy("id", "text_hash", *of))
-    gone = again.withColumn("top", top).filter("id <> first or at > top + 1")
-    return gone.groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    shared = line.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter("texts > 1").select("h1", "h2")
+
+    # two blank lines in a row are no passage; the smaller chunks around them find what is
+    found = rows.select("doc", F.explode(chunks_of(F.col("text"))).alias("c")).filter(~F.col("c.blank")).select("doc", "c.at", "c.n_lines", "c.key")
+    repeated = found.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    n = (F.size("key") / 2).cast("int")
+    parts = repeated.select("key", F.explode(F.arrays_zip(F.slice("key", F.lit(1), n).alias("h1"), F.slice("key", n + 1, n).alias("h2"))).alias("m"))
+    unusable = parts.select("key", "m.h1", "m.h2").join(shared, ["h1", "h2"], "left_semi").select("key").distinct()
+    verdict = repeated.join(unusable, "key", "left_anti")
+
+    again = found.join(verdict, "key").repartition("doc")
+    top = F.min("at").over(Window.partitionBy("doc", "key"))
+    gone = again.withColumn("top", top).filter("doc <> first or at >= top + n_lines")
+    return gone.groupBy("doc").agg(F.collect_set(F.shiftleft(F.col("at").cast("long"), SHIFT) + F.col("n_lines")).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_one: bool = True, counts: bool = False) -> DataFrame:
     """The documents with their text less repeated passages of two lines or more; all columns and rows kept.
 
     A passage goes line by line to both its ends; the first line with given
     bytes always stays somewhere. A null text stays null; an empty text and one
-    without a newline have no two lines and stay; pairs of blank lines stay.
-    Rows of one id count as one document (so do rows without an id, after all
-    others): each keeps what that document keeps. A document whose lines would
-    all go keeps its first one: one line is no passage.
+    without a newline have no two lines and stay; a pair of blank lines is no
+    passage. Copies are ordered by id, those without one last, then by a hash of
+    the text: rows of one id (or none) with different texts are different documents,
+    rows equal in both are one and each keeps what it keeps. With ``keep_one``, a
+    document whose lines would all go keeps its first one (one line is no
+    passage), otherwise its text is then empty. With ``counts``, also n_lines
+    and n_removed (both long).
     """
-    key, digest, lost_id, lost_hash, gone = (unused(n, docs.columns) for n in ("__key", "__hash", "__lost_id", "__lost_hash", "__gone"))
-    lost = repeated_pairs(docs, id_col, text_col).withColumnsRenamed({"id": lost_id, "text_hash": lost_hash, "gone": gone})
+    doc, lost_doc, gone, kept = (unused(n, docs.columns) for n in ("__doc", "__lost_doc", "__gone", "__kept"))
+    lost = repeated_chunks(docs, id_col, text_col).withColumnsRenamed({"doc": lost_doc, "gone": gone})
     text = F.col(f"`{text_col}`")
-    mine = docs.withColumns({key: _ordered_id(docs, id_col), digest: F.xxhash64(text)})
-    joined = mine.join(lost, (mine[key] == lost[lost_id]) & (mine[digest] == lost[lost_hash]), "left")
+    mine = docs.withColumn(doc, place(docs, id_col, text_col))
+    joined = mine.join(lost, mine[doc] == lost[lost_doc], "left")
 
     def rebuilt(lines: Column) -> Column:
-        out = F.flatten(F.transform(F.col(gone), lambda i: F.array(i, i + 1)))
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
-        return let(stay, lambda s: F.array_join(F.transform(F.when(F.size(s) > 0, s).otherwise(F.array(F.lit(0))), lambda i: F.get(lines, i)), "\n"))
-
-    left = F.when(F.col(gone).isNull(), text).otherwise(let(F.split(text, "\n", -1), rebuilt))
-    return joined.select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-
-
-def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING, counts: bool = False) -> DataFrame:
-    """The documents with their text less repeated multi-line chunks; all columns and rows kept.
-
-    With ``counts``, also n_lines and n_removed (both long). A null text stays null; an empty
-    text and one without a newline have no chunk of two lines and stay; chunks
-    of blank lines stay. Rows of one id count as one document (so do rows
-    without an id, after all others): each keeps what that document keeps.
-    A document may lose all its lines; its text is then empty.
-    """
-    key, digest, lost_id, lost_hash, gone, left = (unused(n, docs.columns) for n in ("__key", "__hash", "__lost_id", "__lost_hash", "__gone", "__left"))
-    lost = removals(docs, id_col, text_col, spacing).withColumnsRenamed({"id": lost_id, "text_hash": lost_hash, "gone": gone})
-    text = F.col(f"`{text_col}`")
-    mine = docs.withColumns({key: _ordered_id(docs, id_col), digest: F.xxhash64(text)})
-    joined = mine.join(lost, (mine[key] == lost[lost_id]) & (mine[digest] == lost[lost_hash]), "left")
-
-    def rebuilt(pieces: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(gone))
-        kept = F.transform(stay, lambda k: F.get(pieces, k))
-        return let(kept, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["chunk"]), "\n").alias("text"),
-                                            F.aggregate(p, F.lit(0), lambda n, x: n + x["n_lines"]).alias("lines")))
-
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    done = joined.withColumn(left, F.when(F.col(gone).isNotNull(), let(chunks_of(text, spacing), rebuilt)))
-    cols = [F.when(F.col(gone).isNull(), text).otherwise(F.col(f"{left}.text")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+        def span(code: Column) -> Column:
+            at = F.shiftright(code, SHIFT).cast("int")
+            return F.sequence(at, at + code.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int") - 1)
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.flatten(F.transform(F.col(gone), span)))
+        stay = let(stay, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.lit(0)))) if keep_one else stay
+        return let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(s).alias("lines")))
+
+    done = joined.withColumn(kept, F.when(F.col(gone).isNotNull(), let(F.split(text, "\n", -1), rebuilt)))
+    cols = [F.when(F.col(gone).isNull(), text).otherwise(F.col(f"{kept}.text")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        cols += [n_lines.cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), F.lit(0)).otherwise(n_lines - F.col(f"{left}.lines")).cast("long").alias("n_removed")]
+        n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+        cols += [n_lines.cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), F.lit(0)).otherwise(n_lines - F.col(f"{kept}.lines")).cast("long").alias("n_removed")]
     return done.select(*cols)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """op1: lines, lines removed and the digest of what is left of each document."""
-    done = dedup_chunks(docs.select("doc_id", "text"), counts=True)
+    """op1: lines, lines removed and the digest of what is left of each document; a copy may lose all its lines."""
+    done = dedup_lines(docs.select("doc_id", "text"), keep_one=False, counts=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The same rows by grouping every chunk's text.
-ORACLE = f"""
-WITH lines AS (
-  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-line AS (
-  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM lines),
-hashed AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM line),
-rolled AS (
-  SELECT doc_id, i, line, (h * {FACTOR} + coalesce(lag(h) OVER w, 0)) % {PRIME} AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (
-  SELECT doc_id, i, line, coalesce(sum((r % {SPACING} = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM rolled),
-chunk AS (
-  SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) AS nth FROM chunk),
-judged AS (
-  SELECT *, (n > 1 AND nth > 1 AND trim(translate(chunk, chr(10) || chr(9) || chr(13), '   ')) <> '') AS gone FROM ranked)
-SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed,
-       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+#: The same rows by brute force: every pair of neighbouring lines, by its bytes.
+ORACLE = """
+WITH line AS (
+  SELECT doc_id, text IS NULL AS missing, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+pair AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS below FROM line),
+placed AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY line, below) AS first, min(i) OVER (PARTITION BY line, below, doc_id) AS top
+  FROM pair WHERE below IS NOT NULL AND trim(translate(line || below, chr(9) || chr(13), '  ')) <> ''),
+again AS (
+  SELECT doc_id, i FROM placed WHERE doc_id <> first OR i > top + 1),
+gone AS (
+  SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again)
+SELECT l.doc_id, count(*) FILTER (NOT missing)::BIGINT AS n_lines, count(g.i)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 """

@@ -113,10 +113,65 @@ def test_passages_equal_brute_force_on_few_lines(make):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()} == brute_passages(rows)
 
 
-def test_chunks_join_to_the_text(make):
-    for text in ("", "a", "a\nb", "\n\n", "a\nb\nc\n" * 50):
+def test_chunks_of_three_rules_hold_every_pair_of_neighbours(make):
+    rnd = random.Random(5)
+    for text in ("a", "a\nb", "a\nb\nc\n" * 50, "\n".join(str(rnd.random()) for _ in range(500)), "same\n" * 400 + "end"):
+        lines = text.split("\n")
         got = make([(1, text)]).select(line_dedup.chunks_of(F.col("text")).alias("c")).first().c
-        assert "\n".join(x.chunk for x in got) == text and sum(x.n_lines for x in got) == text.count("\n") + 1
+        spans = [(x.at, x.n_lines) for x in got]
+        assert len(set(spans)) == len(spans) and all(n > 1 and at + n <= len(lines) and len(x.key) == 2 * n for (at, n), x in zip(spans, got))
+        assert {(k, 2) for k in range(len(lines) - 1)} <= set(spans)
+        assert sum(n for _, n in spans) <= 8 * len(lines)
+
+
+def test_chunks_do_not_move_with_what_stands_before_them(make):
+    rnd = random.Random(6)
+    passage = [str(rnd.random()) for _ in range(300)]
+    one, two = (make([(1, "\n".join(own + passage))]).select(line_dedup.chunks_of(F.col("text")).alias("c")).first().c for own in (["x"], ["y", "z", "w"]))
+    inside = lambda chunks, own: {(x.at - own, x.n_lines, tuple(x.key)) for x in chunks if x.at >= own}
+    assert inside(one, 1) == inside(two, 3) and max(x.n_lines for x in one) > 10
+
+
+def brute_report(rows):
+    """op1 by brute force over (id, text), an id being one document."""
+    stay = brute_passages([(i, t) for i, t in rows if t is not None])
+    first, out = {}, []
+    for i, text in sorted((r for r in rows if r[1] is not None)):
+        lines, gone, here = text.split("\n"), set(), {}
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if "".join(pair).strip(" \t\r") and (first.setdefault(pair, i) != i or k > here.setdefault(pair, k) + 1):
+                gone |= {k, k + 1}
+        kept = [x for k, x in enumerate(lines) if k not in gone]
+        assert stay[i] == "\n".join(kept or lines[:1])
+        out.append((i, len(lines), len(gone), sha("\n".join(kept))))
+    return sorted(out + [(i, 0, 0, sha("")) for i, t in rows if t is None])
+
+
+def test_line_report_equals_brute_force(make, empty):
+    rnd = random.Random(12)
+    rows = [(i, "\n".join(rnd.choice(["a", "b", "c", "", " ", "d\r", "é漢😀"]) for _ in range(rnd.randint(1, 40)))) for i in range(80)]
+    rows += [(300, None), (301, ""), (302, "\n"), (303, "a\n" * 3000), (304, "a\n" * 3000), (305, "q\n\n\n\nr"), (306, "q\n\n\n\nr"), (-7, rows[0][1])]
+    assert sorted(map(tuple, line_dedup.report(make(rows)).collect())) == brute_report(rows)
+    assert line_dedup.report(empty).collect() == []
+
+
+def test_one_copy_stays_among_rows_without_an_id_or_of_one_id(make):
+    for ident in (None, 9):
+        rows = [(ident, f"own {k}\nfirst shared\nsecond shared\nend {k}") for k in range(6)] + [(ident, None)]
+        left = [t for _, t, *_ in line_dedup.dedup_lines(make(rows)).collect() if t is not None]
+        assert sum("first shared\nsecond shared" in t for t in left) == 1 and len(left) == 6
+        assert sum(r.n_removed for r in line_dedup.report(make(rows)).collect()) == 10
+
+
+def test_rows_equal_in_id_and_text_are_one_document(make):
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb")]
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.report(make(rows)).collect()) == [(1, 0), (1, 0), (2, 2)]
+
+
+def test_line_dedup_of_documents_with_text_ids(spark):
+    docs = spark.createDataFrame([("b", "k\np\nq"), ("a", "p\nq\nl"), (None, "p\nq"), ("c", None)], "name string, body string")
+    left = {r.name: r.body for r in line_dedup.dedup_lines(docs, "name", "body").collect()}
+    assert left == {"a": "p\nq\nl", "b": "k", None: "p", "c": None}
 
 
 # ---- SimHash ----------------------------------------------------------------

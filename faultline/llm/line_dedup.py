@@ -12,9 +12,9 @@ chunks that hold it. Any two remainders are boundaries of a common rule, so
 any two neighbouring lines are a chunk of some rule, and every repeated passage
 is found from its first line to its last, whatever stands around it.
 
-A line is known by two hashes; distinct lines are grouped by their bytes, and
-chunks with a line whose hashes another line shares are left alone, so equal
-hashes are equal bytes. A chunk's key is the hashes of all its lines: chunks
+A line is known by 96 hash bits, its marks; distinct lines are grouped by their
+bytes, and chunks with a line whose marks another line shares are left alone, so
+equal marks are equal bytes. A chunk's key is the marks of all its lines: chunks
 travel without text.
 
 Plan: keys are aggregated with partial aggregation, so a chunk that a third of
@@ -39,6 +39,8 @@ MODULUS = 20
 RULES = (range(0, 2), range(1, MODULUS), [0, *range(2, MODULUS)])
 #: A chunk's first line and its number of lines in one long.
 SHIFT = 31
+#: A line's three hash values.
+MARKS = ("m1", "m2", "m3")
 #: Bits of the text hash that order documents of one id.
 HASH_BITS = 62
 
@@ -48,9 +50,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def line_hashes(lines: Column) -> tuple[Column, Column]:
-    """Two 64-bit hashes of every line."""
-    return F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, lambda x: F.xxhash64(F.lit(7), x))
+def marks(line: Column) -> tuple[Column, Column, Column]:
+    """A line's 96 hash bits as three ints."""
+    return F.shiftright(F.xxhash64(line), 32).cast("int"), F.shiftright(F.shiftleft(F.xxhash64(line), 32), 32).cast("int"), F.hash(line)
+
+
+def _mark(k: int) -> Callable[[Column], Column]:
+    return lambda line: marks(line)[k]
 
 
 def cuts(hashes: Column) -> Column:
@@ -62,23 +68,21 @@ def cuts(hashes: Column) -> Column:
 
 
 def chunks_of(text: Column) -> Column:
-    """Array of the chunks of a text: (at, n_lines, key, blank); the key holds both hashes of each line, blank tells of two blank lines in a row."""
+    """Array of the chunks of a text: (at, n_lines, key, blank); the key holds the marks of all lines, blank tells of two blank lines in a row."""
     def cut(lines: Column) -> Column:
-        h1, h2 = line_hashes(lines)
-
-        def made(marks: Column) -> Column:
-            one, two, blank = marks["h1"], marks["h2"], marks["blank"]
+        def made(of: Column) -> Column:
+            known, blank = [of[name] for name in MARKS], of["blank"]
 
             def chunk(code: Column) -> Column:
                 at, n = F.shiftright(code, SHIFT).cast("int"), code.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
-                return F.struct(at.alias("at"), n.alias("n_lines"), F.concat(F.slice(one, at + 1, n), F.slice(two, at + 1, n)).alias("key"),
+                return F.struct(at.alias("at"), n.alias("n_lines"), F.concat(*[F.slice(m, at + 1, n) for m in known]).alias("key"),
                                 F.exists(F.slice(blank, at + 1, n - 1), lambda b: b).alias("blank"))
-            return F.transform(cuts(one), chunk)
+            return F.transform(cuts(known[0]), chunk)
 
         def white(x: Column) -> Column:
             return F.coalesce(F.trim(F.translate(x, "\t\r", "  ")) == "", F.lit(False))
         blank = F.transform(lines, lambda x, i: white(x) & white(F.get(lines, i + 1)))
-        return let(F.struct(h1.alias("h1"), h2.alias("h2"), blank.alias("blank")), made)
+        return let(F.struct(*[F.transform(lines, _mark(k)).alias(name) for k, name in enumerate(MARKS)], blank.alias("blank")), made)
     return let(F.split(text, "\n", -1), cut)
 
 
@@ -100,22 +104,23 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = F.col(f"`{text_col}`")
     rows = docs.filter(F.instr(text, "\n") > 0).select(place(docs, id_col, text_col).alias("doc"), text.alias("text"))
-    # equal bytes are one group; different bytes under one pair of hashes make it unusable
-    line = rows.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    line = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line").distinct()
-    shared = line.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter("texts > 1").select("h1", "h2")
+    # equal bytes are one group; different bytes under the same marks make it unusable
+    line = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).distinct()
+    shared = line.groupBy(*[m.alias(name) for m, name in zip(marks(F.col("line")), MARKS)]).agg(F.count("*").alias("texts"))
+    shared = shared.filter("texts > 1").select(*MARKS, F.lit(True).alias("bad"))
 
     # two blank lines in a row are no passage; the smaller chunks around them find what is
-    found = rows.select("doc", F.explode(chunks_of(F.col("text"))).alias("c")).filter(~F.col("c.blank")).select("doc", "c.at", "c.n_lines", "c.key")
-    repeated = found.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
-    n = (F.size("key") / 2).cast("int")
-    parts = repeated.select("key", F.explode(F.arrays_zip(F.slice("key", F.lit(1), n).alias("h1"), F.slice("key", n + 1, n).alias("h2"))).alias("m"))
-    unusable = parts.select("key", "m.h1", "m.h2").join(shared, ["h1", "h2"], "left_semi").select("key").distinct()
-    verdict = repeated.join(unusable, "key", "left_anti")
-
-    again = found.join(verdict, "key").repartition("doc")
-    top = F.min("at").over(Window.partitionBy("doc", "key"))
-    gone = again.withColumn("top", top).filter("doc <> first or at >= top + n_lines")
+    found = rows.select("doc", F.explode(chunks_of(F.col("text"))).alias("c")).filter(~F.col("c.blank")).select("doc", "c.at", "c.key")
+    repeated = found.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    n_lines = (F.size("key") / len(MARKS)).cast("int")
+    lines = F.arrays_zip(*[F.slice("key", k * n_lines + 1, n_lines).alias(name) for k, name in enumerate(MARKS)])
+    parts = repeated.select("key", "first", F.explode(lines).alias("m")).select("key", "first", "m.*").join(shared, list(MARKS), "left")
+    verdict = parts.groupBy("key", "first").agg(F.max("bad").alias("bad")).filter("bad IS NULL").select("key", "first")
+
+    # only a document that holds the first copy needs to know which of its own is that
+    again = found.join(verdict, "key").select("doc", "at", n_lines.alias("n_lines"), F.when(F.col("doc") == F.col("first"), F.col("key")).alias("own"))
+    top = F.min("at").over(Window.partitionBy("doc", "own"))
+    gone = again.repartition("doc").withColumn("top", top).filter("own IS NULL OR at >= top + n_lines")
     return gone.groupBy("doc").agg(F.collect_set(F.shiftleft(F.col("at").cast("long"), SHIFT) + F.col("n_lines")).alias("gone"))
 
 

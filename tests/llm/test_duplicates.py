@@ -119,7 +119,7 @@ def test_chunks_of_three_rules_hold_every_pair_of_neighbours(make):
         lines = text.split("\n")
         got = make([(1, text)]).select(line_dedup.chunks_of(F.col("text")).alias("c")).first().c
         spans = [(x.at, x.n_lines) for x in got]
-        assert len(set(spans)) == len(spans) and all(n > 1 and at + n <= len(lines) and len(x.key) == 2 * n for (at, n), x in zip(spans, got))
+        assert len(set(spans)) == len(spans) and all(n > 1 and at + n <= len(lines) and len(x.key) == 3 * n for (at, n), x in zip(spans, got))
         assert {(k, 2) for k in range(len(lines) - 1)} <= set(spans)
         assert sum(n for _, n in spans) <= 8 * len(lines)
 

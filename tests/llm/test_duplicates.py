@@ -174,6 +174,12 @@ def test_line_dedup_of_documents_with_text_ids(spark):
     assert left == {"a": "p\nq\nl", "b": "k", None: "p", "c": None}
 
 
+def test_lines_with_equal_marks_and_other_bytes_stay(make, monkeypatch):
+    monkeypatch.setattr(line_dedup, "marks", lambda line: (F.length(line).cast("int"), F.lit(0), F.lit(0)))
+    rows = [(1, "aa\nbbb\nx"), (2, "cc\nddd\ny"), (3, "longer\nthe longest"), (4, "longer\nthe longest\nz")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()} == {**dict(rows[:3]), 4: "z"}
+
+
 # ---- SimHash ----------------------------------------------------------------
 def fingerprint(text):
     w = WORD.findall(lower(text or ""))

@@ -134,3 +134,48 @@ def test_detector_threshold_and_default_decision(spark):
     got = det.transform(t).select("detector_prob", "detector_pred", "detector_default").toPandas()
     assert (got.detector_pred == (got.detector_prob >= 0.25)).all() and (got.detector_default == (got.detector_prob > 0.5)).all()
     assert got.detector_pred.sum() >= got.detector_default.sum() > 0
+
+
+def test_the_driver_gets_each_sum_once_however_many_partitions(spark):
+    from operator import add
+
+    from faultline.operators.sums import summed
+    found = spark.sparkContext.parallelize(range(120), 12).mapPartitions(lambda rows: [(k, np.full(3, sum(rows_))) for rows_ in [list(rows)] for k in range(4)])
+    collected = []
+    few = summed(found, add, 12)
+    many = summed(_Counting(found, collected), add, 2)
+    assert all((few[k] == 7140).all() and (many[k] == 7140).all() for k in range(4)) and len(few) == len(many) == 4
+    assert collected == [4]
+
+
+class _Counting:
+    """An RDD that notes how many values its sums by key send to the driver."""
+
+    def __init__(self, rdd, seen):
+        self.rdd, self.seen = rdd, seen
+
+    def getNumPartitions(self):
+        return self.rdd.getNumPartitions()
+
+    def reduceByKey(self, *args):
+        return _Counting(self.rdd.reduceByKey(*args), self.seen)
+
+    def collect(self):
+        got = self.rdd.collect()
+        self.seen.append(len(got))
+        return got
+
+
+def test_sums_by_pairs_of_features_equal_plain_ones_and_light_nodes_cost_no_pass(spark, rows, monkeypatch):
+    rng = np.random.default_rng(3)
+    code = rng.integers(0, bo.BINS, (5, 9000)).astype(np.uint8)
+    pairs = [code[f] * np.uint16(bo.BINS) + code[f + 1] if f + 1 < 5 else code[f] for f in range(0, 5, 2)]
+    at, sides = np.flatnonzero(code[0] > 9), (rng.integers(-2 ** 20, 2 ** 20, 9000).astype(float), rng.integers(1, 2 ** 18, 9000).astype(float))
+    sides = tuple(v[at] for v in sides)
+    want = [np.bincount(code[f, at], v, bo.BINS) for v in sides for f in range(5)]
+    assert len(at) > bo.PAIRED_ROWS and (bo._histograms(code, pairs, at, sides).reshape(10, -1) == want).all()
+    passes = []
+    plain = bo.summed
+    monkeypatch.setattr(bo, "summed", lambda *a: passes.append(1) or plain(*a))
+    model = bo.fit_many(spark.createDataFrame(rows.head(60)), ["a"], "y", [bo.Spec(3, 7, 0.9)])[0][0]
+    assert len(passes) < 3 * 7 and (model.feature >= 0).any()

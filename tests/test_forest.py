@@ -79,3 +79,24 @@ def test_layer_three_scores_a_stream(spark, tmp_path):
         .format("memory").queryName("layer_three").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ckpt")).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("layer_three").collect())) == sorted(map(tuple, model.transform(t).select("unit_id", "anomaly").collect()))
+
+
+def test_ranges_from_the_ends_of_the_order_equal_plain_ones():
+    """Nodes with rows only in the middle of every feature's order, copies, settled rows, one row."""
+    import numpy as np
+
+    from faultline.operators import iforest
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 3)).round(2)
+    middle = (np.abs(x) < 0.2).all(axis=1)
+    node = np.stack([np.where(middle, 5, rng.integers(0, 4, 6000)), np.where(rng.random(6000) < 0.3, iforest.SETTLED, rng.integers(0, 8, 6000)), np.full(6000, iforest.SETTLED)]).astype(np.uint16)
+    node[1, 17] = 6
+    blocks = [iforest._Block(x[:5999], node[:, :5999]), iforest._Block(x[5999:], node[:, 5999:])]
+    parts = dict(iforest._ranges(blocks, 3, 8, 3))
+    assert len(parts) == iforest.PARTS  # the trees are summed in parts
+    for t in range(3):
+        n, lo, hi = (v[t // iforest.PARTS] for v in parts[t % iforest.PARTS])
+        for k in range(8):
+            mine = x[node[t] == k]
+            assert n[k] == len(mine)
+            assert (lo[k] == (mine.min(axis=0) if len(mine) else np.inf)).all() and (hi[k] == (mine.max(axis=0) if len(mine) else -np.inf)).all()

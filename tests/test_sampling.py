@@ -173,3 +173,12 @@ def test_ties_copies_and_values_that_most_vectors_share(spark):
     assert set(nn._vid) == set(first.values()) and (nn.groupby("_vid").size() == 5).all()
     for vid, part in nn.groupby("_vid"):
         assert np.allclose(part.sort_values("slot").dist, np.sort(dist[vid])[:5])
+
+
+def test_split_carries_no_filter_into_the_expressions_of_its_rows(spark):
+    """A test for nulls of the label, once carried into the scan, evaluated the whole derivation of the label in one unsplit method."""
+    plan = sm.stratified_split(telemetry(spark, SF_SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(cast(" not in plan
+    rows = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None), (5, 1)], "unit_id long, machine_failure int")
+    got = sm.dense_index(rows, sm.md5_key(F.col("unit_id"), 42), ["machine_failure"]).collect()
+    assert sorted((r.machine_failure, r.idx) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]

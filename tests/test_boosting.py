@@ -179,3 +179,34 @@ def test_sums_by_pairs_of_features_equal_plain_ones_and_light_nodes_cost_no_pass
     monkeypatch.setattr(bo, "summed", lambda *a: passes.append(1) or plain(*a))
     model = bo.fit_many(spark.createDataFrame(rows.head(60)), ["a"], "y", [bo.Spec(3, 7, 0.9)])[0][0]
     assert len(passes) < 3 * 7 and (model.feature >= 0).any()
+
+
+def test_rounds_need_no_jobs_of_their_own(spark, rows):
+    df = spark.createDataFrame(rows).repartition(3).cache()
+    sc = spark.sparkContext
+    jobs = []
+    for rounds in (2, 9):
+        sc.setJobGroup(f"rounds-{rounds}", "")
+        bo.fit_many(df, ["a", "b", "c"], "y", [bo.Spec(rounds, 3, 0.3)])
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    sc._jsc.clearJobGroup()
+    assert 0 < jobs[1] <= jobs[0] + 2  # the first fit also fills the cache; seven rounds by job take 14 and more
+
+
+def test_held_rows_and_passes_by_job_give_the_same(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows.assign(w=np.where(rows["y"] == 1, 40.5, 1.0)))
+    specs = [bo.Spec(5, 3, 0.3, fold=1), bo.Spec(3, 2, 0.1), bo.Spec(4, 3, 0.2, classes=3)]
+    monkeypatch.setattr(bo, "LEAST_ROWS", 100)  # several tasks that exchange sums
+    found = []
+    for weight in (None, "w"):
+        for change in ({}, {"HELD_ROWS": 0}, {"_local_path": lambda *a: None}):
+            with monkeypatch.context() as m:
+                for name, value in change.items():
+                    m.setattr(bo, name, value)
+                models, scores = bo.fit_many(df, ["a", "b", "c"], "y", specs, fold="fold", weight=weight, keep_at=[3, 5])
+                found.append((models, sorted(map(tuple, scores.collect()))))
+    for (models, scores), others in ((found[0], found[1:3]), (found[3], found[4:])):
+        for more, same in others:
+            assert same == scores
+            for x, y in zip(models, more):
+                assert all(np.array_equal(getattr(x, c), getattr(y, c)) for c in ("feature", "threshold", "value", "gain"))

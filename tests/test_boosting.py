@@ -210,3 +210,23 @@ def test_held_rows_and_passes_by_job_give_the_same(spark, rows, monkeypatch):
             assert same == scores
             for x, y in zip(models, more):
                 assert all(np.array_equal(getattr(x, c), getattr(y, c)) for c in ("feature", "threshold", "value", "gain"))
+
+
+def test_held_rows_of_an_ensemble_are_slices(rows):
+    """The root is summed without gathering rows: they stand in the order of their folds."""
+    rng = np.random.default_rng(1)
+    n, d = 9_000, 3
+    code, fold, y = rng.integers(0, bo.BINS, (d, n)).astype(np.uint8), rng.integers(0, 3, n).astype("i4"), rng.integers(0, 2, n).astype("i4")
+    half = n // 2
+    blocks = [bo._Block(np.arange(n)[part], code[:, part], y[part], np.ones(n)[part], fold[part], []) for part in (slice(0, half), slice(half, n))]
+    specs = [bo.Spec(1, 2, 0.1, fold=k) for k in (0, 1, 2, None)]
+    held = bo._Held(blocks, specs, [slice(k, k + 1) for k in range(4)], d)
+    assert [len(held.parts[o]) for o in range(4)] == [1, 2, 1, 1] and held.block.code.flags.c_contiguous
+    held.begin([0, 1, 2, 3])
+    feature, cut = np.array([[1, -1, -1]] * 4), np.array([[30, 0, 0]] * 4)
+    got = held.sums([0, 1, 2, 3], feature, cut, [[0, 2]] * 4).reshape(4, 2, 2, d, bo.BINS)
+    for o, spec in enumerate(specs):
+        for i, at in enumerate((fold != spec.fold, (fold != spec.fold) & (code[1] > 30))):
+            g, h = np.where(y == 1, -0.5, 0.5) * bo.UNIT, np.full(n, 0.25 * bo.UNIT)
+            for side, v in enumerate((g, h)):
+                assert all((got[o, i, side, f] == np.bincount(code[f][at], v[at], bo.BINS)).all() for f in range(d))

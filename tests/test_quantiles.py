@@ -115,3 +115,22 @@ def test_raw_nan_is_never_flagged(spark):
     again = gd.fit_guard(mixed)
     assert again.bounds.stats == model.bounds.stats
     assert stats.describe(mixed, ["rpm"]).first().q50 == stats.describe(t, ["rpm"]).first().q50
+
+
+def test_many_quantiles_search_their_brackets(spark, monkeypatch):
+    """63 ranks a column: a value is searched among the brackets instead of joined with each of them, pass by pass and at the end."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 2), float(x), float(y) if k % 9 else None) for k, (x, y) in enumerate(zip(rng.normal(size=2000).round(2), rng.pareto(0.5, 2000)))]
+    rows += [(0, math.inf, -math.inf), (1, float("nan"), 5e-324), (None, 1.0, 1e300)]
+    df = spark.createDataFrame(rows, "g int, a double, b double").repartition(3)
+    qs, passes, real = [i / 64 for i in range(1, 64)], [], qn._searched
+    monkeypatch.setattr(qn, "_searched", lambda *a: passes.append(a[2:]) or real(*a))
+    for bins, fetch in ((1024, 0), (16, 0), (16, 3000)):
+        monkeypatch.setattr(qn, "BINS", bins)
+        monkeypatch.setattr(qn, "FETCH", fetch)
+        found = qn.select_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, qs, "g")
+        for g, by in found.items():
+            for i, name in enumerate("ab", 1):
+                xs = sorted(r[i] for r in rows if r[0] == g and r[i] is not None and not math.isnan(r[i]))
+                assert by[name] == [pytest.approx(quantile(xs, q), rel=1e-12) for q in qs]
+    assert () in passes and {p[0] for p in passes if p} == {16, 1024}  # values at the end, bins before

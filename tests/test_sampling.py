@@ -182,3 +182,25 @@ def test_split_carries_no_filter_into_the_expressions_of_its_rows(spark):
     rows = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None), (5, 1)], "unit_id long, machine_failure int")
     got = sm.dense_index(rows, sm.md5_key(F.col("unit_id"), 42), ["machine_failure"]).collect()
     assert sorted((r.machine_failure, r.idx) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_neighbours_beyond_the_bound_are_not_ordered(spark, monkeypatch):
+    """After the own leaf, only members within a vector's bound reach the window that orders them."""
+    from faultline.operators import kdtree
+
+    rng = np.random.default_rng(11)
+    rows = [(i, 1, *map(float, x)) for i, x in enumerate(rng.normal(size=(300, 3)))]
+    df = spark.createDataFrame(rows, "_vid long, _m long, a double, b double, c double")
+    ordered, real = [], kdtree._nearest
+
+    def counted(pairs, k):
+        ordered.append(pairs.count())
+        return real(pairs, k)
+
+    monkeypatch.setattr(kdtree, "_nearest", counted)
+    found, looked = kdtree.knn(df, ["a", "b", "c"], 5, leaf=16)
+    x = np.array([r[2:] for r in rows])
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(gaps, np.inf)
+    assert {(r["_vid"], r["slot"]): r["nb_vid"] for r in found.collect()} == {(i, s): int(j) for i in range(300) for s, j in enumerate(np.argsort(gaps[i])[:5])}
+    assert sum(ordered[1:]) < looked / 2

@@ -8,7 +8,7 @@ Fit
   evenly and written once; blocks of them carry the node that each row has reached in
   every tree, and a pass moves all trees one step on. It keeps count, minimum and
   maximum of each feature for each (tree, node), per task first; those of all
-  tasks are joined on the executors and come to the driver once, their size depends only on the trees. The driver then draws feature and threshold of each node
+  tasks, whose number does not grow with the rows, are joined on the executors and come to the driver once, their size depends only on the trees. The driver then draws feature and threshold of each node
   by md5 of (seed, tree, node). So the fitted trees depend neither on partitions
   nor on the machine, and SQL can replay them.
 * ``max_depth`` bounds the model, the same for every table: a node table of at
@@ -48,8 +48,10 @@ EULER = 0.5772156649015329
 MAX_DEPTH = 8
 #: Modulus of the hashes that deal rows to trees; the node number of rows that have left a tree.
 PRIME, SETTLED = (1 << 31) - 1, (1 << 16) - 1
-#: Rows of a partition, and how many partitions send their ranges straight to the driver (those of more are joined first, by so many parts of the trees).
-ROWS_A_PARTITION, FEW_PARTITIONS, PARTS = 50_000, 2, 8
+#: Rows of a block, and how many partitions send their ranges straight to the driver (those of more are joined first, by so many parts of the trees).
+ROWS_A_BLOCK, FEW_PARTITIONS, PARTS = 50_000, 2, 8
+#: Partitions at most, unless more tasks run at once: each gives its ranges of all nodes (21 MB in a fit of 350 trees) once, however many blocks it has.
+MOST_PARTITIONS = 24
 
 
 def c_factor(n) -> np.ndarray:
@@ -181,7 +183,7 @@ class _Block:
 
 def _blocks(rows: DataFrame, names: list, trees: list[tuple]):
     """RDD of blocks; a row that is no member of a tree counts as settled there."""
-    schema, most = pa.schema([("x", pa.binary()), ("h", pa.binary())]), 2 * ROWS_A_PARTITION
+    schema, most = pa.schema([("x", pa.binary()), ("h", pa.binary())]), ROWS_A_BLOCK
 
     def packed(held):
         x, h = (np.concatenate(v).tobytes() for v in zip(*held))
@@ -267,9 +269,10 @@ def _fit_many(df: DataFrame, features: list, specs: list[tuple], key: str, robus
         raise ValueError("max_depth must be between 1 and 15: nodes of a level are counted in two bytes")
     ship_package(spark)
     finite = [F.when(F.abs(F.col(f).cast("double")) < math.inf, F.col(f).cast("double")).alias(f) for f in features]
-    clean = df.select(row_hash(F.col(key)).alias("__h"), *finite).dropna(subset=features)
+    # written once: no null test of the features is carried into the expressions of ``df``, which would be evaluated for each of them
+    clean = cut_lineage(df.select(row_hash(F.col(key)).alias("__h"), *finite)).dropna(subset=features)
     n = clean.count()
-    partitions = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_PARTITION))
+    partitions = max(spark.sparkContext.defaultParallelism, min(MOST_PARTITIONS, -(-n // ROWS_A_BLOCK)))
     clean = cut_lineage(clean.repartition(partitions, "__h", *features))
     scale = None
     if robust:

@@ -100,3 +100,30 @@ def test_ranges_from_the_ends_of_the_order_equal_plain_ones():
             mine = x[node[t] == k]
             assert n[k] == len(mine)
             assert (lo[k] == (mine.min(axis=0) if len(mine) else np.inf)).all() and (hi[k] == (mine.max(axis=0) if len(mine) else -np.inf)).all()
+
+
+def test_rows_are_derived_once(spark):
+    """No null test of the features is carried into the expressions that make them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def derived(x):
+        seen.add(1)
+        return float(x % 97)
+
+    df = spark.range(400).select(F.col("id").alias("unit_id"), derived("id").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    fo.fit_forest(df, ["a", "b"], n_trees=3, max_depth=2)
+    assert seen.value == 400
+
+
+def test_ranges_leave_a_bounded_number_of_partitions(spark, monkeypatch):
+    """More rows make more blocks, not more partitions that each send the ranges of all nodes."""
+    t = telemetry(spark, SF_SMALL)
+    parts, real = [], fo.summed
+    monkeypatch.setattr(fo, "summed", lambda found, *a: parts.append(found.getNumPartitions()) or real(found, *a))
+    a = fo.fit_forest(t, GUARD_FEATURES, n_trees=5, max_depth=3)
+    for name in ("ROWS_A_BLOCK", "ROWS_A_PARTITION"):
+        monkeypatch.setattr(fo, name, 10, raising=False)
+    b = fo.fit_forest(t, GUARD_FEATURES, n_trees=5, max_depth=3)
+    assert max(parts) <= max(spark.sparkContext.defaultParallelism, 24)
+    assert (a.feature == b.feature).all() and (a.threshold == b.threshold).all() and (a.size == b.size).all() and a.offset == b.offset

@@ -207,3 +207,41 @@ def test_neighbours_beyond_the_bound_are_not_ordered(spark, monkeypatch):
     assert {(r["_vid"], r["slot"]): r["nb_vid"] for r in found.collect()} == {(i, s): int(j) for i in range(300) for s, j in enumerate(np.argsort(gaps[i])[:5])}
     met = looked - ordered[0] - 300  # outside of the own leaf, where a vector also meets itself
     assert sum(ordered[1:]) - sum(kept[:-1]) < 0.7 * met
+
+
+def test_upper_levels_of_the_tree_take_no_pass_of_their_own(spark, monkeypatch):
+    """Vectors that the sample holds are split without a job a level; beyond it, the tree and the neighbours stay exact."""
+    from faultline.operators import kdtree
+
+    rng = np.random.default_rng(3)
+    pts = np.concatenate([rng.normal(size=(300, 2)), np.round(rng.normal(size=(100, 2)), 1), [[np.inf, 0.0], [1e300, -1e300]]])
+    pts = np.unique(pts, axis=0)
+    df = spark.createDataFrame([(i, 1, [float(a), float(b)]) for i, (a, b) in enumerate(pts)], "_vid long, _m long, _x array<double>")
+    written, real = [], kdtree.cut_lineage
+    monkeypatch.setattr(kdtree, "cut_lineage", lambda x: (written.append(x.columns), real(x))[1])
+    for sample in (kdtree.SAMPLE, 40):
+        monkeypatch.setattr(kdtree, "SAMPLE", sample)
+        written.clear()
+        rows, levels = kdtree.build(df.filter("_vid < 400") if sample > 40 else df, 2, 4)
+        if sample > 40:
+            assert len(levels) > 3 and len(written) <= 3
+        leaf, n = {r["_vid"]: r["_node"] for r in rows.collect()}, rows.count()
+        assert n == len(leaf) == (df.count() if sample == 40 else min(400, df.count()))
+        nodes = {r["_node"]: r for level in levels for r in level.collect()}
+        for node, r in nodes.items():
+            inside = []
+            for vid, at in leaf.items():
+                at = int(at)
+                while at > node:
+                    at = (at - 1) // 4
+                if at == node:
+                    inside.append(vid)
+            x = pts[inside]
+            assert r["n"] == len(inside) and (r["n"] <= 4) == r["is_leaf"]
+            assert np.array_equal(r["lo"], x.min(axis=0)) and np.array_equal(r["hi"], x.max(axis=0))
+    flat = df.filter("_vid < 390").select("_vid", "_m", F.col("_x")[0].alias("a"), F.col("_x")[1].alias("b"))
+    found = kdtree.knn(flat, ["a", "b"], 3, leaf=8)[0].toPandas().sort_values(["_vid", "slot"])["dist"].to_numpy().reshape(-1, 3)
+    x = pts[:390]
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(gaps, np.inf)
+    assert np.allclose(found, np.sort(gaps, axis=1)[:, :3])

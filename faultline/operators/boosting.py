@@ -62,8 +62,10 @@ LAMBDA, MIN_CHILD = 1.0, 1.0
 ROWS_A_PARTITION, LEAST_ROWS = 250_000, 10_000
 #: Up to so many partitions send their sums straight to the driver, those of more are added up first.
 FEW_PARTITIONS = 2
-#: Rows that a task keeps for all rounds, and tasks that exchange their sums, at most; results do not depend on them.
-HELD_ROWS, HELD_TASKS = 500_000, 16
+#: Rows that a task keeps for all rounds (about 450 bytes each with 16 ensembles), and tasks that exchange their sums, at most; results do not depend on them.
+HELD_ROWS, HELD_TASKS = 1_000_000, 16
+#: Rows whose margins and gradients a task computes at once: they stay in its cache.
+CACHED_ROWS = 16_384
 #: Seconds that a task waits for the sums of another.
 PATIENCE = 1_800
 #: From so many rows on, sums are taken by two features at once; rows that tell which child is the smaller one.
@@ -254,7 +256,7 @@ def _histograms(code: np.ndarray, pairs: list[np.ndarray], at: np.ndarray, sides
     if len(at) < PAIRED_ROWS:
         flat = (code.take(at, axis=1) + (np.arange(d) * BINS)[:, None]).ravel()
         return np.stack([np.bincount(flat, np.tile(v, d), d * BINS) for v in sides])
-    return _paired(d, (pair.take(at).astype(np.intp) for pair in pairs), sides)
+    return _paired(d, (pair.take(at).astype(np.intp, copy=False) for pair in pairs), sides)
 
 
 def _paired(d: int, places, sides: tuple) -> np.ndarray:
@@ -384,7 +386,10 @@ def _scores(packed: DataFrame, rounds: int) -> DataFrame:
 # --- all rounds in one barrier stage ------------------------------------------------------------
 
 class _Held:
-    """The rows of one task in the order of their folds, kept for all rounds, with the gradients and the rows by node of the round."""
+    """The rows of one task in the order of their folds, kept for all rounds, with the gradients and the rows by node of the round.
+
+    Gradients take four bytes where these hold them exactly: whole numbers up to 2^24.
+    """
 
     def __init__(self, blocks: list[_Block], specs: list[Spec], slots: list[slice], d: int):
         join = lambda c, empty: np.concatenate([getattr(b, c) for b in blocks], axis=-1) if blocks else empty
@@ -396,14 +401,14 @@ class _Held:
         self.block = _Block(join("key", none.astype("i8"))[order], join("code", np.zeros((d, 0), np.uint8)).take(order, axis=1), join("y", none.astype("i4"))[order], join("weight", none)[order],
                             fold, [np.zeros(n) for _ in range(slots[-1].stop)])
         code = self.block.code
-        self.pairs = [code[f] * np.uint16(BINS) + code[f + 1] if f + 1 < d else code[f] for f in range(0, d, 2)]
-        self.places = [pair.astype(np.intp) for pair in self.pairs]
+        self.places = [code[f] * np.intp(BINS) + code[f + 1] if f + 1 < d else code[f].astype(np.intp) for f in range(0, d, 2)]
         self.specs, self.slots, self.scale = specs, slots, self.block.weight * UNIT
         self.parts = {}
         for spec, slot in zip(specs, slots):
             out = slice(0, 0) if spec.fold is None else slice(*(int(np.searchsorted(fold, spec.fold, side)) for side in ("left", "right")))
             self.parts |= dict.fromkeys(range(slot.start, slot.stop), [part for part in (slice(0, out.start), slice(out.stop, n)) if part.start < part.stop])
-        self.sides = {o: (np.zeros(n), np.zeros(n)) for o in self.parts}
+        kind = np.float32 if self.scale.max(initial=0) <= 2 ** 24 else np.float64
+        self.sides = {o: (np.zeros(n, kind), np.zeros(n, kind)) for o in self.parts}
 
     def begin(self, active: list[int]) -> None:
         """Gradients of a round."""
@@ -411,14 +416,24 @@ class _Held:
         for spec, slot in zip(self.specs, self.slots):
             if slot.start not in going:
                 continue
-            for part in self.parts[slot.start]:
+            for part in (slice(i, min(i + CACHED_ROWS, part.stop)) for part in self.parts[slot.start] for i in range(part.start, part.stop, CACHED_ROWS)):
                 y, w = self.block.y[part], self.scale[part]
                 margins = [self.block.margin[o][part] for o in range(slot.start, slot.stop)]
                 chances = [1 / (1 + np.exp(-margins[0]))] if spec.outputs == 1 else _probabilities(np.stack(margins, axis=1)).T
                 for k, p in enumerate(chances):
                     g, h = (side[part] for side in self.sides[slot.start + k])
-                    np.rint((p - (y == k + (spec.outputs == 1))) * w, out=g)
-                    np.rint(np.maximum(p * (1 - p), 1e-5) * w, out=h)
+                    g[:] = np.rint((p - (y == k + (spec.outputs == 1))) * w)
+                    h[:] = np.rint(np.maximum(p * (1 - p), 1e-5) * w)
+
+    def advance(self, trees: tuple, active: list[int]) -> None:
+        """Margins after one more round, in place; those of ensembles that were complete before are dropped."""
+        feature, cut, value = trees
+        margin = [None] * len(self.block.margin)
+        for a, o in enumerate(active):
+            leaves, margin[o] = _leaves(self.block.code, feature[a], cut[a]), self.block.margin[o]
+            for i in range(0, len(leaves), CACHED_ROWS):
+                margin[o][i:i + CACHED_ROWS] += value[a].take(leaves[i:i + CACHED_ROWS])
+        self.block.margin = margin
 
     def _rows(self, o: int, node: int, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Numbers of the rows of a node below the root."""
@@ -443,9 +458,9 @@ class _Held:
             for node in wanted[a]:
                 if node:
                     at = self._rows(o, node, feature[a], cut[a])
-                    sums = _histograms(self.block.code, self.pairs, at, (g.take(at), h.take(at)))
+                    sums = _histograms(self.block.code, self.places, at, (g.take(at).astype(float), h.take(at).astype(float)))
                 else:
-                    sums = sum((_paired(d, (place[part] for place in self.places), (g[part], h[part])) for part in self.parts[o]), np.zeros((2, d * BINS)))
+                    sums = sum((_paired(d, (place[part] for place in self.places), (g[part].astype(float), h[part].astype(float))) for part in self.parts[o]), np.zeros((2, d * BINS)))
                 found.append(sums.astype(np.int64))
         return np.stack(found)
 
@@ -519,7 +534,7 @@ def _all_rounds(blocks, folder: str, specs: list[Spec], slots: list[slice], spec
         active = [o for o, s in enumerate(spec_of) if r < s.rounds]
         held.begin(active)
         trees = _grow(sums_of, spec_of, active, d, n_edges, some)
-        held.block = _advance(held.block, trees[:3], active)
+        held.advance(trees[:3], active)
         if exchange.me == 0:
             yield r, "trees", trees
         if r + 1 in keep_at:

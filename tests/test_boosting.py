@@ -230,3 +230,36 @@ def test_held_rows_of_an_ensemble_are_slices(rows):
             g, h = np.where(y == 1, -0.5, 0.5) * bo.UNIT, np.full(n, 0.25 * bo.UNIT)
             for side, v in enumerate((g, h)):
                 assert all((got[o, i, side, f] == np.bincount(code[f][at], v[at], bo.BINS)).all() for f in range(d))
+
+
+def test_a_task_holds_the_rows_of_a_gigabyte_in_half_a_gigabyte():
+    """9.07 million balanced rows come from 1 GB of events: twelve tasks hold them, with the arrays of a whole round, in 500 MB each."""
+    rng = np.random.default_rng(1)
+    n, d = 20_000, 9
+    block = bo._Block(np.arange(n), rng.integers(0, bo.BINS, (d, n)).astype(np.uint8), rng.integers(0, 2, n).astype("i4"), np.ones(n), rng.integers(0, 3, n).astype("i4"), [])
+    specs = [bo.Spec(1, 5, 0.1, fold=k) for k in (0, 1, 2, None)] * 4
+    held = bo._Held([block], specs, [slice(k, k + 1) for k in range(16)], d)
+    held.begin(list(range(16)))
+    held.sums(list(range(16)), np.array([[1, -1, -1]] * 16), np.array([[30, 0, 0]] * 16), [[1, 2]] * 16)
+    b = held.block
+    arrays = [b.key, b.code, b.y, b.weight, b.fold, held.scale, *b.margin, *held.places, *getattr(held, "pairs", []), *(v for side in held.sides.values() for v in side), *(v for known in held.at.values() for v in known.values())]
+    assert 12 * bo.HELD_ROWS >= 9_069_192 and sum(a.nbytes for a in arrays) / n * bo.HELD_ROWS < 500e6
+
+
+def test_margins_in_place_and_gradients_in_four_bytes_are_those_of_a_block(monkeypatch):
+    """Heavy weights keep eight bytes; rows beyond a cached piece count."""
+    monkeypatch.setattr(bo, "CACHED_ROWS", 700)
+    rng = np.random.default_rng(2)
+    n, d = 5_000, 3
+    code, y, tree = rng.integers(0, bo.BINS, (d, n)).astype(np.uint8), rng.integers(0, 2, n).astype("i4"), (np.array([[1, 0, -1, -1, -1, -1, -1]]), np.array([[30, 12, 0, 0, 0, 0, 0]]), rng.normal(size=(1, 7)))
+    for weight, kind in ((1.0, np.float32), (16.5, np.float64)):
+        block = bo._Block(np.arange(n), code, y, np.full(n, weight), np.zeros(n, "i4"), [np.zeros(n)])
+        held = bo._Held([block], [bo.Spec(2, 2, 0.1)], [slice(0, 1)], d)
+        assert held.sides[0][0].dtype == kind
+        held.begin([0])
+        held.advance(tree, [0])
+        held.begin([0])
+        after = bo._advance(block, tree, [0])
+        assert (held.block.margin[0] == after.margin[0]).all()
+        for side, want in zip(held.sides[0], bo._gradients(after, bo.Spec(2, 2, 0.1), slice(0, 1), 0, np.arange(n))):
+            assert (side == want).all()

@@ -127,3 +127,19 @@ def test_ranges_leave_a_bounded_number_of_partitions(spark, monkeypatch):
     b = fo.fit_forest(t, GUARD_FEATURES, n_trees=5, max_depth=3)
     assert max(parts) <= max(spark.sparkContext.defaultParallelism, 24)
     assert (a.feature == b.feature).all() and (a.threshold == b.threshold).all() and (a.size == b.size).all() and a.offset == b.offset
+
+
+def test_trees_wait_when_their_nodes_take_too_many_bytes(spark, monkeypatch):
+    """The nodes that a partition's rows carry are bounded, whatever the rows; the forests are the same."""
+    t = telemetry(spark, SF_SMALL)
+    turns, real = [], fo._blocks
+    monkeypatch.setattr(fo, "_blocks", lambda rows, names, trees, *a: turns.append(len(trees)) or real(rows, names, trees, *a))
+    a = fo.fit_forest_pair(t, GUARD_FEATURES, max_depth=3)
+    assert turns == [350]
+    partitions = max(spark.sparkContext.defaultParallelism, 1)
+    rows = -(-t.count() // partitions)
+    monkeypatch.setattr(fo, "NODE_BYTES", 130 * 2 * rows, raising=False)
+    b = fo.fit_forest_pair(t, GUARD_FEATURES, max_depth=3)
+    assert sum(turns[1:]) == 350 and max(turns[1:]) * 2 * rows <= 130 * 2 * rows
+    for x, y in ((a.main, b.main), (a.aggressive, b.aggressive)):
+        assert (x.feature == y.feature).all() and (x.threshold == y.threshold).all() and (x.size == y.size).all() and x.offset == y.offset

@@ -1,4 +1,6 @@
 """Model-derived helpers: tree rules, importance ranking, permutation importance, cascade wiring."""
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -47,3 +49,18 @@ def test_grid_sampler_and_gbt_path(spark):
     det = md.fit_detector(t, algo="gbt", params={"maxIter": 3, "maxDepth": 2})
     p = det.transform(t).agg(F.min("detector_prob"), F.max("detector_prob")).first()
     assert 0.0 <= p[0] <= p[1] <= 1.0
+
+
+def test_forest_detector_keeps_no_node_of_every_row_and_tree(spark, monkeypatch):
+    """The trees are those of a fit that caches the nodes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2)).round(2)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": (x[:, 0] > x[:, 1]).astype(int)}))
+    fit = lambda: md.fit_detector(df, ["a", "b"], "y", algo="rf", params={"numTrees": 3, "maxDepth": 4}).model.stages[-1]
+    plain = fit()
+    assert not plain.getCacheNodeIds()
+    monkeypatch.setattr(md, "FOREST_KNOBS", md.TREE_KNOBS)
+    cached = fit()
+    assert cached.getCacheNodeIds()
+    shape = lambda m: [line.split()[:4] for line in m.toDebugString.split("\n")[1:]]
+    assert shape(plain) == shape(cached)
